@@ -26,16 +26,17 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_required(F.col("v"), "input").alias("input"), _required(F.col("v"), "label").alias("label"))
 
 
-def read_corpus(spark: SparkSession, path: str, text_field: str) -> DataFrame:
-    """One JSON array of objects per file: (text, label if present, row).
+def read_corpus(spark: SparkSession, path: str, text_field: str, others: str = "") -> DataFrame:
+    """Files that each hold one JSON array of objects: the chosen field as
+    ``text``, plus the columns of the DDL string ``others``.
 
-    A JSON array cannot be split, so a file is one task; large corpora belong
-    in JSON lines, which this reads too.
+    A JSON array cannot be split, so each file is one task. A text that is no
+    string comes as JSON text; an object without the field is fatal.
     """
-    rows = spark.read.option("multiLine", True).option("singleVariantColumn", "row").json(path)
-    value = F.try_variant_get("row", f"$.{text_field}", "variant")
-    text = F.when(F.schema_of_variant(value) == "STRING", value.cast("string")).otherwise(F.to_json(value))
-    return rows.select(text.alias("text"), "row")
+    ddl = f"`{text_field}` string" + (f", {others}" if others else "")
+    rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(ddl).json(path)
+    absent = F.raise_error(F.lit(f'object without "{text_field}"')).cast("string")
+    return rows.withColumn(text_field, F.coalesce(text_field, absent)).withColumnRenamed(text_field, "text")
 
 
 def read_emails(spark: SparkSession, path: str, n_rows: int | None = None) -> DataFrame:
