@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbitra.operators.ranks import running_totals, value_at_index
+from arbitra.operators.ranks import running_totals, value_at_index, value_bucket
 
 
 def confusion(df: DataFrame, truth: str = "truth", label: str = "label") -> DataFrame:
@@ -213,9 +213,7 @@ def best_stump(train: DataFrame, test: DataFrame, features: Sequence[str], posit
 
 def _previous_value(totals: DataFrame, buckets: int = 64) -> DataFrame:
     """Add ``prev``, the next smaller distinct value."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = totals.agg(F.percentile_approx("value", cuts, 1000)).scalar()
-    d = totals.withColumn("_b", F.size(F.filter(bounds, lambda edge: edge <= F.col("value"))))
+    d = totals.withColumn("_b", value_bucket(totals, "value", buckets))
     tops = d.groupBy("_b").agg(F.max("value").alias("_top"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     edges = F.broadcast(tops.select("_b", F.max("_top").over(before).alias("_edge")))  # at most `buckets` rows

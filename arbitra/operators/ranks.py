@@ -60,6 +60,14 @@ def hash_rank(
     return ranked.drop("_h", "_b", "_off", "_tot", *ks)
 
 
+def value_bucket(df: DataFrame, value: str, buckets: int = 64) -> Column:
+    """Number of the ordered bucket a value falls in; buckets hold about equally
+    many rows of ``df``. Equal values share a bucket."""
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(value, cuts, 1000)).scalar()
+    return F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
+
+
 def running_totals(
     df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (), buckets: int = 64
 ) -> DataFrame:
@@ -72,13 +80,9 @@ def running_totals(
     names = list(sums)
     v = df.filter(F.col(value).isNotNull())
     distinct = v.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = distinct.agg(F.percentile_approx(value, cuts, 1000)).scalar()
     groups = _group_keys(by)
     ks = list(groups)
-    d = distinct.withColumns(
-        {**groups, "_b": F.size(F.filter(bounds, lambda edge: edge <= F.col(value)))}
-    )
+    d = distinct.withColumns({**groups, "_b": value_bucket(distinct, value, buckets)})
     before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*ks)
     offsets = d.groupBy(*ks, "_b").agg(*[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)])

@@ -1,0 +1,47 @@
+"""Writes a linear model as an ONNX file, for queries and tests.
+
+The file format is protocol buffers; only the few fields of one matrix
+product are needed: ``logits = X @ W``.
+"""
+
+from __future__ import annotations
+
+import os
+import struct
+from collections.abc import Sequence
+
+
+def _varint(n: int) -> bytes:
+    out = b""
+    while True:
+        low, n = n & 0x7F, n >> 7
+        out += bytes([low | (0x80 if n else 0)])
+        if not n:
+            return out
+
+
+def _field(no: int, value: bytes | str | int) -> bytes:
+    if isinstance(value, int):
+        return _varint(no << 3) + _varint(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return _varint(no << 3 | 2) + _varint(len(raw)) + raw
+
+
+def _tensor_type(name: str, width: int) -> bytes:
+    dims = _field(1, _field(2, "N")) + _field(1, _field(1, width))
+    return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, dims)))
+
+
+def linear_model(path: str, weights: Sequence[Sequence[float]]) -> str:
+    """``weights`` holds one row of input weights per class."""
+    k, d = len(weights), len(weights[0])
+    flat = struct.pack(f"<{k * d}f", *[weights[c][i] for i in range(d) for c in range(k)])
+    tensor = _field(1, d) + _field(1, k) + _field(2, 1) + _field(8, "W") + _field(9, flat)
+    node = _field(1, "X") + _field(1, "W") + _field(2, "logits") + _field(4, "MatMul")
+    graph = _field(1, node) + _field(2, "linear") + _field(5, tensor)
+    graph += _field(11, _tensor_type("X", d)) + _field(12, _tensor_type("logits", k))
+    model = _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(model)
+    return path

@@ -10,9 +10,9 @@ from arbitra.operators.score import score_hashed, score_tfidf
 from arbitra.plans.base import EMB, EMB_CLASSES, LABELLED, emb_logits, labelled, query, r6, rounded, table, with_sql
 from arbitra.plans.weights import HASHED_SQL, QUALITY_SQL, TOXIC_SQL, quality_hashed, quality_model, toxic_model
 
-POLICY = D.Policy(0.9, 0.6, 0.9, abstain_energy_above=4.5)
+POLICY = D.Policy(0.9, 0.6, 0.9, abstain_energy_above=0.3)
 _ACTION = (
-    "CASE WHEN energy > 4.5 THEN 'abstain' WHEN confidence >= 0.9 THEN 'act' WHEN confidence >= 0.6 THEN 'review' ELSE 'escalate' END"
+    "CASE WHEN energy > 0.3 THEN 'abstain' WHEN confidence >= 0.9 THEN 'act' WHEN confidence >= 0.6 THEN 'review' ELSE 'escalate' END"
 )
 
 
@@ -199,9 +199,9 @@ def _guarded(spark, sf):
     return D.guard(d, "truth", "gap", F.col("vec_id") % 10 != 0, min_gap=0.5, min_conf=0.4)
 
 
-@query("guard", with_sql([*EMB, *_GUARD], "SELECT vec_id, reason, CASE WHEN reason = 'model' THEN label ELSE truth END AS final, CASE WHEN reason = 'model' THEN label = truth END AS agree FROM h"))
+@query("guard", with_sql([*EMB, *_GUARD], "SELECT vec_id, reason, CASE WHEN reason = 'model' THEN label ELSE truth END AS final, CASE WHEN reason = 'model' THEN CAST(label = truth AS VARCHAR) END AS agree FROM h"))
 def q_guard(spark, sf):
-    return _guarded(spark, sf).select("vec_id", "reason", "final", "agree")
+    return _guarded(spark, sf).select("vec_id", "reason", "final", F.col("agree").cast("string").alias("agree"))
 
 
 @query("guard_report", with_sql([*EMB, *_GUARD], "SELECT reason, count(*) AS n, count(*) FILTER (reason = 'model' AND label = truth) AS n_agree FROM h GROUP BY reason"))

@@ -1 +1,160 @@
-"""To be filled."""
+"""Training. MLlib fits have no SQL equivalent, so these are checked by row
+counts here and by accuracy thresholds in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from arbitra.operators import rules as R
+from arbitra.operators import train as T
+from arbitra.operators.calibrate import calibrate, calibrate_logits
+from arbitra.operators.decide import predict
+from arbitra.operators.evaluate import ablate, accuracy
+from arbitra.operators.splits import split_frac
+from arbitra.plans.base import labelled, query, r6, rounded, table
+from arbitra.plans.rules import mails
+from arbitra.plans.weights import quality_model
+from arbitra.session import written
+
+
+def _halves(spark, sf, rows, label):
+    s = written(split_frac(rows, "doc_id", label, 0.8, 7), "split")
+    return s.filter("split = 'train'").drop("split"), s.filter("split = 'validation'").drop("split")
+
+
+def _summary(spark, models, accuracies):
+    rows = [
+        (m.model_id, len(m.classes), m.n_terms, m.temperature, m.ece_before, m.ece_after, a)
+        for m, a in zip(models, accuracies, strict=True)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "model_id string, n_classes int, n_terms bigint, temperature double, ece_before double, ece_after double, accuracy double",
+    )
+
+
+def _by_lang(spark, sf):
+    return _halves(spark, sf, table(spark, sf, "documents").select("doc_id", "text", "lang"), "lang")
+
+
+@query("train_hashed")
+def q_train_hashed(spark, sf):
+    train, held = _by_lang(spark, sf)
+    m = calibrate(T.train_hashed(train, "text", "lang", max_iter=50), held, "doc_id", "text", "lang")
+    return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "lang")])
+
+
+@query("train_tfidf")
+def q_train_tfidf(spark, sf):
+    train, held = _halves(spark, sf, labelled(spark, sf).select("doc_id", "text", "truth"), "truth")
+    m = calibrate(T.train_tfidf(train, "doc_id", "text", "truth", min_df=2), held, "doc_id", "text", "truth")
+    return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "truth")])
+
+
+@query("train_tfidf_languages")
+def q_train_tfidf_languages(spark, sf):
+    train, held = _by_lang(spark, sf)
+    m = T.train_tfidf(train, "doc_id", "text", "lang", c=8.0, min_df=3, max_iter=50)
+    m = T.reorder_classes(m, ["fr", "en", "es", "de"])
+    m = calibrate(m, held, "doc_id", "text", "lang")
+    return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "lang")])
+
+
+@query(
+    "reorder_classes",
+    "SELECT 'quality' AS model_id, 'poor,good' AS classes, 2 AS n_classes, true AS same_logits",
+)
+def q_reorder_classes(spark, sf):
+    from arbitra.operators.score import score_tfidf
+
+    m = quality_model(spark, sf)
+    other = T.reorder_classes(m, ["poor", "good"])
+    d = table(spark, sf, "documents")
+    a, b = (score_tfidf(d, x, "doc_id", "text") for x in (m, other))
+    j = a.join(b.select("doc_id", F.reverse("logits").alias("back")), "doc_id")
+    gap = F.array_max(F.transform(F.arrays_zip(F.col("logits").alias("x"), F.col("back").alias("y")), lambda e: F.abs(e["x"] - e["y"])))
+    return j.agg(F.max(gap).alias("g")).select(
+        F.lit(m.model_id).alias("model_id"), F.lit(",".join(other.classes)).alias("classes"),
+        F.lit(len(other.classes)).alias("n_classes"), (F.col("g") < 1e-9).alias("same_logits"),
+    )
+
+
+@query("sweep")
+def q_sweep(spark, sf):
+    train, held = _halves(spark, sf, labelled(spark, sf).select("doc_id", "text", "truth"), "truth")
+    s = T.sweep(train, held, "doc_id", "text", "truth", ngrams=(2, 3), cs=(4.0, 8.0), max_iter=30, min_df=3)
+    return s.select("n_max", "c", "n_terms", r6("accuracy").alias("accuracy"))
+
+
+@query("train_questions")
+def q_train_questions(spark, sf):
+    d = labelled(spark, sf).withColumn("flag", F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    rows = d.select(
+        "doc_id", "text", F.explode(F.create_map(F.lit("quality"), "truth", F.lit("toxic"), "flag")).alias("question", "label")
+    )
+    train, held = _halves(spark, sf, rows.withColumn("cell", F.concat_ws("|", "question", "label")), "cell")
+    models = T.train_questions(train, held, "question", "doc_id", "text", "label", min_df=3, max_iter=50)
+    acc = [T.model_accuracy(m, held.filter(F.col("question") == n), "doc_id", "text", "label") for n, m in models.items()]
+    return _summary(spark, list(models.values()), acc)
+
+
+@query("train_mlp")
+def q_train_mlp(spark, sf):
+    train, held = _by_lang(spark, sf)
+    model, classes = T.train_mlp(train, "text", "lang", hidden=8, max_iter=15)
+    scored = written(T.score_mlp(held, model, "text", ["doc_id", "lang"]), "mlp")
+    fit = calibrate_logits(scored, classes, "lang")
+    judged = predict(scored, classes, fit["temperature"])
+    return rounded(accuracy(judged, "lang"), "accuracy")
+
+
+@query("train_signals")
+def q_train_signals(spark, sf):
+    rows = mails(spark, sf).join(labelled(spark, sf).select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    train, held = _halves(spark, sf, rows, "label")
+    link = F.concat(F.lit("http://"), "lang", F.lit(".example.com/"))
+    sender = F.concat("source", F.lit("@"), "lang", F.lit(".example.com"))
+    flags = R.signal_flags(sender, F.col("input"), link)
+    flags["free_hosting"] = R.flag_hosting(link, ["fr.example.com", "de.example.com"])
+    flags["urgency"] = F.col("n_chars") > 1000
+    models = T.train_signals(train, held, flags, "doc_id", "input", min_df=3, max_iter=30)
+    acc = []
+    for name, m in models.items():
+        judged = held.withColumn("label", flags[name].cast("string"))
+        acc.append(T.model_accuracy(m, judged, "doc_id", "input", "label"))
+    return _summary(spark, list(models.values()), acc)
+
+
+@query("label_curve")
+def q_label_curve(spark, sf):
+    train, held = _by_lang(spark, sf)
+    return rounded(T.label_curve(train, held, "doc_id", "text", "lang", ks=(8, 16, 32, None), min_df=3, max_iter=30), "accuracy")
+
+
+@query("ablate")
+def q_ablate(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    s = written(split_frac(d, "doc_id", "lang", 0.8, 7), "ablate").withColumnRenamed("text", "body")
+
+    def run(t, name):
+        train, held = (t.filter(F.col("split") == x) for x in ("train", "validation"))
+        m = T.train_hashed(train, "text", "lang", name, max_iter=30)
+        return T.scored_accuracy(T.score(held, m, "doc_id", "text", ["lang"]), m, "lang")
+
+    return rounded(ablate(s, {"body": ["body"], "source": ["source"], "all": ["source", "body"]}, run), "accuracy")
+
+
+@query("score_external")
+def q_score_external(spark, sf):
+    """Scores every embedding with a small model file written for the run."""
+    from arbitra.operators.score import score_external
+    from arbitra.plans.onnxfile import linear_model
+    from arbitra.session import scratch_dir
+
+    e = table(spark, sf, "embeddings")
+    means = e.groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i))).alias(f"m{i}") for i in range(64)]).orderBy("label").collect()
+    path = linear_model(scratch_dir(spark, "onnx") + ".onnx", [[10.0 * v for v in r[1:]] for r in means])
+    labels = [str(r[0]) for r in means]
+    scored = score_external(e, path, labels, keep=["vec_id", "label"], vector_col="embedding")
+    out = predict(scored.withColumnRenamed("label", "truth"), labels)
+    return out.select("vec_id", F.col("truth").cast("string").alias("truth"), "label", r6("confidence").alias("confidence"))

@@ -1,7 +1,8 @@
 """Models for the queries whose weights SQL can restate.
 
 The coefficient of a term is the smoothed log share of a class's documents that
-contain it; the intercept is the log share of the class.
+contain it, less its mean over the classes; the intercept is the log share of
+the class.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from arbitra.operators.model import LinearModel
 from arbitra.plans.base import LABELLED, bigrams_sql, alnum_sql, bucket_sql, labelled, words_sql
 from arbitra.session import written
 
-TEMPERATURE = 0.5
+TEMPERATURE = 2.0
 _fitted: dict[tuple, LinearModel] = {}
 
 
@@ -33,7 +34,9 @@ def log_share_model(df: DataFrame, text: str, label: str, kind: str, model_id: s
     counted = rows.groupBy(key).agg(
         F.count("*").alias("df"), *[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(classes)]
     )
-    coef = F.array(*[F.log((F.col(f"n{i}") + 1) / F.lit(sizes[c] + 2.0)) for i, c in enumerate(classes)])
+    shares = [F.log((F.col(f"n{i}") + 1) / F.lit(sizes[c] + 2.0)) for i, c in enumerate(classes)]
+    mean = sum(shares[1:], shares[0]) / len(classes)
+    coef = F.array(*[s - mean for s in shares])
     idf = [(F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")] if kind == "tfidf" else []
     terms = written(counted.select(key, *idf, coef.alias("coef")), f"{model_id}-terms")
     intercept = tuple(math.log(sizes[c] / n) for c in classes)
@@ -86,8 +89,8 @@ def tfidf_model_sql(name: str, first: str, second: str) -> list[str]:
         f"{name}_n AS (SELECT count(*) AS n, count_if({first}) AS m0, count_if({second}) AS m1 FROM labelled)",
         f"{name}_t AS (SELECT term, count(*) AS df, count_if({first}) AS k0, count_if({second}) AS k1 "
         "FROM tc JOIN labelled USING (doc_id) GROUP BY term)",
-        f"{name}_v AS MATERIALIZED (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf, ln((k0 + 1) / (m0 + 2.0)) AS c0, "
-        f"ln((k1 + 1) / (m1 + 2.0)) AS c1 FROM {name}_t, {name}_n)",
+        f"{name}_v AS MATERIALIZED (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf, (ln((k0 + 1) / (m0 + 2.0)) - ln((k1 + 1) / (m1 + 2.0))) / 2 AS c0, "
+        f"-(ln((k0 + 1) / (m0 + 2.0)) - ln((k1 + 1) / (m1 + 2.0))) / 2 AS c1 FROM {name}_t, {name}_n)",
         f"{name}_x AS (SELECT doc_id, (1 + ln(n)) * idf AS x, c0, c1 FROM tc JOIN {name}_v USING (term))",
         f"{name}_s AS (SELECT doc_id, sum(x * x) AS sq, sum(x * c0) AS s0, sum(x * c1) AS s1 FROM {name}_x GROUP BY doc_id)",
         f"{name}_z AS MATERIALIZED (SELECT doc_id, ln(m0 / n) + coalesce(s0 / sqrt(sq), 0) AS z0, ln(m1 / n) + coalesce(s1 / sqrt(sq), 0) AS z1 "
@@ -118,7 +121,7 @@ HASHED_SQL = [
     *BUCKET_COUNTS,
     "hm_n AS (SELECT count(*) AS n, count_if(truth = 'good') AS m0, count_if(truth = 'poor') AS m1 FROM labelled)",
     "hm_t AS (SELECT bucket, count_if(truth = 'good') AS k0, count_if(truth = 'poor') AS k1 FROM bc JOIN labelled USING (doc_id) GROUP BY bucket)",
-    "hm_v AS (SELECT bucket, ln((k0 + 1) / (m0 + 2.0)) AS c0, ln((k1 + 1) / (m1 + 2.0)) AS c1 FROM hm_t, hm_n)",
+    "hm_v AS (SELECT bucket, (ln((k0 + 1) / (m0 + 2.0)) - ln((k1 + 1) / (m1 + 2.0))) / 2 AS c0, -(ln((k0 + 1) / (m0 + 2.0)) - ln((k1 + 1) / (m1 + 2.0))) / 2 AS c1 FROM hm_t, hm_n)",
     "hm_s AS (SELECT doc_id, sum(n * c0) AS s0, sum(n * c1) AS s1 FROM bc JOIN hm_v USING (bucket) GROUP BY doc_id)",
     "hm_z AS MATERIALIZED (SELECT doc_id, ln(m0 / n) + coalesce(s0, 0) AS z0, ln(m1 / n) + coalesce(s1, 0) AS z1 "
     "FROM documents LEFT JOIN hm_s USING (doc_id), hm_n)",
