@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbitra.functions import prob as P
 from arbitra.operators.model import LinearModel
-from arbitra.operators.score import score, score_models
+from arbitra.operators.score import score, score_each, score_models
 
 
 @dataclass(frozen=True)
@@ -213,6 +213,43 @@ def noul(
     return ask_batch(df, items, question, id_col, text_col, keep).drop("label")
 
 
+def _answer(scored: DataFrame, questions: Sequence[Question], question_col: str) -> DataFrame:
+    """Predict and apply the policy of the question each scored row names."""
+
+    def of(value):
+        expr = F.lit(None)
+        for q in questions:
+            expr = F.when(F.col(question_col) == q.name, value(q)).otherwise(expr)
+        return expr
+
+    answered = predict(
+        scored,
+        of(lambda q: P.array_literal(q.model.classes)),
+        of(lambda q: F.lit(float(q.model.temperature))),
+        with_energy=of(lambda q: F.lit(q.model.kind == "tfidf")),
+    )
+    return _act(answered, questions, question_col)
+
+
+def _act(df: DataFrame, questions: Sequence[Question], question_col: str) -> DataFrame:
+    def of(value):
+        expr = F.lit(None).cast("double")
+        for q in questions:
+            expr = F.when(F.col(question_col) == q.name, F.lit(value(q.policy)).cast("double")).otherwise(expr)
+        return expr
+
+    return df.withColumn(
+        "action",
+        P.policy_action(
+            F.col("confidence"),
+            F.col("energy"),
+            of(lambda p: p.act_above),
+            of(lambda p: p.review_low),
+            of(lambda p: p.abstain_energy_above),
+        ),
+    )
+
+
 def ask_routed(
     df: DataFrame,
     questions: Sequence[Question],
@@ -237,24 +274,6 @@ def ask_routed(
     cols = [id_col, *keep]
     name = F.col(question_col)
 
-    def constant(value):
-        expr = F.lit(None)
-        for q in known.values():
-            expr = F.when(name == q.name, value(q)).otherwise(expr)
-        return expr
-
-    def act(d: DataFrame) -> DataFrame:
-        return d.withColumn(
-            "action",
-            P.policy_action(
-                F.col("confidence"),
-                F.col("energy"),
-                constant(lambda q: F.lit(q.policy.act_above)),
-                constant(lambda q: F.lit(q.policy.review_low)),
-                constant(lambda q: F.lit(q.policy.abstain_energy_above).cast("double")),
-            ),
-        )
-
     out = [*cols, question_col, "label", "confidence", "energy", "action", "error"]
     served = F.coalesce(name.isin([q.name for q in trained]), F.lit(False))
     unserved = df.filter(~served).select(
@@ -265,7 +284,7 @@ def ask_routed(
         F.lit(None).cast("double").alias("energy"),
     )
     is_known = F.coalesce(name.isin(list(known)), F.lit(False))
-    fallback = act(unserved).withColumn(
+    fallback = _act(unserved, list(known.values()), question_col).withColumn(
         "error", F.when(~is_known, F.concat(F.lit("unknown question: "), F.coalesce(name, F.lit("null"))))
     )
     for c in ("label", "confidence", "action"):
@@ -274,13 +293,8 @@ def ask_routed(
         return fallback.select(*out)
     asked = df.filter(served).withColumn("model_id", name)
     scored = score_models(asked, models, id_col, text_col, [*keep, question_col])
-    answered = predict(
-        scored,
-        constant(lambda q: P.array_literal(q.model.classes) if q.model else F.lit(None)),
-        constant(lambda q: F.lit(q.model.temperature if q.model else 1.0)),
-        with_energy=constant(lambda q: F.lit(bool(q.model and q.model.kind == "tfidf"))),
-    )
-    return act(answered).withColumn("error", F.lit(None).cast("string")).select(*out).unionByName(fallback.select(*out))
+    answered = _answer(scored, trained, question_col).withColumn("error", F.lit(None).cast("string"))
+    return answered.select(*out).unionByName(fallback.select(*out))
 
 
 def decompose(
@@ -297,14 +311,15 @@ def decompose(
     """Ask a verdict and several signal questions of every row, and compare.
 
     ``agree`` says whether the verdict is ``positive`` exactly when at least
-    ``need`` signals fired. All questions are scored in one pass and brought
-    back to one row by a partial aggregate per id.
+    ``need`` signals fired. All questions are TF-IDF models and are scored in
+    one pass over the texts.
     """
     questions = [verdict, *signals]
-    names = F.array(*[F.lit(q.name) for q in questions])
+    models = [_trained(q).with_(model_id=q.name) for q in questions]
     rules = dict(rules or {})
-    asked = df.select(id_col, text_col, *[c.alias(n) for n, c in rules.items()], F.explode(names).alias("question"))
-    answers = ask_routed(asked, questions, id_col, text_col, keep=list(rules))
+    src = df.select(id_col, text_col, *[c.alias(n) for n, c in rules.items()])
+    scored = score_each(src, models, id_col, text_col, list(rules)).withColumnRenamed("model_id", "question")
+    answers = _answer(scored, questions, "question")
     is_verdict = F.col("question") == verdict.name
     hit = ~is_verdict & (F.col("label") == fired)
     out = answers.groupBy(id_col, *rules).agg(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbitra.operators.ranks import running_totals, value_at_index, value_bucket
+from arbitra.operators.ranks import running_totals, value_at_index
 
 
 def confusion(df: DataFrame, truth: str = "truth", label: str = "label") -> DataFrame:
@@ -184,19 +184,17 @@ def best_stump(train: DataFrame, test: DataFrame, features: Sequence[str], posit
     order = F.array(*[F.lit(f) for f in features])
     long = _long(train, features, positive)
     totals = running_totals(
-        long, "value", {"p": F.sum(F.col("_pos").cast("int")), "n": F.sum(1 - F.col("_pos").cast("int"))}, ["feature"]
-    )
+        long, "value", {"p": F.sum(F.col("_pos").cast("int")), "n": F.sum(1 - F.col("_pos").cast("int"))}, ["feature"],
+        previous="prev",
+    )
     by_feature = totals.groupBy("feature").agg(
         (F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2.0)) / (F.max("p_total") * F.max("n_total"))).alias("auroc")
     )
     best = by_feature.orderBy(F.desc("auroc"), F.array_position(order, F.col("feature"))).limit(1)
     mine = totals.join(F.broadcast(best), "feature")
-    # Cut below each value: everything at or above it is called positive. The
-    # midpoint needs the next lower value, found as the largest value below by
-    # a max over the bucket and, at bucket edges, over the earlier buckets.
-    prior = _previous_value(mine)
+    # Cut below each value: everything at or above it is called positive.
     right = F.col("p_total") - F.col("p_below") + F.col("n_below")
-    cuts = prior.filter(F.col("prev").isNotNull()).select(
+    cuts = mine.filter(F.col("prev").isNotNull()).select(
         "feature", "auroc", ((F.col("value") + F.col("prev")) / 2).alias("threshold"), right.alias("hits")
     )
     half = mine.groupBy("feature", "auroc").agg(
@@ -211,16 +209,6 @@ def best_stump(train: DataFrame, test: DataFrame, features: Sequence[str], posit
     )
 
 
-def _previous_value(totals: DataFrame, buckets: int = 64) -> DataFrame:
-    """Add ``prev``, the next smaller distinct value."""
-    d = totals.withColumn("_b", value_bucket(totals, "value", buckets))
-    tops = d.groupBy("_b").agg(F.max("value").alias("_top"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    edges = F.broadcast(tops.select("_b", F.max("_top").over(before).alias("_edge")))  # at most `buckets` rows
-    w = Window.partitionBy("_b").orderBy("value")
-    return d.join(edges, "_b").withColumn("prev", F.coalesce(F.lag("value").over(w), F.col("_edge"))).drop("_b", "_edge")
-
-
 def ablate(
     df: DataFrame, field_sets: dict[str, Sequence[str]], run: Callable[[DataFrame, str], DataFrame], text: str = "text"
 ) -> DataFrame:

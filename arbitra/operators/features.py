@@ -15,7 +15,9 @@ from arbitra.functions.text import N_BUCKETS, bucket_counts, ngrams, tokens_word
 from arbitra.operators.ranks import hash_rank
 from arbitra.session import may_broadcast
 
-SALTS = 16
+# Own choices for the shuffle join beyond the broadcast bound.
+HEAVY_PARTS = 1000
+SALTS = 4096
 
 
 def hashed_tf(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -84,16 +86,31 @@ def term_rows(
 
 
 def join_terms(
-    rows: DataFrame, table: DataFrame, n_terms: int, row_bytes: int, on: Sequence[str], id_col: str, how: str
+    rows: DataFrame, terms: DataFrame, n_terms: int, row_bytes: int, on: Sequence[str], id_col: str, how: str
 ) -> DataFrame:
     """Join term rows with a term table: by broadcast while the table's size is
-    within bounds, else by a salted shuffle join, where the rows of a frequent
-    term spread over ``SALTS`` tasks."""
+    within bounds, else by a shuffle join that frequent terms cannot skew.
+
+    Beyond the bound, terms expected to make up more than 1/``HEAVY_PARTS`` of
+    the rows (fewer than ``HEAVY_PARTS`` terms, whatever the table holds) are
+    looked up by broadcast. Their rows then pass the shuffle under a key of
+    their own, spread by row id.
+    """
     if may_broadcast(n_terms, row_bytes):
-        return rows.join(F.broadcast(table), list(on), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+        return rows.join(F.broadcast(terms), list(on), how)
+    values = [c for c in terms.columns if c not in on]
+    share = F.exp(1.0 - F.col("idf"))  # in proportion to the document frequency
+    heavy = terms.filter(share * HEAVY_PARTS > terms.agg(F.sum(share)).scalar())
+    heavy = heavy.select(*on, *[F.col(v).alias(f"_h_{v}") for v in values])
+    seen = rows.join(F.broadcast(heavy), list(on), "left")
+    hit = F.col("_h_idf").isNotNull()
+    spread_by = F.when(hit, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
+    keyed = seen.withColumns({"_salt": spread_by, "_term": F.when(hit, F.lit("")).otherwise(F.col("term"))})
+    others = [c for c in on if c != "term"]
+    light = terms.withColumnRenamed("term", "_term").withColumn("_salt", F.lit(-1))
+    out = keyed.join(light, [*others, "_term", "_salt"], "left")
+    out = out.select(*rows.columns, *[F.coalesce(f"_h_{v}", v).alias(v) for v in values])
+    return out.filter(F.col("idf").isNotNull()) if how == "inner" else out
 
 
 def tf_weight(n: Column, idf: Column) -> Column:

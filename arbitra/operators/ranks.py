@@ -69,13 +69,19 @@ def value_bucket(df: DataFrame, value: str, buckets: int = 64) -> Column:
 
 
 def running_totals(
-    df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (), buckets: int = 64
+    df: DataFrame,
+    value: str,
+    sums: Mapping[str, Column],
+    by: Sequence[str] = (),
+    buckets: int = 64,
+    previous: str | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` per group with sums, and the sums over all
     smaller values.
 
     Output: ``by``, ``value``, each name of ``sums``, ``<name>_below`` and
-    ``<name>_total``. Null values are left out.
+    ``<name>_total``, and under the name ``previous`` the next smaller value.
+    Null values are left out.
     """
     names = list(sums)
     v = df.filter(F.col(value).isNotNull())
@@ -85,22 +91,28 @@ def running_totals(
     d = distinct.withColumns({**groups, "_b": value_bucket(distinct, value, buckets)})
     before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*ks)
-    offsets = d.groupBy(*ks, "_b").agg(*[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)])
+    offsets = d.groupBy(*ks, "_b").agg(
+        F.max(value).alias("_top"), *[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]
+    )
     offsets = offsets.select(
         *ks,
         "_b",
+        F.max("_top").over(before).alias("_edge"),
         *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_off{i}") for i in range(len(names))],
         *[F.sum(f"_s{i}").over(whole).alias(f"{n}_total") for i, n in enumerate(names)],
     )
     if not ks:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
-    w = Window.partitionBy(*ks, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy(*ks, "_b").orderBy(value)
+    w = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    prior = [F.coalesce(F.lag(value).over(ordered), F.col("_edge")).alias(previous)] if previous else []
     return d.join(offsets, [*ks, "_b"]).select(
         *by,
         value,
         *names,
         *[(F.coalesce(F.sum(n).over(w), F.lit(0)) + F.col(f"_off{i}")).alias(f"{n}_below") for i, n in enumerate(names)],
         *[f"{n}_total" for n in names],
+        *prior,
     )
 
 

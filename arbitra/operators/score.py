@@ -105,6 +105,48 @@ def score_models(
     return reduce(DataFrame.unionByName, done)
 
 
+def score_each(
+    df: DataFrame, models: Sequence[LinearModel], id_col: str, text_col: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, keep, model_id, logits): every TF-IDF model on every row.
+
+    The models' tables are laid side by side per term, so a text is counted,
+    exploded and joined once however many models there are.
+    """
+    if any(m.kind != "tfidf" for m in models):
+        raise ValueError("score_each needs tfidf models")
+    distinct: dict[int, LinearModel] = {}
+    for m in models:
+        distinct.setdefault(id(m.terms), m)
+    tables = list(distinct.values())
+    at = {key: i for i, key in enumerate(distinct)}
+    stacked = reduce(
+        DataFrame.unionByName, [m.terms.select("term", "idf", "coef", F.lit(i).alias("_m")) for i, m in enumerate(tables)]
+    )
+    pick = [F.first(F.when(F.col("_m") == i, F.struct("idf", "coef")), ignorenulls=True).alias(f"_w{i}") for i in range(len(tables))]
+    wide = stacked.groupBy("term").agg(F.min("idf").alias("idf"), *pick)
+    cols = [id_col, *keep]
+    rows = term_rows(df, text_col, cols, 1, max(m.n_max for m in tables))
+    n_terms = sum(m.n_terms for m in tables)
+    bytes_each = 64 + sum(32 + 8 * (len(m.classes) + 1) for m in tables)
+    joined = join_terms(rows, wide, n_terms, bytes_each, ["term"], id_col, "left")
+    sums = []
+    for i, m in enumerate(tables):
+        x = tf_weight(F.col("n"), F.col(f"_w{i}.idf"))
+        sums.append(F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"_sq{i}"))
+        for c in range(len(m.classes)):
+            sums.append(F.coalesce(F.sum(x * F.get(f"_w{i}.coef", F.lit(c))), F.lit(0.0)).alias(f"_s{i}_{c}"))
+    summed = joined.groupBy(*cols).agg(*sums)
+    answers = []
+    for m in models:
+        i = at[id(m.terms)]
+        scale = F.when(F.col(f"_sq{i}") > 0, 1.0 / F.sqrt(f"_sq{i}")).otherwise(F.lit(0.0))
+        logits = F.array(*[F.lit(float(b)) + F.col(f"_s{i}_{c}") * scale for c, b in enumerate(m.intercept)])
+        answers.append(F.struct(F.lit(m.model_id).alias("model_id"), logits.alias("logits")))
+    each = summed.select(*cols, F.explode(F.array(*answers)).alias("_a"))
+    return each.select(*cols, "_a.model_id", "_a.logits")
+
+
 def score_tfidf(
     df: DataFrame, model: LinearModel, id_col: str, text_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbitra.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -29,6 +31,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def r6(c: Column | str) -> Column:
     """Rounded for comparison across engines."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
@@ -85,7 +91,7 @@ LABELLED = (
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a quality label."""
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf)
         .join(table(spark, sf, "labels"), "doc_id")
         .select(
             "doc_id", "text", "lang", "source", "n_chars", "toxic",

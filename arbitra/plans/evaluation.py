@@ -8,7 +8,7 @@ from arbitra.functions import prob as P
 from arbitra.operators import calibrate as C
 from arbitra.operators import evaluate as E
 from arbitra.operators.decide import ask, predict
-from arbitra.plans.base import EMB, EMB_CLASSES, emb_logits, labelled, query, r6, rounded, table, with_sql
+from arbitra.plans.base import EMB, EMB_CLASSES, documents, emb_logits, labelled, query, r6, rounded, table, with_sql
 from arbitra.plans.scoring import _ACTION, quality_decisions, quality_question
 from arbitra.plans.weights import QUALITY_SQL, quality_model
 
@@ -351,5 +351,5 @@ def q_best_stump(spark, sf):
     with_sql(QUALITY_SQL, f"SELECT {_ACTION} AS action, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM dec GROUP BY 1"),
 )
 def q_hard_reviews(spark, sf):
-    d = ask(table(spark, sf, "documents"), quality_question(spark, sf), "doc_id", "text")
+    d = ask(documents(spark, sf), quality_question(spark, sf), "doc_id", "text")
     return d.groupBy("action").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("mean_confidence"))

@@ -6,31 +6,31 @@ from pyspark.sql import functions as F
 
 from arbitra.functions.text import fnv_bucket, ngrams, tokens_alnum, tokens_word
 from arbitra.operators import features as X
-from arbitra.plans.base import alnum_sql, query, r6, rounded, table, with_sql, words_sql
+from arbitra.plans.base import alnum_sql, documents, query, r6, rounded, with_sql, words_sql
 from arbitra.plans.weights import BUCKET_COUNTS, GRAM_COUNTS
 
 
 @query("tokens_alnum", f"SELECT doc_id, CAST(len({alnum_sql('text')}) AS INTEGER) AS n_tokens, md5(array_to_string({alnum_sql('text')}, ' ')) AS digest FROM documents")
 def q_tokens_alnum(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", tokens_alnum("text").alias("t"))
+    d = documents(spark, sf).select("doc_id", tokens_alnum("text").alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 @query("tokens_word", f"SELECT doc_id, CAST(len({words_sql('text')}) AS INTEGER) AS n_tokens, md5(array_to_string({words_sql('text')}, ' ')) AS digest FROM documents")
 def q_tokens_word(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", tokens_word("text").alias("t"))
+    d = documents(spark, sf).select("doc_id", tokens_word("text").alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 @query("fnv_bucket", with_sql(BUCKET_COUNTS[:2], "SELECT tok, CAST(bucket AS INTEGER) AS bucket FROM codes"))
 def q_fnv_bucket(spark, sf):
-    d = table(spark, sf, "documents").select(F.explode(tokens_alnum("text")).alias("tok")).distinct()
+    d = documents(spark, sf).select(F.explode(tokens_alnum("text")).alias("tok")).distinct()
     return d.select("tok", fnv_bucket(F.col("tok")).alias("bucket"))
 
 
 @query("hashed_tf", with_sql(BUCKET_COUNTS, "SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, CAST(n AS DOUBLE) AS x FROM bc"))
 def q_hashed_tf(spark, sf):
-    return X.hashed_tf(table(spark, sf, "documents"), "doc_id", "text")
+    return X.hashed_tf(documents(spark, sf), "doc_id", "text")
 
 
 @query(
@@ -39,7 +39,7 @@ def q_hashed_tf(spark, sf):
 )
 def q_hashed_vector(spark, sf):
     v = F.unwrap_udt("features")
-    d = X.hashed_vector(table(spark, sf, "documents"), "text", ["doc_id"])
+    d = X.hashed_vector(documents(spark, sf), "text", ["doc_id"])
     total = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x)
     return d.select("doc_id", v["size"].alias("width"), F.size(v["indices"]).alias("n_set"), total.alias("total"))
 
@@ -51,7 +51,7 @@ def q_hashed_vector(spark, sf):
     f"FROM (SELECT doc_id, {words_sql('text')} AS t FROM documents))",
 )
 def q_ngrams(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", ngrams(tokens_word("text"), 1, 3).alias("g"))
+    d = documents(spark, sf).select("doc_id", ngrams(tokens_word("text"), 1, 3).alias("g"))
     return d.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|").cast("binary")).alias("digest"))
 
 
@@ -60,11 +60,11 @@ _VOCAB = "v AS MATERIALIZED (SELECT term, count(*) AS df, ln((1 + (SELECT count(
 
 @query("fit_vocab", with_sql([*GRAM_COUNTS, _VOCAB], "SELECT term, df, round(idf, 6) AS idf FROM v"))
 def q_fit_vocab(spark, sf):
-    return rounded(X.fit_vocab(table(spark, sf, "documents"), "text"), "idf")
+    return rounded(X.fit_vocab(documents(spark, sf), "text"), "idf")
 
 
 def _weights(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     vocab = X.fit_vocab(d, "text", min_df=2).persist()
     return X.tfidf_weights(d, "doc_id", "text", vocab, vocab.count())
 
@@ -87,7 +87,7 @@ def q_l2_normalize(spark, sf):
 
 @query("tfidf_vector")
 def q_tfidf_vector(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     vocab = X.index_vocab(X.fit_vocab(d, "text", min_df=2)).persist()
     v = F.unwrap_udt("features")
     norm = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x)

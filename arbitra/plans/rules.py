@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arbitra.operators import augment as A
 from arbitra.operators import rules as R
 from arbitra.operators.inputs import serialize_fields
-from arbitra.plans.base import hex_int_sql, labelled, query, rounded, table
+from arbitra.plans.base import documents, hex_int_sql, labelled, query, rounded, table
 
 
 def _quoted(s: str) -> str:
@@ -98,7 +98,7 @@ _RELABEL = (
 
 
 def _relabelled(spark, sf):
-    teacher = table(spark, sf, "documents").filter(F.col("doc_id") % 3 != 0)
+    teacher = documents(spark, sf).filter(F.col("doc_id") % 3 != 0)
     teacher = teacher.select("doc_id", F.when(F.col("n_chars") >= 500, "good").otherwise("poor").alias("label"))
     return R.relabel(labelled(spark, sf).select("doc_id", F.col("truth").alias("label")), teacher, "doc_id")
 
@@ -115,7 +115,7 @@ def q_agreement_rate(spark, sf):
 
 @query("cold_start")
 def q_cold_start(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     teacher = d.select("doc_id", F.concat(F.lit("Type: "), F.upper("lang")).alias("reply"))
     return R.cold_start(d, teacher, "doc_id", "text", ["en", "de", "fr", "es"], min_df=2)["gate"]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arbitra.functions import prob as P
 from arbitra.operators import decide as D
 from arbitra.operators.score import score_hashed, score_tfidf
-from arbitra.plans.base import EMB, EMB_CLASSES, LABELLED, emb_logits, labelled, query, r6, rounded, table, with_sql
+from arbitra.plans.base import EMB, EMB_CLASSES, LABELLED, documents, emb_logits, labelled, query, r6, rounded, with_sql
 from arbitra.plans.weights import HASHED_SQL, QUALITY_SQL, TOXIC_SQL, quality_hashed, quality_model, toxic_model
 
 POLICY = D.Policy(0.9, 0.6, 0.9, abstain_energy_above=0.3)
@@ -30,13 +30,13 @@ def quality_decisions(spark, sf, policy=POLICY):
     with_sql([LABELLED, *HASHED_SQL], "SELECT doc_id, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM hm_z"),
 )
 def q_score_hashed(spark, sf):
-    z = score_hashed(table(spark, sf, "documents"), quality_hashed(spark, sf), "doc_id", "text")
+    z = score_hashed(documents(spark, sf), quality_hashed(spark, sf), "doc_id", "text")
     return z.select("doc_id", r6(F.get("logits", F.lit(0))).alias("z0"), r6(F.get("logits", F.lit(1))).alias("z1"))
 
 
 @query("score_tfidf", with_sql(QUALITY_SQL, "SELECT doc_id, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM qm_z"))
 def q_score_tfidf(spark, sf):
-    z = score_tfidf(table(spark, sf, "documents"), quality_model(spark, sf), "doc_id", "text")
+    z = score_tfidf(documents(spark, sf), quality_model(spark, sf), "doc_id", "text")
     return z.select("doc_id", r6(F.get("logits", F.lit(0))).alias("z0"), r6(F.get("logits", F.lit(1))).alias("z1"))
 
 
@@ -77,7 +77,7 @@ def q_apply_policy(spark, sf):
     with_sql(QUALITY_SQL, f"SELECT doc_id, label, round(confidence, 6) AS confidence, round(energy, 6) AS energy, {_ACTION} AS action FROM dec"),
 )
 def q_ask(spark, sf):
-    d = D.ask(table(spark, sf, "documents"), quality_question(spark, sf), "doc_id", "text")
+    d = D.ask(documents(spark, sf), quality_question(spark, sf), "doc_id", "text")
     return rounded(d, "confidence", "energy")
 
 
@@ -117,13 +117,13 @@ _BATCH = (
 
 @query("ask_batch", with_sql(QUALITY_SQL, _BATCH))
 def q_ask_batch(spark, sf):
-    d = D.ask_batch(table(spark, sf, "documents"), _ITEMS, quality_question(spark, sf), "doc_id", "text")
+    d = D.ask_batch(documents(spark, sf), _ITEMS, quality_question(spark, sf), "doc_id", "text")
     return rounded(d, "p_true", "confidence", "energy")
 
 
 @query("noul", with_sql(QUALITY_SQL, f"SELECT * EXCLUDE (label, pos), CAST(pos - 1 AS INTEGER) AS pos FROM ({_BATCH}) WHERE kind = 'noul'"))
 def q_noul(spark, sf):
-    d = D.noul(table(spark, sf, "documents"), _ITEMS[1:], quality_question(spark, sf), "doc_id", "text")
+    d = D.noul(documents(spark, sf), _ITEMS[1:], quality_question(spark, sf), "doc_id", "text")
     return rounded(d, "p_true", "confidence", "energy")
 
 
@@ -138,7 +138,7 @@ JOIN dec q USING (doc_id) JOIN tox t USING (doc_id) JOIN hdec h USING (doc_id)""
 @query("ask_routed", with_sql([*QUALITY_SQL, *TOXIC_SQL, *HASHED_SQL], _ROUTED))
 def q_ask_routed(spark, sf):
     names = F.array(*[F.lit(n) for n in ("quality", "toxic", "hashed", "untrained", "nobody")])
-    d = table(spark, sf, "documents").withColumn("question", F.get(names, (F.col("doc_id") % 5).cast("int")))
+    d = documents(spark, sf).withColumn("question", F.get(names, (F.col("doc_id") % 5).cast("int")))
     questions = [
         quality_question(spark, sf),
         D.Question("toxic", model=toxic_model(spark, sf)),
@@ -161,7 +161,7 @@ def q_ask_routed(spark, sf):
 def q_decompose(spark, sf):
     m = toxic_model(spark, sf)
     out = D.decompose(
-        table(spark, sf, "documents"), quality_question(spark, sf),
+        documents(spark, sf), quality_question(spark, sf),
         [D.Question("toxic_a", model=m), D.Question("toxic_b", model=m)],
         "doc_id", "text", positive="poor", rules={"english_rule": F.col("lang") == "en"},
     )
@@ -181,7 +181,7 @@ def q_decompose(spark, sf):
 )
 def q_ask_hybrid(spark, sf):
     slow = D.Question("slow", model=quality_hashed(spark, sf))
-    d = D.ask_hybrid(table(spark, sf, "documents"), quality_question(spark, sf), slow, "doc_id", "text")
+    d = D.ask_hybrid(documents(spark, sf), quality_question(spark, sf), slow, "doc_id", "text")
     return rounded(d, "fast_confidence", "slow_confidence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbitra.operators import splits as S
-from arbitra.plans.base import hex_int_sql, labelled, query, table, words_sql
+from arbitra.plans.base import documents, hex_int_sql, labelled, query, table, words_sql
 
 
 def _ranked(seed, key: str, src: str, by: str = "") -> str:
@@ -42,7 +42,7 @@ def q_split_fixed(spark, sf):
     f"SELECT doc_id, CASE WHEN r <= greatest(1, CAST(floor(t * 0.8::DOUBLE) AS BIGINT)) THEN 'train' ELSE 'validation' END AS split FROM ({_ranked(7, 'doc_id', 'documents', 'source')})",
 )
 def q_split_frac(spark, sf):
-    return S.split_frac(table(spark, sf, "documents"), "doc_id", "source", 0.8, 7).select("doc_id", "split")
+    return S.split_frac(documents(spark, sf), "doc_id", "source", 0.8, 7).select("doc_id", "split")
 
 
 @query(
@@ -58,7 +58,7 @@ def q_split_head(spark, sf):
     "SELECT doc_id, source, lang FROM documents JOIN (SELECT source, lang FROM documents GROUP BY ALL HAVING count(*) >= 8) USING (source, lang)",
 )
 def q_min_support(spark, sf):
-    d = table(spark, sf, "documents").withColumn("cell", F.concat_ws("|", "source", "lang"))
+    d = documents(spark, sf).withColumn("cell", F.concat_ws("|", "source", "lang"))
     return S.min_support(d, "cell", 8).select("doc_id", "source", "lang")
 
 
@@ -69,7 +69,7 @@ def q_cap_per_class(spark, sf):
 
 @query("sample_n", f"SELECT doc_id, lang FROM ({_ranked(5, 'doc_id', 'documents')}) WHERE r <= 120")
 def q_sample_n(spark, sf):
-    return S.sample_n(table(spark, sf, "documents"), "doc_id", 120, 5).select("doc_id", "lang")
+    return S.sample_n(documents(spark, sf), "doc_id", 120, 5).select("doc_id", "lang")
 
 
 @query(
@@ -89,7 +89,7 @@ def q_split_overlap(spark, sf):
 def q_union_sources(spark, sf):
     u = S.union_sources(
         {
-            "documents": table(spark, sf, "documents").select(F.col("text").alias("input"), F.lit("text").alias("label")),
+            "documents": documents(spark, sf).select(F.col("text").alias("input"), F.lit("text").alias("label")),
             "conversations": table(spark, sf, "conversations").select(F.col("text").alias("input"), F.col("role").alias("label")),
             "benchmark": table(spark, sf, "benchmark").select(F.col("text").alias("input"), F.lit("text").alias("label")),
         }
@@ -105,7 +105,7 @@ _NORM = f"array_to_string({words_sql('text')}, ' ')"
     f"SELECT doc_id FROM documents WHERE {_NORM} NOT IN (SELECT {_NORM} FROM documents WHERE source = 'src0')",
 )
 def q_drop_probe_overlap(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return S.drop_probe_overlap(d, d.filter(F.col("source") == "src0"), "text").select("doc_id")
 
 
@@ -139,14 +139,14 @@ SELECT doc_id, string_agg(l[n % len(l) + 1], ' ' ORDER BY i) AS text, any_value(
 
 @query("synth_examples", _synth_sql())
 def q_synth_examples(spark, sf):
-    return S.synth_examples(table(spark, sf, "documents").select("doc_id"), "doc_id", 9)
+    return S.synth_examples(documents(spark, sf).select("doc_id"), "doc_id", 9)
 
 
 @query("label_index", "SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT lang FROM documents)")
 def q_label_index(spark, sf):
     from arbitra.operators.train import label_index
 
-    return label_index(table(spark, sf, "documents"), "lang")
+    return label_index(documents(spark, sf), "lang")
 
 
 @query(

@@ -11,7 +11,7 @@ from arbitra.operators.calibrate import calibrate, calibrate_logits
 from arbitra.operators.decide import predict
 from arbitra.operators.evaluate import ablate, accuracy
 from arbitra.operators.splits import split_frac
-from arbitra.plans.base import labelled, query, r6, rounded, table
+from arbitra.plans.base import documents, labelled, query, r6, rounded, table
 from arbitra.plans.rules import mails
 from arbitra.plans.weights import quality_model
 from arbitra.session import written
@@ -34,7 +34,7 @@ def _summary(spark, models, accuracies):
 
 
 def _by_lang(spark, sf):
-    return _halves(spark, sf, table(spark, sf, "documents").select("doc_id", "text", "lang"), "lang")
+    return _halves(spark, sf, documents(spark, sf).select("doc_id", "text", "lang"), "lang")
 
 
 @query("train_hashed")
@@ -69,7 +69,7 @@ def q_reorder_classes(spark, sf):
 
     m = quality_model(spark, sf)
     other = T.reorder_classes(m, ["poor", "good"])
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     a, b = (score_tfidf(d, x, "doc_id", "text") for x in (m, other))
     j = a.join(b.select("doc_id", F.reverse("logits").alias("back")), "doc_id")
     gap = F.array_max(F.transform(F.arrays_zip(F.col("logits").alias("x"), F.col("back").alias("y")), lambda e: F.abs(e["x"] - e["y"])))
@@ -133,7 +133,7 @@ def q_label_curve(spark, sf):
 
 @query("ablate")
 def q_ablate(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    d = documents(spark, sf).select("doc_id", "text", "lang", "source")
     s = written(split_frac(d, "doc_id", "lang", 0.8, 7), "ablate").withColumnRenamed("text", "body")
 
     def run(t, name):

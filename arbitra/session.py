@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows x row width under which a side may be broadcast. Beyond it the operators
 # switch to a shuffle join.
-BROADCAST_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def build_session(app: str = "arbitra", master: str | None = None, shuffle_partitions: int | None = None, **conf) -> SparkSession:
@@ -54,3 +54,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def may_broadcast(n_rows: int, row_bytes: int) -> bool:
     return n_rows * row_bytes <= BROADCAST_BYTES
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a file scan over the cores when it has fewer partitions than
+    there are cores, as with one small file. A larger scan is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)

@@ -57,6 +57,8 @@ def monitor(
     """Action mix and energy per event-time window; works on streams and on
     tables. Rows later than ``late`` are dropped from a stream."""
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
+    if dict(decisions.dtypes)[ts] == "timestamp_ntz":  # a watermark needs a zoned time
+        decisions = decisions.withColumn(ts, F.col(ts).cast("timestamp"))
     return (
         decisions.withWatermark(ts, late)
         .groupBy(span.alias("w"), *by)
