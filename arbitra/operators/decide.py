@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbitra.functions import prob as P
 from arbitra.operators.model import LinearModel
 from arbitra.operators.score import score, score_each, score_models
+from arbitra.session import written
 
 
 @dataclass(frozen=True)
@@ -348,9 +349,8 @@ def ask_hybrid(
     """Keep the fast answer where it acts; ask the second model about the rest
     and keep both. Only those rows are scored twice."""
     first = ask(df, fast, id_col, text_col, keep)
-    renamed = first.select(
-        id_col, *keep, *[F.col(c).alias(f"fast_{c}") for c in ("label", "confidence", "action")]
-    )
+    renamed = first.select(id_col, *keep, *[F.col(c).alias(f"fast_{c}") for c in ("label", "confidence", "action")])
+    renamed = written(renamed, "fast-answers")  # read by both routes
     sure = F.col("fast_action") == "act"
     base = [id_col, *keep, "fast_label", "fast_confidence", "fast_action"]
 

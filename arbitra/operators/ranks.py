@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitra.functions.ordering import seeded
+from arbitra.session import written
 
 
 def _group_keys(by: Sequence[str]) -> dict[str, Column]:
@@ -35,6 +36,9 @@ def hash_rank(
     ``key`` must identify a row. Buckets are the first hex digits of the
     digest, so they are even whatever the data is. ``limit`` keeps ranks up to
     that number and drops the later buckets before anything is sorted.
+
+    The input is read twice, the first time for its keys alone; give it a table
+    on disk rather than the result of a costly query.
     """
     groups = _group_keys(by)
     d = df.withColumn("_h", seeded(seed, *key)).withColumns({**groups, "_b": F.substring("_h", 1, digits)})
@@ -85,7 +89,8 @@ def running_totals(
     """
     names = list(sums)
     v = df.filter(F.col(value).isNotNull())
-    distinct = v.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
+    # Read three times below: written once, so that the input runs once.
+    distinct = written(v.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]), "distinct")
     groups = _group_keys(by)
     ks = list(groups)
     d = distinct.withColumns({**groups, "_b": value_bucket(distinct, value, buckets)})
@@ -140,7 +145,7 @@ def heavy_and_light(df: DataFrame, key: str, parts: int = 1000) -> DataFrame:
 def join_per_key(df: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     """Inner join of ``df`` with one row per key, safe when a few keys hold
     most rows: those are joined by broadcast and never shuffled, the rest by
-    an ordinary equi-join."""
+    an ordinary equi-join. Reads ``df`` more than once; give it a table on disk."""
     heavy = heavy_and_light(df, key)
     hot_side = F.broadcast(per_key.join(F.broadcast(heavy), key, "left_semi"))
     hot = df.join(hot_side, key)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from arbitra.functions.text import N_BUCKETS, bucket_counts
 from arbitra.operators.features import join_terms, term_rows, tf_weight
 from arbitra.operators.model import LinearModel
+from arbitra.session import written
 
 
 def _per_class(models: Sequence[LinearModel]) -> int:
@@ -124,10 +125,10 @@ def score_each(
         DataFrame.unionByName, [m.terms.select("term", "idf", "coef", F.lit(i).alias("_m")) for i, m in enumerate(tables)]
     )
     pick = [F.first(F.when(F.col("_m") == i, F.struct("idf", "coef")), ignorenulls=True).alias(f"_w{i}") for i in range(len(tables))]
-    wide = stacked.groupBy("term").agg(F.min("idf").alias("idf"), *pick)
+    wide = written(stacked.groupBy("term").agg(F.min("idf").alias("idf"), *pick), "side-by-side")
     cols = [id_col, *keep]
     rows = term_rows(df, text_col, cols, 1, max(m.n_max for m in tables))
-    n_terms = sum(m.n_terms for m in tables)
+    n_terms = wide.count()
     bytes_each = 64 + sum(32 + 8 * (len(m.classes) + 1) for m in tables)
     joined = join_terms(rows, wide, n_terms, bytes_each, ["term"], id_col, "left")
     sums = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arbitra.operators.decide import Question, ask
+from arbitra.session import spread
 from arbitra.sources.logs import hard_cases
 
 
@@ -42,7 +43,8 @@ def ask_stream(
     Each micro-batch runs the batch plan: texts are counted in their rows, the
     term table is broadcast, and no state is kept between batches.
     """
-    return _start(stream, _per_batch(path, lambda b: ask(b, question, id_col, text_col, keep)), checkpoint, trigger)
+    sink = _per_batch(path, lambda b: ask(spread(b, id_col), question, id_col, text_col, keep))
+    return _start(stream, sink, checkpoint, trigger)
 
 
 def monitor(
