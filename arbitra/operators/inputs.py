@@ -31,7 +31,7 @@ def compose_input(df: DataFrame, input_col: str, state_col: str, out: str = "com
     raw = J.as_variant(F.coalesce(F.col(input_col), F.lit("{}")))
     state = J.as_variant(state_col)
     text, lines = J.extract_text(raw), J.render_state(state)
-    no_state = F.col(state_col).isNull() | J.is_null(state)
+    no_state = F.col(state_col).isNull() | F.coalesce(J.is_null(state), F.lit(False))
     combined = F.concat_ws("\n", F.when(lines != "", lines), F.when(text != "", text))
     bad_state = ~no_state & ~F.coalesce(J.is_object(state), F.lit(False))
     error = F.when(raw.isNull(), F.lit("input is not valid JSON")).when(bad_state, F.lit("state must be an object"))
