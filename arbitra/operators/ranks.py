@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,27 @@ def hash_rank(
     return ranked.drop("_h", "_b", "_off", "_tot", *ks)
 
 
-def value_bucket(df: DataFrame, value: str, buckets: int = 64) -> Column:
-    """Number of the ordered bucket a value falls in; buckets hold about equally
-    many rows of ``df``. Equal values share a bucket."""
+# Own choices: distinct values one window task may hold, and the most buckets.
+BUCKET_ROWS = 500_000
+MAX_BUCKETS = 4096
+
+
+def value_buckets(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Add the number of the ordered bucket a value falls in.
+
+    Buckets hold about equally many rows of ``df``, a table on disk with one
+    row per value; their edges are an approximate percentile sketch of at most
+    ``MAX_BUCKETS`` numbers. Equal values share a bucket.
+    """
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, df.count() // BUCKET_ROWS + 1)
+    if buckets == 1:
+        return df.withColumn(out, F.lit(0.0))
+    x = df.withColumn("_x", F.col(value).cast("double"))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(value, cuts, 1000)).scalar()
-    return F.array_position(F.sort_array(F.array_append(bounds, F.col(value))), F.col(value))
+    edges = x.filter(~F.isnan("_x")).agg(F.percentile_approx("_x", cuts, 10 * MAX_BUCKETS)).first()[0] or []
+    splits = [float("-inf"), *sorted({e for e in edges if abs(e) != float("inf")}), float("inf")]
+    return Bucketizer(splits=splits, inputCol="_x", outputCol=out, handleInvalid="keep").transform(x).drop("_x")
 
 
 def running_totals(
@@ -77,7 +93,7 @@ def running_totals(
     value: str,
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
-    buckets: int = 64,
+    buckets: int | None = None,
     previous: str | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` per group with sums, and the sums over all
@@ -89,11 +105,11 @@ def running_totals(
     """
     names = list(sums)
     v = df.filter(F.col(value).isNotNull())
-    # Read three times below: written once, so that the input runs once.
+    # Read several times below: written once, so that the input runs once.
     distinct = written(v.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]), "distinct")
     groups = _group_keys(by)
     ks = list(groups)
-    d = distinct.withColumns({**groups, "_b": value_bucket(distinct, value, buckets)})
+    d = value_buckets(distinct, value, "_b", buckets).withColumns(groups)
     before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*ks)
     offsets = d.groupBy(*ks, "_b").agg(
@@ -107,7 +123,7 @@ def running_totals(
         *[F.sum(f"_s{i}").over(whole).alias(f"{n}_total") for i, n in enumerate(names)],
     )
     if not ks:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
+        offsets = F.broadcast(offsets)  # one row per bucket
     ordered = Window.partitionBy(*ks, "_b").orderBy(value)
     w = ordered.rowsBetween(Window.unboundedPreceding, -1)
     prior = [F.coalesce(F.lag(value).over(ordered), F.col("_edge")).alias(previous)] if previous else []

@@ -152,7 +152,7 @@ def cold_start(
     from arbitra.operators.train import model_accuracy, reorder_classes, train_tfidf
     from arbitra.session import written
 
-    sample = sample_n(corpus, id_col, n, seed)
+    sample = sample_n(corpus.select(id_col, text_col), id_col, n, seed)
     replies = teacher.select(id_col, match_label("reply", labels).alias("label"))
     usable = sample.join(replies, id_col).filter(F.col("label").isNotNull())
     labelled = written(hash_rank(usable, [id_col], f"{seed}:split", rank="_r", total="_t"), "cold-start")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from arbitra.session import written
 # MLlib holds the dense coefficients, and one gradient of that size per task.
 MAX_COEFFICIENTS = 100_000_000
 MAX_CLASSES = 10_000
+ROWS_PER_TASK = 1000
 L2 = 1e-5
 
 
@@ -55,6 +57,19 @@ def _target(classes: Sequence[str], label: str):
     return (F.array_position(P.array_literal(classes), F.col(label)) - 1).cast("double").alias("target")
 
 
+@contextmanager
+def _cached(feats: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """The features in memory with their row count, in no more partitions than
+    the rows are worth: every optimiser step pays for each one."""
+    feats = feats.persist()
+    try:
+        n = feats.count()
+        worth = max(1, n // ROWS_PER_TASK)
+        yield (feats.coalesce(worth) if worth < feats.rdd.getNumPartitions() else feats), n
+    finally:
+        feats.unpersist()
+
+
 def _check_size(n_features: int, n_classes: int) -> None:
     if n_features * n_classes > MAX_COEFFICIENTS:
         raise ValueError(
@@ -114,11 +129,8 @@ def train_hashed(
     on the training rows is stored until the model is calibrated.
     """
     classes = class_names(df, label)
-    feats = hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"]).persist()
-    try:
+    with _cached(hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"])) as (feats, _):
         w, b = _fit(feats, len(classes), reg, max_iter, mirrored=False)
-    finally:
-        feats.unpersist()
     terms = written(_coef_frame(df.sparkSession, w, "bucket"), "hashed-model")
     model = LinearModel(model_id, "hashed", classes, tuple(map(float, b)), terms, N_BUCKETS)
     keyed = df.select(F.monotonically_increasing_id().alias("_id"), text_col, label)
@@ -127,7 +139,7 @@ def train_hashed(
 
 
 def _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df):
-    vocab = written(index_vocab(fit_vocab(df, text_col, 1, n_max, min_df)), "vocab")
+    vocab = written(index_vocab(written(fit_vocab(df, text_col, 1, n_max, min_df), "vocab")), "indexed-vocab")
     n_terms = vocab.count()
     if not n_terms:
         raise ValueError("train: no terms")
@@ -161,11 +173,8 @@ def train_tfidf(
     """
     classes = class_names(df, label)
     vocab, n_terms, feats = _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df)
-    feats = feats.persist()
-    try:
-        return _tfidf_fit(feats, feats.count(), vocab, n_terms, classes, c, model_id, n_max, max_iter)
-    finally:
-        feats.unpersist()
+    with _cached(feats) as (ready, n_rows):
+        return _tfidf_fit(ready, n_rows, vocab, n_terms, classes, c, model_id, n_max, max_iter)
 
 
 def model_accuracy(model: LinearModel, df: DataFrame, id_col: str, text_col: str, label: str) -> float:
@@ -196,14 +205,12 @@ def sweep(
     rows = []
     for n_max in ngrams:
         vocab, n_terms, feats = _tfidf_features(train, id_col, text_col, label, classes, n_max, min_df)
-        feats = feats.persist()
-        n_rows = feats.count()
-        for c in cs:
-            start = time.perf_counter()
-            model = _tfidf_fit(feats, n_rows, vocab, n_terms, classes, c, f"n{n_max}-c{c}", n_max, max_iter)
-            took = time.perf_counter() - start
-            rows.append((n_max, float(c), n_terms, took, model_accuracy(model, validation, id_col, text_col, label)))
-        feats.unpersist()
+        with _cached(feats) as (ready, n_rows):
+            for c in cs:
+                start = time.perf_counter()
+                model = _tfidf_fit(ready, n_rows, vocab, n_terms, classes, c, f"n{n_max}-c{c}", n_max, max_iter)
+                took = time.perf_counter() - start
+                rows.append((n_max, float(c), n_terms, took, model_accuracy(model, validation, id_col, text_col, label)))
     return train.sparkSession.createDataFrame(rows, "n_max int, c double, n_terms bigint, fit_sec double, accuracy double")
 
 
@@ -246,8 +253,7 @@ def train_mlp(
     class names."""
     classes = class_names(df, label)
     _check_size(N_BUCKETS, hidden)
-    feats = hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"]).persist()
-    try:
+    with _cached(hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"])) as (feats, _):
         mlp = MultilayerPerceptronClassifier(
             featuresCol="features",
             labelCol="target",
@@ -257,8 +263,6 @@ def train_mlp(
             blockSize=32,
         )
         return mlp.fit(feats), classes
-    finally:
-        feats.unpersist()
 
 
 def score_mlp(
