@@ -24,23 +24,19 @@ def array_sum(arr: Column) -> Column:
 def run_lengths(arr: Column) -> Column:
     """array<T> -> array<struct<key T, n int>>: each distinct element with its count.
 
-    Sort, mark the last position of every run, subtract neighbouring positions:
+    Sort, keep the last position of every run, subtract neighbouring positions:
     O(n log n) inside the row, so counting terms of a text needs no shuffle.
     """
 
     def count_runs(s: Column) -> Column:
-        n = F.size(s)
-        last_of_run = F.filter(
-            F.sequence(F.lit(1), n),
-            lambda i: (n > 0) & ((i == n) | (F.get(s, i) != F.get(s, i - 1))),
-        )
+        # A run ends where the next element differs; past the end it is null.
+        ends = F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), F.lit(None)).otherwise(i + 1))
         return let(
-            last_of_run,
-            lambda ends: F.transform(
-                ends,
+            F.array_compact(ends),
+            lambda e: F.transform(
+                e,
                 lambda end, i: F.struct(
-                    F.get(s, end - 1).alias("key"),
-                    (end - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("n"),
+                    F.get(s, end - 1).alias("key"), (end - F.coalesce(F.get(e, i - 1), F.lit(0))).alias("n")
                 ),
             ),
         )

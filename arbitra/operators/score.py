@@ -7,14 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.functions.text import N_BUCKETS, bucket_counts
 from arbitra.operators.features import join_terms, term_rows, tf_weight
 from arbitra.operators.model import LinearModel
-from arbitra.session import written
+from arbitra.session import BROADCAST_BYTES, written
 
 
 def _per_class(models: Sequence[LinearModel]) -> int:
@@ -184,9 +184,24 @@ def pad_ids(ids: Column, max_length: int, pad_id: int = 0) -> tuple[Column, Colu
     )
 
 
+def _model_source(spark: SparkSession, model: str | bytes):
+    """A function that gives a task the model: its bytes, sent once per
+    executor, or beyond the broadcast bound the path itself."""
+    if isinstance(model, str):
+        files = spark.read.format("binaryFile").load(model)
+        length = files.select("length").first()
+        if length is None:
+            raise ValueError(f"model file not found: {model}")
+        if length[0] > BROADCAST_BYTES:
+            return lambda: model
+        model = bytes(files.select("content").first()[0])
+    shared = spark.sparkContext.broadcast(model)
+    return lambda: shared.value
+
+
 def score_external(
     df: DataFrame,
-    model_path: str,
+    model: str | bytes,
     labels: Sequence[str],
     *,
     keep: Sequence[str],
@@ -200,8 +215,9 @@ def score_external(
 
     Feed it hashed bag-of-words rows of ``text_col``, padded token ids of
     ``ids_col`` with their mask (and zero type ids where the model takes a
-    third input), or a dense ``vector_col``. The session opens once per task;
-    the file must be readable on every executor. A model whose logit count
+    third input), or a dense ``vector_col``. The session opens once per task. A
+    path may be anything Spark reads; a file beyond the broadcast bound must be
+    readable under that path on every executor. A model whose logit count
     differs from ``labels`` fails the job.
     """
     if not labels:
@@ -217,6 +233,7 @@ def score_external(
     else:
         feed, mode = [F.col(vector_col).cast("array<float>").alias("_a"), F.lit(0).alias("_b")], "dense"
     n_labels = len(labels)
+    source = _model_source(df.sparkSession, model)
     src = df.select(*keep, *feed)
     kept = src.select(*keep)
     fields = [*kept.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]
@@ -238,7 +255,7 @@ def score_external(
 
         options = ort.SessionOptions()
         options.intra_op_num_threads = 1
-        session = ort.InferenceSession(model_path, options, providers=["CPUExecutionProvider"])
+        session = ort.InferenceSession(source(), options, providers=["CPUExecutionProvider"])
         names = [i.name for i in session.get_inputs()]
         for whole in batches:
             for start in range(0, whole.num_rows, batch_rows):

@@ -1,12 +1,11 @@
-"""Writes a linear model as an ONNX file, for queries and tests.
+"""A linear model in the ONNX format, for queries and tests.
 
-The file format is protocol buffers; only the few fields of one matrix
-product are needed: ``logits = X @ W``.
+The format is protocol buffers; only the few fields of one matrix product are
+needed: ``logits = X @ W``, or ``(ids * mask) @ W`` on integer inputs.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Sequence
 
@@ -27,21 +26,33 @@ def _field(no: int, value: bytes | str | int) -> bytes:
     return _varint(no << 3 | 2) + _varint(len(raw)) + raw
 
 
-def _tensor_type(name: str, width: int) -> bytes:
+FLOAT, INT64 = 1, 7
+
+
+def _tensor_type(name: str, width: int, kind: int = FLOAT) -> bytes:
     dims = _field(1, _field(2, "N")) + _field(1, _field(1, width))
-    return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, dims)))
+    return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, dims)))
+
+
+def _node(op: str, inputs: Sequence[str], output: str, attribute: bytes = b"") -> bytes:
+    names = b"".join(_field(1, i) for i in inputs)
+    return _field(1, names + _field(2, output) + _field(4, op) + attribute)
 
 
-def linear_model(path: str, weights: Sequence[Sequence[float]]) -> str:
-    """``weights`` holds one row of input weights per class."""
+def linear_model(weights: Sequence[Sequence[float]], token_ids: bool = False) -> bytes:
+    """``weights`` holds one row of input weights per class. With ``token_ids``
+    the inputs are ids, mask and type ids, as sequence models take them."""
     k, d = len(weights), len(weights[0])
     flat = struct.pack(f"<{k * d}f", *[weights[c][i] for i in range(d) for c in range(k)])
     tensor = _field(1, d) + _field(1, k) + _field(2, 1) + _field(8, "W") + _field(9, flat)
-    node = _field(1, "X") + _field(1, "W") + _field(2, "logits") + _field(4, "MatMul")
-    graph = _field(1, node) + _field(2, "linear") + _field(5, tensor)
-    graph += _field(11, _tensor_type("X", d)) + _field(12, _tensor_type("logits", k))
-    model = _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as f:
-        f.write(model)
-    return path
+    if token_ids:
+        to_float = _field(5, _field(1, "to") + _field(3, FLOAT) + _field(20, 2))
+        inputs = ["input_ids", "attention_mask", "token_type_ids"]
+        graph = _node("Mul", inputs[:2], "real") + _node("Add", ["real", inputs[2]], "typed")
+        graph += _node("Cast", ["typed"], "X", to_float)
+        kind = INT64
+    else:
+        inputs, graph, kind = ["X"], b"", FLOAT
+    graph += _node("MatMul", ["X", "W"], "logits") + _field(2, "linear") + _field(5, tensor)
+    graph += b"".join(_field(11, _tensor_type(n, d, kind)) for n in inputs) + _field(12, _tensor_type("logits", k))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))

@@ -146,15 +146,14 @@ def q_ablate(spark, sf):
 
 @query("score_external")
 def q_score_external(spark, sf):
-    """Scores every embedding with a small model file written for the run."""
+    """Scores every embedding with the model of the ten class means."""
     from arbitra.operators.score import score_external
     from arbitra.plans.onnxfile import linear_model
-    from arbitra.session import scratch_dir
 
     e = table(spark, sf, "embeddings")
     means = e.groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i))).alias(f"m{i}") for i in range(64)]).orderBy("label").collect()
-    path = linear_model(scratch_dir(spark, "onnx") + ".onnx", [[10.0 * v for v in r[1:]] for r in means])
+    model = linear_model([[10.0 * v for v in r[1:]] for r in means])
     labels = [str(r[0]) for r in means]
-    scored = score_external(e, path, labels, keep=["vec_id", "label"], vector_col="embedding")
+    scored = score_external(e, model, labels, keep=["vec_id", "label"], vector_col="embedding")
     out = predict(scored.withColumnRenamed("label", "truth"), labels)
     return out.select("vec_id", F.col("truth").cast("string").alias("truth"), "label", r6("confidence").alias("confidence"))

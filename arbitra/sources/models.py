@@ -38,6 +38,20 @@ def load_model(spark: SparkSession, path: str) -> LinearModel:
     )
 
 
+def version_path(root: str, question: str, version: int) -> str:
+    return f"{root}/question={question}/version={version}"
+
+
+def save_version(model: LinearModel, root: str, question: str, version: int) -> None:
+    """Keep a model beside its earlier versions; an existing one is never
+    overwritten."""
+    save_model(model, version_path(root, question, version))
+
+
+def load_version(spark: SparkSession, root: str, question: str, version: int) -> LinearModel:
+    return load_model(spark, version_path(root, question, version))
+
+
 ARTIFACT_SCHEMA = (
     "model_id string, classes array<string>, temperature double, intercept array<double>, "
     "vocab map<string,array<double>>, eval struct<ece_before:double,ece_after:double>"

@@ -74,6 +74,16 @@ def test_model_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.terms.collect())) == sorted(map(tuple, _model(spark).terms.collect()))
 
 
+def test_versions_are_kept_apart(spark, tmp_path):
+    root, m = str(tmp_path), _model(spark)
+    M.save_version(m, root, "q", 1)
+    M.save_version(m.with_(temperature=0.9), root, "q", 2)
+    assert M.load_version(spark, root, "q", 1).temperature == 0.7
+    assert M.load_version(spark, root, "q", 2).temperature == 0.9
+    with pytest.raises(Exception, match="(?i)exists"):
+        M.save_version(m, root, "q", 2)
+
+
 def test_artifact_round_trip(spark, tmp_path):
     path = str(tmp_path / "a")
     M.export_artifact(_model(spark), path)
