@@ -93,22 +93,25 @@ def join_terms(
 
     Beyond the bound, terms expected to make up more than 1/``HEAVY_PARTS`` of
     the rows (fewer than ``HEAVY_PARTS`` terms, whatever the table holds) are
-    looked up by broadcast. Their rows then pass the shuffle under a key of
-    their own, spread by row id.
+    looked up by broadcast. Their rows, and those of texts without terms, then
+    pass the shuffle under ``SALTS`` keys of their own, by row id.
     """
     if may_broadcast(n_terms, row_bytes):
         return rows.join(F.broadcast(terms), list(on), how)
+    if "idf" not in terms.columns:  # a fixed number of buckets: no rare, no frequent terms to tell apart
+        return rows.join(terms, list(on), how)
     values = [c for c in terms.columns if c not in on]
     share = F.exp(1.0 - F.col("idf"))  # in proportion to the document frequency
     heavy = terms.filter(share * HEAVY_PARTS > terms.agg(F.sum(share)).scalar())
     heavy = heavy.select(*on, *[F.col(v).alias(f"_h_{v}") for v in values])
     seen = rows.join(F.broadcast(heavy), list(on), "left")
-    hit = F.col("_h_idf").isNotNull()
-    spread_by = F.when(hit, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    keyed = seen.withColumns({"_salt": spread_by, "_term": F.when(hit, F.lit("")).otherwise(F.col("term"))})
+    settled = F.col("_h_idf").isNotNull() | (F.col("term") == "")
+    # No term contains a control character, so these keys match nothing. The
+    # key must differ in itself: a constant second key would be optimised away.
+    own_key = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("string"))
+    keyed = seen.withColumn("_term", F.when(settled, own_key).otherwise(F.col("term")))
     others = [c for c in on if c != "term"]
-    light = terms.withColumnRenamed("term", "_term").withColumn("_salt", F.lit(-1))
-    out = keyed.join(light, [*others, "_term", "_salt"], "left")
+    out = keyed.join(terms.withColumnRenamed("term", "_term"), [*others, "_term"], "left")
     out = out.select(*rows.columns, *[F.coalesce(f"_h_{v}", v).alias(v) for v in values])
     return out.filter(F.col("idf").isNotNull()) if how == "inner" else out
 

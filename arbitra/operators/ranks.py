@@ -151,7 +151,7 @@ def value_at_index(
     return totals.groupBy(*by).agg(F.max(count).alias(count), *picks)
 
 
-def heavy_and_light(df: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """Keys holding more than 1/``parts`` of all rows; fewer than ``parts`` rows
     by construction, so always safe to broadcast."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
@@ -162,7 +162,7 @@ def join_per_key(df: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     """Inner join of ``df`` with one row per key, safe when a few keys hold
     most rows: those are joined by broadcast and never shuffled, the rest by
     an ordinary equi-join. Reads ``df`` more than once; give it a table on disk."""
-    heavy = heavy_and_light(df, key)
+    heavy = heavy_keys(df, key)
     hot_side = F.broadcast(per_key.join(F.broadcast(heavy), key, "left_semi"))
     hot = df.join(hot_side, key)
     cold = df.join(F.broadcast(heavy), key, "left_anti").join(per_key, key)

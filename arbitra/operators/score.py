@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.functions.text import N_BUCKETS, bucket_counts
-from arbitra.operators.features import join_terms, term_rows, tf_weight
+from arbitra.operators.features import SALTS, join_terms, term_rows, tf_weight
 from arbitra.operators.model import LinearModel
 from arbitra.session import BROADCAST_BYTES, written
 
@@ -85,22 +85,25 @@ def score_models(
         scale = F.when(F.col("_sq") > 0, 1.0 / F.sqrt("_sq")).otherwise(F.lit(0.0))
         done.append(_finish(sums, cols, tfidf, scale))
     hashed = [m for m in models if m.kind == "hashed"]
-    if hashed:
-        own = df if len(hashed) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in hashed]))
+    at_once = max(1, BROADCAST_BYTES // (N_BUCKETS * _row_bytes(hashed))) if hashed else 1
+    for start in range(0, len(hashed), at_once):  # as many models as one broadcast may hold
+        group = hashed[start : start + at_once]
+        own = df if len(group) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in group]))
         table = reduce(
             DataFrame.unionByName,
-            [m.terms.select(F.lit(m.model_id).alias("model_id"), "bucket", "coef") for m in hashed],
+            [m.terms.select(F.lit(m.model_id).alias("model_id"), "bucket", "coef") for m in group],
         )
+        none = -1 - F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")  # a text without tokens matches nothing
         rows = own.select(*cols, "model_id", F.explode_outer(bucket_counts(text_col)).alias("t")).select(
             *cols,
             "model_id",
-            F.coalesce(F.col("t.key"), F.lit(-1)).alias("bucket"),
+            F.coalesce(F.col("t.key"), none).alias("bucket"),
             F.col("t.n").cast("double").alias("_x"),
         )
-        n_terms = N_BUCKETS * len(hashed)
-        joined = join_terms(rows, table, n_terms, _row_bytes(hashed), ["model_id", "bucket"], id_col, "left")
-        sums = joined.groupBy(*cols, "model_id").agg(*_sums(_per_class(hashed), F.col("_x")))
-        done.append(_finish(sums, cols, hashed, None))
+        n_terms = N_BUCKETS * len(group)
+        joined = join_terms(rows, table, n_terms, _row_bytes(group), ["model_id", "bucket"], id_col, "left")
+        sums = joined.groupBy(*cols, "model_id").agg(*_sums(_per_class(group), F.col("_x")))
+        done.append(_finish(sums, cols, group, None))
     if not done:
         return spark.createDataFrame([], T.StructType([*df.select(*cols, "model_id").schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]))
     return reduce(DataFrame.unionByName, done)

@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +78,8 @@ def _check_size(n_features: int, n_classes: int) -> None:
         )
 
 
-def _fit(features: DataFrame, n_classes: int, reg: float, max_iter: int, mirrored: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(classes x features) coefficients and intercepts. Two classes may be fitted
-    as one signed row, mirrored to both classes."""
+def _fit(features: DataFrame, reg: float, max_iter: int, mirrored: bool) -> LogisticRegressionModel:
+    """The fitted model; two classes may be fitted as one signed row."""
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -90,7 +90,7 @@ def _fit(features: DataFrame, n_classes: int, reg: float, max_iter: int, mirrore
         maxIter=max_iter,
         tol=1e-7,
     )
-    return export_linear(lr.fit(features), n_classes)
+    return lr.fit(features)
 
 
 def export_linear(model: LogisticRegressionModel, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +130,16 @@ def train_hashed(
     """
     classes = class_names(df, label)
     with _cached(hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"])) as (feats, _):
-        w, b = _fit(feats, len(classes), reg, max_iter, mirrored=False)
+        fitted = _fit(feats, reg, max_iter, mirrored=False)
+        logits = vector_to_array("rawPrediction").alias("logits")
+        truth = F.get(P.array_literal(classes), F.col("target").cast("int")).alias(label)
+        seen = fitted.transform(feats).select(logits, truth)
+        before = ece(judged(seen, classes, 1.0, label)).first()["ece"]
+    w, b = export_linear(fitted, len(classes))
     terms = written(_coef_frame(df.sparkSession, w, "bucket"), "hashed-model")
-    model = LinearModel(model_id, "hashed", classes, tuple(map(float, b)), terms, N_BUCKETS)
-    keyed = df.select(F.monotonically_increasing_id().alias("_id"), text_col, label)
-    seen = score(keyed, model, "_id", text_col, [label])
-    return model.with_(ece_before=ece(judged(seen, classes, 1.0, label)).first()["ece"], ece_split="train")
+    return LinearModel(
+        model_id, "hashed", classes, tuple(map(float, b)), terms, N_BUCKETS, ece_before=before, ece_split="train"
+    )
 
 
 def _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df):
@@ -149,7 +153,8 @@ def _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df):
 
 
 def _tfidf_fit(feats, n_rows, vocab, n_terms, classes, c, model_id, n_max, max_iter) -> LinearModel:
-    w, b = _fit(feats, len(classes), 1.0 / (n_rows * c), max_iter, mirrored=len(classes) == 2)
+    fitted = _fit(feats, 1.0 / (n_rows * c), max_iter, mirrored=len(classes) == 2)
+    w, b = export_linear(fitted, len(classes))
     coefs = _coef_frame(feats.sparkSession, w, "idx")
     terms = written(vocab.join(coefs, "idx").select("term", "idf", "coef"), "tfidf-model")
     return LinearModel(model_id, "tfidf", tuple(classes), tuple(map(float, b)), terms, n_terms, n_max=n_max)
@@ -269,8 +274,6 @@ def score_mlp(
     df: DataFrame, model: MultilayerPerceptronClassificationModel, text_col: str, keep: Sequence[str]
 ) -> DataFrame:
     """(keep, logits) of the hidden-layer model."""
-    from pyspark.ml.functions import vector_to_array
-
     out = model.transform(hashed_vector(df, text_col, keep))
     return out.select(*keep, vector_to_array("rawPrediction").alias("logits"))
 

@@ -50,7 +50,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
-        "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
+        "sf": float(SF_DIR.rstrip("/").rsplit("sf", 1)[-1]),
         "documents": docs,
         "documents_scored_per_sec": {q: round(docs / times[q], 1) for q in ("score_hashed", "score_tfidf", "ask")},
     }

@@ -44,6 +44,40 @@ def test_tfidf_logits_by_hand(spark, monkeypatch, limit):
         assert r["logits"] == pytest.approx(_logits(TEXTS[r["id"]], VOCAB, (0.3, -0.7)), abs=1e-12)
 
 
+def test_shuffle_join_spreads_frequent_terms(spark, monkeypatch):
+    from arbitra.operators.features import join_terms, term_rows
+
+    monkeypatch.setattr(arbitra.session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        terms = _model(spark).terms
+        rows = term_rows(_docs(spark, TEXTS), "text", ["id"])
+        joined = join_terms(rows, terms, 4, 100, ["term"], "id", "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        key = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+        assert "SortMergeJoin [_term" in key
+        assert joined.filter("term = 'the' and idf is null").count() == 0 and joined.count() == rows.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 16384 * 140, 0])
+def test_hashed_models_in_groups(spark, monkeypatch, limit):
+    import arbitra.operators.score as module
+
+    monkeypatch.setattr(arbitra.session, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+    models = []
+    for i, w in enumerate(([1.0, -1.0], [2.0, 3.0], [0.5, 0.25])):
+        terms = spark.createDataFrame([(_fnv("crash"), w)], "bucket int, coef array<double>")
+        models.append(LinearModel(f"h{i}", "hashed", ("x", "y"), (0.0, 0.0), terms, 1))
+    docs = _docs(spark, ["crash crash", ""]).withColumn("model_id", F.explode(F.array(*[F.lit(f"h{i}") for i in range(3)])))
+    got = {(r["model_id"], r["id"]): r["logits"] for r in score_models(docs, models, "id", "text").collect()}
+    assert len(got) == 6
+    assert got[("h0", 0)] == [2.0, -2.0] and got[("h1", 0)] == [4.0, 6.0] and got[("h2", 0)] == [1.0, 0.5]
+    assert all(got[(f"h{i}", 1)] == [0.0, 0.0] for i in range(3))
+
+
 def test_one_term_normalises_to_one(spark):
     z = score_tfidf(_docs(spark, ["ab ab ab"]), _model(spark, {"ab": (2.0, [1.0, -1.0])}), "id", "text").first()["logits"]
     assert z == pytest.approx([1.0, -1.0])
