@@ -70,17 +70,13 @@ BUCKET_ROWS = 500_000
 MAX_BUCKETS = 4096
 
 
-def value_buckets(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
+def value_buckets(df: DataFrame, value: str, out: str, buckets: int) -> DataFrame:
     """Add the number of the ordered bucket a value falls in.
 
     Buckets hold about equally many rows of ``df``, a table on disk with one
     row per value; their edges are an approximate percentile sketch of at most
     ``MAX_BUCKETS`` numbers. Equal values share a bucket.
     """
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, df.count() // BUCKET_ROWS + 1)
-    if buckets == 1:
-        return df.withColumn(out, F.lit(0.0))
     x = df.withColumn("_x", F.col(value).cast("double"))
     cuts = [i / buckets for i in range(1, buckets)]
     edges = x.filter(~F.isnan("_x")).agg(F.percentile_approx("_x", cuts, 10 * MAX_BUCKETS)).first()[0] or []
@@ -109,31 +105,42 @@ def running_totals(
     distinct = written(v.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]), "distinct")
     groups = _group_keys(by)
     ks = list(groups)
-    d = value_buckets(distinct, value, "_b", buckets).withColumns(groups)
-    before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*ks)
-    offsets = d.groupBy(*ks, "_b").agg(
-        F.max(value).alias("_top"), *[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]
-    )
-    offsets = offsets.select(
-        *ks,
-        "_b",
-        F.max("_top").over(before).alias("_edge"),
-        *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_off{i}") for i in range(len(names))],
-        *[F.sum(f"_s{i}").over(whole).alias(f"{n}_total") for i, n in enumerate(names)],
-    )
-    if not ks:
-        offsets = F.broadcast(offsets)  # one row per bucket
-    ordered = Window.partitionBy(*ks, "_b").orderBy(value)
-    w = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    prior = [F.coalesce(F.lag(value).over(ordered), F.col("_edge")).alias(previous)] if previous else []
-    return d.join(offsets, [*ks, "_b"]).select(
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, distinct.count() // BUCKET_ROWS + 1)
+    if buckets == 1:  # few enough values for one window per group
+        d, parts = distinct.withColumns(groups), ks
+    else:
+        d, parts = value_buckets(distinct, value, "_b", buckets).withColumns(groups), [*ks, "_b"]
+    ordered = Window.partitionBy(*parts).orderBy(value)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    below = {n: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in names}
+    prior = F.lag(value).over(ordered)
+    if buckets == 1:
+        total = {n: F.sum(n).over(Window.partitionBy(*ks)) for n in names}
+    else:
+        offsets = d.groupBy(*parts).agg(
+            F.max(value).alias("_top"), *[F.sum(n).alias(f"_s{i}") for i, n in enumerate(names)]
+        )
+        earlier = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = offsets.select(
+            *parts,
+            F.max("_top").over(earlier).alias("_edge"),
+            *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_off{i}") for i in range(len(names))],
+            *[F.sum(f"_s{i}").over(Window.partitionBy(*ks)).alias(f"_tot{i}") for i in range(len(names))],
+        )
+        if not ks:
+            offsets = F.broadcast(offsets)  # one row per bucket
+        d = d.join(offsets, parts)
+        below = {n: c + F.col(f"_off{i}") for i, (n, c) in enumerate(below.items())}
+        total = {n: F.col(f"_tot{i}") for i, n in enumerate(names)}
+        prior = F.coalesce(prior, F.col("_edge"))
+    return d.select(
         *by,
         value,
         *names,
-        *[(F.coalesce(F.sum(n).over(w), F.lit(0)) + F.col(f"_off{i}")).alias(f"{n}_below") for i, n in enumerate(names)],
-        *[f"{n}_total" for n in names],
-        *prior,
+        *[c.alias(f"{n}_below") for n, c in below.items()],
+        *[c.alias(f"{n}_total") for n, c in total.items()],
+        *([prior.alias(previous)] if previous else []),
     )
 
 

@@ -39,17 +39,19 @@ def test_ranks_do_not_depend_on_partitions(spark):
     assert a == b
 
 
-def test_running_totals_match_a_scan(spark):
+@pytest.mark.parametrize("buckets", [None, 5])
+@pytest.mark.parametrize("by", [["key"], []])
+def test_running_totals_match_a_scan(spark, buckets, by):
     rows, df = _skewed(spark)
     from pyspark.sql import functions as F
 
-    got = running_totals(df, "v", {"c": F.count("*")}, ["key"], buckets=5, previous="prev").collect()
+    got = running_totals(df, "v", {"c": F.count("*")}, by, buckets=buckets, previous="prev").collect()
     groups = defaultdict(Counter)
     for _, k, v in rows:
-        groups[k][v] += 1
+        groups[k if by else None][v] += 1
     assert len(got) == sum(len(c) for c in groups.values())
     for r in got:
-        c = groups[r["key"]]
+        c = groups[r["key"] if by else None]
         below = [v for v in c if v < r["v"]]
         assert r["c"] == c[r["v"]]
         assert r["c_below"] == sum(c[v] for v in below)
