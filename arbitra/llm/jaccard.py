@@ -163,9 +163,11 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
         signed.where("n > 0").join(sets, (signed["doc_id"] == sets["rep"]) & (signed["set_id"] == sets["set_id"]), "left_semi")
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("at", "g"))
     )
-    lists = postings.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("at", "doc", "n")).alias("c")).where("size > 1")
-    lists = lists.select("g", "size", F.col("c.doc").alias("c_doc"), F.col("c.n").alias("c_n"), F.col("c.at").alias("c_at"))
-    lists = scratch.write(postings.join(lists, "g"), "lists")
+    # Lists of the same rows count once, with each row's first place in any of them; ``m`` stands for the rows.
+    members = [F.bit_xor(F.xxhash64("doc", F.lit(k))) for k in (1, 2)]
+    lists = postings.groupBy("g").agg(F.count("*").alias("size"), F.struct(F.count("*").alias("k"), *[x.alias(f"x{i}") for i, x in enumerate(members)]).alias("m"))
+    lists = postings.join(lists.where("size > 1"), "g").groupBy("m", "size", "doc", "n").agg(F.min("at").alias("at"))
+    lists = scratch.write(lists.withColumnRenamed("m", "g"), "lists")
 
     def pairs_of(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
         one, two = left.alias("one"), right.alias("two")
@@ -181,6 +183,8 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
         return pairs.select(s.alias("s")).select("s.*").distinct()
 
     short, long = lists.where(f"size <= {SMALL}"), lists.where(f"size > {SMALL}")
+    c = long.groupBy("g").agg(F.min(F.struct("at", "doc", "n")).alias("c"))
+    long = scratch.write(long.join(c.select("g", F.col("c.doc").alias("c_doc"), F.col("c.n").alias("c_n"), F.col("c.at").alias("c_at")), "g"), "long")
     narrow = ["g", "doc", "n", "at"]
     star = long.where("doc <> c_doc").where(possible(percent, F.col("n"), F.col("at"), F.col("c_n"), F.col("c_at"))).select(
         F.col("c_doc").alias("a"), F.col("doc").alias("b"), F.col("c_n").alias("na"), F.col("n").alias("nb")
