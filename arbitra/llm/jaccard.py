@@ -167,7 +167,7 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     members = [F.bit_xor(F.xxhash64("doc", F.lit(k))) for k in (1, 2)]
     lists = postings.groupBy("g").agg(F.count("*").alias("size"), F.struct(F.count("*").alias("k"), *[x.alias(f"x{i}") for i, x in enumerate(members)]).alias("m"))
     lists = postings.join(lists.where("size > 1"), "g").groupBy("m", "size", "doc", "n").agg(F.min("at").alias("at"))
-    lists = scratch.write(lists.withColumnRenamed("m", "g"), "lists")
+    lists = scratch.write(lists.select(F.xxhash64("m").alias("g"), "size", "doc", "n", "at"), "lists")
 
     def pairs_of(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
         one, two = left.alias("one"), right.alias("two")
@@ -197,9 +197,12 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     own = groups.select(F.col("node").alias("doc"), F.col("component").alias("own"))
     central = groups.select(F.col("node").alias("c_doc"), F.col("component").alias("c_own"))
     mixed = long.join(own, "doc", "left").join(central, "c_doc", "left").select(*narrow, F.coalesce("own", "doc").alias("own"), F.coalesce("c_own", "c_doc").alias("c_own"))
-    mixed = scratch.write(mixed, "mixed")
+    # A pair that shares several long lists is a candidate in that with the smallest number only, judged by each row's first place in any.
+    all_lists = long.groupBy("doc").agg(F.min("at").alias("at0"), F.collect_set("g").alias("ids"))
+    mixed = scratch.write(mixed.join(all_lists, "doc").drop("at").withColumnRenamed("at0", "at"), "mixed")
     left_out = mixed.where("own <> c_own")
-    second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")))
+    once = F.col("one.g") == F.array_min(F.array_intersect("one.ids", "two.ids"))
+    second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")) & once)
     rest = scratch.write(ordered(second).join(tried, ["a", "b"], "left_anti"), "rest")
     rest = scratch.write(rest, "rest")
     more = scratch.write(overlaps(rest, docs, n_gram, percent, scratch), "links")
