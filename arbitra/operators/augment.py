@@ -54,14 +54,21 @@ CANCEL_PAIRS = (
     ("is required", "is not required"),
 )
 CANCELLED = " This is now cancelled and will not happen."
-QUOTE_CHARS, DRESS_CHARS, CANCEL_CHARS = 400, 350, 450
+# The published sets quote so many characters of a body and take CAP rows of a class.
+# Both are options; by default whole bodies of all rows are used.
+QUOTE_CHARS, DRESS_CHARS, CANCEL_CHARS, CAP = 400, 350, 450, 120
+
+
+def _head(body: Column | str, chars: int | None) -> Column:
+    c = F.col(body) if isinstance(body, str) else body
+    return c if chars is None else F.substring(c, 1, chars)
 
 
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _base(df: DataFrame, id_col: str, label_col: str, label: str, cap: int, seed: int) -> DataFrame:
+def _base(df: DataFrame, id_col: str, label_col: str, label: str, cap: int | None, seed: int) -> DataFrame:
     mine = df.filter(F.col(label_col) == label)
     return hash_rank(mine, [id_col], seed, rank="_rank", limit=cap)
 
@@ -83,8 +90,8 @@ def _emit(df: DataFrame, id_col: str, label: str, kind: str, **fields: Column) -
 
 
 def aug_advisory(
-    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int = 120, seed: int = 11,
-    source: str = "phishing", target: str = "legitimate",
+    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int | None = None, seed: int = 11,
+    source: str = "phishing", target: str = "legitimate", chars: int | None = None,
 ) -> DataFrame:
     """Quote a harmful body under a warning notice: the result is legitimate.
     Senders rotate with the rank, so no sender gives the label away."""
@@ -99,14 +106,14 @@ def aug_advisory(
             "subject": F.get(_strings([s for s, _ in ADVISORY_FRAMES]), frame),
             "link_text": F.lit(""),
             "link_url": F.lit(""),
-            "body": F.concat(F.get(_strings([t for _, t in ADVISORY_FRAMES]), frame), F.substring("body", 1, QUOTE_CHARS)),
+            "body": F.concat(F.get(_strings([t for _, t in ADVISORY_FRAMES]), frame), _head("body", chars)),
         },
     )
 
 
 def aug_negation(
-    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int = 120, seed: int = 11,
-    source: str = "phishing",
+    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int | None = None, seed: int = 11,
+    source: str = "phishing", chars: int | None = None,
 ) -> DataFrame:
     """Put two different filler sentences before the body; the label stays."""
     d = _parsed(_base(df, id_col, label_col, source, cap, seed), text)
@@ -115,7 +122,7 @@ def aug_negation(
     step = F.pmod(seeded_int(f"{seed}:second", id_col), F.lit(k - 1)).cast("int")
     second = F.pmod(first + 1 + step, F.lit(k)).cast("int")
     fillers = _strings(NEGATION_FILLERS)
-    dressed = F.concat_ws(" ", F.get(fillers, first), F.get(fillers, second), F.substring("body", 1, DRESS_CHARS))
+    dressed = F.concat_ws(" ", F.get(fillers, first), F.get(fillers, second), _head("body", chars))
     return _emit(
         d, id_col, source, "negation",
         **{
@@ -125,27 +132,25 @@ def aug_negation(
     )
 
 
-def cancelled(body: Column) -> Column:
-    """Replace the first known phrase by its cancelled form; without one, say
-    so in a closing sentence."""
+def cancelled(body: Column, chars: int | None = None, whole: int | None = None) -> Column:
+    """Replace the first known phrase, in any case, by its cancelled form; without one, say
+    so in a closing sentence after ``chars`` characters. ``whole`` bounds the result."""
     low = F.lower(body)
-    out = F.concat(F.lit("Update: "), F.substring(body, 1, DRESS_CHARS), F.lit(CANCELLED))
+    out = F.concat(F.lit("Update: "), _head(body, chars), F.lit(CANCELLED))
     for phrase, flipped in reversed(CANCEL_PAIRS):
-        # The search is in lowercase text and by the phrase as written, so a
-        # phrase with a capital letter never matches.
-        at = F.locate(phrase, low)
+        at = F.locate(phrase.lower(), low)
         swapped = F.concat(
             F.substring(body, F.lit(1), at - 1),
             F.lit(flipped),
             F.substring(body, at + F.lit(len(phrase)), F.length(body)),
         )
         out = F.when(at > 0, swapped).otherwise(out)
-    return F.substring(out, 1, CANCEL_CHARS)
+    return _head(out, whole)
 
 
 def aug_cancel(
-    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int = 120, seed: int = 11,
-    source: str = "legitimate",
+    df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int | None = None, seed: int = 11,
+    source: str = "legitimate", chars: int | None = None, whole: int | None = None,
 ) -> DataFrame:
     """Flip the polarity of harmless notices; the label stays."""
     d = _parsed(_base(df, id_col, label_col, source, cap, seed), text)
@@ -154,12 +159,12 @@ def aug_cancel(
         d, id_col, source, "cancel",
         **{
             "from": F.col("from"), "sender": F.col("sender"), "subject": F.concat(F.lit("Update: "), subject),
-            "link_text": F.lit(""), "link_url": F.lit(""), "body": cancelled(F.col("body")),
+            "link_text": F.lit(""), "link_url": F.lit(""), "body": cancelled(F.col("body"), chars, whole),
         },
     )
 
 
-def augment(df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int = 120, seed: int = 11) -> DataFrame:
+def augment(df: DataFrame, id_col: str, text: str, label_col: str = "label", cap: int | None = None, seed: int = 11) -> DataFrame:
     """All three framings of one base table."""
     return (
         aug_advisory(df, id_col, text, label_col, cap, seed)

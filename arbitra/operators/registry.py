@@ -130,12 +130,18 @@ def promote(pointers: DataFrame, question: str, version: int, gate: DataFrame) -
 
 
 def rollback(pointers: DataFrame, question: str) -> DataFrame:
-    """Point back at the version in production before the current one."""
+    """Point back at the version promoted before the one in production.
+
+    The way back follows the promotions alone: rollbacks on the log only tell how far
+    it has been gone, so a second rollback goes one promotion further.
+    """
     log = pointers.filter(F.col("question") == question)
     now = current_version(log).first()
     if now is None:
         raise ValueError(f"nothing to roll back for {question!r}")
-    earlier = log.filter(F.col("version") != now["version"]).orderBy(F.desc("seq")).first()
+    promoted = log.filter("note = 'promote'")
+    here = promoted.filter(F.col("version") == now["version"]).agg(F.max("seq")).first()[0]
+    earlier = promoted.filter((F.col("seq") < here) & (F.col("version") != now["version"])).orderBy(F.desc("seq")).first()
     if earlier is None:
         raise ValueError(f"no earlier version of {question!r}")
     return _append_pointer(pointers, question, earlier["version"], "rollback")

@@ -169,7 +169,7 @@ def cold_start(
     )
     return {
         "labelled": labelled.drop("_r", "_t"),
-        "review": labelled.filter(F.col("_r") <= review).select(id_col, "label", F.substring(text_col, 1, 150).alias("text")),
+        "review": labelled.filter(F.col("_r") <= review).select(id_col, "label", F.col(text_col).alias("text")),
         "model": model,
         "gate": gate,
     }

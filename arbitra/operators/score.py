@@ -185,90 +185,3 @@ def pad_ids(ids: Column, max_length: int, pad_id: int = 0) -> tuple[Column, Colu
         F.concat(real, F.array_repeat(F.lit(pad_id).cast("bigint"), missing)),
         F.concat(F.transform(real, lambda _: F.lit(1).cast("bigint")), F.array_repeat(F.lit(0).cast("bigint"), missing)),
     )
-
-
-def _model_source(spark: SparkSession, model: str | bytes):
-    """A function that gives a task the model: its bytes, sent once per
-    executor, or beyond the broadcast bound the path itself."""
-    if isinstance(model, str):
-        files = spark.read.format("binaryFile").load(model)
-        length = files.select("length").first()
-        if length is None:
-            raise ValueError(f"model file not found: {model}")
-        if length[0] > BROADCAST_BYTES:
-            return lambda: model
-        model = bytes(files.select("content").first()[0])
-    shared = spark.sparkContext.broadcast(model)
-    return lambda: shared.value
-
-
-def score_external(
-    df: DataFrame,
-    model: str | bytes,
-    labels: Sequence[str],
-    *,
-    keep: Sequence[str],
-    text_col: str | None = None,
-    ids_col: str | None = None,
-    vector_col: str | None = None,
-    max_length: int = 512,
-    batch_rows: int = 128,
-) -> DataFrame:
-    """(keep, logits) from a user's ONNX model file.
-
-    Feed it hashed bag-of-words rows of ``text_col``, padded token ids of
-    ``ids_col`` with their mask (and zero type ids where the model takes a
-    third input), or a dense ``vector_col``. The session opens once per task. A
-    path may be anything Spark reads; a file beyond the broadcast bound must be
-    readable under that path on every executor. A model whose logit count
-    differs from ``labels`` fails the job.
-    """
-    if not labels:
-        raise ValueError("labels must not be empty")
-    if sum(c is not None for c in (text_col, ids_col, vector_col)) != 1:
-        raise ValueError("give exactly one of text_col, ids_col, vector_col")
-    if text_col is not None:
-        feed = [F.transform(bucket_counts(text_col), lambda t: t["key"]).alias("_a"), F.transform(bucket_counts(text_col), lambda t: t["n"]).alias("_b")]
-        mode = "hashed"
-    elif ids_col is not None:
-        padded, mask = pad_ids(F.col(ids_col).cast("array<bigint>"), max_length)
-        feed, mode = [padded.alias("_a"), mask.alias("_b")], "ids"
-    else:
-        feed, mode = [F.col(vector_col).cast("array<float>").alias("_a"), F.lit(0).alias("_b")], "dense"
-    n_labels = len(labels)
-    source = _model_source(df.sparkSession, model)
-    src = df.select(*keep, *feed)
-    kept = src.select(*keep)
-    fields = [*kept.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]
-
-    def tensors(a: pa.Array, b: pa.Array) -> list[np.ndarray]:
-        n = len(a)
-        if mode == "hashed":
-            x = np.zeros((n, N_BUCKETS), dtype=np.float32)
-            row = np.repeat(np.arange(n), np.diff(a.offsets.to_numpy()))
-            x[row, a.flatten().to_numpy()] = b.flatten().to_numpy()
-            return [x]
-        if mode == "ids":
-            ids = a.flatten().to_numpy().reshape(n, -1)
-            return [ids, b.flatten().to_numpy().reshape(n, -1), np.zeros_like(ids)]
-        return [a.flatten().to_numpy().reshape(n, -1)]
-
-    def run(batches):
-        import onnxruntime as ort
-
-        options = ort.SessionOptions()
-        options.intra_op_num_threads = 1
-        session = ort.InferenceSession(source(), options, providers=["CPUExecutionProvider"])
-        names = [i.name for i in session.get_inputs()]
-        for whole in batches:
-            for start in range(0, whole.num_rows, batch_rows):
-                batch = whole.slice(start, batch_rows)
-                x = tensors(batch.column("_a"), batch.column("_b"))
-                logits = session.run(None, dict(zip(names, x, strict=False)))[0].astype(np.float64)
-                if logits.shape[1] != n_labels:
-                    raise ValueError(f"model emitted {logits.shape[1]} logits but {n_labels} labels are configured")
-                offsets = pa.array(np.arange(0, logits.size + 1, n_labels, dtype=np.int32))
-                arrays = [batch.column(c) for c in keep] + [pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
-
-    return src.mapInArrow(run, T.StructType(fields))

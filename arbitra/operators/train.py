@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -28,14 +28,15 @@ from arbitra.session import written
 
 # MLlib holds the dense coefficients, and one gradient of that size per task.
 MAX_COEFFICIENTS = 100_000_000
-MAX_CLASSES = 10_000
 ROWS_PER_TASK = 1000
+SLICE = 500_000
 L2 = 1e-5
 
 
 def class_names(df: DataFrame, label: str) -> tuple[str, ...]:
-    """Sorted distinct labels; an error when there are fewer than two."""
-    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
+    """Sorted distinct labels; an error when there are fewer than two. A model of more
+    than MAX_COEFFICIENTS numbers is refused when its features are known."""
+    rows = df.select(label).distinct().collect()
     if not rows:
         raise ValueError("train: no examples provided")
     names = sorted((r[0] for r in rows if r[0] is not None), key=lambda s: s.encode())
@@ -43,8 +44,6 @@ def class_names(df: DataFrame, label: str) -> tuple[str, ...]:
         raise ValueError("train: a label is null")
     if len(names) < 2:
         raise ValueError("train: need at least 2 distinct labels")
-    if len(names) > MAX_CLASSES:
-        raise ValueError(f"train: more than {MAX_CLASSES} distinct labels")
     return tuple(names)
 
 
@@ -116,8 +115,18 @@ def reorder_classes(model: LinearModel, order: Sequence[str]) -> LinearModel:
 
 
 def _coef_frame(spark, w: np.ndarray, key: str) -> DataFrame:
-    frame = pd.DataFrame({key: np.arange(w.shape[1], dtype=np.int32), "coef": list(np.ascontiguousarray(w.T))})
-    return spark.createDataFrame(frame, f"{key} int, coef array<double>")
+    """One row per feature with its coefficients, sent as Arrow tables of SLICE rows."""
+    k, n = w.shape
+    out = None
+    for at in range(0, n, SLICE):
+        part = np.ascontiguousarray(w[:, at : at + SLICE].T)
+        ends = pa.array(np.arange(0, part.size + 1, k, dtype=np.int32))
+        rows = pa.table(
+            {key: pa.array(np.arange(at, at + len(part), dtype=np.int32)), "coef": pa.ListArray.from_arrays(ends, pa.array(part.ravel()))}
+        )
+        df = spark.createDataFrame(rows).select(F.col(key).cast("int"), F.col("coef").cast("array<double>"))
+        out = df if out is None else out.unionAll(df)
+    return out
 
 
 def train_hashed(
@@ -237,7 +246,7 @@ def train_questions(
 ) -> dict[str, LinearModel]:
     """One model per value of the question column, calibrated where every
     validation label was seen in training and there are validation rows."""
-    names = sorted(r[0] for r in train.select(question).distinct().limit(MAX_CLASSES).collect())
+    names = sorted(r[0] for r in train.select(question).distinct().collect() if r[0] is not None)
     models = {}
     for name in names:
         mine, held = train.filter(F.col(question) == name), validation.filter(F.col(question) == name)
@@ -288,14 +297,16 @@ def train_signals(
 ) -> dict[str, LinearModel]:
     """One calibrated true/false model per rule signal.
 
-    ``signals`` maps a name to the boolean column that labels it. A signal that
-    is constant on the training rows cannot be trained and is left out.
+    ``signals`` maps a name to the boolean column that labels it (null counts as
+    false). A signal that is constant on the training rows cannot be trained: an
+    error names all of them before anything is fitted.
     """
-    present = train.agg(*[F.count_distinct(c.cast("string")).alias(n) for n, c in signals.items()]).first()
+    present = train.agg(*[F.count_distinct(F.coalesce(c, F.lit(False))).alias(n) for n, c in signals.items()]).first()
+    constant = sorted(n for n in signals if present[n] < 2)
+    if constant:
+        raise ValueError(f"train: constant signals {constant}")
     models = {}
     for name, flag in signals.items():
-        if present[name] < 2:
-            continue
         mine, held = (d.withColumn("label", F.coalesce(flag, F.lit(False)).cast("string")) for d in (train, validation))
         model = train_tfidf(mine, id_col, text_col, "label", model_id=name, **options)
         models[name] = calibrate(model, held, id_col, text_col, "label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,12 +101,13 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Embeddings as raw logits of ten classes: the first ten values, scaled, with a
-# bonus on the true class for two rows in three.
+# Embeddings as raw logits of ten classes: EMB_SCALE times the product of all 64 values
+# with the mean vector of each class.
 EMB_CLASSES = [str(i) for i in range(10)]
+EMB_SCALE = 40.0
 EMB = [
-    "e AS (SELECT vec_id, label AS truth, list_transform(range(0, 10), lambda i: 20.0::DOUBLE * embedding[i + 1]::DOUBLE + "
-    "CASE WHEN vec_id % 3 <> 0 AND i = label THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END) AS z FROM embeddings)",
+    "means AS (SELECT label, list(m ORDER BY i) AS w FROM (SELECT label, i, round(avg(embedding[i]::DOUBLE), 9) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL) GROUP BY label)",
+    f"e AS (SELECT vec_id, truth, list(v ORDER BY k) AS z FROM (SELECT vec_id, e.label AS truth, m.label AS k, {EMB_SCALE} * list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * w[i])) AS v FROM embeddings e, means m) GROUP BY ALL)",
     "s AS (SELECT *, list_max(z) AS m FROM e)",
     "x AS (SELECT *, list_transform(z, lambda v: exp(v - m)) AS ex FROM s)",
     "y AS (SELECT *, list_sum(ex) AS tot FROM x)",
@@ -116,12 +118,9 @@ EMB = [
 
 
 def emb_logits(spark: SparkSession, sf: str) -> DataFrame:
-    """(vec_id, truth, logits)."""
+    """(vec_id, truth, logits). Ten mean vectors of 64 numbers go into the plan as one constant."""
     e = table(spark, sf, "embeddings")
-    first = F.slice("embedding", 1, 10)
-    bonus = F.col("vec_id") % 3 != 0
-    z = F.transform(
-        first,
-        lambda v, i: v.cast("double") * 20.0 + F.when(bonus & (i == F.col("label")), F.lit(2.5)).otherwise(F.lit(0.0)),
-    )
-    return e.select("vec_id", F.col("label").cast("string").alias("truth"), z.alias("logits"))
+    means = e.groupBy("label").agg(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 9) for i in range(64)]).orderBy("label").collect()
+    w = F.from_json(F.lit(json.dumps([list(r[1:]) for r in means])), "array<array<double>>")
+    dot = lambda m: F.aggregate(F.zip_with("embedding", m, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b)
+    return e.select("vec_id", F.col("label").cast("string").alias("truth"), F.transform(w, lambda m: dot(m) * EMB_SCALE).alias("logits"))

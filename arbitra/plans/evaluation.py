@@ -128,16 +128,14 @@ def q_selective_report(spark, sf):
     "energy_report",
     with_sql(
         [*EMB, "j AS (SELECT energy, label = truth AS ok, threshold FROM d, (VALUES (-6.0::DOUBLE), (-4.0::DOUBLE), (-3.0::DOUBLE)) AS t(threshold))"],
-        "SELECT threshold, count_if(energy > threshold AND NOT ok) AS misses_converted, count_if(energy > threshold AND ok) AS correct_lost, "
-        "count_if(NOT ok) AS misses, count_if(ok) AS correct, round(min(energy) FILTER (NOT ok), 6) AS miss_min, round(max(energy) FILTER (NOT ok), 6) AS miss_max, "
+        "SELECT threshold, CAST(count_if(energy > threshold AND NOT ok) AS BIGINT) AS misses_converted, CAST(count_if(energy > threshold AND ok) AS BIGINT) AS correct_lost, "
+        "CAST(count_if(NOT ok) AS BIGINT) AS misses, CAST(count_if(ok) AS BIGINT) AS correct, round(min(energy) FILTER (NOT ok), 6) AS miss_min, round(max(energy) FILTER (NOT ok), 6) AS miss_max, "
         "round(min(energy) FILTER (ok), 6) AS correct_min, round(max(energy) FILTER (ok), 6) AS correct_max FROM j GROUP BY threshold",
     ),
 )
 def q_energy_report(spark, sf):
     rep = C.energy_report(_judged(spark, sf), [-6.0, -4.0, -3.0])
-    out = rounded(rep, "miss_min", "miss_max", "correct_min", "correct_max")
-    counts = ("misses_converted", "correct_lost", "misses", "correct")
-    return out.withColumns({c: F.col(c).cast("double") for c in counts})
+    return rounded(rep, "miss_min", "miss_max", "correct_min", "correct_max")
 
 
 @query(

@@ -57,8 +57,8 @@ def q_check_registry(spark, sf):
 
 
 def _models(spark, sf):
-    """One settings row per event type that has errors to learn from."""
-    e = table(spark, sf, "events").filter(F.col("event_type") != "view")
+    """One settings row per event type."""
+    e = table(spark, sf, "events")
     return e.groupBy(F.col("event_type").alias("model_id")).agg(
         F.array_sort(F.collect_set((F.col("user_id") % 3).cast("string"))).alias("classes"),
         F.round(F.avg("value") / 20, 6).alias("temperature"),
@@ -70,7 +70,7 @@ def _models(spark, sf):
 
 _MODELS = (
     "models AS (SELECT event_type AS model_id, '0,1,2' AS classes, round(avg(value) / 20, 6) AS temperature, round(avg(value) / 200, 6) AS ece_before, "
-    "round(avg(value) FILTER (event_id % 2 = 0) / 210, 6) AS ece_after FROM events WHERE event_type <> 'view' GROUP BY event_type)"
+    "round(avg(value) FILTER (event_id % 2 = 0) / 210, 6) AS ece_after FROM events GROUP BY event_type)"
 )
 
 

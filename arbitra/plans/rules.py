@@ -148,9 +148,9 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{_quoted(v)}'" for v in values) + "]"
 
 
-def _capped(label: str, seed: int = 11, cap: int = 120) -> str:
+def _ranked(label: str, seed: int = 11) -> str:
     return (
-        f"base AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || doc_id), doc_id) AS r FROM mail WHERE label = '{label}') WHERE r <= {cap})"
+        f"base AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || doc_id), doc_id) AS r FROM mail WHERE label = '{label}'))"
     )
 
 
@@ -163,10 +163,10 @@ def _draw(tag: str, k: int) -> str:
 
 
 _ADVISORY = (
-    f"WITH {_MAIL}, {_capped('phishing')}, f AS (SELECT *, {_list([t for _, t in A.ADVISORY_FRAMES])}[{_draw('frame', 3)} + 1] AS frame, "
+    f"WITH {_MAIL}, {_ranked('phishing')}, f AS (SELECT *, {_list([t for _, t in A.ADVISORY_FRAMES])}[{_draw('frame', 3)} + 1] AS frame, "
     f"{_list([s for s, _ in A.ADVISORY_FRAMES])}[{_draw('frame', 3)} + 1] AS ns, {_list([a for _, a in A.ADVISORY_SENDERS])}[(r - 1) % 6 + 1] AS nf, "
     f"{_list([n for n, _ in A.ADVISORY_SENDERS])}[(r - 1) % 6 + 1] AS nn FROM base) "
-    f"SELECT doc_id, 'legitimate' AS label, 'advisory' AS kind, {_mail_text('nf', 'nn', 'ns', chr(39) * 2, 'frame || substr(body, 1, 400)')} AS input FROM f"
+    f"SELECT doc_id, 'legitimate' AS label, 'advisory' AS kind, {_mail_text('nf', 'nn', 'ns', chr(39) * 2, 'frame || body')} AS input FROM f"
 )
 
 
@@ -177,9 +177,9 @@ def q_aug_advisory(spark, sf):
 
 _FILL = _list(A.NEGATION_FILLERS)
 _NEGATION = (
-    f"WITH {_MAIL}, {_capped('phishing')}, f AS (SELECT *, {_draw('first', 5)} AS a, {_draw('second', 4)} AS b FROM base) "
+    f"WITH {_MAIL}, {_ranked('phishing')}, f AS (SELECT *, {_draw('first', 5)} AS a, {_draw('second', 4)} AS b FROM base) "
     f"SELECT doc_id, 'phishing' AS label, 'negation' AS kind, "
-    f"{_mail_text('frm', 'snd', 'subj', 'url', f'{_FILL}[a + 1] || chr(32) || {_FILL}[(a + 1 + b) % 5 + 1] || chr(32) || substr(body, 1, 350)')} AS input FROM f"
+    f"{_mail_text('frm', 'snd', 'subj', 'url', f'{_FILL}[a + 1] || chr(32) || {_FILL}[(a + 1 + b) % 5 + 1] || chr(32) || body')} AS input FROM f"
 )
 
 
@@ -189,10 +189,10 @@ def q_aug_negation(spark, sf):
 
 
 _CANCEL = (
-    f"WITH {_MAIL}, {_capped('legitimate')} SELECT doc_id, 'legitimate' AS label, 'cancel' AS kind, "
+    f"WITH {_MAIL}, {_ranked('legitimate')} SELECT doc_id, 'legitimate' AS label, 'cancel' AS kind, "
     + _mail_text(
         "frm", "snd", "'Update: ' || subj", "''",
-        "substr(CASE WHEN doc_id % 2 = 0 THEN 'The gate is closed until further notice. ' || text ELSE 'Update: ' || substr(body, 1, 350) || ' This is now cancelled and will not happen.' END, 1, 450)",
+        "CASE WHEN doc_id % 2 = 0 THEN 'The gate is closed until further notice. ' || text ELSE 'Update: ' || body || ' This is now cancelled and will not happen.' END",
     )
     + " AS input FROM base JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"
 )

@@ -1,4 +1,4 @@
-"""Splits, samples, set checks, pairs and synthetic text."""
+"""Splits, samples, set checks and pairs."""
 
 from __future__ import annotations
 
@@ -126,22 +126,6 @@ def _list_sql(words: str) -> str:
     return "['" + "','".join(words.split(" ")) + "']"
 
 
-def _synth_sql() -> str:
-    vocab = "[" + ", ".join(_list_sql(w) for w in S.TICKET_WORDS.values()) + "]"
-    names = _list_sql(" ".join(S.TICKET_WORDS))
-    h = {k: hex_int_sql(f"md5('9:{k}:' || doc_id || ':' || i)") for k in ("kind", "other", "word")}
-    return f"""WITH w AS (SELECT {vocab} AS v, {_list_sql(S.FILLER_WORDS)} AS f, {names} AS c),
-g AS (SELECT doc_id, CAST(doc_id % 6 AS BIGINT) AS k, unnest(range(1, 11 + {hex_int_sql("md5('9:len:' || doc_id)")} % 15)) AS i FROM documents),
-r AS (SELECT doc_id, k, i, {h["kind"]} / 268435456.0::DOUBLE AS u, {h["other"]} AS o, {h["word"]} AS n FROM g),
-s AS (SELECT doc_id, k, i, n, CASE WHEN u < 0.15 THEN v[(k + 1 + o % 5) % 6 + 1] WHEN u < 0.75 THEN v[k + 1] ELSE f END AS l FROM r, w)
-SELECT doc_id, string_agg(l[n % len(l) + 1], ' ' ORDER BY i) AS text, any_value(c[k + 1]) AS label FROM s, w GROUP BY doc_id"""
-
-
-@query("synth_examples", _synth_sql())
-def q_synth_examples(spark, sf):
-    return S.synth_examples(documents(spark, sf).select("doc_id"), "doc_id", 9)
-
-
 @query("label_index", "SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT lang FROM documents)")
 def q_label_index(spark, sf):
     from arbitra.operators.train import label_index

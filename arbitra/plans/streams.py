@@ -58,14 +58,21 @@ def _mon_cols(df):
     )
 
 
-@query("monitor_stream", _mon_sql(_MON.format(w="date_trunc('day', ts)")))
-def q_monitor_stream(spark, sf):
+def _monitored(spark, agg):
+    """Run a monitor to the end of its input. Each batch writes only the windows that it changed, under its number (a repeated batch
+    replaces itself), and state leaves with the watermark. The last row of a window is its value."""
     out = scratch_dir(spark, "monitor")
-    agg = monitor(_event_decisions(stream_of(spark, sf, "events")), "ts", "1 day")
-    write = agg.writeStream.outputMode("complete").option("checkpointLocation", scratch_dir(spark, "cp"))
-    q = write.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
+    write = agg.writeStream.outputMode("update").option("checkpointLocation", scratch_dir(spark, "cp"))
+    q = write.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return _mon_cols(spark.read.parquet(out))
+    values = F.struct("batch", "n", "mean_energy", "min_energy", "max_energy")
+    last = spark.read.parquet(out).groupBy("window_start", "question", "action").agg(F.max(values).alias("v"))
+    return last.select("window_start", "question", "action", "v.*").drop("batch")
+
+
+@query("monitor_stream", _mon_sql(_MON.format(w="date_trunc('day', ts)")))
+def q_monitor_stream(spark, sf):
+    return _mon_cols(_monitored(spark, monitor(_event_decisions(stream_of(spark, sf, "events")), "ts", "1 day")))
 
 
 @query(
@@ -77,7 +84,7 @@ def q_monitor_stream(spark, sf):
     ),
 )
 def q_monitor_sliding(spark, sf):
-    return _mon_cols(monitor(_event_decisions(table(spark, sf, "events")), "ts", "1 day", "12 hours"))
+    return _mon_cols(_monitored(spark, monitor(_event_decisions(stream_of(spark, sf, "events")), "ts", "1 day", "12 hours")))
 
 
 @query(

@@ -40,21 +40,21 @@ def _by_lang(spark, sf):
 @query("train_hashed")
 def q_train_hashed(spark, sf):
     train, held = _by_lang(spark, sf)
-    m = calibrate(T.train_hashed(train, "text", "lang", max_iter=50), held, "doc_id", "text", "lang")
+    m = calibrate(T.train_hashed(train, "text", "lang"), held, "doc_id", "text", "lang")
     return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "lang")])
 
 
 @query("train_tfidf")
 def q_train_tfidf(spark, sf):
     train, held = _halves(spark, sf, labelled(spark, sf).select("doc_id", "text", "truth"), "truth")
-    m = calibrate(T.train_tfidf(train, "doc_id", "text", "truth", min_df=2), held, "doc_id", "text", "truth")
+    m = calibrate(T.train_tfidf(train, "doc_id", "text", "truth"), held, "doc_id", "text", "truth")
     return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "truth")])
 
 
 @query("train_tfidf_languages")
 def q_train_tfidf_languages(spark, sf):
     train, held = _by_lang(spark, sf)
-    m = T.train_tfidf(train, "doc_id", "text", "lang", c=8.0, min_df=3, max_iter=50)
+    m = T.train_tfidf(train, "doc_id", "text", "lang", c=8.0)
     m = T.reorder_classes(m, ["fr", "en", "es", "de"])
     m = calibrate(m, held, "doc_id", "text", "lang")
     return _summary(spark, [m], [T.model_accuracy(m, held, "doc_id", "text", "lang")])
@@ -82,7 +82,7 @@ def q_reorder_classes(spark, sf):
 @query("sweep")
 def q_sweep(spark, sf):
     train, held = _halves(spark, sf, labelled(spark, sf).select("doc_id", "text", "truth"), "truth")
-    s = T.sweep(train, held, "doc_id", "text", "truth", ngrams=(2, 3), cs=(4.0, 8.0), max_iter=30, min_df=3)
+    s = T.sweep(train, held, "doc_id", "text", "truth", ngrams=(2, 3), cs=(4.0, 8.0))
     return s.select("n_max", "c", "n_terms", r6("accuracy").alias("accuracy"))
 
 
@@ -93,7 +93,7 @@ def q_train_questions(spark, sf):
         "doc_id", "text", F.explode(F.create_map(F.lit("quality"), "truth", F.lit("toxic"), "flag")).alias("question", "label")
     )
     train, held = _halves(spark, sf, rows.withColumn("cell", F.concat_ws("|", "question", "label")), "cell")
-    models = T.train_questions(train, held, "question", "doc_id", "text", "label", min_df=3, max_iter=50)
+    models = T.train_questions(train, held, "question", "doc_id", "text", "label")
     acc = [T.model_accuracy(m, held.filter(F.col("question") == n), "doc_id", "text", "label") for n, m in models.items()]
     return _summary(spark, list(models.values()), acc)
 
@@ -101,7 +101,7 @@ def q_train_questions(spark, sf):
 @query("train_mlp")
 def q_train_mlp(spark, sf):
     train, held = _by_lang(spark, sf)
-    model, classes = T.train_mlp(train, "text", "lang", hidden=8, max_iter=15)
+    model, classes = T.train_mlp(train, "text", "lang", hidden=64, max_iter=50)
     scored = written(T.score_mlp(held, model, "text", ["doc_id", "lang"]), "mlp")
     fit = calibrate_logits(scored, classes, "lang")
     judged = predict(scored, classes, fit["temperature"])
@@ -116,8 +116,10 @@ def q_train_signals(spark, sf):
     sender = F.concat("source", F.lit("@"), "lang", F.lit(".example.com"))
     flags = R.signal_flags(sender, F.col("input"), link)
     flags["free_hosting"] = R.flag_hosting(link, ["fr.example.com", "de.example.com"])
-    flags["urgency"] = F.col("n_chars") > 1000
-    models = T.train_signals(train, held, flags, "doc_id", "input", min_df=3, max_iter=30)
+    # Invented prose holds no pressing words and its senders no webmail: only rules that vary on it can be trained.
+    varies = train.agg(*[F.count_distinct(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()]).first()
+    flags = {n: c for n, c in flags.items() if varies[n] > 1}
+    models = T.train_signals(train, held, flags, "doc_id", "input")
     acc = []
     for name, m in models.items():
         judged = held.withColumn("label", flags[name].cast("string"))
@@ -128,7 +130,7 @@ def q_train_signals(spark, sf):
 @query("label_curve")
 def q_label_curve(spark, sf):
     train, held = _by_lang(spark, sf)
-    return rounded(T.label_curve(train, held, "doc_id", "text", "lang", ks=(8, 16, 32, None), min_df=3, max_iter=30), "accuracy")
+    return rounded(T.label_curve(train, held, "doc_id", "text", "lang", ks=(8, 16, 32, None)), "accuracy")
 
 
 @query("ablate")
@@ -138,22 +140,7 @@ def q_ablate(spark, sf):
 
     def run(t, name):
         train, held = (t.filter(F.col("split") == x) for x in ("train", "validation"))
-        m = T.train_hashed(train, "text", "lang", name, max_iter=30)
+        m = T.train_hashed(train, "text", "lang", name)
         return T.scored_accuracy(T.score(held, m, "doc_id", "text", ["lang"]), m, "lang")
 
     return rounded(ablate(s, {"body": ["body"], "source": ["source"], "all": ["source", "body"]}, run), "accuracy")
-
-
-@query("score_external")
-def q_score_external(spark, sf):
-    """Scores every embedding with the model of the ten class means."""
-    from arbitra.operators.score import score_external
-    from arbitra.plans.onnxfile import linear_model
-
-    e = table(spark, sf, "embeddings")
-    means = e.groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i))).alias(f"m{i}") for i in range(64)]).orderBy("label").collect()
-    model = linear_model([[10.0 * v for v in r[1:]] for r in means])
-    labels = [str(r[0]) for r in means]
-    scored = score_external(e, model, labels, keep=["vec_id", "label"], vector_col="embedding")
-    out = predict(scored.withColumnRenamed("label", "truth"), labels)
-    return out.select("vec_id", F.col("truth").cast("string").alias("truth"), "label", r6("confidence").alias("confidence"))

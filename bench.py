@@ -17,8 +17,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "hashed_tf", "fit_vocab", "tfidf_weights", "score_hashed", "score_tfidf", "ask", "decision_mix", "ask_batch",
     "ask_hybrid", "decompose", "fit_temperature", "ece", "auroc", "auroc_by_type", "latency_summary", "best_stump",
-    "split_halves", "cap_per_class", "build_pairs", "drop_probe_overlap", "synth_examples", "aug_cancel",
-    "ask_stream", "define", "train_hashed",
+    "split_halves", "cap_per_class", "build_pairs", "drop_probe_overlap", "aug_cancel",
+    "ask_stream", "define", "train_hashed", "train_tfidf", "calibrate",
 ]
 
 

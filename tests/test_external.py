@@ -1,75 +1,19 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arbitra.operators.calibrate import calibrate_logits
-from arbitra.operators.score import pad_ids, score_external
-from arbitra.plans.onnxfile import linear_model
-from tests.test_text import _fnv
+from arbitra.operators.score import pad_ids
 
-LABELS = ["a", "b", "c"]
 
-
-@pytest.fixture(scope="module")
-def hashed_file(tmp_path_factory):
-    """Weight 3.0 where bucket % 3 is the class."""
-    path = tmp_path_factory.mktemp("onnx") / "m.onnx"
-    path.write_bytes(linear_model([[3.0 * (i % 3 == c) for i in range(16384)] for c in range(3)]))
-    return str(path)
-
-
-def test_hashed_model_file(spark, hashed_file):
-    texts = ["hello world hello", "refund", "", "日本 café"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = {r["id"]: r["logits"] for r in score_external(df, hashed_file, LABELS, keep=["id"], text_col="text", batch_rows=3).collect()}
-    for i, t in enumerate(texts):
-        want = [0.0, 0.0, 0.0]
-        for tok in t.split():
-            want[_fnv(tok) % 3] += 3.0
-        assert got[i] == pytest.approx(want)
-
-
-def test_logit_count_must_equal_the_labels(spark, hashed_file):
-    df = spark.createDataFrame([(1, "x")], "id int, text string")
-    with pytest.raises(Exception, match="labels are configured"):
-        score_external(df, hashed_file, ["a", "b"], keep=["id"], text_col="text").collect()
-    with pytest.raises(ValueError, match="empty"):
-        score_external(df, hashed_file, [], keep=["id"], text_col="text")
-    with pytest.raises(ValueError, match="exactly one"):
-        score_external(df, hashed_file, LABELS, keep=["id"])
-
-
-def test_dense_model_and_calibration(spark):
-    model = linear_model([[1.0, 0.0], [0.0, 1.0]])
-    df = spark.createDataFrame([(1, [2.0, 1.0], "a"), (2, [0.5, 3.0], "b")], "id int, v array<double>, label string")
-    scored = score_external(df, model, ["a", "b"], keep=["id", "label"], vector_col="v")
-    assert {r["id"]: r["logits"] for r in scored.collect()} == {1: [2.0, 1.0], 2: [0.5, 3.0]}
-    assert calibrate_logits(scored, ["a", "b"])["temperature"] == 0.05
-
-
-@pytest.mark.parametrize("ids,want,mask", [([1, 2, 3], [1, 2, 3, 0, 0, 0, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0]), ([1, 2, 3] * 3 + [1], [1, 2, 3, 1, 2, 3, 1, 2], [1] * 8), ([], [0] * 8, [0] * 8)])
+@pytest.mark.parametrize(
+    "ids,want,mask",
+    [
+        ([1, 2, 3], [1, 2, 3, 0, 0, 0, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0]),
+        ([1, 2, 3] * 3 + [1], [1, 2, 3, 1, 2, 3, 1, 2], [1] * 8),
+        ([], [0] * 8, [0] * 8),
+    ],
+)
 def test_padding(spark, ids, want, mask):
     df = spark.createDataFrame([(ids,)], "ids array<bigint>")
     a, m = pad_ids(F.col("ids"), 8)
     row = df.select(a.alias("a"), m.alias("m")).first()
     assert (row["a"], row["m"]) == (want, mask)
-
-
-def test_token_ids_are_padded_cut_and_masked(spark):
-    weights = [[float(10**i) for i in range(4)], [1.0] * 4]
-    df = spark.createDataFrame([(1, [5, 6]), (2, [1, 2, 3, 4, 9, 9]), (3, [])], "id int, ids array<int>")
-    got = score_external(df, linear_model(weights, token_ids=True), ["a", "b"], keep=["id"], ids_col="ids", max_length=4)
-    assert {r["id"]: r["logits"] for r in got.collect()} == {1: [65.0, 11.0], 2: [4321.0, 10.0], 3: [0.0, 0.0]}
-
-
-def test_missing_model_file(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x")], "id int, text string")
-    with pytest.raises(Exception, match="(?i)not.?found|does not exist"):
-        score_external(df, str(tmp_path / "none.onnx"), LABELS, keep=["id"], text_col="text")
-
-
-def test_large_model_is_read_by_path(spark, hashed_file, monkeypatch):
-    import arbitra.operators.score as module
-
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 10)
-    df = spark.createDataFrame([(1, "hello")], "id int, text string")
-    assert score_external(df, hashed_file, LABELS, keep=["id"], text_col="text").first()["logits"] == [3.0, 0.0, 0.0]

@@ -148,15 +148,3 @@ def test_pairs_hold_a_margin(spark):
         first, second = (other, best) if row["label"] == "B" else (best, other)
         assert row["text"] == f"A {first[2]} || B {second[2]}"
     assert {r["label"] for r in got.values()} == {"A", "B"}
-
-
-def test_synthetic_tickets(spark):
-    rows = S.synth_examples(spark.range(600), "id", 4).collect()
-    again = S.synth_examples(spark.range(600).repartition(5), "id", 4).collect()
-    assert {r["id"]: r["text"] for r in rows} == {r["id"]: r["text"] for r in again}
-    assert Counter(r["label"] for r in rows) == {c: 100 for c in S.TICKET_WORDS}
-    words = [(w, r["label"]) for r in rows for w in r["text"].split(" ")]
-    assert all(10 <= len(r["text"].split(" ")) <= 24 for r in rows)
-    own = sum(w in S.TICKET_WORDS[c].split(" ") for w, c in words) / len(words)
-    filler = sum(w in S.FILLER_WORDS.split(" ") for w, _ in words) / len(words)
-    assert 0.55 < own < 0.65 and 0.2 < filler < 0.32

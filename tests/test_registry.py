@@ -72,6 +72,14 @@ def test_promotion_moves_a_pointer(spark):
     assert G.current_version(back).first()["version"] == 1 and back.count() == 3
     with pytest.raises(ValueError):
         G.rollback(log, "none")
+    log, _ = G.promote(log, "q", 3, open_)
+    seen = []
+    for _ in range(2):
+        log = G.rollback(log, "q")
+        seen.append(G.current_version(log).first()["version"])
+    assert seen == [2, 1]
+    with pytest.raises(ValueError):
+        G.rollback(log, "q")
 
 
 def test_manifest(spark):
@@ -95,13 +103,15 @@ def _fields(df):
 
 
 def test_advisory_rows(spark):
-    rows = _fields(A.aug_advisory(_mails(spark), "id", "input", cap=12))
+    rows = _fields(A.aug_advisory(_mails(spark), "id", "input", cap=12, chars=A.QUOTE_CHARS))
     assert len(rows) == 12 and {r["label"] for r in rows.values()} == {"legitimate"}
     assert sorted(r["from"] for r in rows.values()) == sorted(a for _, a in A.ADVISORY_SENDERS for _ in range(2))
     frames = dict(A.ADVISORY_FRAMES)
     for i, r in rows.items():
         frame = frames[r["subject"]]
         assert r["body"].startswith(frame + f"pay now {i}. ") and len(r["body"]) == len(frame) + 400
+    whole = _fields(A.aug_advisory(_mails(spark), "id", "input"))
+    assert len(whole) == 30 and all(r["body"].endswith("z" * 600) for r in whole.values())
 
 
 def test_negation_rows(spark):
@@ -119,7 +129,9 @@ def test_cancel_rows(spark):
     assert rows[30]["subject"] == "Update: Hi"
     assert rows[31]["body"] == "Update: plain words This is now cancelled and will not happen."
     assert (rows[31]["subject"], rows[31]["from"]) == ("Update: notice", "a@b.c")
-    assert rows[32]["body"].startswith("Update: arrives Friday This is now cancelled")
+    assert rows[32]["body"] == "will not arrive Friday"
+    short = _fields(A.aug_cancel(_mails(spark), "id", "input", chars=5, whole=20))
+    assert short[31]["body"] == "Update: plain This i"
     assert {r["label"] for r in rows.values()} == {"legitimate"}
 
 
