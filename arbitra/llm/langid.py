@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,11 @@ UNKNOWN = "und"
 FOLDS = 5
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_SPACE = np.array([32], np.uint32)
 _letters: np.ndarray | None = None
+# N-grams that are hashed, or held by a task before it counts them, at once; distinct ones it holds before it sends them.
+PART = 1 << 20
+HELD = 1 << 20
 
 
 def letters() -> np.ndarray:
@@ -33,47 +39,68 @@ def letters() -> np.ndarray:
     return _letters
 
 
-def grams(text: str | None) -> np.ndarray | None:
-    """64-bit hashes of the n-grams of the lower-case text, words apart by one space; None without a letter."""
+def grams(text: str | None) -> Iterator[np.ndarray]:
+    """64-bit hashes of the n-grams of the lower-case text, words apart by one space, in parts of at most PART; nothing without a letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letters()[codes]
     if not is_letter.any():
-        return None
-    codes = np.where(is_letter, codes, 32)
-    codes = np.concatenate(([32], codes, [32])).astype(np.uint64)
+        return
+    codes = np.where(is_letter, codes, np.uint32(32))
+    codes = np.concatenate((_SPACE, codes, _SPACE))
     codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-    out = []
     for n in SIZES:
-        m = len(codes) - n + 1
-        if m > 0:
+        for at in range(0, len(codes) - n + 1, PART):
+            part = codes[at : at + PART + n - 1].astype(np.uint64)
+            m = len(part) - n + 1
             h = np.full(m, n, np.uint64)
             for k in range(n):
-                h += codes[k : k + m] * _ODD[k]
+                h += part[k : k + m] * _ODD[k]
             h ^= h >> np.uint64(31)
             h *= _ODD[0]
             h ^= h >> np.uint64(29)
             h *= _ODD[1]
-            out.append(h ^ (h >> np.uint64(32)))
-    return np.concatenate(out)
+            yield h ^ (h >> np.uint64(32))
 
 
 def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """``(lang, gram, n)`` over all rows."""
 
     def run(batches):
-        for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for t, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                h = grams(t.as_py())
-                if h is not None:
-                    by.setdefault(g, []).append(h)
-            for g, hs in by.items():
+        seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # distinct so far, with counts
+        fresh: dict[str, list[np.ndarray]] = {}
+        waiting = 0
+
+        def settle():
+            for g, hs in fresh.items():
                 u, n = np.unique(np.concatenate(hs), return_counts=True)
+                if g in seen:
+                    both = np.concatenate((seen[g][0], u))
+                    u, at = np.unique(both, return_inverse=True)
+                    n = np.bincount(at, np.concatenate((seen[g][1], n))).astype(np.int64)
+                seen[g] = u, n
+            fresh.clear()
+
+        def send():
+            for g, (u, n) in seen.items():
                 for i in range(0, len(u), 200_000):
                     k = len(u[i : i + 200_000])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([g] * k), pa.array(u[i : i + k].view(np.int64)), pa.array(n[i : i + k].astype(np.int64))], names=["lang", "gram", "n"]
                     )
+            seen.clear()
+
+        for b in batches:
+            for t, g in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for h in grams(t.as_py()):
+                    fresh.setdefault(g, []).append(h)
+                    waiting += len(h)
+                    if waiting >= PART:
+                        settle()
+                        waiting = 0
+                        if sum(len(u) for u, _ in seen.values()) >= HELD:
+                            yield from send()
+        settle()
+        yield from send()
 
     out = docs.select(F.col(text), F.col(lang).cast("string")).mapInArrow(run, "lang string, gram bigint, n bigint")
     return out.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -90,19 +117,20 @@ class Filters:
         return (masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        h = grams(text)
-        if h is None or not self.langs:
+        hits, n = np.zeros(len(self.langs)), 0
+        for h in grams(text):
+            n += len(h)
+            at = [(h >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1) for k in range(HASHES)]
+            for part, slots in enumerate(self.slots):
+                masks = slots[at[0]]
+                for a in at[1:]:
+                    masks &= slots[a]
+                for i in range(64 * part, min(64 * part + 64, len(self.langs))):
+                    hits[i] += np.count_nonzero(self._bit(i, masks))
+        if not n or not self.langs:
             return UNKNOWN, 0.0
-        at = [(h >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1) for k in range(HASHES)]
-        hits = np.zeros(len(self.langs))
-        for part, slots in enumerate(self.slots):
-            masks = slots[at[0]]
-            for a in at[1:]:
-                masks &= slots[a]
-            for i in range(64 * part, min(64 * part + 64, len(self.langs))):
-                hits[i] = np.count_nonzero(self._bit(i, masks))
         # Of n lookups, the share ``error`` would hit a filter without its language: take those out.
-        true = np.clip((hits - len(h) * self.errors) / np.maximum(1 - self.errors, 1e-9), 0, None)
+        true = np.clip((hits - n * self.errors) / np.maximum(1 - self.errors, 1e-9), 0, None)
         best = int(true.argmax())
         total = true.sum()
         return self.langs[best], float(true[best] / total) if total else 1 / len(self.langs)
