@@ -19,6 +19,8 @@ SAMPLE = 8192
 SHARDS = 8
 CUT = 0.5
 PIECE = 1 << 20
+# Largest part of the gradient at which a fit has converged.
+STILL = 1e-5
 
 _COUNTED = {name: np.isin(np.arange(256), list(chars)) for name, chars in (
     ("symbols", b"#*$%&|<>"), ("bangs", b"!"), ("upper", bytes(range(65, 91))), ("letters", bytes([*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)])),
@@ -113,14 +115,20 @@ def features(raw: bytes) -> np.ndarray:
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> np.ndarray:
     """Weights and, last, the intercept of an L2-penalised logistic fit to soft labels, by accelerated gradient descent."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(x.shape[1])
-    step = 1 / (0.25 * (len(GRAMS) ** 2 + 1) + l2)
+    y = y.astype(np.float32)  # single precision throughout: a double vector would copy the matrix in every round
+    w = v = np.zeros(x.shape[1], np.float32)
+    penalty = np.full(x.shape[1], l2, np.float32)
+    penalty[-1] = 0
+    step = np.float32(1 / (0.25 * (len(GRAMS) ** 2 + 1) + l2))
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -50, 50)))
-        new = v - step * (x.T @ (p - y) / len(y) + l2 * np.append(v[:-1], 0))
-        v = new + t / (t + 3) * (new - w)
+        slope = ((p - y) / np.float32(len(y))) @ x + penalty * v
+        if np.abs(slope).max() < STILL:
+            break
+        new = v - step * slope
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 def _votes_of(docs: DataFrame, text: str) -> DataFrame:
