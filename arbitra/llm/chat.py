@@ -211,8 +211,8 @@ def records(turns: DataFrame) -> DataFrame:
     human = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     messages = F.to_json(F.struct(listed("role", "content").alias("messages")))
     json_text = (
-        F.when(shape == "user,assistant", F.when(pick == 0, flat("prompt", "response")))
-        .when(shape == "system,user,assistant", F.when(pick != 1, flat("instruction", "input", "output")))
+        F.when((shape == "user,assistant") & (pick == 0), flat("prompt", "response"))
+        .when((shape == "system,user,assistant") & (pick != 1), flat("instruction", "input", "output"))
         .when(usual & (pick == 1), F.to_json(F.struct(listed("from", "value", human).alias("conversations"))))
         .when(pick == 2, F.to_json(F.struct(F.struct(listed("speaker", "text").alias("turns")).alias("data"))))
     )

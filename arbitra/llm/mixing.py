@@ -64,7 +64,7 @@ def rates(docs: DataFrame, source: str, size: Column, weights: Mapping[str, floa
     return wanted.select(
         "source",
         "size",
-        F.when(F.col("weight") == 0, 0.0).when(F.col("size") > 0, rate).otherwise(F.lit(float(epochs))).alias("rate"),
+        F.when(F.lit(weights is not None) & (F.col("weight") == 0), 0.0).when(F.col("size") > 0, rate).otherwise(F.lit(float(epochs))).alias("rate"),
     )
 
 
@@ -108,7 +108,7 @@ def mix(
         joined = docs.join(F.broadcast(per), F.col(source).eqNullSafe(F.col("__source")))
     else:  # a source's rows are dealt over SALTS keys
         salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS))
-        salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = docs.withColumn("__own", salt).join(
             salted, (F.col("__own") == F.col("__salt")) & F.col(source).eqNullSafe(F.col("__source"))
         )

@@ -193,7 +193,7 @@ def normalise(archives: DataFrame, folder: str, *, level: int = LEVEL, drop: boo
                             name, at, end - at, h["warc-record-id"].strip("<>"), h["warc-type"], h.get("warc-target-uri"),
                             h.get("warc-payload-digest"), h.get("warc-refers-to", "").strip("<>") or None,
                         )
-                        idx.write(("\t".join(str(x or "") if i else "" for i, x in enumerate(row)).lstrip("\t") + "\n").encode())
+                        idx.write(("\t".join("" if x is None else str(x) for x in row[1:]) + "\n").encode())
                         rows.append(row)
                         at = end
                         if len(rows) >= 10_000:
