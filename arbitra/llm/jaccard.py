@@ -204,7 +204,6 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     once = F.col("one.g") == F.array_min(F.array_intersect("one.ids", "two.ids"))
     second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")) & once)
     rest = scratch.write(ordered(second).join(tried, ["a", "b"], "left_anti"), "rest")
-    rest = scratch.write(rest, "rest")
     more = scratch.write(overlaps(rest, docs, n_gram, percent, scratch), "links")
     if not more.isEmpty():
         groups = scratch.write(components(links.unionAll(more), scratch), "groups")
