@@ -21,6 +21,9 @@ MAX_FREQUENT = 1 << 17
 SMALL = 6
 # N-grams that one block of the product holds on average (8 bytes each).
 BLOCK = 2_000_000
+# Column blocks of the incidence matrix, by the top bits of an n-gram's hash, whose sizes bound an overlap.
+COLUMN_BITS = 7
+_FULL = np.iinfo(np.uint16).max
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
@@ -64,7 +67,7 @@ def frequent(docs: DataFrame, n_gram: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
-    """``(doc_id, n, set_id, prefix)``: size and digest of each set, and its rarest n-grams in the common order.
+    """``(doc_id, n, set_id, prefix, sizes)``: size and digest of each set, its rarest n-grams in the common order, and its size in each column block.
 
     Two sets can only reach the threshold if their prefixes meet: of ``n`` n-grams, all but ``ceil(percent * n / 100) - 1``.
     """
@@ -75,7 +78,7 @@ def signatures(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
         shingles = Shingler(n_gram)
         grams, counts = known.value
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(t.as_py())
                 n = len(s)
@@ -86,12 +89,38 @@ def signatures(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
                 else:
                     ordered = s
                 prefix = ordered[: n - (percent * n + 99) // 100 + 1] if n else ordered
-                for c, v in zip(out, (key, n, xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64)), strict=True):
+                sizes = np.bincount((s >> np.uint64(64 - COLUMN_BITS)).astype(np.int64), minlength=1 << COLUMN_BITS)
+                sizes = np.minimum(sizes, _FULL).astype(np.uint16).tobytes()
+                for c, v in zip(out, (key, n, xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64), sizes), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n", "set_id", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            names = ["doc_id", "n", "set_id", "prefix", "sizes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, set_id binary, prefix array<bigint>, sizes binary")
+
+
+def reachable(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b, na, nb)`` whose overlap can reach the threshold by the sizes of their column blocks.
+
+    An overlap is at most the sum over the blocks of the smaller of both sizes, so no link is lost. A size too large for its
+    16 bits bounds nothing.
+    """
+    sizes = signed.select("doc_id", "sizes").dropDuplicates(["doc_id"])
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("sizes").alias(f"s{side}")), side)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in (4, 5))
+            least = np.minimum(p, q).astype(np.int64)
+            na, nb = (b.column(c).to_numpy() for c in (2, 3))
+            ok = (least.sum(1) * (100 + percent) >= (na + nb) * percent) | (least == _FULL).any(1)
+            yield b.select([0, 1, 2, 3]).filter(pa.array(ok))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
 def possible(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
@@ -149,6 +178,7 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     2. Each row lists its prefix. Rows that list the same n-gram are candidates if sizes and places allow the threshold.
     3. In a short list all pairs are counted. In a long one all rows are first counted against the most central row; where all then are in one
        component nothing is left to do. Rows in another component are counted against all rows that are not in theirs.
+       Of those, pairs that the sizes of their column blocks rule out are dropped.
     4. Overlaps of the remaining entries are counted exactly (``overlaps``), and links are joined into components.
 
     Every link joins two rows of one component at the end, and no other pair is joined; no cap applies. A null or empty text has no set and is alone.
@@ -204,6 +234,7 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     once = F.col("one.g") == F.array_min(F.array_intersect("one.ids", "two.ids"))
     second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")) & once)
     rest = scratch.write(ordered(second).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.write(reachable(rest, signed, percent), "rest")
     more = scratch.write(overlaps(rest, docs, n_gram, percent, scratch), "links")
     if not more.isEmpty():
         groups = scratch.write(components(links.unionAll(more), scratch), "groups")
