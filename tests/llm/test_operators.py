@@ -458,3 +458,25 @@ def test_scratch_tables_can_be_dropped(spark):
     assert t.count() == 3
     s.drop(t)
     assert not s.paths and scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_op8_column_block_sizes_never_rule_out_a_link(spark):
+    """Pairs at 79 to 95 % likeness, and unlike ones: all true links stay, most unlike ones go."""
+    from arbitra.llm.jaccard import Shingler, reachable, signatures
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for changed in (1, 3, 5, 8, 10, 400):
+        other = list(base)
+        for i in rng.sample(range(400), changed):
+            other[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(Shingler(4)(t).tolist()) for t in texts]
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    linked = {(a, b) for a, b, *_ in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint, na bigint, nb bigint")
+    got = {(r.a, r.b) for r in reachable(frame, signatures(docs, 4, 85), 85).collect()}
+    assert linked and linked <= got
+    assert (0, 6) not in got
