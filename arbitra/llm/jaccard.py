@@ -145,18 +145,14 @@ def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scrat
     block = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(n_blocks))
     homes = homes.join(heavy, "home").select("b", block.alias("block"))
     placed = scratch.write(pairs.join(homes, "b"), "entries")
-    rows = placed.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = placed.select(F.col("block").alias("row_block"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def run(batches):
-        shingles = Shingler(n_gram)
-        for b in batches:
-            x = [shingles(t.as_py()).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["block", "doc_id", "x"])
-
-    incidence = rows.join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("block", "doc_id", "text").mapInArrow(run, "block bigint, doc_id bigint, x binary")
+    # Rows travel as texts, which compress where their n-grams' hashes do not.
+    incidence = rows.join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("row_block", "doc_id", "text")
 
     def count(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        x = {k: np.frombuffer(v, np.uint64) for k, v in zip(rows["doc_id"], rows["x"], strict=True)}
+        shingles = Shingler(n_gram)
+        x = {k: shingles(t) for k, t in zip(rows["doc_id"], rows["text"], strict=True)}
         linked = []
         for a, b in zip(entries["a"], entries["b"], strict=True):
             p, q = x[a], x[b]
@@ -168,7 +164,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scrat
                 linked.append((a, b))
         return pd.DataFrame(linked, columns=["a", "b"], dtype="int64")
 
-    return incidence.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(count, "a bigint, b bigint")
+    return incidence.groupBy("row_block").cogroup(placed.groupBy("block")).applyInPandas(count, "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
