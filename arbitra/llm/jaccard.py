@@ -164,7 +164,9 @@ def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scrat
                 linked.append((a, b))
         return pd.DataFrame(linked, columns=["a", "b"], dtype="int64")
 
-    return incidence.groupBy("row_block").cogroup(placed.groupBy("block")).applyInPandas(count, "a bigint, b bigint")
+    linked = scratch.write(incidence.groupBy("row_block").cogroup(placed.groupBy("block")).applyInPandas(count, "a bigint, b bigint"), "links")
+    scratch.drop(placed)
+    return linked
 
 
 def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +219,8 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     )
     first = pairs_of(short.select(*narrow), short.select(*narrow), F.col("one.doc") < F.col("two.doc"))
     tried = scratch.write(ordered(first.unionAll(star)), "tried")
-    links = scratch.write(overlaps(tried, docs, n_gram, percent, scratch), "links")
+    scratch.drop(lists)
+    links = overlaps(tried, docs, n_gram, percent, scratch)
     groups = scratch.write(components(links, scratch), "groups")
     # Long lists whose rows are not all in the component of the central row.
     own = groups.select(F.col("node").alias("doc"), F.col("component").alias("own"))
@@ -226,15 +229,19 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     # A pair that shares several long lists is a candidate in that with the smallest number only, judged by each row's first place in any.
     all_lists = long.groupBy("doc").agg(F.min("at").alias("at0"), F.collect_set("g").alias("ids"))
     mixed = scratch.write(mixed.join(all_lists, "doc").drop("at").withColumnRenamed("at0", "at"), "mixed")
+    scratch.drop(long)
     left_out = mixed.where("own <> c_own")
     once = F.col("one.g") == F.array_min(F.array_intersect("one.ids", "two.ids"))
     second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")) & once)
     rest = scratch.write(ordered(second).join(tried, ["a", "b"], "left_anti"), "rest")
-    rest = scratch.write(reachable(rest, signed, percent), "rest")
-    more = scratch.write(overlaps(rest, docs, n_gram, percent, scratch), "links")
+    scratch.drop(mixed, tried)
+    possibly = scratch.write(reachable(rest, signed, percent), "rest")
+    ids = scratch.write(signed.select("doc_id", "n", "set_id").distinct(), "ids")
+    scratch.drop(rest, signed)
+    more = overlaps(possibly, docs, n_gram, percent, scratch)
     if not more.isEmpty():
         groups = scratch.write(components(links.unionAll(more), scratch), "groups")
-    final = signed.select("doc_id", "n", "set_id").distinct().join(sets, "set_id", "left")
+    final = ids.join(sets, "set_id", "left")
     final = final.join(groups, F.col("rep") == F.col("node"), "left")
     return final.groupBy("doc_id").agg(
         F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "rep", "doc_id")).alias("component_id")
