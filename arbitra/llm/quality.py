@@ -26,6 +26,9 @@ FLOOR = 0.1
 # Words and lines of typical text that are added before a ratio is taken: short texts vary more.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 5, 5
 GRID = 1024
+# Groups up to which their estimates are broadcast (200 bytes each). Of more, each is joined under SALTS keys.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
 
 
 def _even_chi2(x: float, d: int) -> float:
@@ -123,17 +126,26 @@ def grid(c: Column, steps: int = GRID) -> Column:
     return F.round(c * steps).cast("bigint")
 
 
-def fit_mcd(rows: DataFrame, group: str, scratch: Scratch) -> DataFrame:
+def join_groups(rows: DataFrame, per: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of the row of ``per`` for their keys. No group of rows meets in one task."""
+    if few:
+        return rows.join(F.broadcast(per), keys, how)
+    salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.floor(F.rand(7) * SALTS).cast("int")
+    return rows.withColumn("__salt", own).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+def fit_mcd(rows: DataFrame, group: str, scratch: Scratch, few: bool = False) -> DataFrame:
     """Per group: ``c*``, ``l**`` (centre and Cholesky factor of the minimum-covariance-determinant estimate).
 
     Starts at the coordinate medians with median absolute deviations. Each concentration step takes the CORE share with the smallest
     distance and re-estimates from it, which never raises the determinant. A step is two aggregations of a few numbers per
-    group, so a group of any size is summed where it lies. FLOOR squared is added to the variances, and the covariance is scaled to be consistent
+    group, so a group of any size is summed where it lies. ``few``: the groups are known to be BROADCAST_GROUPS at most. FLOOR squared is added to the variances, and the covariance is scaled to be consistent
     for normal data.
     """
     mid = rows.groupBy(group).agg(*[(F.percentile(grid(F.col(x)), 0.5) / GRID).alias(f"c{i}") for i, x in enumerate(X)])
     mid = scratch.write(mid, "mcd")
-    off = rows.join(mid, group).groupBy(group, *[f"c{i}" for i in range(DIMS)]).agg(
+    off = join_groups(rows, mid, [group], few).groupBy(group, *[f"c{i}" for i in range(DIMS)]).agg(
         *[(F.percentile(grid(F.abs(F.col(x) - F.col(f"c{i}"))), 0.5) / GRID).alias(f"s{i}") for i, x in enumerate(X)]
     )
     diag = {(i, j): (F.lit(0.0) if i != j else F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOOR**2)) for i, j in PAIRS}
@@ -141,9 +153,9 @@ def fit_mcd(rows: DataFrame, group: str, scratch: Scratch) -> DataFrame:
     q = chi2_quantile(CORE, DIMS)
     scale = CORE / _even_chi2(q, DIMS + 2)
     for _ in range(STEPS):
-        near = rows.join(est, group).withColumn("__b", F.floor(F.log1p(mahalanobis()) * 256))
+        near = join_groups(rows, est, [group], few).withColumn("__b", F.floor(F.log1p(mahalanobis()) * 256))
         limit = near.groupBy(group).agg(F.percentile("__b", CORE).alias("__q"))
-        core = near.join(limit, group).where("__b <= __q")
+        core = join_groups(near, limit, [group], few).where("__b <= __q")
         d = [F.col(x) - F.col(f"c{i}") for i, x in enumerate(X)]
         sums = core.groupBy(group).agg(
             F.count("*").alias("n"), *[F.max(f"c{i}").alias(f"o{i}") for i in range(DIMS)],
@@ -177,16 +189,17 @@ def judge(docs: DataFrame, *, lang: str = "lang", source: str = "source", text:
     names = [c for c in rows.columns if not c.startswith("__")]
     sizes = rows.where("NOT base_failed").groupBy("__lang", "__source").agg(F.count("*").alias("__n"))
     sizes = scratch.write(sizes, "sizes")
+    few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     small = sizes.where(F.col("__n") < MIN_GROUP)
     by_lang = small.groupBy("__lang").agg(F.sum("__n").alias("__nl"))
     own = F.concat(F.lit("source"), F.lit("\0"), "__lang", F.lit("\0"), "__source")
     level = F.when(F.col("__n") >= MIN_GROUP, own).when(F.col("__nl") >= MIN_GROUP, F.concat(F.lit("lang\0"), "__lang")).otherwise("all")
     groups = sizes.join(by_lang, "__lang", "left").select("__lang", "__source", level.alias("__group"))
-    rows = rows.join(groups, ["__lang", "__source"], "left").withColumn("__group", F.coalesce("__group", F.lit("all")))
+    rows = join_groups(rows, groups, ["__lang", "__source"], few, "left").withColumn("__group", F.coalesce("__group", F.lit("all")))
     fit = rows.where("NOT base_failed").select("__group", *X)
     enough = fit.groupBy("__group").count().where(F.col("count") >= MIN_GROUP).select("__group")
-    est = fit_mcd(scratch.write(fit.join(enough, "__group", "left_semi"), "vectors"), "__group", scratch)
-    done = rows.join(est, "__group", "left").withColumn("distance", mahalanobis())
+    est = fit_mcd(scratch.write(join_groups(fit, enough, ["__group"], few), "vectors"), "__group", scratch, few)
+    done = join_groups(rows, est, ["__group"], few, "left").withColumn("distance", mahalanobis())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(cut, DIMS)))
     return done.select(*names, "distance", kept.alias("kept"))
 

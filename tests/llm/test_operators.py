@@ -431,6 +431,12 @@ def test_outliers(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_many_groups_are_joined_under_salts(spark, docs, monkeypatch):
+    few = {tuple(r) for r in quality.judge(docs).select("doc_id", "kept", F.round("distance", 6)).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert {tuple(r) for r in quality.judge(docs).select("doc_id", "kept", F.round("distance", 6)).collect()} == few
+
+
 def test_mcd_matches_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal([1, 0.5, 0.3, 0.2], [0.3, 0.2, 0.2, 0.1], (400, 4)), rng.normal(5, 0.2, (60, 4))])
