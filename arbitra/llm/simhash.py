@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,22 @@ from arbitra.llm.common import WORD, Scratch, table
 TERM_WORDS = 3
 MAX_WEIGHT = 15
 BITS = 128
-RADIUS = 3
+# Near copies have at least this Jaccard similarity of terms (the near-duplicate rule's, on five words; on fewer words it is no lower
+# for scattered edits). Their distance is binomial, and MARGIN standard deviations are added to its mean.
+SIMILARITY = 0.8
+MARGIN = 3.0
+
+
+def radius_of(similarity: float, margin: float = MARGIN) -> int:
+    """Bits that two texts of this Jaccard similarity differ in, at ``margin`` standard deviations above the mean: a
+    bit differs with the angle between their term vectors over pi, and the cosine of equal-sized sets is 2J / (1 + J)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * p + margin * math.sqrt(BITS * p * (1 - p)))
+
+
+RADIUS = radius_of(SIMILARITY)  # 32
+# Fingerprints that are asked for at once in a scan (a broadcast of about 100 bytes each).
+SLICE = 500_000
 # Votes of two bits in one number: 32 bits each hold 2^32 / MAX_WEIGHT terms, more than a text can have.
 LANES = (1 << 32) + 1
 
@@ -86,7 +103,7 @@ def blocks(hi: Column, lo: Column, n: int) -> list[Column]:
     return [F.shiftrightunsigned(h, s).bitwiseAND(mask) for h in (hi, lo) for s in range(0, 64, width)]
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     """All pairs ``(q_hi, q_lo, hi, lo, distance)`` of distinct fingerprints at most ``radius`` bits apart, a fingerprint with itself included.
 
     Fingerprints are cut into more blocks than bits may differ, so a pair agrees in a block at least. One table per block,
@@ -109,6 +126,23 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFra
     return pairs.select("q_hi", "q_lo", F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo"), d.alias("distance"))
 
 
+def scan(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """What ``near`` gives, for any radius, by comparing every asked fingerprint with all.
+
+    Beyond 15 bits of 128, blocks that must agree are so narrow that their tables hold most pairs. The asked fingerprints are
+    broadcast, SLICE at a time, and the others stay where they are: work is the product of both counts, at two counts of bits a pair.
+    """
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct()
+    # a given number of partitions is not merged, however small the rows are
+    every = prints.select("hi", "lo").repartition(n, "hi", "lo").distinct()
+    slices = asked.count() // SLICE + 1
+    d = distance(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo"))
+    parts = [asked.where(F.pmod(F.xxhash64("q_hi", "q_lo"), F.lit(slices)) == i) for i in range(slices)]
+    pairs = [every.join(F.broadcast(part), d <= radius) for part in parts]
+    return reduce(DataFrame.unionAll, pairs).select("q_hi", "q_lo", "hi", "lo", d.alias("distance"))
+
+
 def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, next_id, k)``: the next smaller id (for the smallest the largest) and a third of the text's code points.
 
@@ -127,7 +161,7 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op6_simhash(spark, sf: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts, their likeness, and for each id divisible by 100 how many
-    other documents lie within the radius."""
+    other documents lie within RADIUS bits."""
     scratch = Scratch(spark)
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = scratch.write(with_next(docs, scratch), "next")
@@ -150,7 +184,7 @@ def op6_simhash(spark, sf: str) -> DataFrame:
     )
     sizes = prints.groupBy("hi", "lo").count()
     asked = prints.where("doc_id % 100 = 0")
-    found = near(asked, sizes).join(sizes, ["hi", "lo"]).groupBy("q_hi", "q_lo").agg((F.sum("count") - 1).alias("n_near"))
+    found = scan(asked, sizes).join(sizes, ["hi", "lo"]).groupBy("q_hi", "q_lo").agg((F.sum("count") - 1).alias("n_near"))
     found = asked.join(found, (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo"))).select(F.col("doc_id").alias("a_id"), "n_near")
     after = prints.select(F.col("doc_id").alias("n_id"), F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
     like = lambda p: F.round(likeness(F.col("hi"), F.col("lo"), F.col(f"{p}_hi"), F.col(f"{p}_lo")), 9)

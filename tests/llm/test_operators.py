@@ -262,6 +262,27 @@ def test_fingerprints_and_search(spark, docs, rows):
     assert simhash.fingerprints(empty(spark), ["doc_id"]).count() == 0
 
 
+def test_scan_finds_near_copies_of_texts(spark, tmp_path, monkeypatch):
+    """Texts with a few changed words, and at 80 % of five-word shingles in one run, count as near; others do not."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 3000, 100):
+        w = sentence(rng, 300).split()
+        one, run = list(w), list(w)
+        one[rng.randrange(300)] = "changed"
+        run[100:129] = sentence(rng, 29, "z").split()
+        rows += [(i, " ".join(w)), (i + 1, " ".join(one)), (i + 2, " ".join(run)), (i + 3, sentence(rng, 300))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["n_near"] for r in simhash.op6_simhash(spark, str(tmp_path)).where("doc_id % 100 = 0").collect()]
+    assert len(got) == 30 and max(got) == 2 and sum(got) >= 57
+    prints = simhash.fingerprints(spark.createDataFrame(rows[:60], "doc_id bigint, text string"), ["doc_id"]).cache()
+    want = {tuple(r) for r in simhash.near(prints, prints, 15).collect()}
+    for size in (simhash.SLICE, 7):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        pairs = [tuple(r) for r in simhash.scan(prints, prints, 15).collect()]
+        assert set(pairs) == want and len(pairs) == len(want)
+
+
 def test_next_neighbour(spark):
     ids = [5, 9, 1, 100, 77, -3]
     df = spark.createDataFrame([(i, "x" * i if i > 0 else None) for i in ids], "doc_id bigint, text string")
