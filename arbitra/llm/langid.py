@@ -21,6 +21,11 @@ MIN_SHARE = 2e-6
 RATIO = 0.25
 UNKNOWN = "und"
 FOLDS = 5
+# A text is clearly in a language if, of what is usual in that language's own texts, its n-grams are found in the filter at least to
+# MIN_RATE and lead the second language at least to MIN_LEAD. What is usual is the median of about NORM_DOCS texts.
+MIN_RATE = 0.55
+MIN_LEAD = 0.1
+NORM_DOCS = 1000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACE = np.array([32], np.uint32)
@@ -116,7 +121,8 @@ class Filters:
     def _bit(self, i: int, masks: np.ndarray) -> np.ndarray:
         return (masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def found(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Number of n-grams of the text, and how many of them each language holds, corrected by its error rate."""
         hits, n = np.zeros(len(self.langs)), 0
         for h in grams(text):
             n += len(h)
@@ -127,14 +133,25 @@ class Filters:
                     masks &= slots[a]
                 for i in range(64 * part, min(64 * part + 64, len(self.langs))):
                     hits[i] += np.count_nonzero(self._bit(i, masks))
+        # Of n lookups, the share ``error`` would hit a filter without its language: take those out.
+        return n, np.clip((hits - n * self.errors) / np.maximum(1 - self.errors, 1e-9), 0, None)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        n, true = self.found(text)
         if not n or not self.langs:
             return UNKNOWN, 0.0
-        # Of n lookups, the share ``error`` would hit a filter without its language: take those out.
-        true = np.clip((hits - n * self.errors) / np.maximum(1 - self.errors, 1e-9), 0, None)
         best = int(true.argmax())
         total = true.sum()
         return self.langs[best], float(true[best] / total) if total else 1 / len(self.langs)
 
+    def rate(self, text: str | None, lang: str | None = None) -> tuple[str, float, float]:
+        """A language (the best one unless given), the share of the text's n-grams that it holds, and by how much that exceeds any other's."""
+        n, true = self.found(text)
+        if not n or not self.langs:
+            return UNKNOWN, 0.0, 0.0
+        i = int(true.argmax()) if lang is None else self.langs.index(lang)
+        return self.langs[i], float(true[i] / n), float((true[i] - max(np.delete(true, i), default=0.0)) / n)
+
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Filters:
     """Learn one filter per language from the rows with a language.
@@ -185,6 +202,47 @@ def predict(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFra
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def norms(docs: DataFrame, filters: Filters, *, text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
+    """Per learned language the median rate and lead (``Filters.rate``) of its own texts in ``docs``, of about NORM_DOCS of each."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isin(filters.langs))
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
+        return {}
+    limit = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, NORM_DOCS / r["count"]) * (1 << 30)))])
+    known = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for b in batches:
+            got = [known.value.rate(t.as_py(), g.as_py()) for t, g in zip(b.column(0), b.column(1), strict=True)]
+            got = [x for x in got if x[0] != UNKNOWN]
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], k) for i, k in enumerate(kinds)], names=["lang", "rate", "lead"])
+
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limit[F.col("lang")]).mapInArrow(run, "lang string, rate double, lead double")
+    return {r["lang"]: (r["rate"], r["lead"]) for r in some.groupBy("lang").agg(*[F.percentile(c, 0.5).alias(c) for c in ("rate", "lead")]).collect()}
+
+
+def clear(docs: DataFrame, filters: Filters, usual: dict[str, tuple[float, float]], *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is clearly in one learned language, judged by what is ``usual`` in it (``norms``).
+
+    Neither measure depends on how many languages are learned. Texts without a letter are in none. A language of which
+    nothing was sampled is judged by the median of the others.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(filters)
+    other = tuple(np.median(list(usual.values()), axis=0)) if usual else (1.0, 1.0)
+
+    def is_clear(t):
+        lang, rate, lead = known.value.rate(t)
+        least = usual.get(lang, other)
+        return lang != UNKNOWN and rate >= MIN_RATE * least[0] and lead >= MIN_LEAD * least[1]
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([is_clear(t.as_py()) for t in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """One id in FOLDS, by CRC-32 of its text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0

@@ -1,6 +1,7 @@
 """The pipeline's stages against what each operator says of its own input."""
 
 import os
+import random
 
 import pytest
 
@@ -45,6 +46,27 @@ def test_rows_without_id_and_empty_tables(spark):
     assert langid.UNKNOWN == "und"
 
 
+@pytest.mark.parametrize("n_langs", [1, 2, 50])
+def test_unlearned_languages_and_noise_go_whatever_is_learned(spark, n_langs):
+    """Related languages: half of each language's syllables come from a common stock. Short clean texts stay."""
+    rng = random.Random(n_langs)
+    syllable = lambda: rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouäéø") + rng.choice("lmnrst")
+    common = [syllable() for _ in range(12)]
+    stock = {f"l{i:02d}": common[:6] + [syllable() for _ in range(12)] for i in range(n_langs)}
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(make(stock[g], rng.choice((12, 40, 120))), g) for g in stock for _ in range(30)]
+    clean = len(rows)
+    alien = [chr(0x430 + i) + chr(0x440 + i % 7) for i in range(12)]
+    latin = [syllable() for _ in range(16)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(make(alien, 40), None) for _ in range(20)] + [(make(latin, 60), None) for _ in range(20)]
+    rows += [("".join(rng.choice(letters + "  ") for _ in range(300)), None) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, (t, g) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert sum(i < clean for i in got) >= 0.98 * clean
+    assert sum(i >= clean for i in got) <= 1
+
+
 def test_queries_are_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {f"op{x[2:].split('_')[0]}_" for x in names if x.startswith("op") and x[2].isdigit()}
