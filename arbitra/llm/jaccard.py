@@ -132,8 +132,9 @@ def possible(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) ->
 def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs ``(a, b)`` of ``pairs`` (a, b, na, nb) that reach the threshold, by their exact overlap count.
 
-    The product is computed in blocks. A block holds the rows ``b`` that have the same smallest partner, or a part of them where they are
-    many, and the rows ``a`` they meet; each row is sent to a block once. Entries outside ``pairs`` are never computed.
+    The product is computed in blocks. A block holds the rows ``b`` that have the same smallest partner and the rows ``a`` they meet, or a
+    part of either side where its summed sizes exceed BLOCK: a row that meets many, whichever side it is on, is sent to every part
+    and its partners are dealt over them. Each row is sent to a block once. Entries outside ``pairs`` are never computed.
     """
     spark = docs.sparkSession
     size = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0]
@@ -141,10 +142,14 @@ def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scrat
         return pairs.select("a", "b")
     n_blocks = max(int(size // BLOCK) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     homes = pairs.groupBy("b").agg(F.min("a").alias("home"), F.max("nb").alias("nb"))
-    heavy = homes.groupBy("home").agg((F.floor(F.sum("nb") / BLOCK) + 1).alias("parts"))
-    block = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(n_blocks))
-    homes = homes.join(heavy, "home").select("b", block.alias("block"))
-    placed = scratch.write(pairs.join(homes, "b"), "entries")
+    # Each row counts once in a home, on either side.
+    sides = pairs.select("a", "na", "b").join(homes.select("b", "home"), "b").groupBy("home", "a").agg(F.max("na").alias("na"))
+    parts = lambda n, name: (F.floor(F.sum(n) / BLOCK) + 1).alias(name)
+    heavy = homes.groupBy("home").agg(parts("nb", "b_parts")).join(sides.groupBy("home").agg(parts("na", "a_parts")), "home")
+    homes = homes.join(heavy, "home").select("b", "home", "a_parts", "b_parts")
+    dealt = [F.pmod(F.xxhash64(x), F.col(f"{x}_parts")) for x in ("a", "b")]
+    block = F.pmod(F.xxhash64("home", *dealt), F.lit(n_blocks)).alias("block")
+    placed = scratch.write(pairs.join(homes, "b").select("a", "b", "na", "nb", block), "entries")
     rows = placed.select(F.col("block").alias("row_block"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     # Rows travel as texts, which compress where their n-grams' hashes do not.

@@ -354,6 +354,39 @@ def test_jaccard_groups(spark, docs, rows, n, percent, small, monkeypatch):
     assert got == brute_groups(rows, n, percent)
 
 
+@pytest.mark.parametrize("hub", [-1, 10_000])
+def test_partners_of_a_hub_are_dealt_over_blocks(spark, hub, monkeypatch):
+    """A row that meets 400 others, with the smallest or the largest id: no block holds much more than BLOCK n-grams, and no link is lost."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    texts = {hub: " ".join(base)}
+    for i in range(400):
+        w = list(base)
+        w[rng.choice((0, 39, 20))] = f"x{i}"
+        texts[i] = " ".join(w)
+    sets = {k: len(set(zip(*[t.split()[j:] for j in range(4)], strict=False))) for k, t in texts.items()}
+    pairs = [(min(i, hub), max(i, hub), sets[min(i, hub)], sets[max(i, hub)]) for i in range(400)]
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    sizes = []
+
+    class Seen(Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "entries":
+                held = defaultdict(set)
+                for r in out.collect():
+                    held[r["block"]] |= {r["a"], r["b"]}
+                sizes.extend(sum(sets[d] for d in x) for x in held.values())
+            return out
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint, na bigint, nb bigint")
+    got = {(r["a"], r["b"]) for r in jaccard.overlaps(frame, docs, 4, 80, Seen(spark)).collect()}
+    assert got == {(a, b) for a, b, *_ in pairs if brute_groups([(a, texts[a]), (b, texts[b])], 4, 80)[b][1] == a}
+    assert 300 < len(got)
+    assert sum(sizes) > 14_000 and max(sizes) < 5000
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(empty(spark)).count() == 0
     df = spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id bigint, text string")
