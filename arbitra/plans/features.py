@@ -88,7 +88,7 @@ def q_l2_normalize(spark, sf):
 @query("tfidf_vector")
 def q_tfidf_vector(spark, sf):
     d = documents(spark, sf)
-    vocab = X.index_vocab(X.fit_vocab(d, "text", min_df=2)).persist()
+    vocab = X.index_vocab(X.fit_vocab(d, "text")).persist()
     v = F.unwrap_udt("features")
     norm = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x)
     out = X.tfidf_vector(d, "doc_id", "text", vocab, vocab.count())

@@ -117,7 +117,7 @@ def q_agreement_rate(spark, sf):
 def q_cold_start(spark, sf):
     d = documents(spark, sf)
     teacher = d.select("doc_id", F.concat(F.lit("Type: "), F.upper("lang")).alias("reply"))
-    return R.cold_start(d, teacher, "doc_id", "text", ["en", "de", "fr", "es"], min_df=2)["gate"]
+    return R.cold_start(d, teacher, "doc_id", "text", ["en", "de", "fr", "es"])["gate"]
 
 
 # E-mails made from the documents: the toxic label plays the harmful class.

@@ -180,3 +180,23 @@ def test_policy_of_a_question():
     with pytest.raises(ValueError):
         Question("")
     assert Question("q").policy == Policy()
+
+
+def test_vector_query_keeps_terms_of_one_document(spark, tmp_path):
+    from arbitra.plans import QUERIES
+
+    rows = [(1, "alpha beta"), (2, "alpha gamma"), (3, "delta")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_set"] for r in QUERIES["tfidf_vector"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: 3, 3: 1}
+
+
+def test_cold_start_query_keeps_terms_of_one_document(spark, tmp_path, monkeypatch):
+    from arbitra.plans import QUERIES
+    from arbitra.plans import rules as plans
+
+    asked = {}
+    monkeypatch.setattr(plans.R, "cold_start", lambda *a, **options: asked.update(options) or {"gate": None})
+    spark.createDataFrame([(1, "alpha", "en")], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    QUERIES["cold_start"](spark, str(tmp_path))
+    assert asked.get("min_df", 1) == 1
