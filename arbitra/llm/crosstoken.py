@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arbitra.llm.common import Scratch, table
-from arbitra.llm.tokens import UNUSUAL, Cache, byte_letters
+from arbitra.llm.tokens import CACHE, CACHE_CHARS, UNUSUAL, Cache, byte_letters
 
 # Most frequent id pairs whose counts are broadcast: a long, a long and a flag each, a few MB. All others are joined by a shuffle.
 BROADCAST_PAIRS = 131_072
@@ -67,15 +68,16 @@ class Pieces:
 
         self.space = self.sp.piece_to_id("▁")
 
-    def unit(self, text: str) -> list[int]:
-        return self.sp.encode(text) if text else [self.space]
+    def encode_all(self, units: list[str]) -> list[list[int]]:
+        """Ids of space + unit for each unit."""
+        return [ids or [self.space] for ids in self.sp.encode(units, num_threads=1)] if units else []
 
     def encode(self, text: str) -> list[int]:
         return self.sp.encode(text)
 
 
 class Both:
-    """Ids of both tokenizers for whole texts, cached by unit (white space and the word after it) where that gives the same.
+    """Ids of both tokenizers for whole texts, kept by unit (white space and the word after it) where that gives the same.
 
     Ids are unsigned 32-bit numbers in bytes.
     """
@@ -86,28 +88,44 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.cache = Cache(self._unit)
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def _same(self, raw: str, a: list[int], b: list[int]) -> bool:
         want = raw.encode("utf-8", "surrogatepass")
         return b"".join([self.a.bytes[i] for i in a]) == want and b"".join([self.b.bytes[i] for i in b]) == want
 
-    def _unit(self, rest: str) -> tuple[bytes, bytes, bool]:
-        """Ids of space + ``rest`` on both sides, and whether they give its bytes."""
-        a, b = self.a.unit(f" {rest}"), self.b.unit(rest)
-        return array("I", a).tobytes(), array("I", b).tobytes(), self._same(f" {rest}", a, b)
-
-    def ids(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of space + text, or none where the bytes of either side are not the text's."""
+    def _cut(self, text: str | None) -> list[str] | None:
+        """The units of space + text, each without its first space; none where only the whole text gives the libraries' ids."""
         if not text:
-            return b"", b""
+            return []
+        if not self.b.cuts or UNUSUAL.search(text):
+            return None
         raw = f" {text}"
-        if self.b.cuts and not UNUSUAL.search(text):
-            a, b, same = zip(*map(self.cache.__getitem__, self.units.findall(raw) if self.odd.search(raw) else text.split(" ")), strict=True)
+        return self.units.findall(raw) if self.odd.search(raw) else text.split(" ")
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of space + text for each text, or none where the bytes of either side are not the text's."""
+        cut = [self._cut(t) for t in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if u not in self.known]
+        # ids of space + unit, and whether they give its bytes
+        for u, b in zip(new, self.b.encode_all(new), strict=True):
+            a = self.a.unit(f" {u}")
+            self.known[u] = array("I", a).tobytes(), array("I", b).tobytes(), self._same(f" {u}", a, b)
+        out = []
+        for text, c in zip(texts, cut, strict=True):
+            a, b, same = zip(*map(self.known.__getitem__, c), strict=True) if c else ((), (), (c is not None,))
             if all(same):
-                return b"".join(a), b"".join(b)
-        x, y = self.a.encode(raw), self.b.encode(text)
-        return (array("I", x).tobytes(), array("I", y).tobytes()) if self._same(raw, x, y) else (b"", b"")
+                out.append((b"".join(a), b"".join(b)))
+                continue
+            x, y = self.a.encode(f" {text}"), self.b.encode(text)
+            out.append((array("I", x).tobytes(), array("I", y).tobytes()) if self._same(f" {text}", x, y) else (b"", b""))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        else:
+            for u in new:
+                if len(u) > CACHE_CHARS:
+                    del self.known[u]
+        return out
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +185,7 @@ def align(docs: DataFrame, *, a: str, b: str, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def batch(both: Both, sizes: tuple, names: tuple, keys, texts: list) -> pa.RecordBatch:
-        ids = [both.ids(t) for t in texts]
+        ids = both.ids(texts)
         x, y = _side([i[0] for i in ids], sizes[0]), _side([i[1] for i in ids], sizes[1])
         found = overlaps(x, y)
         ends = x["end"].to_numpy()[found["a"]] == y["end"].to_numpy()[found["b"].astype(np.int64)]
