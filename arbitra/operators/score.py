@@ -29,12 +29,12 @@ def _sums(k: int, x: Column) -> list[Column]:
     return [F.coalesce(F.sum(x * F.get("coef", F.lit(c))), F.lit(0.0)).alias(f"_s{c}") for c in range(k)]
 
 
-def _pick(models: Sequence[LinearModel], value) -> Column:
-    """A constant of each row's model."""
-    expr = F.lit(None)
-    for m in models:
-        expr = F.when(F.col("model_id") == m.model_id, value(m)).otherwise(expr)
-    return expr
+def _with_intercept(df: DataFrame, models: Sequence[LinearModel]) -> DataFrame:
+    """``df`` with ``_intercept`` of each row's model: a constant for one model, else a lookup in a table of models."""
+    if len(models) == 1:
+        return df.withColumn("_intercept", _doubles(models[0].intercept))
+    rows = [(m.model_id, [float(v) for v in m.intercept]) for m in models]
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, "model_id string, _intercept array<double>")), "model_id")
 
 
 def _doubles(values: Iterable[float]) -> Column:
@@ -43,13 +43,13 @@ def _doubles(values: Iterable[float]) -> Column:
 
 def _finish(sums: DataFrame, out_cols: Sequence[str], models: Sequence[LinearModel], scale: Column | None) -> DataFrame:
     k = _per_class(models)
-    intercept = _pick(models, lambda m: _doubles(m.intercept))
+    sums = _with_intercept(sums, models)
     parts = F.array(*[F.col(f"_s{c}") for c in range(k)])
     if scale is not None:
         parts = F.transform(parts, lambda s: s * scale)
     # The intercept has one entry per class, so a model with fewer classes than
     # the widest one gets exactly its own.
-    logits = F.transform(intercept, lambda b, i: b + F.get(parts, i))
+    logits = F.transform("_intercept", lambda b, i: b + F.get(parts, i))
     return sums.select(*out_cols, "model_id", logits.alias("logits"))
 
 

@@ -1,44 +1,49 @@
-"""Training linear and one-hidden-layer models with MLlib."""
+"""Training linear models, many in one run, and one-hidden-layer models with MLlib."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import (
-    LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions import prob as P
-from arbitra.functions.text import N_BUCKETS
-from arbitra.operators.calibrate import calibrate, ece, judged
-from arbitra.operators.features import fit_vocab, hashed_vector, index_vocab, tfidf_vector
+from arbitra.functions.arrays import array_sum, let
+from arbitra.functions.text import N_BUCKETS, bucket_counts, word_counts
+from arbitra.operators.calibrate import calibrate_logits, ece, judged
+from arbitra.operators.features import hashed_vector, join_terms, tf_weight
 from arbitra.operators.model import LinearModel
-from arbitra.operators.score import score
-from arbitra.session import written
+from arbitra.operators.optimise import Setting, fit_rows
+from arbitra.operators.ranks import hash_rank
+from arbitra.operators.score import score, score_models
+from arbitra.session import scratch_dir, written
 
-# MLlib holds the dense coefficients, and one gradient of that size per task.
+# MLlib holds the dense coefficients of a hidden layer, and one gradient of that size per task.
 MAX_COEFFICIENTS = 100_000_000
 ROWS_PER_TASK = 1000
-SLICE = 500_000
 L2 = 1e-5
+# More distinct labels than this are an error, found before they reach the driver.
+MAX_CLASSES = 10_000
 
 
 def class_names(df: DataFrame, label: str) -> tuple[str, ...]:
-    """Sorted distinct labels; an error when there are fewer than two. A model of more
-    than MAX_COEFFICIENTS numbers is refused when its features are known."""
-    rows = df.select(label).distinct().collect()
+    """Sorted distinct labels; an error when there are fewer than two or more than MAX_CLASSES."""
+    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
     if not rows:
         raise ValueError("train: no examples provided")
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"train: more than {MAX_CLASSES} distinct labels")
     names = sorted((r[0] for r in rows if r[0] is not None), key=lambda s: s.encode())
     if len(rows) != len(names):
         raise ValueError("train: a label is null")
@@ -73,25 +78,10 @@ def _cached(feats: DataFrame) -> Iterator[tuple[DataFrame, int]]:
 def _check_size(n_features: int, n_classes: int) -> None:
     if n_features * n_classes > MAX_COEFFICIENTS:
         raise ValueError(
-            f"{n_features} features x {n_classes} classes exceed {MAX_COEFFICIENTS} coefficients; raise min_df"
+            f"{n_features} features x {n_classes} hidden units exceed {MAX_COEFFICIENTS} coefficients"
         )
 
 
-def _fit(features: DataFrame, reg: float, max_iter: int, mirrored: bool) -> LogisticRegressionModel:
-    """The fitted model; two classes may be fitted as one signed row."""
-    lr = LogisticRegression(
-        featuresCol="features",
-        labelCol="target",
-        family="binomial" if mirrored else "multinomial",
-        regParam=reg,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-7,
-    )
-    return lr.fit(features)
-
-
 def export_linear(model: LogisticRegressionModel, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients with one row per class. A single signed row ``w`` becomes
     ``[-w, +w]`` and its intercept ``[-b, +b]``."""
@@ -114,59 +104,157 @@ def reorder_classes(model: LinearModel, order: Sequence[str]) -> LinearModel:
     )
 
 
-def _coef_frame(spark, w: np.ndarray, key: str) -> DataFrame:
-    """One row per feature with its coefficients, sent as Arrow tables of SLICE rows."""
-    k, n = w.shape
-    out = None
-    for at in range(0, n, SLICE):
-        part = np.ascontiguousarray(w[:, at : at + SLICE].T)
-        ends = pa.array(np.arange(0, part.size + 1, k, dtype=np.int32))
-        rows = pa.table(
-            {key: pa.array(np.arange(at, at + len(part), dtype=np.int32)), "coef": pa.ListArray.from_arrays(ends, pa.array(part.ravel()))}
-        )
-        df = spark.createDataFrame(rows).select(F.col(key).cast("int"), F.col("coef").cast("array<double>"))
-        out = df if out is None else out.unionAll(df)
+@dataclass(frozen=True)
+class Task:
+    """One linear model of a joint fit; ``reg`` is the L2 penalty beside the mean loss, ``c`` that beside the summed loss."""
+
+    model_id: str
+    classes: tuple[str, ...]
+    c: float | None = 1.0
+    reg: float | None = None
+    n_max: int = 2
+    max_iter: int = 200
+
+
+def member(task: int, target: Column) -> Column:
+    """A row's part in one model of a joint fit: the model's place and the number of the row's class."""
+    return F.struct(F.lit(task).alias("model"), target.cast("int").alias("target"))
+
+
+def _texts(df: DataFrame, members: Column, counts: Column, tasks: Sequence[Task]) -> tuple[DataFrame, list[int]]:
+    """``(base, members, counts)``: every text read and counted once, whatever the number of models; and rows per model."""
+    made = df.select(members.alias("members"), counts.alias("counts")).where(F.size("members") > 0)
+    texts = written(made.withColumn("base", F.monotonically_increasing_id()), "texts")
+    sizes = {r["model"]: r["n"] for r in texts.select(F.explode("members.model").alias("model")).groupBy("model").agg(F.count("*").alias("n")).collect()}
+    missing = [t.model_id for i, t in enumerate(tasks) if not sizes.get(i)]
+    if missing:
+        raise ValueError(f"train: no examples provided for {missing}")
+    return texts, [sizes[i] for i in range(len(tasks))]
+
+
+def _each_member(texts: DataFrame, n_tasks: int) -> DataFrame:
+    """One row per text and model; ``row`` identifies it."""
+    rows = texts.select("base", F.explode("members").alias("m"), "counts")
+    return rows.select((F.col("base") * n_tasks + F.col("m.model")).alias("row"), F.col("m.model").alias("model"), F.col("m.target").alias("target"), "counts")
+
+
+def _width(task: Task, kind: str) -> int:
+    """Two classes of a TF-IDF model are one signed row; all others have one row per class."""
+    return 1 if kind == "tfidf" and len(task.classes) == 2 else len(task.classes)
+
+
+def _models(coefs: DataFrame, tasks: Sequence[Task], intercepts: np.ndarray, kind: str, key: Sequence[str]) -> list[LinearModel]:
+    """One model per task from ``(model, key, w)``; the signed column of two classes is mirrored."""
+    spark = coefs.sparkSession
+    mirrored = F.array(-F.get("w", F.lit(0)), F.get("w", F.lit(0)))
+    width = F.get(F.array(*[F.lit(_width(t, kind)) for t in tasks]), F.col("model"))
+    coef = F.when(width == 1, mirrored).otherwise(F.slice("w", F.lit(1), width)).alias("coef")
+    path = scratch_dir(spark, f"{kind}-models")
+    coefs.select("model", *key, coef).write.partitionBy("model").parquet(path)
+    stored = spark.read.parquet(path)
+    counts = {r["model"]: r["count"] for r in stored.groupBy("model").count().collect()}
+    out = []
+    for i, t in enumerate(tasks):
+        b = [float(v) for v in intercepts[i]]
+        b = [-b[0], b[0]] if _width(t, kind) == 1 else b[: len(t.classes)]
+        terms = stored.where(F.col("model") == i).select(*key, "coef")
+        out.append(LinearModel(t.model_id, kind, tuple(t.classes), tuple(b), terms, counts.get(i, 0), n_max=t.n_max))
     return out
 
 
+def fit_hashed(df: DataFrame, text_col: str, tasks: Sequence[Task], members: Column) -> list[LinearModel]:
+    """Models on hashed term counts, all in one run over texts that are counted once.
+
+    ``members`` is an array of ``member`` values: the models a row trains, and its class in each.
+    """
+    texts, sizes = _texts(df, members, bucket_counts(text_col), tasks)
+    idx = F.transform("counts", lambda t: (F.col("model") * N_BUCKETS + t["key"]).cast("bigint"))
+    x = F.transform("counts", lambda t: t["n"].cast("double"))
+    rows = written(_each_member(texts, len(tasks)).select("row", "model", "target", idx.alias("idx"), x.alias("x"), F.lit(0.0).alias("own")), "train-rows")
+    spark = df.sparkSession
+    columns = spark.range(len(tasks) * N_BUCKETS).select(F.floor(F.col("id") / N_BUCKETS).cast("int").alias("model"), F.col("id").alias("idx"))
+    settings = [Setting(_width(t, "hashed"), n, t.reg if t.reg is not None else 1 / (n * t.c), t.max_iter, 1e-6, 1e-7) for t, n in zip(tasks, sizes, strict=True)]
+    found, b = fit_rows(rows, settings, columns, len(tasks) * N_BUCKETS)
+    # buckets that no row holds have no coefficient in tables
+    nothing = F.array_repeat(F.lit(0.0), max(s.width for s in settings))
+    every = columns.join(found.select(F.col("col").alias("idx"), "w"), "idx", "left").select(
+        "model", F.pmod("idx", F.lit(N_BUCKETS)).cast("int").alias("bucket"), F.coalesce("w", nothing).alias("w")
+    )
+    return _models(every, tasks, b, "hashed", ["bucket"])
+
+
 def train_hashed(
     df: DataFrame, text_col: str, label: str, model_id: str = "hashed", reg: float = L2, max_iter: int = 100
 ) -> LinearModel:
     """Multinomial logistic regression on hashed term counts.
 
-    The features are row-local; the fit is MLlib's distributed optimiser. ECE
-    on the training rows is stored until the model is calibrated.
+    The features are row-local. ECE on the training rows is stored until the model is calibrated.
     """
     classes = class_names(df, label)
-    with _cached(hashed_vector(df.select(text_col, _target(classes, label)), text_col, ["target"])) as (feats, _):
-        fitted = _fit(feats, reg, max_iter, mirrored=False)
-        logits = vector_to_array("rawPrediction").alias("logits")
-        truth = F.get(P.array_literal(classes), F.col("target").cast("int")).alias(label)
-        seen = fitted.transform(feats).select(logits, truth)
-        before = ece(judged(seen, classes, 1.0, label)).first()["ece"]
-    w, b = export_linear(fitted, len(classes))
-    terms = written(_coef_frame(df.sparkSession, w, "bucket"), "hashed-model")
-    return LinearModel(
-        model_id, "hashed", classes, tuple(map(float, b)), terms, N_BUCKETS, ece_before=before, ece_split="train"
+    task = Task(model_id, classes, None, reg, max_iter=max_iter)
+    (model,) = fit_hashed(df, text_col, [task], F.array(member(0, _target(classes, label))))
+    rows = df.select(text_col, label).withColumn("_row", F.monotonically_increasing_id())
+    seen = score(rows, model, "_row", text_col, [label])
+    before = ece(judged(seen, classes, 1.0, label)).first()["ece"]
+    return model.with_(ece_before=before, ece_split="train")
+
+
+def _vocabulary(cells: DataFrame, tasks: Sequence[Task], sizes: Sequence[int], min_df: int) -> tuple[DataFrame, int]:
+    """``(model, term, idf, idx)`` of the terms that several rows of a model hold, numbered model by model, and their count."""
+    n = F.get(F.array(*[F.lit(float(v)) for v in sizes]), F.col("model"))
+    counted = cells.where("term <> ''").groupBy("model", "term").agg(F.count("*").alias("df")).where(F.col("df") >= max(min_df, 2))
+    shared = written(counted.select("model", "term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "vocab")
+    held = {r["model"]: r["count"] for r in shared.groupBy("model").count().collect()}
+    starts = np.concatenate([[0], np.cumsum([held.get(i, 0) for i in range(len(tasks))])])
+    first = F.get(F.array(*[F.lit(int(v)) for v in starts[:-1]]), F.col("model"))
+    indexed = hash_rank(shared, ["term"], "vocab", by=["model"], rank="idx").withColumn("idx", (F.col("idx") - 1 + first).cast("bigint"))
+    return written(indexed.select("model", "term", "idf", "idx"), "indexed-vocab"), int(starts[-1])
+
+
+def fit_tfidf(df: DataFrame, text_col: str, tasks: Sequence[Task], members: Column, min_df: int = 1) -> list[LinearModel]:
+    """TF-IDF models, all in one run over texts that are counted once; each has the vocabulary and idf of its own rows.
+
+    Terms that one row of a model holds act together: at the optimum their coefficients are in proportion to their values, so
+    they are fitted as one column of that row and spread over the terms afterwards, which changes nothing in the result.
+    ``members`` is as in ``fit_hashed``.
+    """
+    most = max(t.n_max for t in tasks)
+    texts, sizes = _texts(df, members, word_counts(text_col, 1, most), tasks)
+    each = _each_member(texts, len(tasks)).select("row", "model", "target", F.explode_outer("counts").alias("t"))
+    cells = each.select("row", "model", "target", F.coalesce("t.key", F.lit("")).alias("term"), F.col("t.n").alias("n"))
+    if any(t.n_max < most for t in tasks):
+        longest = F.get(F.array(*[F.lit(t.n_max) for t in tasks]), F.col("model"))
+        cells = cells.where(F.size(F.split("term", " ")) <= longest)
+    vocab, n_shared = _vocabulary(cells, tasks, sizes, min_df)
+    alone = F.get(F.array(*[F.lit(float(np.log((1 + n) / 2) + 1)) for n in sizes]), F.col("model"))  # idf of a term of one row
+    joined = join_terms(cells, vocab, n_shared, 120, ["model", "term"], "row", "left")
+    x = tf_weight(F.col("n"), F.coalesce("idf", alone))
+    single = F.col("idx").isNull() & (F.col("term") != "") & F.lit(min_df <= 1)
+    bags = joined.groupBy("row", "model", "target").agg(
+        F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", x.alias("x"))))).alias("p"),
+        F.collect_list(F.when(single, F.struct("term", x.alias("x")))).alias("q"),
     )
-
-
-def _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df):
-    vocab = written(index_vocab(written(fit_vocab(df, text_col, 1, n_max, min_df), "vocab")), "indexed-vocab")
-    n_terms = vocab.count()
-    if not n_terms:
+    square = lambda c: array_sum(F.transform(c, lambda e: e["x"] * e["x"]))
+    parts = bags.withColumns({"pp": square("p"), "qq": square("q")})
+    norm = F.sqrt(F.col("pp") + F.col("qq"))
+    rows = written(
+        parts.select(
+            "row", "model", "target", F.transform("p", lambda e: e["idx"]).alias("idx"), let(norm, lambda s: F.transform("p", lambda e: e["x"] / s)).alias("x"),
+            F.when(F.col("qq") > 0, F.sqrt("qq") / norm).otherwise(0.0).alias("own"),
+            # a single term's part of its row's own column
+            let(F.sqrt("qq"), lambda s: F.transform("q", lambda e: F.struct(e["term"].alias("term"), (e["x"] / s).alias("share")))).alias("singles"),
+        ),
+        "train-rows",
+    )
+    if not n_shared and rows.where("own > 0").isEmpty():
         raise ValueError("train: no terms")
-    _check_size(n_terms, len(classes))
-    src = df.select(id_col, text_col, _target(classes, label))
-    return vocab, n_terms, tfidf_vector(src, id_col, text_col, vocab, n_terms, ["target"], 1, n_max)
-
-
-def _tfidf_fit(feats, n_rows, vocab, n_terms, classes, c, model_id, n_max, max_iter) -> LinearModel:
-    fitted = _fit(feats, 1.0 / (n_rows * c), max_iter, mirrored=len(classes) == 2)
-    w, b = export_linear(fitted, len(classes))
-    coefs = _coef_frame(feats.sparkSession, w, "idx")
-    terms = written(vocab.join(coefs, "idx").select("term", "idf", "coef"), "tfidf-model")
-    return LinearModel(model_id, "tfidf", tuple(classes), tuple(map(float, b)), terms, n_terms, n_max=n_max)
+    settings = [Setting(_width(t, "tfidf"), n, t.reg if t.reg is not None else 1 / (n * t.c), t.max_iter) for t, n in zip(tasks, sizes, strict=True)]
+    found, b = fit_rows(rows, settings, vocab.select("model", "idx"), n_shared)
+    found = found.select("model", "col", "w")
+    shared = vocab.join(found.select(F.col("col").alias("idx"), "w"), "idx").select("model", "term", "idf", "w")
+    own = rows.where("own > 0").select("model", (-1 - F.col("row")).alias("col"), F.explode("singles").alias("s")).join(found, ["model", "col"])
+    spread = own.select("model", F.col("s.term").alias("term"), alone.alias("idf"), F.transform("w", lambda v: v * F.col("s.share")).alias("w"))
+    return _models(shared.unionAll(spread), tasks, b, "tfidf", ["term", "idf"])
 
 
 def train_tfidf(
@@ -186,9 +274,8 @@ def train_tfidf(
     ``[-d, +d]``; calibrate before reading probabilities.
     """
     classes = class_names(df, label)
-    vocab, n_terms, feats = _tfidf_features(df, id_col, text_col, label, classes, n_max, min_df)
-    with _cached(feats) as (ready, n_rows):
-        return _tfidf_fit(ready, n_rows, vocab, n_terms, classes, c, model_id, n_max, max_iter)
+    task = Task(model_id, classes, c, n_max=n_max, max_iter=max_iter)
+    return fit_tfidf(df, text_col, [task], F.array(member(0, _target(classes, label))), min_df)[0]
 
 
 def model_accuracy(model: LinearModel, df: DataFrame, id_col: str, text_col: str, label: str) -> float:
@@ -202,6 +289,16 @@ def scored_accuracy(scored: DataFrame, model: LinearModel, label: str) -> DataFr
     )
 
 
+def accuracies(df: DataFrame, models: Sequence[LinearModel], id_col: str, text_col: str, label: str) -> dict[str, float]:
+    """Accuracy of each model on the rows that name it in ``model_id``, scored in one run."""
+    names = F.create_map(*[v for m in models for v in (F.lit(m.model_id), P.array_literal(m.classes))])
+    scored = score_models(df, models, id_col, text_col, [label])
+    said = F.get(F.element_at(names, F.col("model_id")), P.argmax_last(F.col("logits")))
+    judged_ = scored.groupBy("model_id").agg(F.avg((said == F.col(label)).cast("double")).alias("accuracy"))
+    found = {r["model_id"]: r["accuracy"] for r in judged_.collect()}
+    return {m.model_id: found.get(m.model_id) for m in models}
+
+
 def sweep(
     train: DataFrame,
     validation: DataFrame,
@@ -213,18 +310,16 @@ def sweep(
     max_iter: int = 200,
     min_df: int = 1,
 ) -> DataFrame:
-    """(n_max, c, n_terms, fit_sec, accuracy) over the grid; features are built
-    once per n-gram range."""
+    """(n_max, c, n_terms, fit_sec, accuracy) over the grid, fitted in one run; ``fit_sec`` is a model's share of its time."""
     classes = class_names(train, label)
-    rows = []
-    for n_max in ngrams:
-        vocab, n_terms, feats = _tfidf_features(train, id_col, text_col, label, classes, n_max, min_df)
-        with _cached(feats) as (ready, n_rows):
-            for c in cs:
-                start = time.perf_counter()
-                model = _tfidf_fit(ready, n_rows, vocab, n_terms, classes, c, f"n{n_max}-c{c}", n_max, max_iter)
-                took = time.perf_counter() - start
-                rows.append((n_max, float(c), n_terms, took, model_accuracy(model, validation, id_col, text_col, label)))
+    grid = [(n, float(c)) for n in ngrams for c in cs]
+    tasks = [Task(f"n{n}-c{c}", classes, c, n_max=n, max_iter=max_iter) for n, c in grid]
+    start = time.perf_counter()
+    models = fit_tfidf(train, text_col, tasks, F.array(*[member(i, _target(classes, label)) for i in range(len(tasks))]), min_df)
+    took = (time.perf_counter() - start) / len(tasks)
+    held = validation.select(id_col, text_col, label, F.explode(F.array(*[F.lit(m.model_id) for m in models])).alias("model_id"))
+    right = accuracies(held, models, id_col, text_col, label)
+    rows = [(n, c, m.n_terms, took, right[m.model_id]) for (n, c), m in zip(grid, models, strict=True)]
     return train.sparkSession.createDataFrame(rows, "n_max int, c double, n_terms bigint, fit_sec double, accuracy double")
 
 
@@ -245,19 +340,46 @@ def train_questions(
     **options,
 ) -> dict[str, LinearModel]:
     """One model per value of the question column, calibrated where every
-    validation label was seen in training and there are validation rows."""
-    names = sorted(r[0] for r in train.select(question).distinct().collect() if r[0] is not None)
-    models = {}
-    for name in names:
-        mine, held = train.filter(F.col(question) == name), validation.filter(F.col(question) == name)
+    validation label was seen in training and there are validation rows.
+
+    All questions are fitted in one run: texts are read and counted once, and every step of the optimiser is one pass for all of
+    them. Held-out rows are scored in one run as well.
+    """
+    pairs = train.select(question, label).where(F.col(question).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(pairs) > MAX_CLASSES:
+        raise ValueError(f"train: more than {MAX_CLASSES} distinct questions and labels")
+    seen: dict[str, set] = {}
+    for name, value in pairs:
+        seen.setdefault(name, set()).add(value)
+    tasks = []
+    options = dict(options)
+    min_df = options.pop("min_df", 1)
+    for name in sorted(seen):
+        if None in seen[name]:
+            raise ValueError(f"train: a label of {name!r} is null")
+        if len(seen[name]) < 2:
+            raise ValueError(f"train: need at least 2 distinct labels for {name!r}")
         if kind == "hashed":
-            model = train_hashed(mine, text_col, label, name, **options)
-        else:
-            model = train_tfidf(mine, id_col, text_col, label, model_id=name, **options)
-        if not held.isEmpty() and labels_covered(mine, held, label):
-            model = calibrate(model, held, id_col, text_col, label)
-        models[name] = model
-    return models
+            options = {"c": None, "reg": L2, "max_iter": 100} | options
+        tasks.append(Task(name, tuple(sorted(seen[name], key=lambda v: v.encode())), **options))
+    known = train.sparkSession.createDataFrame(
+        [(t.model_id, v, i, j) for i, t in enumerate(tasks) for j, v in enumerate(t.classes)], "_question string, _label string, _model int, _target int"
+    )
+    rows = train.join(F.broadcast(known), (F.col(question) == F.col("_question")) & (F.col(label) == F.col("_label")))
+    members = F.array(F.struct(F.col("_model").alias("model"), F.col("_target").alias("target")))
+    models = fit_hashed(rows, text_col, tasks, members) if kind == "hashed" else fit_tfidf(rows, text_col, tasks, members, min_df)
+    held = validation.select(F.col(question).alias("model_id"), label).distinct().limit(2 * MAX_CLASSES).collect()
+    asked = {m.model_id: {r[1] for r in held if r[0] == m.model_id} for m in models}
+    fit = [m for m in models if asked[m.model_id] and asked[m.model_id] <= set(m.classes)]
+    scored = None
+    if fit:
+        tagged = validation.select(id_col, text_col, label, F.col(question).alias("model_id")).where(F.col("model_id").isin([m.model_id for m in fit]))
+        scored = written(score_models(tagged, fit, id_col, text_col, [label]), "questions")
+    out = {m.model_id: m for m in models}
+    for m in fit:
+        mine = scored.where(F.col("model_id") == m.model_id)
+        out[m.model_id] = m.with_(**calibrate_logits(mine, m.classes, label), ece_split="validation")
+    return out
 
 
 def train_mlp(
@@ -301,16 +423,19 @@ def train_signals(
     false). A signal that is constant on the training rows cannot be trained: an
     error names all of them before anything is fitted.
     """
-    present = train.agg(*[F.count_distinct(F.coalesce(c, F.lit(False))).alias(n) for n, c in signals.items()]).first()
+    flag = {n: F.coalesce(c, F.lit(False)) for n, c in signals.items()}
+    present = train.agg(*[F.count_distinct(c).alias(n) for n, c in flag.items()]).first()
     constant = sorted(n for n in signals if present[n] < 2)
     if constant:
         raise ValueError(f"train: constant signals {constant}")
-    models = {}
-    for name, flag in signals.items():
-        mine, held = (d.withColumn("label", F.coalesce(flag, F.lit(False)).cast("string")) for d in (train, validation))
-        model = train_tfidf(mine, id_col, text_col, "label", model_id=name, **options)
-        models[name] = calibrate(model, held, id_col, text_col, "label")
-    return models
+    options = dict(options)
+    min_df = options.pop("min_df", 1)
+    tasks = [Task(n, ("false", "true"), **options) for n in flag]
+    models = fit_tfidf(train, text_col, tasks, F.array(*[member(i, c.cast("int")) for i, c in enumerate(flag.values())]), min_df)
+    labels = F.explode(F.array(*[F.struct(F.lit(n).alias("model_id"), c.cast("string").alias("label")) for n, c in flag.items()]))
+    held = validation.select(F.col(id_col), F.col(text_col), labels.alias("s")).select(id_col, text_col, "s.model_id", "s.label")
+    scored = written(score_models(held, models, id_col, text_col, ["label"]), "signals")
+    return {m.model_id: m.with_(**calibrate_logits(scored.where(F.col("model_id") == m.model_id), m.classes), ece_split="validation") for m in models}
 
 
 def label_curve(
@@ -324,12 +449,26 @@ def label_curve(
     **options,
 ) -> DataFrame:
     """(k, n_train, accuracy): train on ``k`` rows per class (``None``: all) and
-    judge each model on the same test rows."""
+    judge each model on the same test rows. All points are fitted in one run."""
     from arbitra.operators.splits import cap_per_class
 
-    rows = []
-    for k in ks:
-        mine = train if k is None else written(cap_per_class(train, id_col, label, k, seed), "few-shot")
-        model = train_tfidf(mine, id_col, text_col, label, model_id=f"k{k or 'all'}", **options)
-        rows.append((str(k or "all"), mine.count(), model_accuracy(model, test, id_col, text_col, label)))
-    return train.sparkSession.createDataFrame(rows, "k string, n_train bigint, accuracy double")
+    ks = list(ks)
+    options = dict(options)
+    min_df = options.pop("min_df", 1)
+    tasks, parts, sizes = [], [], []
+    for i, k in enumerate(ks):
+        mine = train if k is None else cap_per_class(train, id_col, label, k, seed)
+        parts.append(mine.select(id_col, F.lit(i).alias("_part")))
+    chosen = written(reduce(DataFrame.unionAll, parts).groupBy(id_col).agg(F.collect_set("_part").alias("_parts")), "few-shot")
+    rows = train.join(chosen, id_col)
+    seen = rows.select(F.explode("_parts").alias("part"), label).groupBy("part", label).count().collect()
+    every = class_names(train, label)
+    for i, k in enumerate(ks):
+        tasks.append(Task(f"k{k or 'all'}", every, **options))
+        sizes.append(sum(r["count"] for r in seen if r["part"] == i))
+    members = F.transform("_parts", lambda p: F.struct(p.alias("model"), _target(every, label).cast("int").alias("target")))
+    models = fit_tfidf(rows, text_col, tasks, members, min_df)
+    held = test.select(id_col, text_col, label, F.explode(F.array(*[F.lit(m.model_id) for m in models])).alias("model_id"))
+    right = accuracies(held, models, id_col, text_col, label)
+    out = [(str(k or "all"), n, right[m.model_id]) for k, n, m in zip(ks, sizes, models, strict=True)]
+    return train.sparkSession.createDataFrame(out, "k string, n_train bigint, accuracy double")

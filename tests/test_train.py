@@ -157,11 +157,99 @@ def test_training_needs_no_session_setting(spark):
     assert T.model_accuracy(T.train_tfidf(df, "id", "text", "label"), df, "id", "text", "label") == 1.0
 
 
-def test_coefficients_pass_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(T, "SLICE", 3)
-    w = np.arange(14.0).reshape(2, 7)
-    rows = T._coef_frame(spark, w, "idx").orderBy("idx").collect()
-    assert [(r["idx"], r["coef"]) for r in rows] == [(i, [float(i), float(i + 7)]) for i in range(7)]
+def _fits(spark, tickets):
+    """Models of two and of four classes with their own penalties, and of hashed counts, each fitted alone or together."""
+    train, _, _ = tickets
+    classes = ("account", "billing", "shipping", "technical")
+    two = F.col("label").isin("billing", "account")
+    tasks = [T.Task("four", classes, 2.0), T.Task("two", ("account", "billing"), 1.0), T.Task("short", classes, 4.0, n_max=1)]
+    index = lambda names: T._target(names, "label")
+    parts = [T.member(0, index(classes)), T.member(1, index(tasks[1].classes)), T.member(2, index(classes))]
+    members = F.when(two, F.array(*parts)).otherwise(F.array(parts[0], parts[2]))
+    return train, tasks, members
+
+
+def _weights(model):
+    return {r[0]: r["coef"] for r in model.terms.collect()}
+
+
+def test_models_fitted_together_equal_single_fits(spark, tickets):
+    train, tasks, members = _fits(spark, tickets)
+    together = T.fit_tfidf(train, "text", tasks, members)
+    mine = train.filter("label in ('billing', 'account')")
+    alone = [
+        T.train_tfidf(train, "id", "text", "label", c=2.0), T.train_tfidf(mine, "id", "text", "label"), T.train_tfidf(train, "id", "text", "label", c=4.0, n_max=1),
+    ]
+    for a, b in zip(together, alone, strict=True):
+        x, y = _weights(a), _weights(b)
+        assert x.keys() == y.keys() and a.n_terms == b.n_terms == len(x) and a.classes == b.classes
+        assert max(abs(p - q) for t in x for p, q in zip(x[t], y[t], strict=True)) < 1e-4
+        assert np.allclose(a.intercept, b.intercept, atol=1e-4)
+
+
+def test_one_column_per_row_for_terms_of_one_row_is_exact(spark, tickets):
+    """The optimum of the merged problem is MLlib's optimum over all terms."""
+    from pyspark.ml.classification import LogisticRegression
+
+    train = tickets[0].filter("id < 200")
+    m = T.train_tfidf(train, "id", "text", "label", c=2.0)
+    vocab = index_vocab(fit_vocab(train, "text")).persist()
+    n = vocab.count()
+    feats = tfidf_vector(train.select("id", "text", T._target(m.classes, "label")), "id", "text", vocab, n, ["target"])
+    lr = LogisticRegression(labelCol="target", family="multinomial", regParam=1 / (200 * 2.0), standardization=False, maxIter=500, tol=1e-12)
+    w = lr.fit(feats).coefficientMatrix.toArray()
+    at = {r["term"]: r["idx"] for r in vocab.collect()}
+    mine = _weights(m)
+    assert mine.keys() == at.keys() and sum(r["df"] == 1 for r in vocab.collect()) > n / 2
+    # softmax margins may shift by a constant per term, which the penalty sets to 0
+    assert max(np.abs(np.array(mine[t]) - (w[:, i] - w[:, i].mean())).max() for t, i in at.items()) < 1e-4
+
+
+def test_coefficients_in_tables_reach_the_same_optimum(spark, monkeypatch):
+    from arbitra.operators import optimise
+
+    df = _separable(spark)
+    two = F.col("label") != "technical"
+    tasks = [T.Task("three", ("account", "billing", "technical"), 2.0), T.Task("two", ("account", "billing"), 1.0)]
+    parts = [T.member(i, T._target(t.classes, "label")) for i, t in enumerate(tasks)]
+    members = F.when(two, F.array(*parts)).otherwise(F.array(parts[0]))
+    here = T.fit_tfidf(df, "text", tasks, members)
+    monkeypatch.setattr(optimise, "DRIVER_COEFFICIENTS", 0)
+    for limit in (T, optimise):
+        monkeypatch.setattr(limit, "MAX_COEFFICIENTS", 1, raising=False)
+    tables = T.fit_tfidf(df, "text", tasks, members)
+    for a, b in zip(here, tables, strict=True):
+        x, y = _weights(a), _weights(b)
+        assert x.keys() == y.keys()
+        assert max(abs(p - q) for t in x for p, q in zip(x[t], y[t], strict=True)) < 1e-4
+        assert np.allclose(a.intercept, b.intercept, atol=1e-4)
+
+
+def test_texts_are_read_once_for_all_models(spark, tmp_path):
+    rows = [(i, f"{c} {c}{i % 5} word{i}", c, q) for i in range(60) for c in [("one", "two")[i % 2]] for q in [f"q{i % 3}"]]
+    spark.createDataFrame(rows, "id int, text string, label string, question string").write.parquet(str(tmp_path / "t"))
+    seen = []
+    original = T.written
+
+    def watch(df, name):
+        if str(tmp_path) in df._jdf.queryExecution().executedPlan().toString():
+            seen.append(name)
+        return original(df, name)
+
+    T.written, _ = watch, None
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        members = F.array(F.struct(F.substring("question", 2, 1).cast("int").alias("model"), (F.col("label") == "two").cast("int").alias("target")))
+        T.fit_tfidf(df, "text", [T.Task(f"q{i}", ("one", "two")) for i in range(3)], members)
+    finally:
+        T.written = original
+    assert seen == ["texts"]
+
+
+def test_classes_are_bounded_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_CLASSES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        T.class_names(spark.range(9).select(F.col("id").cast("string").alias("label")), "label")
 
 
 def test_cold_start(spark, tickets):
