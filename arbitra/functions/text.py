@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +83,21 @@ def word_counts(c: Column | str, n_min: int = 1, n_max: int = 2) -> Column:
 def bucket_counts(c: Column | str) -> Column:
     """array<struct<key int, n int>>: hashed bag of words, sorted by bucket."""
     return run_lengths(F.transform(tokens_alnum(c), fnv_bucket))
+
+
+def fnv_buckets(tokens: pa.Array) -> np.ndarray:
+    """``fnv_bucket`` of an Arrow array of strings without nulls, all tokens a byte at a time."""
+    tokens = tokens.cast(pa.large_string())
+    ends = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, 8 * tokens.offset) if len(tokens) else np.zeros(1, np.int64)
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)
+    order = np.argsort(ends[1:] - ends[:-1], kind="stable")[::-1]  # longest first, so those that go on are a prefix
+    start, size = ends[:-1][order], (ends[1:] - ends[:-1])[order]
+    h = np.full(len(tokens), FNV_OFFSET % N_BUCKETS, np.int64)
+    more = len(tokens)
+    for i in range(int(size[0]) if len(size) else 0):
+        while size[more - 1] <= i:
+            more = int(np.searchsorted(-size, -i, side="left"))
+        h[:more] = ((h[:more] ^ data[start[:more] + i]) * (FNV_PRIME % N_BUCKETS)) & (N_BUCKETS - 1)
+    out = np.empty(len(tokens), np.int64)
+    out[order] = h
+    return out

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbitra.functions.text import N_BUCKETS, bucket_counts
-from arbitra.operators.features import SALTS, join_terms, term_rows, tf_weight
+from arbitra.functions.text import N_BUCKETS, fnv_buckets, tokens_alnum, word_counts
+from arbitra.operators.features import join_terms, term_rows, tf_weight
 from arbitra.operators.model import LinearModel
-from arbitra.session import BROADCAST_BYTES, written
+from arbitra.session import BROADCAST_BYTES, may_broadcast, written
 
 
 def _per_class(models: Sequence[LinearModel]) -> int:
@@ -53,15 +54,118 @@ def _finish(sums: DataFrame, out_cols: Sequence[str], models: Sequence[LinearMod
     return sums.select(*out_cols, "model_id", logits.alias("logits"))
 
 
+# Sent tables of models, as long as their terms are in use.
+_sent: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _table(model: LinearModel):
+    """A broadcast of the model for use inside rows: coefficients by bucket, or by sorted 64-bit hash of the term with a second
+    hash as check."""
+    spark = model.terms.sparkSession
+    if model.terms in _sent and _sent[model.terms][0] == spark.sparkContext.applicationId:
+        return _sent[model.terms][1]
+    k = len(model.classes)
+    if model.kind == "hashed":
+        t = model.terms.select("bucket", "coef").toArrow().combine_chunks()
+        coef = np.zeros((N_BUCKETS, k))
+        if t.num_rows:
+            coef[t["bucket"].to_numpy()] = t["coef"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+        table = (coef,)
+    else:
+        t = model.terms.select(F.xxhash64("term").alias("h"), F.xxhash64("term", F.lit(1)).alias("check"), "idf", "coef").toArrow()
+        order = np.argsort(t["h"].to_numpy(), kind="stable")
+        coef = t["coef"].combine_chunks().flatten().to_numpy().reshape(-1, k) if t.num_rows else np.zeros((0, k))
+        table = (*(t[c].to_numpy()[order] for c in ("h", "check", "idf")), coef[order])
+    sent = spark.sparkContext.broadcast(table)
+    _sent[model.terms] = (spark.sparkContext.applicationId, sent)
+    return sent
+
+
+def _sum_rows(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between consecutive ``ends``; empty rows sum to 0."""
+    out = np.zeros((len(ends) - 1, values.shape[1]))
+    full = ends[1:] > ends[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, ends[:-1][full], axis=0)
+    return out
+
+
+def _logits(model_kind: str, intercept: np.ndarray, table: tuple, keys: tuple, ends: np.ndarray) -> np.ndarray:
+    """Logits of rows whose keys lie between ``ends``."""
+    if model_kind == "hashed":
+        return intercept + _sum_rows(table[0][keys[0]], ends)
+    h, check, idf, coef = table
+    found, seen, n = keys
+    if not len(h):
+        return np.broadcast_to(intercept, (len(ends) - 1, len(intercept)))
+    at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+    # two terms of one hash stand next to each other
+    while (again := (h[at] == found) & (check[at] != seen) & (at + 1 < len(h))).any():
+        again &= h[np.minimum(at + 1, len(h) - 1)] == found
+        if not again.any():
+            break
+        at = at + again
+    known = (h[at] == found) & (check[at] == seen)
+    x = np.where(known, (1.0 + np.log(n)) * idf[at], 0.0)
+    sums = _sum_rows(np.column_stack([x * x, x[:, None] * coef[at]]), ends)
+    norm = np.sqrt(sums[:, :1])
+    return intercept + np.divide(sums[:, 1:], norm, out=np.zeros_like(sums[:, 1:]), where=norm > 0)
+
+
+def _score_rows(df: DataFrame, models: Sequence[LinearModel], cols: Sequence[str], text_col: str, every: bool) -> DataFrame:
+    """Logits inside the rows, without a shuffle: of the model that a row names, or of every model.
+
+    Spark cuts a text into tokens or counted n-grams; their coefficients are looked up in the broadcast models by Arrow batch.
+    """
+    kind = models[0].kind
+    if kind == "hashed":
+        keys = tokens_alnum(text_col)
+    else:
+        grams = word_counts(text_col, 1, max(m.n_max for m in models))
+        keys = F.transform(grams, lambda t: F.struct(F.xxhash64(t["key"]).alias("h"), F.xxhash64(t["key"], F.lit(1)).alias("c"), t["n"].alias("n")))
+    names = [*cols] if every else [*cols, "model_id"]
+    sent = [(m.model_id, np.array(m.intercept, float), _table(m)) for m in models]
+
+    def parts(found: pa.ListArray) -> tuple[tuple, np.ndarray]:
+        flat = found.flatten()
+        ends = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        if kind == "hashed":
+            return (fnv_buckets(flat),), ends
+        return tuple(flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)), ends
+
+    def run(batches):
+        for b in batches:
+            kept, found = b.columns[: len(names)], b.column(len(names))
+            asked = None if every else np.array(b.column(len(cols)).to_pylist(), object)
+            for model_id, intercept, table in sent:
+                rows = np.arange(b.num_rows) if every else np.nonzero(asked == model_id)[0]
+                if not len(rows):
+                    continue
+                mine = found if len(rows) == b.num_rows else found.take(pa.array(rows))
+                z = _logits(kind, intercept, table.value, *parts(mine))
+                ends = pa.array(np.arange(0, z.size + 1, len(intercept), dtype=np.int32))
+                logits = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(z).ravel()))
+                own = [c if len(rows) == b.num_rows else c.take(pa.array(rows)) for c in kept[: len(cols)]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([model_id] * len(rows), pa.string()), logits], names=[*cols, "model_id", "logits"])
+
+    source = df.select(*names, keys.alias("_keys"))
+    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("model_id", T.StringType()), T.StructField("logits", T.ArrayType(T.DoubleType()))])
+    return source.mapInArrow(run, schema)
+
+
+def _fits(models: Sequence[LinearModel]) -> bool:
+    return may_broadcast(sum(m.n_terms for m in models), 24 + 8 * _per_class(models))
+
+
 def score_models(
     df: DataFrame, models: Sequence[LinearModel], id_col: str, text_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(id, keep, model_id, logits) where each row names its ``model_id``.
 
-    (id, model_id) must identify a row. A text is counted inside its row and
-    exploded next to the term table, so the map side reduces it to one partial
-    record per row; only those records are shuffled, never the text. A text
-    with no known term gets the intercepts alone.
+    (id, model_id) must identify a row. While all models of a kind may be broadcast, logits are computed inside the rows
+    and nothing is shuffled. Beyond that a TF-IDF text is counted inside its row and exploded next to the term table, so the map side
+    reduces it to one partial record per row; only those records are shuffled, never the text; hashed models are scored in
+    groups that fit. A text with no known term gets the intercepts alone.
     """
     spark = df.sparkSession
     if len({m.model_id for m in models}) != len(models):
@@ -71,6 +175,9 @@ def score_models(
     tfidf = [m for m in models if m.kind == "tfidf"]
     if tfidf:
         own = df if len(tfidf) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in tfidf]))
+    if tfidf and _fits(tfidf):
+        done.append(_score_rows(own, tfidf, cols, text_col, every=False))
+    elif tfidf:
         table = reduce(
             DataFrame.unionByName,
             [m.terms.select(F.lit(m.model_id).alias("model_id"), "term", "idf", "coef") for m in tfidf],
@@ -85,25 +192,11 @@ def score_models(
         scale = F.when(F.col("_sq") > 0, 1.0 / F.sqrt("_sq")).otherwise(F.lit(0.0))
         done.append(_finish(sums, cols, tfidf, scale))
     hashed = [m for m in models if m.kind == "hashed"]
-    at_once = max(1, BROADCAST_BYTES // (N_BUCKETS * _row_bytes(hashed))) if hashed else 1
+    at_once = max(1, BROADCAST_BYTES // (N_BUCKETS * (24 + 8 * _per_class(hashed)))) if hashed else 1
     for start in range(0, len(hashed), at_once):  # as many models as one broadcast may hold
         group = hashed[start : start + at_once]
         own = df if len(group) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in group]))
-        table = reduce(
-            DataFrame.unionByName,
-            [m.terms.select(F.lit(m.model_id).alias("model_id"), "bucket", "coef") for m in group],
-        )
-        none = -1 - F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")  # a text without tokens matches nothing
-        rows = own.select(*cols, "model_id", F.explode_outer(bucket_counts(text_col)).alias("t")).select(
-            *cols,
-            "model_id",
-            F.coalesce(F.col("t.key"), none).alias("bucket"),
-            F.col("t.n").cast("double").alias("_x"),
-        )
-        n_terms = N_BUCKETS * len(group)
-        joined = join_terms(rows, table, n_terms, _row_bytes(group), ["model_id", "bucket"], id_col, "left")
-        sums = joined.groupBy(*cols, "model_id").agg(*_sums(_per_class(group), F.col("_x")))
-        done.append(_finish(sums, cols, group, None))
+        done.append(_score_rows(own, group, cols, text_col, every=False))
     if not done:
         return spark.createDataFrame([], T.StructType([*df.select(*cols, "model_id").schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]))
     return reduce(DataFrame.unionByName, done)
@@ -123,6 +216,8 @@ def score_each(
     for m in models:
         distinct.setdefault(id(m.terms), m)
     tables = list(distinct.values())
+    if _fits(tables):
+        return _score_rows(df, models, [id_col, *keep], text_col, every=True)
     at = {key: i for i, key in enumerate(distinct)}
     stacked = reduce(
         DataFrame.unionByName, [m.terms.select("term", "idf", "coef", F.lit(i).alias("_m")) for i, m in enumerate(tables)]

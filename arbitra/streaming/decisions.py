@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arbitra.operators.decide import Question, ask
-from arbitra.session import spread
 from arbitra.sources.logs import hard_cases
 
 
@@ -40,10 +39,10 @@ def ask_stream(
 ) -> StreamingQuery:
     """Decide a stream of requests with a fixed model.
 
-    Each micro-batch runs the batch plan: texts are counted in their rows, the
-    term table is broadcast, and no state is kept between batches.
+    Each micro-batch runs the batch plan without a shuffle: texts are counted and looked up in their rows, in a model that is
+    sent once for all batches. No state is kept between batches.
     """
-    sink = _per_batch(path, lambda b: ask(spread(b, id_col), question, id_col, text_col, keep))
+    sink = _per_batch(path, lambda b: ask(b, question, id_col, text_col, keep))
     return _start(stream, sink, checkpoint, trigger)
 
 

@@ -220,3 +220,54 @@ def test_guard_reasons(spark):
         1: ("model", "A"), 2: ("near_tie", "B"), 3: ("low_confidence", "B"), 4: ("out_of_range", "B"), 5: ("near_tie", "B"), 6: ("model", "B"),
     }
     assert {r["reason"]: (r["n"], r["n_agree"]) for r in D.guard_report(out).collect()}["model"] == (2, 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _hashed(spark, name="h", k=2):
+    terms = spark.createDataFrame([(b, [math.sin(b + c) for c in range(k)]) for b in range(16384)], "bucket int, coef array<double>")
+    return LinearModel(name, "hashed", tuple("abcdef"[:k]), tuple(0.1 * c for c in range(k)), terms, 16384)
+
+
+def test_scoring_needs_no_shuffle(spark, tmp_path):
+    _docs(spark, TEXTS).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    m, other, h = _model(spark), _model(spark, name="n"), _hashed(spark)
+    question = D.Question("q", model=m)
+    for df in (score_tfidf(d, m, "id", "text"), score_hashed(d, h, "id", "text"), score_each(d, [m, other], "id", "text"), D.ask(d, question, "id", "text")):
+        assert "Exchange" not in _plan(df)
+        assert df.count() in (len(TEXTS), 2 * len(TEXTS))
+
+
+def test_models_of_both_kinds_and_widths_in_one_call(spark):
+    models = [_model(spark), _model(spark, {"ab": (2.0, [1.0, 2.0, 3.0])}, tuple("xyz"), (0.0, 0.1, 0.2), "wide"), _hashed(spark), _hashed(spark, "h3", 3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "id int, text string")
+    tagged = docs.crossJoin(spark.createDataFrame([(m.model_id,) for m in models] + [("unknown",)], "model_id string"))
+    got = {(r["id"], r["model_id"]): r["logits"] for r in score_models(tagged, models, "id", "text").collect()}
+    assert len(got) == 4 * (len(TEXTS) + 1)
+    for m in models:
+        for r in score(docs, m, "id", "text").collect():
+            assert got[r["id"], m.model_id] == pytest.approx(r["logits"], abs=1e-12) and len(r["logits"]) == len(m.classes)
+    for i, t in enumerate(TEXTS):
+        counts = Counter(_fnv(w) for w in t.split())
+        want = [0.1 * c + sum(n * math.sin(b + c) for b, n in counts.items()) for c in range(3)]
+        assert got[i, "h3"] == pytest.approx(want, abs=1e-9)
+    assert got[len(TEXTS), "m"] == [0.0, 0.0]
+
+
+def test_terms_of_one_hash_are_told_apart():
+    import numpy as np
+
+    from arbitra.operators.score import _logits
+
+    table = (np.array([1, 5, 5, 5, 9]), np.array([0, 1, 2, 3, 0]), np.ones(5), np.arange(5.0)[:, None] + 1)
+    keys = (np.array([5, 5, 5, 5, 9, 7]), np.array([1, 2, 3, 4, 0, 0]), np.ones(6))
+    each = [_logits("tfidf", np.zeros(1), table, tuple(k[i : i + 1] for k in keys), np.array([0, 1]))[0, 0] for i in range(6)]
+    assert each == [2.0, 3.0, 4.0, 0.0, 5.0, 0.0]
+
+
+def test_a_model_without_terms_gives_its_intercepts(spark):
+    m = _model(spark, {}, intercept=(0.5, -0.5))
+    assert [r["logits"] for r in score(_docs(spark, ["ab", ""]), m, "id", "text").collect()] == [[0.5, -0.5]] * 2

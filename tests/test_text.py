@@ -72,3 +72,14 @@ def test_counts_match_a_counter(spark, texts):
 def test_hashing_ignores_case(spark):
     a, b = (r[0] for r in _rows(spark, ["Hello WORLD hello", "hello world hello"]).select(bucket_counts("text")).collect())
     assert a == b and sorted(e["n"] for e in a) == [1, 2]
+
+
+def test_buckets_of_arrow_tokens_equal_the_column_function():
+    import pyarrow as pa
+
+    from arbitra.functions.text import fnv_buckets
+
+    tokens = ["", "a", "abc", "x" * 5000, "é", "漢字", "😀z", "abc", "ab"]
+    assert fnv_buckets(pa.array(tokens)).tolist() == [_fnv(t) for t in tokens]
+    assert fnv_buckets(pa.array(tokens).slice(2, 4)).tolist() == [_fnv(t) for t in tokens[2:6]]
+    assert fnv_buckets(pa.array([], pa.string())).tolist() == []
