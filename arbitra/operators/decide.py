@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions import prob as P
-from arbitra.operators.model import LinearModel
+from arbitra.operators.model import Model
 from arbitra.operators.score import score, score_each, score_models
 from arbitra.session import written
 
@@ -24,14 +24,11 @@ class Policy:
     abstain_energy_above: float | None = None
 
     def __post_init__(self):
-        for name in ("act_above", "review_low", "review_high"):
-            v = getattr(self, name)
-            if not 0.0 <= v <= 1.0:
-                raise ValueError(f"{name} must be in [0,1], got {v}")
-        if self.review_low > self.review_high:
-            raise ValueError(f"review_low ({self.review_low}) must be <= review_high ({self.review_high})")
-        if self.review_high > self.act_above:
-            raise ValueError(f"review_high ({self.review_high}) must be <= act_above ({self.act_above})")
+        bounds = self.review_low, self.review_high, self.act_above
+        if any(not 0.0 <= v <= 1.0 for v in bounds):
+            raise ValueError(f"policy thresholds are probabilities, each must be in [0,1]: {bounds}")
+        if list(bounds) != sorted(bounds):
+            raise ValueError(f"policy thresholds must be <= the next in the order review_low, review_high, act_above: {bounds}")
         e = self.abstain_energy_above
         if e is not None and not (float("-inf") < e < float("inf")):
             raise ValueError("abstain_energy_above must be finite")
@@ -46,7 +43,7 @@ class Question:
 
     name: str
     policy: Policy = field(default_factory=Policy)
-    model: LinearModel | None = None
+    model: Model | None = None
     input_schema: str = "{}"
     output_schema: str = "{}"
 
@@ -88,18 +85,18 @@ def apply_policy(df: DataFrame, policy: Policy | str) -> DataFrame:
     )
 
 
-def _trained(question: Question) -> LinearModel:
+def _trained(question: Question) -> Model:
     if question.model is None:
         raise ValueError(f'question "{question.name}" has no trained model')
     return question.model
 
 
 def distribution(df: DataFrame, question: Question, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, keep, logits, p, label, confidence, energy). Hashed models report
+    """(id, keep, logits, p, label, confidence, energy). Hashed and hidden-layer models report
     no energy."""
     model = _trained(question)
     scored = score(df, model, id_col, text_col, keep)
-    return predict(scored, model.classes, model.temperature, with_energy=model.kind == "tfidf")
+    return predict(scored, model.classes, model.temperature, with_energy=model.has_energy)
 
 
 def ask(df: DataFrame, question: Question, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -214,41 +211,32 @@ def noul(
     return ask_batch(df, items, question, id_col, text_col, keep).drop("label")
 
 
-def _answer(scored: DataFrame, questions: Sequence[Question], question_col: str) -> DataFrame:
-    """Predict and apply the policy of the question each scored row names."""
-
-    def of(value):
-        expr = F.lit(None)
-        for q in questions:
-            expr = F.when(F.col(question_col) == q.name, value(q)).otherwise(expr)
-        return expr
-
-    answered = predict(
-        scored,
-        of(lambda q: P.array_literal(q.model.classes)),
-        of(lambda q: F.lit(float(q.model.temperature))),
-        with_energy=of(lambda q: F.lit(q.model.kind == "tfidf")),
+def settings(spark, questions: Sequence[Question]) -> DataFrame:
+    """``(question, classes, temperature, policy, has_energy)``: what turns a question's logits into decisions; one row per question."""
+    rows = [
+        (
+            q.name, list(q.model.classes) if q.model else None, float(q.model.temperature) if q.model else None,
+            (q.policy.act_above, q.policy.review_low, q.policy.review_high, q.policy.abstain_energy_above), bool(q.model and q.model.has_energy),
+        )
+        for q in questions
+    ]
+    return spark.createDataFrame(
+        rows,
+        "question string, classes array<string>, temperature double, "
+        "policy struct<act_above:double,review_low:double,review_high:double,abstain_energy_above:double>, has_energy boolean",
     )
-    return _act(answered, questions, question_col)
 
 
-def _act(df: DataFrame, questions: Sequence[Question], question_col: str) -> DataFrame:
-    def of(value):
-        expr = F.lit(None).cast("double")
-        for q in questions:
-            expr = F.when(F.col(question_col) == q.name, F.lit(value(q.policy)).cast("double")).otherwise(expr)
-        return expr
+def answer(scored: DataFrame, known: DataFrame, question_col: str = "question") -> DataFrame:
+    """Decisions from a table ``(id, question, logits)`` of any engine and a ``settings`` table, joined by question.
 
-    return df.withColumn(
-        "action",
-        P.policy_action(
-            F.col("confidence"),
-            F.col("energy"),
-            of(lambda p: p.act_above),
-            of(lambda p: p.review_low),
-            of(lambda p: p.abstain_energy_above),
-        ),
-    )
+    Adds ``p``, ``label``, ``confidence``, ``energy`` and ``action``; rows of an unknown question are left out. Settings are one
+    row per question, so they are broadcast.
+    """
+    s = known.select(F.col("question").alias(question_col), F.struct("classes", "temperature", "policy", "has_energy").alias("_s"))
+    rows = scored.join(F.broadcast(s), question_col).withColumn("_policy", F.col("_s.policy"))
+    decided = predict(rows, F.col("_s.classes"), F.col("_s.temperature"), with_energy=F.col("_s.has_energy"))
+    return apply_policy(decided, "_policy").drop("_s", "_policy")
 
 
 def ask_routed(
@@ -276,25 +264,27 @@ def ask_routed(
     name = F.col(question_col)
 
     out = [*cols, question_col, "label", "confidence", "energy", "action", "error"]
-    served = F.coalesce(name.isin([q.name for q in trained]), F.lit(False))
-    unserved = df.filter(~served).select(
+    asked_of = df.sparkSession.createDataFrame([(q.name,) for q in trained], "_served string")
+    tagged = df.join(F.broadcast(asked_of), name == F.col("_served"), "left")
+    unserved = tagged.filter("_served IS NULL").select(
         *cols,
         question_col,
         F.lit(default_output).alias("label"),
         F.lit(float(default_confidence)).alias("confidence"),
         F.lit(None).cast("double").alias("energy"),
     )
-    is_known = F.coalesce(name.isin(list(known)), F.lit(False))
-    fallback = _act(unserved, list(known.values()), question_col).withColumn(
+    policies = settings(df.sparkSession, list(known.values())).select(F.col("question").alias(question_col), F.col("policy").alias("_policy"))
+    is_known = F.col("_policy").isNotNull()
+    fallback = apply_policy(unserved.join(F.broadcast(policies), question_col, "left"), "_policy").withColumn(
         "error", F.when(~is_known, F.concat(F.lit("unknown question: "), F.coalesce(name, F.lit("null"))))
     )
     for c in ("label", "confidence", "action"):
         fallback = fallback.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
     if not trained:
         return fallback.select(*out)
-    asked = df.filter(served).withColumn("model_id", name)
+    asked = tagged.filter("_served IS NOT NULL").withColumn("model_id", name)
     scored = score_models(asked, models, id_col, text_col, [*keep, question_col])
-    answered = _answer(scored, trained, question_col).withColumn("error", F.lit(None).cast("string"))
+    answered = answer(scored, settings(df.sparkSession, trained), question_col).withColumn("error", F.lit(None).cast("string"))
     return answered.select(*out).unionByName(fallback.select(*out))
 
 
@@ -312,7 +302,7 @@ def decompose(
     """Ask a verdict and several signal questions of every row, and compare.
 
     ``agree`` says whether the verdict is ``positive`` exactly when at least
-    ``need`` signals fired. All questions are TF-IDF models and are scored in
+    ``need`` signals fired. Any models will do; all TF-IDF models are scored in
     one pass over the texts.
     """
     questions = [verdict, *signals]
@@ -320,7 +310,7 @@ def decompose(
     rules = dict(rules or {})
     src = df.select(id_col, text_col, *[c.alias(n) for n, c in rules.items()])
     scored = score_each(src, models, id_col, text_col, list(rules)).withColumnRenamed("model_id", "question")
-    answers = _answer(scored, questions, "question")
+    answers = answer(scored, settings(df.sparkSession, questions))
     is_verdict = F.col("question") == verdict.name
     hit = ~is_verdict & (F.col("label") == fired)
     out = answers.groupBy(id_col, *rules).agg(

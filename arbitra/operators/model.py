@@ -41,6 +41,10 @@ class LinearModel:
     def with_(self, **changes) -> LinearModel:
         return replace(self, **changes)
 
+    @property
+    def has_energy(self) -> bool:
+        return self.kind == "tfidf"
+
     def meta(self) -> dict:
         """The settings as one record, without the term table."""
         return {
@@ -57,6 +61,48 @@ class LinearModel:
         }
 
 
+@dataclass(frozen=True)
+class LogitsTable:
+    """Answers of any engine: logits that lie in a table, ``(id_col, logits)``, with a column ``question`` where the table
+    holds several questions and ``key`` names this one.
+
+    A row without logits is not answered. (id, question) must identify a row of the table.
+    """
+
+    model_id: str
+    classes: tuple[str, ...]
+    logits: DataFrame
+    key: str | None = None
+    temperature: float = 1.0
+    has_energy: bool = True
+
+    def __post_init__(self):
+        if not self.classes:
+            raise ValueError("model has no classes")
+        if not (0 < self.temperature < float("inf")):
+            raise ValueError(f"temperature must be positive and finite, got {self.temperature}")
+
+    def with_(self, **changes) -> LogitsTable:
+        return replace(self, **changes)
+
+
+@dataclass(frozen=True)
+class HiddenLayerModel:
+    """A fitted one-hidden-layer classifier over hashed term counts."""
+
+    model_id: str
+    classes: tuple[str, ...]
+    network: object
+    temperature: float = 1.0
+    has_energy: bool = False
+
+    def with_(self, **changes) -> HiddenLayerModel:
+        return replace(self, **changes)
+
+
+Model = LinearModel | LogitsTable | HiddenLayerModel
+
+
 META_SCHEMA = (
     "model_id string, kind string, classes array<string>, intercept array<double>, temperature double, "
     "n_max int, n_terms bigint, ece_before double, ece_after double, ece_split string"

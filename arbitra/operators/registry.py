@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arbitra.operators.decide import Policy, Question
 from arbitra.operators.inputs import validate_policies
 from arbitra.operators.model import LinearModel, model_meta
+from arbitra.sources.commits import CommitLog
 
 REGISTRY_SCHEMA = (
     "name string, input_schema string, output_schema string, "
@@ -179,3 +180,56 @@ def policy_column(p: Policy) -> Column:
 
 def models_table(spark: SparkSession, models: Sequence[LinearModel]) -> DataFrame:
     return model_meta(spark, models)
+
+
+class StoredRegistry:
+    """Questions and production pointers in a commit log, shared by all sessions that read ``path``.
+
+    Every definition, promotion and rollback is one record. A change is written behind the record it was decided on, so of two
+    changes at once the second fails with ``Conflict`` and decides anew.
+    """
+
+    SCHEMA = (
+        "kind string, question string, version bigint, input_schema string, output_schema string, "
+        "policy struct<act_above:double,review_low:double,review_high:double,abstain_energy_above:double>, model_id string"
+    )
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.log = spark, CommitLog(spark, path)
+
+    def define(self, question: Question) -> int:
+        """Add a definition; the latest one of a name counts. Returns its number."""
+        name, given, output, policy, model_id, _ = question_row(question, 0)
+        names = "act_above", "review_low", "review_high", "abstain_energy_above"
+        row = {"input_schema": given, "output_schema": output, "policy": dict(zip(names, policy, strict=True)), "model_id": model_id}
+        return self.log.append({"kind": "define", "question": name, **row})
+
+    def questions(self) -> DataFrame:
+        """The latest definition of each question, as registry rows whose ``seq`` is the record's number."""
+        rows = self.log.table(self.SCHEMA).where("kind = 'define'")
+        rows = rows.select(F.col("question").alias("name"), "input_schema", "output_schema", "policy", "model_id", F.col("number").alias("seq"))
+        return define(rows.limit(0), rows)
+
+    def pointers(self) -> DataFrame:
+        rows = self.log.table(self.SCHEMA).where("kind <> 'define'")
+        return rows.select("question", "version", F.col("number").alias("seq"), F.col("kind").alias("note"))
+
+    def current(self) -> DataFrame:
+        """(question, version) now in production."""
+        return current_version(self.pointers())
+
+    def promote(self, question: str, version: int, gate: DataFrame, after: int | None = None) -> bool:
+        """Point at ``version`` if the gate is open. ``after`` is the record on which the caller decided, by default the last one."""
+        at = self.log.head() if after is None else after
+        if not gate_open(gate).first()["promote"]:
+            return False
+        self.log.append({"kind": "promote", "question": question, "version": int(version)}, after=at)
+        return True
+
+    def rollback(self, question: str) -> int:
+        """Point back at the version promoted before the one in production, and return it."""
+        at = self.log.head()
+        moved = rollback(self.pointers(), question)
+        version = current_version(moved.where(F.col("question") == question)).first()["version"]
+        self.log.append({"kind": "rollback", "question": question, "version": int(version)}, after=at)
+        return int(version)

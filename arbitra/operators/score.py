@@ -8,13 +8,14 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.functions.text import N_BUCKETS, fnv_buckets, tokens_alnum, word_counts
-from arbitra.operators.features import join_terms, term_rows, tf_weight
-from arbitra.operators.model import LinearModel
+from arbitra.operators.features import hashed_vector, join_terms, term_rows, tf_weight
+from arbitra.operators.model import HiddenLayerModel, LinearModel, LogitsTable, Model
 from arbitra.session import BROADCAST_BYTES, may_broadcast, written
 
 
@@ -157,22 +158,50 @@ def _fits(models: Sequence[LinearModel]) -> bool:
     return may_broadcast(sum(m.n_terms for m in models), 24 + 8 * _per_class(models))
 
 
+def _score_network(df: DataFrame, model: HiddenLayerModel, cols: Sequence[str], text_col: str) -> DataFrame:
+    out = model.network.transform(hashed_vector(df, text_col, cols))
+    return out.select(*cols, F.lit(model.model_id).alias("model_id"), vector_to_array("rawPrediction").alias("logits"))
+
+
+def _score_tables(df: DataFrame, models: Sequence[LogitsTable], cols: Sequence[str]) -> list[DataFrame]:
+    """Logits looked up by id: one join per table, however many questions it holds."""
+    id_col, out = cols[0], []
+    tables: dict[int, list[LogitsTable]] = {}
+    for m in models:
+        tables.setdefault(id(m.logits), []).append(m)
+    for group in tables.values():
+        if group[0].key is None:
+            for m in group:
+                found = m.logits.select(id_col, "logits")
+                out.append(df.where(F.col("model_id") == m.model_id).select(*cols, "model_id").join(found, id_col).select(*cols, "model_id", "logits"))
+            continue
+        named = df.sparkSession.createDataFrame([(m.model_id, m.key) for m in group], "model_id string, _key string")
+        found = group[0].logits.select(id_col, F.col("question").alias("_key"), "logits")
+        asked = df.select(*cols, "model_id").join(F.broadcast(named), "model_id")
+        out.append(asked.join(found, [id_col, "_key"]).select(*cols, "model_id", "logits"))
+    return out
+
+
 def score_models(
-    df: DataFrame, models: Sequence[LinearModel], id_col: str, text_col: str, keep: Sequence[str] = ()
+    df: DataFrame, models: Sequence[Model], id_col: str, text_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(id, keep, model_id, logits) where each row names its ``model_id``.
 
     (id, model_id) must identify a row. While all models of a kind may be broadcast, logits are computed inside the rows
     and nothing is shuffled. Beyond that a TF-IDF text is counted inside its row and exploded next to the term table, so the map side
     reduces it to one partial record per row; only those records are shuffled, never the text; hashed models are scored in
-    groups that fit. A text with no known term gets the intercepts alone.
+    groups that fit. A text with no known term gets the intercepts alone. Logits of other engines are joined by id.
     """
     spark = df.sparkSession
     if len({m.model_id for m in models}) != len(models):
         raise ValueError("model ids must differ")
-    done = []
     cols = [id_col, *keep]
-    tfidf = [m for m in models if m.kind == "tfidf"]
+    done = _score_tables(df, [m for m in models if isinstance(m, LogitsTable)], cols)
+    for m in models:
+        if isinstance(m, HiddenLayerModel):
+            done.append(_score_network(df.filter(F.col("model_id") == m.model_id), m, cols, text_col))
+    linear = [m for m in models if isinstance(m, LinearModel)]
+    tfidf = [m for m in linear if m.kind == "tfidf"]
     if tfidf:
         own = df if len(tfidf) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in tfidf]))
     if tfidf and _fits(tfidf):
@@ -191,7 +220,7 @@ def score_models(
         )
         scale = F.when(F.col("_sq") > 0, 1.0 / F.sqrt("_sq")).otherwise(F.lit(0.0))
         done.append(_finish(sums, cols, tfidf, scale))
-    hashed = [m for m in models if m.kind == "hashed"]
+    hashed = [m for m in linear if m.kind == "hashed"]
     at_once = max(1, BROADCAST_BYTES // (N_BUCKETS * (24 + 8 * _per_class(hashed)))) if hashed else 1
     for start in range(0, len(hashed), at_once):  # as many models as one broadcast may hold
         group = hashed[start : start + at_once]
@@ -203,15 +232,19 @@ def score_models(
 
 
 def score_each(
-    df: DataFrame, models: Sequence[LinearModel], id_col: str, text_col: str, keep: Sequence[str] = ()
+    df: DataFrame, models: Sequence[Model], id_col: str, text_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(id, keep, model_id, logits): every TF-IDF model on every row.
+    """(id, keep, model_id, logits): every model on every row.
 
-    The models' tables are laid side by side per term, so a text is counted,
-    exploded and joined once however many models there are.
+    A text is counted once for all TF-IDF models: inside the rows while the models may be broadcast, else exploded and joined
+    with the models' tables laid side by side per term. Other models are asked through ``score_models``.
     """
-    if any(m.kind != "tfidf" for m in models):
-        raise ValueError("score_each needs tfidf models")
+    others = [m for m in models if not isinstance(m, LinearModel) or m.kind != "tfidf"]
+    if others:
+        tagged = df.withColumn("model_id", F.explode(F.array(*[F.lit(m.model_id) for m in others])))
+        scored = score_models(tagged, others, id_col, text_col, keep)
+        tfidf = [m for m in models if m not in others]
+        return scored.unionByName(score_each(df, tfidf, id_col, text_col, keep)) if tfidf else scored
     distinct: dict[int, LinearModel] = {}
     for m in models:
         distinct.setdefault(id(m.terms), m)
@@ -264,8 +297,8 @@ def score_hashed(
     return score(df, model, id_col, text_col, keep)
 
 
-def score(df: DataFrame, model: LinearModel, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, keep, logits) under either kind of model."""
+def score(df: DataFrame, model: Model, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep, logits) under any kind of model."""
     tagged = df.select(id_col, *keep, text_col, F.lit(model.model_id).alias("model_id"))
     return score_models(tagged, [model], id_col, text_col, keep).drop("model_id")
 

@@ -416,18 +416,18 @@ def train_signals(
     id_col: str,
     text_col: str,
     **options,
-) -> dict[str, LinearModel]:
-    """One calibrated true/false model per rule signal.
+) -> tuple[dict[str, LinearModel], dict[str, str]]:
+    """One calibrated true/false model per rule signal, all fitted in one run, and the signals without a model with the reason.
 
     ``signals`` maps a name to the boolean column that labels it (null counts as
-    false). A signal that is constant on the training rows cannot be trained: an
-    error names all of them before anything is fitted.
+    false). A signal that is constant on the training rows cannot be trained.
     """
     flag = {n: F.coalesce(c, F.lit(False)) for n, c in signals.items()}
     present = train.agg(*[F.count_distinct(c).alias(n) for n, c in flag.items()]).first()
-    constant = sorted(n for n in signals if present[n] < 2)
-    if constant:
-        raise ValueError(f"train: constant signals {constant}")
+    reasons = {n: "no training rows" if present[n] == 0 else "constant on the training rows" for n in signals if present[n] < 2}
+    flag = {n: c for n, c in flag.items() if n not in reasons}
+    if not flag:
+        return {}, reasons
     options = dict(options)
     min_df = options.pop("min_df", 1)
     tasks = [Task(n, ("false", "true"), **options) for n in flag]
@@ -435,7 +435,8 @@ def train_signals(
     labels = F.explode(F.array(*[F.struct(F.lit(n).alias("model_id"), c.cast("string").alias("label")) for n, c in flag.items()]))
     held = validation.select(F.col(id_col), F.col(text_col), labels.alias("s")).select(id_col, text_col, "s.model_id", "s.label")
     scored = written(score_models(held, models, id_col, text_col, ["label"]), "signals")
-    return {m.model_id: m.with_(**calibrate_logits(scored.where(F.col("model_id") == m.model_id), m.classes), ece_split="validation") for m in models}
+    fitted = {m.model_id: m.with_(**calibrate_logits(scored.where(F.col("model_id") == m.model_id), m.classes), ece_split="validation") for m in models}
+    return fitted, reasons
 
 
 def label_curve(

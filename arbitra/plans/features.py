@@ -8,6 +8,7 @@ from arbitra.functions.text import fnv_bucket, ngrams, tokens_alnum, tokens_word
 from arbitra.operators import features as X
 from arbitra.plans.base import alnum_sql, documents, query, r6, rounded, with_sql, words_sql
 from arbitra.plans.weights import BUCKET_COUNTS, GRAM_COUNTS
+from arbitra.session import written
 
 
 @query("tokens_alnum", f"SELECT doc_id, CAST(len({alnum_sql('text')}) AS INTEGER) AS n_tokens, md5(array_to_string({alnum_sql('text')}, ' ')) AS digest FROM documents")
@@ -65,11 +66,11 @@ def q_fit_vocab(spark, sf):
 
 def _weights(spark, sf):
     d = documents(spark, sf)
-    vocab = X.fit_vocab(d, "text", min_df=2).persist()
+    vocab = written(X.fit_vocab(d, "text"), "vocab")
     return X.tfidf_weights(d, "doc_id", "text", vocab, vocab.count())
 
 
-_X = "x AS (SELECT doc_id, term, (1 + ln(n)) * idf AS x FROM tc JOIN v USING (term) WHERE df >= 2)"
+_X = "x AS (SELECT doc_id, term, (1 + ln(n)) * idf AS x FROM tc JOIN v USING (term))"
 
 
 @query("tfidf_weights", with_sql([*GRAM_COUNTS, _VOCAB, _X], "SELECT doc_id, term, round(x, 6) AS x FROM x"))
@@ -88,7 +89,7 @@ def q_l2_normalize(spark, sf):
 @query("tfidf_vector")
 def q_tfidf_vector(spark, sf):
     d = documents(spark, sf)
-    vocab = X.index_vocab(X.fit_vocab(d, "text")).persist()
+    vocab = written(X.index_vocab(written(X.fit_vocab(d, "text"), "vocab")), "indexed-vocab")
     v = F.unwrap_udt("features")
     norm = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x)
     out = X.tfidf_vector(d, "doc_id", "text", vocab, vocab.count())

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbitra.operators import registry as G
-from arbitra.plans.base import EMB, EMB_CLASSES, emb_logits, query, rounded, table, with_sql
-from arbitra.operators.decide import predict
+from arbitra.operators.decide import Policy, Question, predict
 from arbitra.operators.ranks import hash_rank
+from arbitra.operators.rebuild import rebuild
+from arbitra.plans.base import EMB, EMB_CLASSES, LABELLED, emb_logits, labelled, query, rounded, table, with_sql
+from arbitra.session import scratch_dir, written
 
 _NAME = "event_type || '_' || (user_id % 10)"
 _DEFS = (
@@ -172,3 +174,51 @@ def q_manifest(spark, sf):
     e = hash_rank(table(spark, sf, "events"), ["event_id"], 3, ["event_type"], total="t")
     e = e.select(F.col("event_type").alias("question"), F.when(F.col("rank") <= F.floor(F.col("t") / 2), "train").otherwise("validation").alias("split"))
     return G.manifest(e, _models(spark, sf))
+
+
+@query(
+    "stored_registry",
+    "SELECT event_type AS question, CAST(CASE WHEN event_type = 'click' THEN count(*) ELSE max(user_id) END AS BIGINT) AS version, "
+    "round(least(0.99, 0.9 + count(*) / 1000000.0), 6) AS act_above FROM events GROUP BY event_type",
+)
+def q_stored_registry(spark, sf):
+    """Define, promote and roll back on disk, then read all of it with another session."""
+    path = scratch_dir(spark, "registry")
+    kinds = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("user_id").alias("top")).collect()
+    open_ = spark.createDataFrame([("suite", True)], "suite string, pass boolean")
+    store = G.StoredRegistry(spark, path)
+    for k in kinds:
+        store.define(Question(k["event_type"], Policy(1.0, 0.6, 0.9)))
+        store.define(Question(k["event_type"], Policy(min(0.99, 0.9 + k["n"] / 1e6), 0.6, 0.9)))
+        store.promote(k["event_type"], k["n"], open_)
+        store.promote(k["event_type"], k["top"], open_)
+    store.promote("click", 1, spark.createDataFrame([("suite", False)], "suite string, pass boolean"))
+    store.rollback("click")
+    again = G.StoredRegistry(spark.newSession(), path)
+    known = again.questions().select(F.col("name").alias("question"), F.col("policy.act_above").alias("act_above"))
+    return rounded(known.join(again.current(), "question").select("question", "version", "act_above"), "act_above")
+
+
+@query(
+    "rebuild",
+    with_sql(
+        [
+            LABELLED,
+            "h AS (SELECT doc_id, truth, row_number() OVER (PARTITION BY lang, truth ORDER BY md5('7:' || lang || ':' || doc_id), doc_id) AS r, "
+            "count(*) OVER (PARTITION BY lang, truth) AS t FROM labelled)",
+            "s AS (SELECT truth, r <= greatest(1, floor(t * 0.8)) AS train FROM h)",
+        ],
+        "SELECT 'quality' AS question, CAST(count_if(train) + count_if(train AND truth = 'poor') AS BIGINT) AS train, CAST(count_if(NOT train) AS BIGINT) AS val, "
+        "CAST(1 AS BIGINT) AS version, true AS promoted FROM s",
+    ),
+)
+def q_rebuild(spark, sf):
+    """One source per language, poor texts framed once more; the manifest of the whole job, read back from a second call."""
+    root = scratch_dir(spark, "rebuild")
+    rows = written(labelled(spark, sf).select("doc_id", "text", "truth", "lang"), "labelled")
+    sources = {r[0]: rows.where(F.col("lang") == r[0]).select(F.col("doc_id").alias("id"), "text", F.col("truth").alias("label")) for r in rows.select("lang").distinct().collect()}
+    framing = {"notice": lambda d: d.where("label = 'poor'").withColumn("text", F.concat(F.lit("Quoted as an example of poor text: "), "text"))}
+    suite = {"all": rows.select(F.col("doc_id").alias("id"), "text", F.col("truth").alias("label"))}
+    for _ in range(2):
+        out, _stages = rebuild(spark, root, "quality", sources, suite, {"all": {"min_rate": 0.5}}, augment=framing, n_max=1)
+    return out.drop("T")

@@ -94,14 +94,14 @@ def q_train_questions(spark, sf):
     )
     train, held = _halves(spark, sf, rows.withColumn("cell", F.concat_ws("|", "question", "label")), "cell")
     models = T.train_questions(train, held, "question", "doc_id", "text", "label")
-    acc = [T.model_accuracy(m, held.filter(F.col("question") == n), "doc_id", "text", "label") for n, m in models.items()]
-    return _summary(spark, list(models.values()), acc)
+    right = T.accuracies(held.withColumnRenamed("question", "model_id"), list(models.values()), "doc_id", "text", "label")
+    return _summary(spark, list(models.values()), [right[n] for n in models])
 
 
 @query("train_mlp")
 def q_train_mlp(spark, sf):
     train, held = _by_lang(spark, sf)
-    model, classes = T.train_mlp(train, "text", "lang", hidden=64, max_iter=50)
+    model, classes = T.train_mlp(train, "text", "lang")
     scored = written(T.score_mlp(held, model, "text", ["doc_id", "lang"]), "mlp")
     fit = calibrate_logits(scored, classes, "lang")
     judged = predict(scored, classes, fit["temperature"])
@@ -116,15 +116,12 @@ def q_train_signals(spark, sf):
     sender = F.concat("source", F.lit("@"), "lang", F.lit(".example.com"))
     flags = R.signal_flags(sender, F.col("input"), link)
     flags["free_hosting"] = R.flag_hosting(link, ["fr.example.com", "de.example.com"])
-    # Invented prose holds no pressing words and its senders no webmail: only rules that vary on it can be trained.
-    varies = train.agg(*[F.count_distinct(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()]).first()
-    flags = {n: c for n, c in flags.items() if varies[n] > 1}
-    models = T.train_signals(train, held, flags, "doc_id", "input")
-    acc = []
-    for name, m in models.items():
-        judged = held.withColumn("label", flags[name].cast("string"))
-        acc.append(T.model_accuracy(m, judged, "doc_id", "input", "label"))
-    return _summary(spark, list(models.values()), acc)
+    models, untrained = T.train_signals(train, held, flags, "doc_id", "input")
+    each = held.withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("model_id"), F.coalesce(c, F.lit(False)).cast("string").alias("truth")) for n, c in flags.items() if n in models])))
+    right = T.accuracies(each.select("doc_id", "input", "s.model_id", "s.truth"), list(models.values()), "doc_id", "input", "truth")
+    done = _summary(spark, list(models.values()), [right[m] for m in models]).withColumn("reason", F.lit(None).cast("string"))
+    skipped = spark.createDataFrame(list(untrained.items()), "model_id string, reason string")
+    return done.unionByName(skipped, allowMissingColumns=True)
 
 
 @query("label_curve")

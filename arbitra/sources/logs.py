@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbitra.sources.commits import CommitLog
+
 HARD_ACTIONS = ("abstain", "escalate")
 
 
@@ -17,9 +21,30 @@ def hard_cases(decisions: DataFrame, label: str = "label", truth: str | None = "
     return decisions.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def log_hard_cases(decisions: DataFrame, path: str, label: str = "label", truth: str | None = "truth") -> None:
-    """Append hard cases to the next training set, one folder per reason."""
-    hard_cases(decisions, label, truth).write.mode("append").partitionBy("reason").parquet(path)
+def log_hard_cases(decisions: DataFrame, path: str, label: str = "label", truth: str | None = "truth", run_id: str | None = None) -> bool:
+    """Append hard cases to the next training set, one folder per reason.
+
+    With a ``run_id`` the append happens once: the rows of an attempt go to a folder of their own, and the run is noted in the
+    log's commits with the folder of the attempt that ended first. A run that is noted is not written again and False is
+    returned. ``read_log`` gives the rows of noted runs alone.
+    """
+    cases = hard_cases(decisions, label, truth)
+    if run_id is None:
+        cases.write.mode("append").partitionBy("reason").parquet(path)
+        return True
+    log = CommitLog(decisions.sparkSession, f"{path}/_commits")
+    if log.done(run_id) is not None:
+        return False
+    folder = f"run={uuid.uuid4().hex}"
+    cases.write.partitionBy("reason").parquet(f"{path}/{folder}")
+    return log.once(run_id, {"folder": folder})
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The hard cases of all noted runs; None where there are none."""
+    log = CommitLog(spark, f"{path}/_commits")
+    folders = [f"{path}/{note['folder']}" for note in log.notes()]
+    return spark.read.option("basePath", path).parquet(*folders).drop("run") if folders else None
 
 
 def write_report(metrics: DataFrame, path: str, name: str = "evaluation", mode: str = "append") -> None:

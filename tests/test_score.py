@@ -271,3 +271,45 @@ def test_terms_of_one_hash_are_told_apart():
 def test_a_model_without_terms_gives_its_intercepts(spark):
     m = _model(spark, {}, intercept=(0.5, -0.5))
     assert [r["logits"] for r in score(_docs(spark, ["ab", ""]), m, "id", "text").collect()] == [[0.5, -0.5]] * 2
+
+
+def test_answers_over_the_logits_of_any_engine(spark):
+    from arbitra.operators.model import LogitsTable
+
+    docs = _docs(spark, ["ab", "cd", "ab cd"])
+    table = spark.createDataFrame(
+        [(i, q, [float(i), 1.0 - i, 0.5][:k]) for i in range(3) for q, k in (("two", 2), ("three", 3))], "id int, question string, logits array<double>"
+    )
+    two = LogitsTable("x", ("no", "yes"), table, "two", 2.0)
+    three = LogitsTable("y", ("a", "b", "c"), table, "three", has_energy=False)
+    got = {r["id"]: r for r in D.ask(docs, D.Question("q", model=two), "id", "text").collect()}
+    assert [got[i]["label"] for i in range(3)] == ["yes", "no", "no"] and got[0]["energy"] is not None
+    assert got[2]["confidence"] == pytest.approx(1 / (1 + math.exp(-1.5)))
+    items = [{"id": "n", "statement": "s", "class": "c"}]
+    yes = {r["id"]: r["p_true"] for r in D.noul(docs, items, D.Question("q", model=three), "id", "text").collect()}
+    assert yes[0] == pytest.approx(math.exp(0.5) / (1 + math.e + math.exp(0.5)))
+    mixed = [D.Question("t", model=_model(spark)), D.Question("h", model=_hashed(spark)), D.Question("two", model=two), D.Question("three", model=three), D.Question("none")]
+    asked = docs.crossJoin(spark.createDataFrame([(q.name,) for q in mixed] + [("what",)], "question string"))
+    routed = D.ask_routed(asked, mixed, "id", "text").collect()
+    assert len(routed) == 18 and {r["label"] for r in routed if r["question"] == "three"} <= {"a", "b", "c"}
+    assert all(r["error"] == "unknown question: what" for r in routed if r["question"] == "what")
+    assert all((r["energy"] is None) == (r["question"] not in ("t", "two")) for r in routed)
+    parts = D.decompose(docs, mixed[0], mixed[1:4], "id", "text", positive="a", fired="yes", need=1).collect()
+    assert len(parts) == 3 and all(len(r["signals"]) == 3 for r in parts)
+    hybrid = D.ask_hybrid(docs, D.Question("f", model=two), D.Question("s", model=three), "id", "text").collect()
+    assert len(hybrid) == 3 and {r["route"] for r in hybrid} == {"slow"}
+
+
+def test_thousands_of_questions_compile_in_seconds(spark):
+    import time
+
+    from arbitra.operators.model import LogitsTable
+
+    n = 10_000
+    table = spark.range(n).select((F.col("id") % 100).cast("int").alias("id"), F.col("id").cast("string").alias("question"), F.array(F.lit(0.0), F.lit(1.0)).alias("logits"))
+    questions = [D.Question(str(i), model=LogitsTable(str(i), ("a", "b"), table, str(i))) for i in range(n)]
+    asked = spark.range(n).select((F.col("id") % 100).cast("int").alias("id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("question"))
+    start = time.perf_counter()
+    out = D.ask_routed(asked, questions, "id", "text")
+    assert out.where("label = 'b'").count() == n
+    assert time.perf_counter() - start < 60
