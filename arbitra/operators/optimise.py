@@ -24,8 +24,8 @@ from arbitra.session import written
 DRIVER_COEFFICIENTS = 8_000_000
 # Non-zeros that are worth a task of their own in every step, rows of a block, and coefficients of one message.
 NONZEROS_PER_TASK, BLOCK_ROWS, PART = 200_000, 4096, 1 << 16
-# Remembered steps, sufficient decrease, and halvings of one step.
-MEMORY, ARMIJO, HALVINGS = 10, 1e-4, 40
+# Remembered steps, sufficient decrease, halvings of one step, and the share of a loss that is rounding.
+MEMORY, ARMIJO, HALVINGS, ROUNDING = 10, 1e-4, 40, 1e-13
 TABLE_MEMORY = 5
 
 
@@ -33,8 +33,8 @@ TABLE_MEMORY = 5
 class Setting:
     """One model of a fit: columns of coefficients (1: signed, two classes; else one per class), rows, penalty, and when to stop.
 
-    A fit ends when no derivative of the loss over ``reg`` exceeds ``tol``, when a step improves the loss by less than
-    ``rel_tol`` of it, or after ``max_iter`` steps.
+    A fit ends when no derivative of the loss over ``reg`` exceeds ``tol``, when a step improves the loss by no more than
+    ``rel_tol`` of it (None: not asked), or after ``max_iter`` steps.
     """
 
     width: int
@@ -42,11 +42,12 @@ class Setting:
     reg: float
     max_iter: int = 200
     tol: float = 1e-5
-    rel_tol: float = 1e-13
+    rel_tol: float | None = None
 
 
 def _stopped(s: Setting, steepest: float, before: float | None, now: float) -> bool:
-    return steepest <= s.tol * s.reg or (before is not None and before - now <= s.rel_tol * max(abs(before), 1e-300))
+    slow = s.rel_tol is not None and before is not None and before - now <= s.rel_tol * max(abs(before), 1e-300)
+    return steepest <= s.tol * s.reg or slow
 
 
 def _direction(gram: np.ndarray, m: int) -> np.ndarray:
@@ -85,7 +86,8 @@ def _search(s: Setting, x: np.ndarray) -> Generator[np.ndarray, tuple[float, np.
         t = 1.0 if steps else min(1.0, 1.0 / float(np.linalg.norm(g)))
         for _ in range(HALVINGS):
             there, gradient = yield x + t * d
-            if there <= f + ARMIJO * t * slope:
+            flat = there <= f + ROUNDING * abs(f) and abs(gradient @ d) <= abs(slope)  # losses that rounding cannot tell apart
+            if there <= f + ARMIJO * t * slope or flat:
                 break
             t = max(0.1 * t, min(0.5 * t, -slope * t * t / (2 * (there - f - slope * t))))
         else:
@@ -381,7 +383,7 @@ class _Tables:
                 moved = way.join(self._meta(t=t.tolist()), "model").withColumn("w", F.zip_with("w", "d", lambda a, b: a + F.col("t") * b))
                 residuals, loss, gn = self.residuals(moved.select("model", "col", "w"), self.b + t[:, None] * db)
                 there = loss / n + reg / 2 * self.squares(moved)
-                open_ = live & (there > f + ARMIJO * t * slope)
+                open_ = live & (there > f + np.maximum(ARMIJO * t * slope, ROUNDING * np.abs(f)))
                 halvings += 1
                 if not open_.any():
                     break

@@ -106,7 +106,10 @@ def reorder_classes(model: LinearModel, order: Sequence[str]) -> LinearModel:
 
 @dataclass(frozen=True)
 class Task:
-    """One linear model of a joint fit; ``reg`` is the L2 penalty beside the mean loss, ``c`` that beside the summed loss."""
+    """One linear model of a joint fit; ``reg`` is the L2 penalty beside the mean loss, ``c`` weighs the summed loss beside the penalty.
+
+    ``tol`` and ``rel_tol`` end the fit as in ``optimise.Setting``.
+    """
 
     model_id: str
     classes: tuple[str, ...]
@@ -114,6 +117,8 @@ class Task:
     reg: float | None = None
     n_max: int = 2
     max_iter: int = 200
+    tol: float | None = None
+    rel_tol: float | None = None
 
 
 def member(task: int, target: Column) -> Column:
@@ -143,6 +148,11 @@ def _width(task: Task, kind: str) -> int:
     return 1 if kind == "tfidf" and len(task.classes) == 2 else len(task.classes)
 
 
+def _setting(t: Task, n_rows: int, kind: str, tol: float, rel_tol: float | None) -> Setting:
+    reg = t.reg if t.reg is not None else 1 / (n_rows * t.c)
+    return Setting(_width(t, kind), n_rows, reg, t.max_iter, tol if t.tol is None else t.tol, rel_tol if t.rel_tol is None else t.rel_tol)
+
+
 def _models(coefs: DataFrame, tasks: Sequence[Task], intercepts: np.ndarray, kind: str, key: Sequence[str]) -> list[LinearModel]:
     """One model per task from ``(model, key, w)``; the signed column of two classes is mirrored."""
     spark = coefs.sparkSession
@@ -173,7 +183,7 @@ def fit_hashed(df: DataFrame, text_col: str, tasks: Sequence[Task], members: Col
     rows = written(_each_member(texts, len(tasks)).select("row", "model", "target", idx.alias("idx"), x.alias("x"), F.lit(0.0).alias("own")), "train-rows")
     spark = df.sparkSession
     columns = spark.range(len(tasks) * N_BUCKETS).select(F.floor(F.col("id") / N_BUCKETS).cast("int").alias("model"), F.col("id").alias("idx"))
-    settings = [Setting(_width(t, "hashed"), n, t.reg if t.reg is not None else 1 / (n * t.c), t.max_iter, 1e-6, 1e-7) for t, n in zip(tasks, sizes, strict=True)]
+    settings = [_setting(t, n, "hashed", 1e-6, 1e-7) for t, n in zip(tasks, sizes, strict=True)]
     found, b = fit_rows(rows, settings, columns, len(tasks) * N_BUCKETS)
     # buckets that no row holds have no coefficient in tables
     nothing = F.array_repeat(F.lit(0.0), max(s.width for s in settings))
@@ -184,14 +194,14 @@ def fit_hashed(df: DataFrame, text_col: str, tasks: Sequence[Task], members: Col
 
 
 def train_hashed(
-    df: DataFrame, text_col: str, label: str, model_id: str = "hashed", reg: float = L2, max_iter: int = 100
+    df: DataFrame, text_col: str, label: str, model_id: str = "hashed", reg: float = L2, max_iter: int = 100, rel_tol: float | None = None
 ) -> LinearModel:
     """Multinomial logistic regression on hashed term counts.
 
     The features are row-local. ECE on the training rows is stored until the model is calibrated.
     """
     classes = class_names(df, label)
-    task = Task(model_id, classes, None, reg, max_iter=max_iter)
+    task = Task(model_id, classes, None, reg, max_iter=max_iter, tol=None if rel_tol is None else 0.0, rel_tol=rel_tol)
     (model,) = fit_hashed(df, text_col, [task], F.array(member(0, _target(classes, label))))
     rows = df.select(text_col, label).withColumn("_row", F.monotonically_increasing_id())
     seen = score(rows, model, "_row", text_col, [label])
@@ -248,7 +258,7 @@ def fit_tfidf(df: DataFrame, text_col: str, tasks: Sequence[Task], members: Colu
     )
     if not n_shared and rows.where("own > 0").isEmpty():
         raise ValueError("train: no terms")
-    settings = [Setting(_width(t, "tfidf"), n, t.reg if t.reg is not None else 1 / (n * t.c), t.max_iter) for t, n in zip(tasks, sizes, strict=True)]
+    settings = [_setting(t, n, "tfidf", 1e-5, None) for t, n in zip(tasks, sizes, strict=True)]
     found, b = fit_rows(rows, settings, vocab.select("model", "idx"), n_shared)
     found = found.select("model", "col", "w")
     shared = vocab.join(found.select(F.col("col").alias("idx"), "w"), "idx").select("model", "term", "idf", "w")
@@ -267,6 +277,7 @@ def train_tfidf(
     min_df: int = 1,
     model_id: str = "tfidf",
     max_iter: int = 200,
+    tol: float | None = None,
 ) -> LinearModel:
     """TF-IDF n-grams with L2 logistic regression of strength ``c``.
 
@@ -274,7 +285,7 @@ def train_tfidf(
     ``[-d, +d]``; calibrate before reading probabilities.
     """
     classes = class_names(df, label)
-    task = Task(model_id, classes, c, n_max=n_max, max_iter=max_iter)
+    task = Task(model_id, classes, c, n_max=n_max, max_iter=max_iter, tol=tol)
     return fit_tfidf(df, text_col, [task], F.array(member(0, _target(classes, label))), min_df)[0]
 
 
@@ -309,11 +320,12 @@ def sweep(
     cs: Iterable[float] = (4.0, 8.0),
     max_iter: int = 200,
     min_df: int = 1,
+    tol: float | None = None,
 ) -> DataFrame:
     """(n_max, c, n_terms, fit_sec, accuracy) over the grid, fitted in one run; ``fit_sec`` is a model's share of its time."""
     classes = class_names(train, label)
     grid = [(n, float(c)) for n in ngrams for c in cs]
-    tasks = [Task(f"n{n}-c{c}", classes, c, n_max=n, max_iter=max_iter) for n, c in grid]
+    tasks = [Task(f"n{n}-c{c}", classes, c, n_max=n, max_iter=max_iter, tol=tol) for n, c in grid]
     start = time.perf_counter()
     models = fit_tfidf(train, text_col, tasks, F.array(*[member(i, _target(classes, label)) for i in range(len(tasks))]), min_df)
     took = (time.perf_counter() - start) / len(tasks)
