@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -253,42 +255,84 @@ def test_fingerprints_and_search(spark, docs, rows):
     assert got[120] == got[121] == got[122] == (0, 0) and got[123] != (0, 0)
     bits = lambda p: bin(p[0] % 2**64)[2:].zfill(64) + bin(p[1] % 2**64)[2:].zfill(64)
     d = {(a, b): sum(x != y for x, y in zip(bits(a), bits(b), strict=True)) for a in set(got.values()) for b in set(got.values())}
-    for radius in (0, 3, 7, 15):
-        pairs = [tuple(r) for r in simhash.near(prints, prints, radius).collect()]
+    for radius, n in ((0, None), (3, 4), (7, 5), (15, 7), (23, 8), (23, 6), (23, 12), (23, None)):
+        found = simhash.near(prints, prints, radius, n)
+        assert "NestedLoop" not in str(found._jdf.queryExecution().executedPlan()) and "Cartesian" not in str(found._jdf.queryExecution().executedPlan())
+        pairs = [tuple(r) for r in found.collect()]
         assert len(pairs) == len(set(pairs))
         assert {((a, b), (c, e), n) for a, b, c, e, n in pairs} == {(a, b, n) for (a, b), n in d.items() if n <= radius}
-    with pytest.raises(ValueError):
-        simhash.near(prints, prints, 16)
     assert simhash.fingerprints(empty(spark), ["doc_id"]).count() == 0
 
 
-def test_scan_finds_near_copies_of_texts(spark, tmp_path, monkeypatch):
-    """Texts with a few changed words, and at 80 % of five-word shingles in one run, count as near; others do not."""
+def test_blocks_follow_from_the_counts():
+    few, many = simhash.cheapest(23, 100, 10_000), simhash.cheapest(23, 10**8, 10**10)
+    assert few > many >= 4
+    for n in simhash.BLOCKS:
+        assert sum(length for _, length in simhash.spans(n)) == 128
+    assert len(simhash.flips(16, 2)) == len(set(simhash.flips(16, 2))) == 137
+
+
+def _simhash(text):
+    """The fingerprint of a text as a number, by loops over its words."""
+    x64 = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed)
+    votes, total = [0] * 128, 0
+    for word, n in Counter(w.lower() for w in WORD.findall(text)).items():
+        weight = math.floor(min(max(len(word) // 4, 1), 15) * 4 * (1 + math.log(n)))
+        hi = x64(word.encode(), 42)
+        lo = x64((128).to_bytes(4, "little"), x64(hi.to_bytes(8, "little"), 42))
+        total += weight
+        for i in range(64):
+            votes[i] += weight * (lo >> i & 1)
+            votes[64 + i] += weight * (hi >> i & 1)
+    return sum(1 << i for i, v in enumerate(votes) if 2 * v > total)
+
+
+def test_every_column_of_the_query_by_hand(spark, tmp_path):
+    """Near copies, repeated rows and ids, null ids and texts: one row per row, every value recomputed, recall of near copies."""
     rng = random.Random(12)
     rows = []
-    for i in range(0, 3000, 100):
+    for i in range(0, 2000, 100):
         w = sentence(rng, 300).split()
         one, run = list(w), list(w)
         one[rng.randrange(300)] = "changed"
         run[100:129] = sentence(rng, 29, "z").split()
         rows += [(i, " ".join(w)), (i + 1, " ".join(one)), (i + 2, " ".join(run)), (i + 3, sentence(rng, 300))]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = [r["n_near"] for r in simhash.op6_simhash(spark, str(tmp_path)).where("doc_id % 100 = 0").collect()]
-    assert len(got) == 30 and max(got) == 2 and sum(got) >= 57
-    prints = simhash.fingerprints(spark.createDataFrame(rows[:60], "doc_id bigint, text string"), ["doc_id"]).cache()
-    want = {tuple(r) for r in simhash.near(prints, prints, 15).collect()}
-    for size in (simhash.SLICE, 7):
-        monkeypatch.setattr(simhash, "SLICE", size)
-        pairs = [tuple(r) for r in simhash.scan(prints, prints, 15).collect()]
-        assert set(pairs) == want and len(pairs) == len(want)
+    copies = rows[0]
+    rows += [copies, copies, (50, None), (51, ""), (52, " \n "), (-7, "first of all"), (None, "no id"), (None, None), (500, "other text of one id"), (9_000_000_000, "last One")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"hi": F.lit("x"), "bucket": F.lit(1), "n_chars": F.lit(0)})
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op6_simhash(spark, str(tmp_path)).collect()
+    ids = sorted({r[0] for r in rows if r[0] is not None})
+    text_of = {i: max(r[1] or "" for r in rows if r[0] == i) for i in ids}
+    asked_prints = [_simhash(t or "") for _, t in rows]
+    like = lambda a, b: 0.0 if (d := (a ^ b).bit_count()) * 2 >= 128 else math.cos(d * math.pi / 128)
+    want = []
+    for (i, t), fp in zip(rows, asked_prints, strict=True):
+        t = t or ""
+        after = None if i is None else text_of[ids[ids.index(i) - 1]]
+        k = len(t) // 3 if i is not None else 0
+        edited = t[: len(t) - k] + (after or "")[:k]
+        e = _simhash(edited)
+        near = sum((fp ^ other).bit_count() <= simhash.RADIUS for other in asked_prints) - 1 if i is not None and i % 100 == 0 else None
+        near_next = 0.0 if after is None else like(fp, _simhash(after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{fp:032x}", f"{e:032x}", round(like(fp, e), 6), round(near_next, 6), near))
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6), r[7]) for r in got), key=key) == sorted(want, key=key)
+    found = [r["n_near"] for r in got if r["doc_id"] is not None and r["doc_id"] % 100 == 0 and r["doc_id"] not in (0, 500)]
+    assert sum(found) >= 0.9 * 2 * len(found) and max(found) == 2
+
+
+def test_query_of_an_empty_table(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert simhash.op6_simhash(spark, str(tmp_path)).count() == 0
 
 
 def test_next_neighbour(spark):
-    ids = [5, 9, 1, 100, 77, -3]
-    df = spark.createDataFrame([(i, "x" * i if i > 0 else None) for i in ids], "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["next_id"], r["k"]) for r in simhash.with_next(df, Scratch(spark)).collect()}
-    down = sorted(ids, reverse=True)
-    assert got == {a: (b, max(a, 0) // 3) for a, b in zip(down, down[1:] + down[:1], strict=True)}
+    ids = [5, 9, 1, 100, 77, -3, 9]
+    df = spark.createDataFrame([(i, "x" * i if i > 0 else "") for i in ids], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["after"]["id"] for r in simhash.with_next(df).collect()}
+    down = sorted(set(ids), reverse=True)
+    assert got == dict(zip(down, down[1:] + down[:1], strict=True)) and simhash.with_next(df).count() == 7
 
 
 # --- 7 ----------------------------------------------------------------------
