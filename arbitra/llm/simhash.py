@@ -136,7 +136,8 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, n: int | N
     ]
     first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(close)])
     d = distance(F.col("q_hi"), F.col("q_lo"), F.col("p_hi"), F.col("p_lo"))
-    pairs = asked.join(table_, ["no", "block"]).where((d <= radius) & (first == F.col("no")))
+    # the values looked up grow with the table: without the hint the planner, which sees the rows before they multiply, would broadcast them
+    pairs = asked.hint("merge").join(table_, ["no", "block"]).where((d <= radius) & (first == F.col("no")))
     return pairs.select("q_hi", "q_lo", F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo"), d.alias("distance"))
 
 

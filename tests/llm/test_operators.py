@@ -257,7 +257,8 @@ def test_fingerprints_and_search(spark, docs, rows):
     d = {(a, b): sum(x != y for x, y in zip(bits(a), bits(b), strict=True)) for a in set(got.values()) for b in set(got.values())}
     for radius, n in ((0, None), (3, 4), (7, 5), (15, 7), (23, 8), (23, 6), (23, 12), (23, None)):
         found = simhash.near(prints, prints, radius, n)
-        assert "NestedLoop" not in str(found._jdf.queryExecution().executedPlan()) and "Cartesian" not in str(found._jdf.queryExecution().executedPlan())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" not in plan
         pairs = [tuple(r) for r in found.collect()]
         assert len(pairs) == len(set(pairs))
         assert {((a, b), (c, e), n) for a, b, c, e, n in pairs} == {(a, b, n) for (a, b), n in d.items() if n <= radius}
