@@ -88,7 +88,9 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        # units of this generation and of the one before; a full generation takes the other's place, so units in use stay
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.old: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def _same(self, raw: str, a: list[int], b: list[int]) -> bool:
         want = raw.encode("utf-8", "surrogatepass")
@@ -106,7 +108,9 @@ class Both:
     def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Ids of space + text for each text, or none where the bytes of either side are not the text's."""
         cut = [self._cut(t) for t in texts]
-        new = [u for u in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if u not in self.known]
+        missing = [u for u in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if u not in self.known]
+        self.known.update((u, self.old[u]) for u in missing if u in self.old)
+        new = [u for u in missing if u not in self.known]
         # ids of space + unit, and whether they give its bytes
         for u, b in zip(new, self.b.encode_all(new), strict=True):
             a = self.a.unit(f" {u}")
@@ -119,12 +123,11 @@ class Both:
                 continue
             x, y = self.a.encode(f" {text}"), self.b.encode(text)
             out.append((array("I", x).tobytes(), array("I", y).tobytes()) if self._same(f" {text}", x, y) else (b"", b""))
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                del self.known[u]
         if len(self.known) > CACHE:
-            self.known.clear()
-        else:
-            for u in new:
-                if len(u) > CACHE_CHARS:
-                    del self.known[u]
+            self.known, self.old = {}, self.known
         return out
 
 
