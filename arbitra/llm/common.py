@@ -35,18 +35,19 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        # each frame with its path: a frame that is held keeps its id()
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_dir(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            path = self.paths.pop(id(df), None)
+            _, path = self.paths.pop(id(df), (None, None))
             if path:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arbitra.llm.common import Scratch, components, table
 from arbitra.llm.tokens import Cache
+from arbitra.session import may_broadcast
 
 # Documents by which the frequent n-grams are found, how often one must occur there, and how many are broadcast (2 MB).
 # They only order the n-grams: results do not depend on them.
@@ -20,7 +21,9 @@ MAX_FREQUENT = 1 << 17
 # In a posting list of up to so many documents every pair is a candidate at once.
 SMALL = 6
 # N-grams that one block of the product holds on average (8 bytes each).
-BLOCK = 2_000_000
+BLOCK = 500_000
+# Rows of a long list that one cell of its grid holds on either side.
+CELL = 2_000
 # Column blocks of the incidence matrix, by the top bits of an n-gram's hash, whose sizes bound an overlap.
 COLUMN_BITS = 7
 _FULL = np.iinfo(np.uint16).max
@@ -129,12 +132,53 @@ def possible(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) ->
     return sizes & (F.least(n1 - at1, n2 - at2) * (100 + percent) >= (n1 + n2) * percent)
 
 
+def product(sets: dict[int, np.ndarray], entries: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The entries ``(a, b)`` whose sets reach the threshold, by the product of the incidence of the rows ``a`` with that of the rows ``b``.
+
+    The rows ``b`` are held by n-gram. Each row ``a`` adds one to the overlap of every row ``b`` in the list of each of its n-grams;
+    entries whose overlap stays below what both sizes ask for are discarded.
+    """
+    columns = np.array(sorted(set(entries["b"])), np.int64)
+    sizes = np.array([len(sets[b]) for b in columns], np.int64)
+    grams = np.concatenate([sets[b] for b in columns] or [np.zeros(0, np.uint64)])
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], np.repeat(np.arange(len(columns)), sizes)[order]
+    entries = entries.sort_values("a", kind="stable")
+    asking, start = np.unique(entries["a"].to_numpy(), return_index=True)
+    linked = [(np.zeros(0, np.int64),) * 2]
+    for a, asked in zip(asking.tolist(), np.split(entries["b"].to_numpy(), start[1:]), strict=False):
+        s = sets[a]
+        first, last = np.searchsorted(grams, s, "left"), np.searchsorted(grams, s, "right")
+        n = last - first
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        both = np.bincount(row[at], minlength=len(columns))
+        k = np.searchsorted(columns, asked)
+        k = k[both[k] * (100 + percent) >= (len(s) + sizes[k]) * percent]
+        linked.append((np.full(len(k), a), columns[k]))
+    a, b = map(np.concatenate, zip(*linked, strict=True))
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def grid(left: DataFrame, right: DataFrame, key: str, row: str, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``key`` with a column ``cell``: the join on both columns meets the same pairs once each.
+
+    A key with many rows becomes a grid whose cells hold about ``cell`` rows of either side: rows are dealt to parts of their side by
+    ``row`` and are repeated for each part of the other side.
+    """
+    n = left.groupBy(key).agg(F.ceil(F.count("*") / cell).alias("_l")).join(right.groupBy(key).agg(F.ceil(F.count("*") / cell).alias("_r")), key)
+    parts = {side: F.pmod(F.xxhash64(row), F.col(f"_{side}")) for side in "lr"}
+    every = {side: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{side}") - 1)) for side in "lr"}
+    left = left.join(n, key).withColumn("_i", parts["l"]).withColumn("_j", every["r"])
+    right = right.join(n, key).withColumn("_j", parts["r"]).withColumn("_i", every["l"])
+    return tuple(x.withColumn("cell", F.struct("_i", "_j")).drop("_i", "_j", "_l", "_r") for x in (left, right))
+
+
 def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs ``(a, b)`` of ``pairs`` (a, b, na, nb) that reach the threshold, by their exact overlap count.
 
     The product is computed in blocks. A block holds the rows ``b`` that have the same smallest partner and the rows ``a`` they meet, or a
     part of either side where its summed sizes exceed BLOCK: a row that meets many, whichever side it is on, is sent to every part
-    and its partners are dealt over them. Each row is sent to a block once. Entries outside ``pairs`` are never computed.
+    and its partners are dealt over them. Each row is sent to a block once.
     """
     spark = docs.sparkSession
     size = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0]
@@ -158,16 +202,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, n_gram: int, percent: int, scrat
     def count(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(n_gram)
         x = {k: shingles(t) for k, t in zip(rows["doc_id"], rows["text"], strict=True)}
-        linked = []
-        for a, b in zip(entries["a"], entries["b"], strict=True):
-            p, q = x[a], x[b]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
-            if both * (100 + percent) >= (len(p) + len(q)) * percent:
-                linked.append((a, b))
-        return pd.DataFrame(linked, columns=["a", "b"], dtype="int64")
+        return product(x, entries[["a", "b"]].astype("int64"), percent)
 
     linked = scratch.write(incidence.groupBy("row_block").cogroup(placed.groupBy("block")).applyInPandas(count, "a bigint, b bigint"), "links")
     scratch.drop(placed)
@@ -180,8 +215,8 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     1. Equal sets become one row, so copies are not paired.
     2. Each row lists its prefix. Rows that list the same n-gram are candidates if sizes and places allow the threshold.
     3. In a short list all pairs are counted. In a long one all rows are first counted against the most central row; where all then are in one
-       component nothing is left to do. Rows in another component are counted against all rows that are not in theirs.
-       Of those, pairs that the sizes of their column blocks rule out are dropped.
+       component nothing is left to do. Rows in another component are counted against all rows that are not in theirs,
+       in a grid of cells where a list is long. Of those, pairs that the sizes of their column blocks rule out are dropped.
     4. Overlaps of the remaining entries are counted exactly (``overlaps``), and links are joined into components.
 
     Every link joins two rows of one component at the end, and no other pair is joined; no cap applies. A null or empty text has no set and is alone.
@@ -196,11 +231,15 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
         signed.where("n > 0").join(sets, (signed["doc_id"] == sets["rep"]) & (signed["set_id"] == sets["set_id"]), "left_semi")
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("at", "g"))
     )
+    # Most n-grams stand in one row: they are counted by themselves, and only rows of the others go on.
+    sizes = postings.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.write(postings.join(sizes, "g"), "postings")
     # Lists of the same rows count once, with each row's first place in any of them; ``m`` stands for the rows.
-    members = [F.bit_xor(F.xxhash64("doc", F.lit(k))) for k in (1, 2)]
-    lists = postings.groupBy("g").agg(F.count("*").alias("size"), F.struct(F.count("*").alias("k"), *[x.alias(f"x{i}") for i, x in enumerate(members)]).alias("m"))
-    lists = postings.join(lists.where("size > 1"), "g").groupBy("m", "size", "doc", "n").agg(F.min("at").alias("at"))
-    lists = scratch.write(lists.select(F.xxhash64("m").alias("g"), "size", "doc", "n", "at"), "lists")
+    members = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    same = shared.groupBy("g").agg(F.count("*").alias("k"), *members).select("g", F.xxhash64("k", "x1", "x2").alias("m"))
+    lists = shared.join(same, "g").groupBy("m", "size", "doc", "n").agg(F.min("at").alias("at"))
+    lists = scratch.write(lists.withColumnRenamed("m", "g"), "lists")
+    scratch.drop(shared)
 
     def pairs_of(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
         one, two = left.alias("one"), right.alias("two")
@@ -231,13 +270,18 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     own = groups.select(F.col("node").alias("doc"), F.col("component").alias("own"))
     central = groups.select(F.col("node").alias("c_doc"), F.col("component").alias("c_own"))
     mixed = long.join(own, "doc", "left").join(central, "c_doc", "left").select(*narrow, F.coalesce("own", "doc").alias("own"), F.coalesce("c_own", "c_doc").alias("c_own"))
-    # A pair that shares several long lists is a candidate in that with the smallest number only, judged by each row's first place in any.
-    all_lists = long.groupBy("doc").agg(F.min("at").alias("at0"), F.collect_set("g").alias("ids"))
-    mixed = scratch.write(mixed.join(all_lists, "doc").drop("at").withColumnRenamed("at0", "at"), "mixed")
+    mixed = scratch.write(mixed, "mixed")
     scratch.drop(long)
-    left_out = mixed.where("own <> c_own")
+    # Two rows of two components can only meet in lists that are still open, so the others are done.
+    still = scratch.write(mixed.join(mixed.where("own <> c_own").select("g").distinct(), "g", "left_semi"), "open")
+    scratch.drop(mixed)
+    # A pair that shares several open lists is a candidate in that with the smallest number only, judged by each row's first place in any.
+    all_lists = still.groupBy("doc").agg(F.min("at").alias("at0"), F.collect_set("g").alias("ids"))
+    mixed = scratch.write(still.join(all_lists, "doc").drop("at").withColumnRenamed("at0", "at"), "mixed")
+    scratch.drop(still)
+    left_out, all_rows = grid(mixed.where("own <> c_own"), mixed, "g", "doc", CELL)
     once = F.col("one.g") == F.array_min(F.array_intersect("one.ids", "two.ids"))
-    second = pairs_of(left_out, mixed, (F.col("one.own") != F.col("two.own")) & once)
+    second = pairs_of(left_out, all_rows, (F.col("one.cell") == F.col("two.cell")) & (F.col("one.own") != F.col("two.own")) & once)
     rest = scratch.write(ordered(second).join(tried, ["a", "b"], "left_anti"), "rest")
     scratch.drop(mixed, tried)
     possibly = scratch.write(reachable(rest, signed, percent), "rest")
@@ -253,6 +297,49 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     )
 
 
+def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(id, digest, key)`` of the texts whose id is null or stands in several rows: a number for each pair of id and text.
+
+    The numbers are larger than any id. Rows that repeat both are one entry.
+    """
+    ids = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
+    again = ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1 OR id IS NULL").select(F.col("id").alias("again"))
+    rows = ids.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi")
+    top = F.coalesce(F.greatest(ids.agg(F.max("id")).scalar(), F.lit(0)), F.lit(0).cast("bigint"))
+    return rows.select("id", F.md5("t").alias("digest")).distinct().withColumn("key", top + 1 + F.monotonically_increasing_id())
+
+
+def one_of_each(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all columns, less those whose text is linked with that of a row that stays: one row of each group.
+
+    Rows are told apart by id and text. That with the smallest id stays; an id that is null or stands in several rows comes after
+    all others. Rows that repeat id and text are copies, of which any one stays, also where the text is null, empty or white space.
+    Different ids without words all stay. Empty tables give no rows; other columns, whatever their names, are carried along.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    # Only ids that are no key need numbers, so a table with proper ids is not joined with any.
+    own = scratch.write(numbered(docs, doc_id, text), "numbers")
+    n_own = own.count()
+    key, digest = "__key", "__digest"
+    keyed = docs.withColumn(key, F.col(doc_id).cast("bigint"))
+    if n_own:
+        side = own.select(F.col("id").alias("__id"), F.col("digest").alias("__own_digest"), F.col("key").alias("__own"))
+        same = F.col(key).eqNullSafe(F.col("__id")) & F.col(digest).eqNullSafe(F.col("__own_digest"))
+        side = F.broadcast(side) if may_broadcast(n_own, 64) else side
+        keyed = keyed.withColumn(digest, F.md5(F.col(text))).join(side, same, "left").withColumn(key, F.coalesce("__own", key))
+    # pruned before the copies' keys are joined, so that the table's own columns alone pass a shuffle
+    keyed = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], key)
+    groups = jaccard_groups(keyed, n_gram=n_gram, percent=percent, doc_id=key, text=text)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    kept = keyed.join(copies, key, "left_anti")
+    if n_own:
+        ones = own.select(F.col("key").alias(key))
+        many = kept.join(F.broadcast(ones) if may_broadcast(n_own, 16) else ones, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(F.broadcast(ones) if may_broadcast(n_own, 16) else ones, key, "left_anti").unionByName(many)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_ngram_jaccard(spark, sf: str) -> DataFrame:
     """All documents, linked at 85 % of their 4-word shingles."""
     return jaccard_groups(table(spark, sf, "documents"), n_gram=4, percent=85)

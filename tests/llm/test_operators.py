@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -432,6 +433,59 @@ def test_partners_of_a_hub_are_dealt_over_blocks(spark, hub, monkeypatch):
     assert sum(sizes) > 14_000 and max(sizes) < 5000
 
 
+@pytest.mark.parametrize("n,percent", [(4, 85), (1, 30), (2, 50)])
+def test_product_counts_what_sets_share(n, percent):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(30)]
+    sets = {i: jaccard.Shingler(n)(texts[i // 2] + " end" * (i % 2)) for i in range(60)}
+    entries = pd.DataFrame([(a, b) for a in range(0, 60, 2) for b in range(60) if a < b], columns=["a", "b"]).sample(frac=1, random_state=n)
+    got = {tuple(r) for r in jaccard.product(sets, entries, percent).to_numpy()}
+    as_set = {k: set(v.tolist()) for k, v in sets.items()}
+    want = {(a, b) for a, b in entries.to_numpy().tolist() if 100 * len(as_set[a] & as_set[b]) >= percent * len(as_set[a] | as_set[b])}
+    assert got == want and want
+    assert not len(jaccard.product(sets, entries[:0], percent))
+
+
+@pytest.mark.parametrize("cell", [1, 7, 100])
+def test_grid_meets_each_pair_once(spark, cell):
+    rows = spark.createDataFrame([("hot", i) for i in range(30)] + [("cold", 100), (None, 101)], "g string, doc bigint")
+    left, right = jaccard.grid(rows.where("doc % 3 = 0 OR doc = 100"), rows, "g", "doc", cell)
+    pairs = left.alias("l").join(right.alias("r"), ["g", "cell"]).select("g", "l.doc", "r.doc").collect()
+    assert len(pairs) == len(set(pairs)) == 10 * 30 + 1
+    if cell == 7:
+        assert left.where("g = 'hot'").groupBy("cell").count().count() > 4
+
+
+def test_templated_rows_of_one_list_that_never_link(spark, monkeypatch):
+    """Rows with a common passage, unlike otherwise: one list, no link, every cell of its grid bounded."""
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(14))
+    texts = [f"{common} {' '.join(f'x{rng.randrange(10**6)}' for _ in range(8))}" for _ in range(600)]
+    texts += [f"{common} {' '.join(f'y{j}' for j in range(7))} {i}" for i in range(3)]
+    monkeypatch.setattr(jaccard, "CELL", 50)
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)  # the order knows nothing of the passage
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, n_gram=3, percent=80).collect()}
+    assert got == {i: 600 if i >= 600 else i for i in range(603)}
+
+
+def test_one_of_each_tells_rows_apart_by_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    near = f"{long} end"
+    rows = [
+        (5, long, "a"), (5, long, "b"), (5, "some other words that no one else has here", "c"), (9, near, "d"), (None, long, "e"),
+        (None, "text without an id that stands alone here", "f"), (7, None, "g"), (8, "", "h"), (7, None, "i"), (None, None, "j"), (None, None, "k"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")
+    got = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    assert sorted(r[1] for r in got if r[1]) == sorted([near, "some other words that no one else has here", "text without an id that stands alone here"])
+    assert sorted((str(r[0]) for r in got if r[1] is None)) == ["7", "None"] and sum(r[1] == "" for r in got) == 1
+    plain = spark.createDataFrame([(3, near), (2, long), (4, "alone")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in jaccard.one_of_each(plain).collect()} == {2, 4}
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(empty(spark)).count() == 0
     df = spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id bigint, text string")
