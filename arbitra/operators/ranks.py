@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +70,12 @@ MAX_BUCKETS = 4096
 
 
 def value_buckets(df: DataFrame, value: str, out: str, buckets: int) -> DataFrame:
-    """Add the number of the ordered bucket a value falls in.
+    """``df`` with the number of the ordered bucket a value falls in, for values of any type that has an order.
 
-    Buckets hold about equally many rows of ``df``, a table on disk with one
-    row per value; their edges are an approximate percentile sketch of at most
-    ``MAX_BUCKETS`` numbers. Equal values share a bucket.
+    Spark samples splitters and deals the rows by range: buckets hold about equally many rows, and equal values share one. The
+    dealt rows are written, so that the numbers stay when executors are lost.
     """
-    x = df.withColumn("_x", F.col(value).cast("double"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = x.filter(~F.isnan("_x")).agg(F.percentile_approx("_x", cuts, 10 * MAX_BUCKETS)).first()[0] or []
-    splits = [float("-inf"), *sorted({e for e in edges if abs(e) != float("inf")}), float("inf")]
-    return Bucketizer(splits=splits, inputCol="_x", outputCol=out, handleInvalid="keep").transform(x).drop("_x")
+    return written(df.repartitionByRange(buckets, value).withColumn(out, F.spark_partition_id()), "buckets")
 
 
 def running_totals(

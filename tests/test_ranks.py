@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from arbitra.operators import evaluate as E
+from arbitra.operators import ranks
 from arbitra.operators import splits as S
 from arbitra.operators.calibrate import fit_abstain
 from arbitra.operators.ranks import hash_rank, join_per_key, running_totals, value_at_index
@@ -59,6 +60,32 @@ def test_running_totals_match_a_scan(spark, buckets, by):
         assert r["prev"] == (max(below) if below else None)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,3)", "double"])
+@pytest.mark.parametrize("by", [["key"], []])
+def test_values_of_any_type_are_cut_by_range(spark, monkeypatch, kind, by):
+    """A bucket for each distinct value gives what one window gives; nulls are left out."""
+    from pyspark.sql import functions as F
+
+    _, df = _skewed(spark, 200)
+    v = {
+        "string": F.concat(F.lit("é"), F.conv(F.col("v").cast("int").cast("string"), 10, 2)),
+        "date": F.date_add(F.lit("1969-12-20").cast("date"), F.col("v").cast("int")),
+        "decimal(20,3)": F.col("v") / 3 - 4,
+        "double": F.when(F.col("v") == 3, float("nan")).when(F.col("v") == 4, float("-inf")).when(F.col("v") == 5, -0.0).otherwise(F.col("v")),
+    }[kind]
+    df = df.withColumn("x", F.when(F.col("v") != 7, v.cast(kind)))
+    run = lambda: sorted(map(repr, running_totals(df, "x", {"c": F.count("*"), "s": F.sum("id")}, by, previous="prev").collect()))
+    want = run()
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 1)
+    cut = []
+    whole = ranks.value_buckets
+    monkeypatch.setattr(ranks, "value_buckets", lambda *a: cut.append(whole(*a)) or cut[-1])
+    assert run() == want
+    assert cut[0].select("_b").distinct().count() > 5
+    least = cut[0].groupBy("_b").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_b").collect()
+    assert all(repr(a["hi"]) != repr(b["lo"]) for a, b in zip(least, least[1:], strict=False))
+
+
 def test_order_statistics(spark):
     from pyspark.sql import functions as F
 
