@@ -226,9 +226,11 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = scratch.write(signatures(docs, n_gram, percent), "signatures")
-    sets = scratch.write(signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
+    sets = scratch.write(signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n").alias("rep_n")), "sets")
+    # The size follows from the set. As a key it is read by both uses of the postings, which so share one exchange of the prefixes.
+    one = (signed["doc_id"] == sets["rep"]) & (signed["set_id"] == sets["set_id"]) & (signed["n"] == sets["rep_n"])
     postings = (
-        signed.where("n > 0").join(sets, (signed["doc_id"] == sets["rep"]) & (signed["set_id"] == sets["set_id"]), "left_semi")
+        signed.where("n > 0").join(sets, one, "left_semi")
         .select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("at", "g"))
     )
     # Most n-grams stand in one row: they are counted by themselves, and only rows of the others go on.
@@ -290,7 +292,7 @@ def jaccard_groups(docs: DataFrame, *, n_gram: int = 5, percent: int = 80, doc_i
     more = overlaps(possibly, docs, n_gram, percent, scratch)
     if not more.isEmpty():
         groups = scratch.write(components(links.unionAll(more), scratch), "groups")
-    final = ids.join(sets, "set_id", "left")
+    final = ids.join(sets.select("set_id", "rep"), "set_id", "left")
     final = final.join(groups, F.col("rep") == F.col("node"), "left")
     return final.groupBy("doc_id").agg(
         F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "rep", "doc_id")).alias("component_id")
