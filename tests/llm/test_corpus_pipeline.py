@@ -1,15 +1,21 @@
 """The pipeline's stages against what each operator says of its own input."""
 
+import hashlib
+import math
 import os
 import random
+from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from arbitra.llm import jaccard, langid, packing, quality
+from arbitra.llm import jaccard, langid, mixing, packing, quality
 from arbitra.llm.common import table
 
+from .test_operators import TOKENS, brute_groups
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -36,6 +42,70 @@ def test_stages_take_effect(spark):
     assert pieces.groupby("sequence_id")["length"].sum().max() <= packing.CAPACITY
 
 
+def brute_copies(rows):
+    """How often the mix repeats each ``(doc_id, text)``, sources weighing as the square root of their bytes; all rates are small."""
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len((r["text"] or "").encode())
+    whole, roots = sum(size.values()), sum(math.sqrt(v) for v in size.values())
+    out = Counter()
+    for r in rows:
+        rate = math.sqrt(size[r["source"]]) / roots * whole / size[r["source"]]
+        assert rate < mixing.PART
+        u = (int(hashlib.md5(f"42:{r['doc_id']}:1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = c = math.exp(-rate)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        out[r["doc_id"], r["text"]] += k
+    return out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages over copies, a row without id, a repeated row, two texts of one id, foreign text and null text.
+
+    The first two stages are taken by what their operators decide (tested by themselves); the rest is computed anew.
+    """
+    docs = table(spark, SF, "documents")
+    good = [r for r in quality.judge(corpus_pipeline.language_id(spark, docs, SF)).where("kept").collect()]
+    plain = {r["doc_id"]: r for r in docs.collect()}
+    known = sorted(r["doc_id"] for r in good)
+    one, two, three, four = (plain[i] for i in known[:4])
+    odd = [
+        (None, one["text"], one["lang"], one["source"], 0), tuple(two), (three["doc_id"], four["text"] + " " + three["text"], three["lang"], three["source"], 0),
+        (10**6, one["text"].upper(), one["lang"], one["source"], 0), (10**6 + 1, "щгыф жщцъ " * 50, "en", one["source"], 0), (10**6 + 2, None, None, None, None),
+    ]
+    spark.createDataFrame([tuple(r) for r in plain.values()] + odd, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        rows = spark.createDataFrame(stage(spark, rows, str(tmp_path)).collect(), docs.schema)
+    rows = rows.collect()
+    assert not any(r["text"] is None or "щ" in r["text"] for r in rows)
+    ids = Counter(r["doc_id"] for r in rows)
+    # proper ids come first, then each pair of id and text that is not told by its id
+    keys, number = {}, 10**7
+    for r in rows:
+        pair = (r["doc_id"], r["text"])
+        if pair not in keys:
+            own = r["doc_id"] is not None and ids[r["doc_id"]] == 1
+            keys[pair], number = (r["doc_id"], number) if own else (number, number + 1)
+    groups = brute_groups([(k, text) for (_, text), k in keys.items()], 5, 80)
+    first = {(r["doc_id"], r["text"]): r for r in rows if groups[keys[r["doc_id"], r["text"]]][1] == keys[r["doc_id"], r["text"]]}
+    assert len(first) < len(rows)
+    tok = Tokenizer.from_file(TOKENS)
+    want = Counter()
+    for (key, text), n in brute_copies(list(first.values())).items():
+        if n:
+            want[key] += n * (len(tok.encode(text, add_special_tokens=False).ids) + 1)
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert {int(k): int(v) for k, v in got.groupby("doc_id")["length"].sum().items()} == dict(want)
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        ends = seq["offset"] + seq["length"]
+        assert seq["offset"].tolist() == [0, *ends.tolist()[:-1]] and ends.max() <= packing.CAPACITY
+
+
 def test_rows_without_id_and_empty_tables(spark):
     docs = table(spark, SF, "documents")
     none = docs.limit(0)
@@ -69,5 +139,5 @@ def test_unlearned_languages_and_noise_go_whatever_is_learned(spark, n_langs):
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {f"op{x[2:].split('_')[0]}_" for x in names if x.startswith("op") and x[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"op{x[2:].split('_')[0]}_" for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names
