@@ -18,7 +18,8 @@ DIMS = 4
 # Share of a group that the estimate rests on, and chi-square probability beyond which a document is rejected.
 CORE = 0.75
 CUT = 0.999
-STEPS = 3
+# A start is followed until a step lowers the logarithm of the determinant by no more than this.
+STILL = 1e-6
 # A group with fewer usable documents joins the other small groups of its language, then of all languages.
 MIN_GROUP = 50
 # Standard deviation that is added (as variance) to every statistic, so that a constant one does not reject its first exception.
@@ -104,13 +105,18 @@ X = [f"__x{i}" for i in range(DIMS)]
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def _cholesky(cov) -> dict[tuple[int, int], Column]:
-    """Lower factor of a symmetric positive matrix, entry by entry as columns."""
-    low: dict[tuple[int, int], Column] = {}
-    for i, j in PAIRS:
-        rest = cov[i, j] - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0))
-        low[i, j] = F.sqrt(rest) if i == j else rest / low[j, j]
-    return low
+LOW = [f"l{i}{j}" for i, j in PAIRS]
+COV = [f"k{i}{j}" for i, j in PAIRS]
+CENTRE = [f"c{i}" for i in range(DIMS)]
+
+
+def _cholesky(df: DataFrame) -> DataFrame:
+    """``df`` with the lower factor ``l**`` of the symmetric positive matrix ``k**`` in its place, one column of the factor after another."""
+    for j in range(DIMS):
+        rest = lambda i: F.col(f"k{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
+        df = df.withColumn(f"l{j}{j}", F.sqrt(rest(j)))
+        df = df.withColumns({f"l{i}{j}": rest(i) / F.col(f"l{j}{j}") for i in range(j + 1, DIMS)})
+    return df.drop(*COV)
 
 
 def mahalanobis() -> Column:
@@ -135,39 +141,93 @@ def join_groups(rows: DataFrame, per: DataFrame, keys: list[str], few: bool, how
     return rows.withColumn("__salt", own).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-def fit_mcd(rows: DataFrame, group: str, scratch: Scratch, few: bool = False) -> DataFrame:
-    """Per group: ``c*``, ``l**`` (centre and Cholesky factor of the minimum-covariance-determinant estimate).
+ESTIMATE = ["start", "logdet", *CENTRE, *LOW]
 
-    Starts at the coordinate medians with median absolute deviations. Each concentration step takes the CORE share with the smallest
-    distance and re-estimates from it, which never raises the determinant. A step is two aggregations of a few numbers per
-    group, so a group of any size is summed where it lies. ``few``: the groups are known to be BROADCAST_GROUPS at most. FLOOR squared is added to the variances, and the covariance is scaled to be consistent
-    for normal data.
-    """
+
+def _start(number: int, centre: list[Column], cov) -> Column:
+    return F.struct(
+        F.lit(number).alias("start"), F.lit(None).cast("double").alias("logdet"),
+        *[c.alias(n) for c, n in zip(centre, CENTRE, strict=True)], *[cov[p].alias(n) for p, n in zip(PAIRS, COV, strict=True)],
+    )
+
+
+def _sums(group: list[str], rows: DataFrame, d: list[Column], *more: Column) -> DataFrame:
+    """Per group ``n``, the sums ``m*`` of ``d`` and ``p**`` of their products, and what else is asked for."""
+    sums = [F.sum(d[i]).alias(f"m{i}") for i in range(DIMS)] + [F.sum(d[i] * d[j]).alias(f"p{i}{j}") for i, j in PAIRS]
+    return rows.groupBy(*group).agg(F.count("*").alias("n"), *sums, *more)
+
+
+def _moments() -> tuple[list[Column], dict[tuple[int, int], Column]]:
+    mean = [F.col(f"m{i}") / F.col("n") for i in range(DIMS)]
+    return mean, {(i, j): F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j] for i, j in PAIRS}
+
+
+def _starts(rows: DataFrame, group: str, scratch: Scratch, few: bool) -> DataFrame:
+    """Three first estimates of each group, with a null ``logdet``: medians and median deviations alone, the same with the
+    correlations of the values' hyperbolic tangents, and the mean and covariance of all rows."""
     mid = rows.groupBy(group).agg(*[(F.percentile(grid(F.col(x)), 0.5) / GRID).alias(f"c{i}") for i, x in enumerate(X)])
     mid = scratch.write(mid, "mcd")
-    off = join_groups(rows, mid, [group], few).groupBy(group, *[f"c{i}" for i in range(DIMS)]).agg(
+    off = join_groups(rows, mid, [group], few).groupBy(group, *CENTRE).agg(
         *[(F.percentile(grid(F.abs(F.col(x) - F.col(f"c{i}"))), 0.5) / GRID).alias(f"s{i}") for i, x in enumerate(X)]
     )
-    diag = {(i, j): (F.lit(0.0) if i != j else F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOOR**2)) for i, j in PAIRS}
-    est = scratch.write(off.select(group, *[f"c{i}" for i in range(DIMS)], *[diag[p].alias(f"l{p[0]}{p[1]}") for p in PAIRS]), "mcd")
+    wide = [F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOOR**2).alias(f"s{i}") for i in range(DIMS)]
+    off = scratch.write(off.select(group, *CENTRE, *wide), "mcd")
+    d = [F.col(x) - F.col(f"c{i}") for i, x in enumerate(X)]
+    held = [F.max(c).alias(c) for c in [*CENTRE, *[f"s{i}" for i in range(DIMS)]]]
+    own = join_groups(rows, off, [group], few)
+    plain = _sums([group], own, d, *held)
+    bent = _sums([group], own, [F.tanh(d[i] / F.col(f"s{i}")) for i in range(DIMS)])
+    mean, cov = _moments()
+    plain = plain.select(group, *CENTRE, *[f"s{i}" for i in range(DIMS)], *[m.alias(f"a{i}") for i, m in enumerate(mean)], *[cov[p].alias(f"v{p[0]}{p[1]}") for p in PAIRS])
+    bent = bent.select(group, *[(cov[p] + (1e-3 if p[0] == p[1] else 0.0)).alias(f"t{p[0]}{p[1]}") for p in PAIRS])
+    s = [F.col(f"s{i}") for i in range(DIMS)]
+    diagonal = {(i, j): s[i] * s[i] if i == j else F.lit(0.0) for i, j in PAIRS}
+    tanh = {(i, j): s[i] * s[j] * F.col(f"t{i}{j}") / F.sqrt(F.col(f"t{i}{i}") * F.col(f"t{j}{j}")) for i, j in PAIRS}
+    every = {(i, j): F.col(f"v{i}{j}") + (FLOOR**2 if i == j else 0.0) for i, j in PAIRS}
+    centre = [F.col(c) for c in CENTRE]
+    three = [_start(0, centre, diagonal), _start(1, centre, tanh), _start(2, [c + F.col(f"a{i}") for i, c in enumerate(centre)], every)]
+    return scratch.write(_cholesky(plain.join(bent, group).select(group, F.inline(F.array(*three)))), "mcd")
+
+
+def _concentrate(rows: DataFrame, est: DataFrame, group: str, few: bool) -> DataFrame:
+    """One concentration step of every row of ``est``; ``before`` is the ``logdet`` it comes from."""
     q = chi2_quantile(CORE, DIMS)
     scale = CORE / _even_chi2(q, DIMS + 2)
-    for _ in range(STEPS):
-        near = join_groups(rows, est, [group], few).withColumn("__b", F.floor(F.log1p(mahalanobis()) * 256))
-        limit = near.groupBy(group).agg(F.percentile("__b", CORE).alias("__q"))
-        core = join_groups(near, limit, [group], few).where("__b <= __q")
-        d = [F.col(x) - F.col(f"c{i}") for i, x in enumerate(X)]
-        sums = core.groupBy(group).agg(
-            F.count("*").alias("n"), *[F.max(f"c{i}").alias(f"o{i}") for i in range(DIMS)],
-            *[F.sum(d[i]).alias(f"m{i}") for i in range(DIMS)], *[F.sum(d[i] * d[j]).alias(f"p{i}{j}") for i, j in PAIRS],
-        )
-        mean = [F.col(f"m{i}") / F.col("n") for i in range(DIMS)]
-        cov = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * scale + (FLOOR**2 if i == j else 0.0) for i, j in PAIRS}
-        low = _cholesky(cov)
-        est = scratch.write(
-            sums.select(group, *[(F.col(f"o{i}") + mean[i]).alias(f"c{i}") for i in range(DIMS)], *[low[p].alias(f"l{p[0]}{p[1]}") for p in PAIRS]), "mcd"
-        )
-    return est
+    keys = [group, "start"]
+    near = join_groups(rows, est, [group], few).withColumn("__b", F.floor(F.log1p(mahalanobis()) * 256))
+    limit = near.groupBy(*keys).agg(F.percentile("__b", CORE).alias("__q"))
+    core = join_groups(near, limit, keys, few).where("__b <= __q")
+    d = [F.col(x) - F.col(c) for x, c in zip(X, CENTRE, strict=True)]
+    sums = _sums(keys, core, d, *[F.max(c).alias(c) for c in CENTRE], F.max("logdet").alias("before"))
+    mean, cov = _moments()
+    centre = [(F.col(c) + m).alias(c) for c, m in zip(CENTRE, mean, strict=True)]
+    matrix = [(cov[i, j] * scale + (FLOOR**2 if i == j else 0.0)).alias(f"k{i}{j}") for i, j in PAIRS]
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMS)), 2 * F.log("l00"))
+    return _cholesky(sums.select(*keys, *centre, *matrix, "before")).select(*keys, logdet.alias("logdet"), *CENTRE, *LOW, "before")
+
+
+def fit_mcd(rows: DataFrame, group: str, scratch: Scratch, few: bool = False) -> DataFrame:
+    """Per group: ``logdet``, ``c*``, ``l**`` (log-determinant, centre and Cholesky factor of the minimum-covariance-determinant estimate).
+
+    From each of three starts, concentration steps take the CORE share with the smallest distance and re-estimate from it, until
+    the determinant no longer falls by more than STILL; starts that have ended take no part in later steps. As every step must lower the
+    determinant, which FLOOR bounds below, the steps end. The smallest determinant of all starts and steps wins, the first start on a tie.
+    A step is two aggregations of a few numbers per group, so a group of any size is summed where it lies. ``few``: the groups are
+    known to be BROADCAST_GROUPS at most. FLOOR squared is added to the variances, and the covariance is scaled to be
+    consistent for normal data.
+    """
+    open_, tried = _starts(rows, group, scratch, few), []
+    while True:
+        new = scratch.write(_concentrate(rows, open_, group, few), "mcd")
+        tried.append(new.select(group, *ESTIMATE))
+        open_ = new.where(F.col("before").isNull() | (F.col("logdet") < F.col("before") - STILL)).drop("before")
+        if open_.isEmpty():
+            break
+    every = tried[0]
+    for t in tried[1:]:
+        every = every.unionAll(t)
+    best = every.groupBy(group).agg(F.min(F.struct("logdet", "start", *CENTRE, *LOW)).alias("e"))
+    return scratch.write(best.select(group, *[F.col(f"e.{c}").alias(c) for c in ["logdet", *CENTRE, *LOW]]), "mcd")
 
 
 def judge(docs: DataFrame, *, lang: str = "lang", source: str = "source", text: str = "text", cut: float = CUT) -> DataFrame:
