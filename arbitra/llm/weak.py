@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,9 +26,13 @@ STILL = 1e-5
 
 _COUNTED = {name: np.isin(np.arange(256), list(chars)) for name, chars in (
     ("symbols", b"#*$%&|<>"), ("bangs", b"!"), ("upper", bytes(range(65, 91))), ("letters", bytes([*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)])),
+    ("plain", bytes([*range(9, 14), *range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]) + b" .,;:!?'\"()-"),
 )}
 
 
+_SYMBOL = re.compile(rb"[#*$%&|<>]")
+
+
 def _band(value: float, good: float, bad: float) -> int:
     """Good up to one bound, bad beyond another, no vote between."""
     return GOOD if value <= good else BAD if value >= bad else ABSTAIN
@@ -36,7 +42,9 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
     """The labellers' votes on a UTF-8 text; None without a word.
 
     In order: symbols per word, exclamation marks per word, share of capitals, a word that repeats its neighbour, repeated
-    lines, number of words, share of words that end a clause, mean word length.
+    lines, number of words, share of words that end a clause, mean word length, share of words with a symbol, share of
+    bytes that are no letter, digit, white space or common punctuation, share of three-word windows seen before. Each fault but a poor form is
+    seen by two labellers or more: that they agree is what tells a fault from a labeller's slip.
     """
     words = raw.split()
     n = len(words)
@@ -48,6 +56,8 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     ends = sum(w[-1] in b".,;:!?" for w in words) / n
     mean = sum(map(len, words)) / n
+    marked = sum(map(bool, map(_SYMBOL.search, words))) / n
+    again = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n >= 10 else 0
     return (
         _band(count["symbols"] / n, 0.05, 0.3),
         _band(count["bangs"] / n, 0.1, 0.4),
@@ -57,43 +67,52 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
         GOOD if n >= 20 else ABSTAIN,
         (GOOD if 0.02 <= ends <= 0.4 else BAD) if n >= 20 else ABSTAIN,
         GOOD if 2.5 <= mean <= 11 else BAD if not 1.5 <= mean <= 16 else ABSTAIN,
+        _band(marked, 0.05, 0.2),
+        _band(1 - count["plain"] / len(raw), 0.02, 0.08),
+        _band(again, 0.1, 0.3) if n >= 10 else ABSTAIN,
     )
 
 
-N_LABELLERS = 8
+# The fault that each labeller sees: symbols, shouting, repetition, or a form that is not prose.
+FAULTS = (0, 1, 1, 2, 2, 3, 3, 3, 0, 0, 2)
 
 
 def code_of(v: tuple[int, ...]) -> int:
     return sum(x * 3**i for i, x in enumerate(v))
 
 
-def decode(codes: np.ndarray) -> np.ndarray:
-    return (codes[:, None] // 3 ** np.arange(N_LABELLERS)) % 3
+def decode(codes: np.ndarray, labellers: int) -> np.ndarray:
+    return (codes[:, None] // 3 ** np.arange(labellers)) % 3
 
 
-def fit_labellers(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, each labeller's ``P(vote | class)`` (labeller, class, vote), and the posterior of every code.
+def fit_labellers(codes: np.ndarray, counts: np.ndarray, faults: tuple[int, ...] = FAULTS, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good documents, each labeller's ``P(vote | class)`` (labeller, class, vote), and every code's posterior of good.
 
-    Expectation-maximisation over the distinct vote patterns, of which there are at most 3^8 however many documents there are. It
-    starts from the view that to fail one check tells more than to pass the others. Labellers are independent given the class. One pseudo-count per vote keeps every
-    probability positive.
+    Expectation-maximisation over the distinct vote patterns, of which there are at most 3^labellers however many documents there are. There
+    is a class for each fault and, last, one for good documents. It starts from the view that a BAD vote tells of the fault that its labeller
+    sees; what a labeller says of documents with another fault is estimated, so passing unrelated checks does not outweigh one clear BAD.
+    Labellers are independent given the class. One pseudo-count per vote keeps every probability positive.
     """
-    v = decode(codes)
-    post = np.where((v == BAD).any(1), 0.1, 0.9)
+    v = decode(codes, len(faults))
+    bad = np.stack([(v[:, [f == k for f in faults]] == BAD).any(1) for k in range(max(faults) + 1)], 1).astype(float)
+    seen = bad.sum(1, keepdims=True)
+    spread = np.where(seen > 0, bad / np.maximum(seen, 1), 1 / bad.shape[1])
+    good = np.where(seen > 0, 0.1, 0.9)
+    post = np.hstack([spread * (1 - good), good])
     onehot = (v[:, :, None] == np.arange(3)).astype(float)
-    prior, table_ = 0.5, np.full((N_LABELLERS, 2, 3), 1 / 3)
+    prior, table_ = post.mean(0), np.full((len(faults), post.shape[1], 3), 1 / 3)
     for _ in range(rounds):
-        w = np.stack([(1 - post) * counts, post * counts])
-        prior = (w[1].sum() + 1) / (w.sum() + 2)
+        w = post.T * counts
+        prior = (w.sum(1) + 1) / (w.sum() + len(w))
         table_ = np.einsum("cp,pjv->jcv", w, onehot) + 1
         table_ /= table_.sum(2, keepdims=True)
-        like = np.einsum("pjv,jcv->pc", onehot, np.log(table_))
-        new = 1 / (1 + np.exp(np.clip(like[:, 0] + np.log(1 - prior) - like[:, 1] - np.log(prior), -500, 500)))
-        if np.abs(new - post).max() < 1e-9:
-            post = new
+        like = np.einsum("pjv,jcv->pc", onehot, np.log(table_)) + np.log(prior)
+        new = np.exp(like - like.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-9:
             break
-        post = new
-    return prior, table_, post
+    return float(prior[-1]), table_, post[:, -1]
 
 
 def features(raw: bytes) -> np.ndarray:
@@ -143,7 +162,7 @@ def _votes_of(docs: DataFrame, text: str) -> DataFrame:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, seed: int = 7):
     """Posterior by vote code, labeller table, and the scorer's weights.
 
-    Votes are counted over all documents. The scorer is fitted on at most about ``sample`` documents: a hash of the id selects them at a rate
+    Votes are counted over all documents. The scorer is fitted on at most about ``sample`` documents: a hash of id and text selects them at a rate
     that follows from the counts, half from each weak label. Each of SHARDS tasks fits its share of the sample, and the weights are averaged.
     Returns None when there is no document with a word.
     """
@@ -156,7 +175,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample:
     good = max(counts[post >= 0.5].sum(), 1.0)
     bad = max(counts[post < 0.5].sum(), 1.0)
     rates = (min(1.0, sample / 2 / bad), min(1.0, sample / 2 / good))
-    key = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 40))
+    key = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), F.lit(1 << 40))
     known = docs.sparkSession.sparkContext.broadcast(posterior)
 
     def pick(batches):

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -117,7 +118,7 @@ def test_em_finds_the_poor_labeller():
     right = np.array([0.95, 0.9, 0.9, 0.55, 0.9, 0.9, 0.9, 0.9])
     v = np.where(rng.random((20_000, 8)) < right, truth[:, None], ~truth[:, None]).astype(int)
     codes, n = np.unique((v * 3 ** np.arange(8)).sum(1), return_counts=True)
-    prior, table, post = weak.fit_labellers(codes, n.astype(float))
+    prior, table, post = weak.fit_labellers(codes, n.astype(float), (0,) * 8)
     assert abs(prior - 0.8) < 0.02
     assert np.allclose((table[:, 1, 1] + table[:, 0, 0]) / 2, right, atol=0.04)
 
@@ -590,25 +591,85 @@ def test_many_groups_are_joined_under_salts(spark, docs, monkeypatch):
     assert {tuple(r) for r in quality.judge(docs).select("doc_id", "kept", F.round("distance", 6)).collect()} == few
 
 
+def regularised(core):
+    """Centre and covariance that a core of rows gives."""
+    q = quality.chi2_quantile(quality.CORE, 4)
+    return core.mean(0), np.cov(core.T, bias=True) * quality.CORE / quality._even_chi2(q, 6) + np.eye(4) * quality.FLOOR**2
+
+
+def log_det(cov):
+    return np.linalg.slogdet(cov)[1]
+
+
+def concentrated(x, c, cov):
+    """The rows of the core that an estimate leads to."""
+    b = np.floor(np.log1p((np.linalg.solve(np.linalg.cholesky(cov), (x - c).T) ** 2).sum(0)) * 256)
+    return x[b <= np.percentile(b, 100 * quality.CORE)]
+
+
+MCD_COLUMNS = "g string, __x0 double, __x1 double, __x2 double, __x3 double"
+
+
 def test_mcd_matches_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal([1, 0.5, 0.3, 0.2], [0.3, 0.2, 0.2, 0.1], (400, 4)), rng.normal(5, 0.2, (60, 4))])
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, __x0 double, __x1 double, __x2 double, __x3 double")
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], MCD_COLUMNS)
     est = quality.fit_mcd(df, "g", Scratch(spark))
     got = sorted(r[0] for r in df.join(est, "g").select(quality.mahalanobis()).collect())
     r0 = lambda v: np.floor(v * quality.GRID + 0.5)
     c = np.median(r0(x), 0) / quality.GRID
-    low = np.diag(np.sqrt((1.4826 * np.median(r0(np.abs(x - c)), 0) / quality.GRID) ** 2 + quality.FLOOR**2))
-    q = quality.chi2_quantile(quality.CORE, 4)
-    for _ in range(quality.STEPS):
-        d = (np.linalg.solve(low, (x - c).T) ** 2).sum(0)
-        b = np.floor(np.log1p(d) * 256)
-        core = x[b <= np.percentile(b, 75)]
-        c, cov = core.mean(0), np.cov(core.T, bias=True) * quality.CORE / quality._even_chi2(q, 6)
-        low = np.linalg.cholesky(cov + np.eye(4) * quality.FLOOR**2)
-    want = sorted((np.linalg.solve(low, (x - c).T) ** 2).sum(0))
+    s = np.sqrt((1.4826 * np.median(r0(np.abs(x - c)), 0) / quality.GRID) ** 2 + quality.FLOOR**2)
+    t = np.cov(np.tanh((x - c) / s).T, bias=True) + np.eye(4) * 1e-3
+    bent = np.outer(s, s) * t / np.sqrt(np.outer(np.diag(t), np.diag(t)))
+    ends = []
+    for first in [(c, np.diag(s**2)), (c, bent), (x.mean(0), np.cov(x.T, bias=True) + np.eye(4) * quality.FLOOR**2)]:
+        now, value = first, np.inf
+        while True:
+            now = regularised(concentrated(x, *now))
+            ends.append((log_det(now[1]), now))
+            if not log_det(now[1]) < value - quality.STILL:
+                break
+            value = log_det(now[1])
+    c, cov = min(ends, key=lambda e: e[0])[1]
+    want = sorted((np.linalg.solve(np.linalg.cholesky(cov), (x - c).T) ** 2).sum(0))
     assert np.allclose(got, want, rtol=1e-6)
     assert sum(v > quality.chi2_quantile(0.999, 4) for v in got) >= 60
+    # a further step does not lower the determinant
+    assert log_det(regularised(concentrated(x, c, cov))[1]) >= log_det(cov) - quality.STILL
+
+
+def test_mcd_against_all_cores(spark):
+    """Groups of 14 with outliers, against all 1,001 cores of ten rows: steps from three starts need not end at the smallest
+    determinant of all, but do in half of these groups and come near it in the others."""
+    rng = np.random.default_rng(11)
+    groups = {}
+    for k in range(6):
+        mix = rng.normal(0, 1, (4, 4))
+        groups[f"g{k}"] = np.vstack([rng.normal(0, 1, (11, 4)) @ mix, rng.normal(12, 0.5, (3, 4))])
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], MCD_COLUMNS)
+    got = {r["g"]: r["logdet"] for r in quality.fit_mcd(df, "g", Scratch(spark), few=True).collect()}
+    above = []
+    for g, x in groups.items():
+        best = min(log_det(regularised(x[list(core)])[1]) for core in itertools.combinations(range(14), 10))
+        above.append(got[g] - best)
+    assert min(above) > -1e-6 and sum(a < 1e-6 for a in above) >= 3 and max(above) < 0.5
+
+
+def test_em_keeps_faults_apart():
+    """Documents with one fault, which its own labellers see, are poor however many unrelated checks they pass."""
+    rng = random.Random(5)
+    prose = " ".join(sentence(rng, 12).capitalize() + "." for _ in range(6))
+    texts = [prose, " ".join(w + "&&" for w in prose.split()), prose.upper().replace(" ", "!! "), "the same again " * 30]
+    codes = np.array([weak.code_of(weak.votes(t.encode())) for t in texts])
+    _, _, post = weak.fit_labellers(codes, np.array([1000.0, 16.0, 25.0, 7.0]))
+    assert post[0] > 0.99 and max(post[1:]) < 0.1
+    # a slip of a single labeller stays noise
+    slip = [2] * 11
+    for i, x in enumerate(weak.votes(texts[0].encode())):
+        slip[i] = x
+    slip[6] = weak.BAD
+    _, _, post = weak.fit_labellers(np.append(codes, weak.code_of(tuple(slip))), np.array([1000.0, 16.0, 25.0, 7.0, 9.0]))
+    assert post[-1] > 0.95
 
 
 def test_scratch_tables_can_be_dropped(spark):
