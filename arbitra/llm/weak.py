@@ -42,7 +42,7 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
     """The labellers' votes on a UTF-8 text; None without a word.
 
     In order: symbols per word, exclamation marks per word, share of capitals, a word that repeats its neighbour, repeated
-    lines, number of words, share of words that end a clause, mean word length, share of words with a symbol, share of
+    lines, share of words that end a clause, mean word length, share of words with a symbol, share of
     bytes that are no letter, digit, white space or common punctuation, share of three-word windows seen before. Each fault but a poor form is
     seen by two labellers or more: that they agree is what tells a fault from a labeller's slip.
     """
@@ -64,7 +64,6 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
         _band(count["upper"] / max(count["letters"], 1), 0.25, 0.5),
         _band(same / n, 0.05, 0.2) if n >= 10 else ABSTAIN,
         _band(1 - len(set(lines)) / len(lines), 0.1, 0.4) if len(lines) >= 4 else ABSTAIN,
-        GOOD if n >= 20 else ABSTAIN,
         (GOOD if 0.02 <= ends <= 0.4 else BAD) if n >= 20 else ABSTAIN,
         GOOD if 2.5 <= mean <= 11 else BAD if not 1.5 <= mean <= 16 else ABSTAIN,
         _band(marked, 0.05, 0.2),
@@ -74,7 +73,7 @@ def votes(raw: bytes) -> tuple[int, ...] | None:
 
 
 # The fault that each labeller sees: symbols, shouting, repetition, or a form that is not prose.
-FAULTS = (0, 1, 1, 2, 2, 3, 3, 3, 0, 0, 2)
+FAULTS = (0, 1, 1, 2, 2, 3, 3, 0, 0, 2)
 
 
 def code_of(v: tuple[int, ...]) -> int:
@@ -86,12 +85,12 @@ def decode(codes: np.ndarray, labellers: int) -> np.ndarray:
 
 
 def fit_labellers(codes: np.ndarray, counts: np.ndarray, faults: tuple[int, ...] = FAULTS, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, each labeller's ``P(vote | class)`` (labeller, class, vote), and every code's posterior of good.
+    """Share of good documents, each labeller's ``P(vote | class)`` where it votes (labeller, class, vote), and every code's posterior of good.
 
     Expectation-maximisation over the distinct vote patterns, of which there are at most 3^labellers however many documents there are. There
     is a class for each fault and, last, one for good documents. It starts from the view that a BAD vote tells of the fault that its labeller
     sees; what a labeller says of documents with another fault is estimated, so passing unrelated checks does not outweigh one clear BAD.
-    Labellers are independent given the class. One pseudo-count per vote keeps every probability positive.
+    Labellers are independent given the class, and an abstention says nothing. One pseudo-count per vote keeps every probability positive.
     """
     v = decode(codes, len(faults))
     bad = np.stack([(v[:, [f == k for f in faults]] == BAD).any(1) for k in range(max(faults) + 1)], 1).astype(float)
@@ -99,8 +98,8 @@ def fit_labellers(codes: np.ndarray, counts: np.ndarray, faults: tuple[int, ...]
     spread = np.where(seen > 0, bad / np.maximum(seen, 1), 1 / bad.shape[1])
     good = np.where(seen > 0, 0.1, 0.9)
     post = np.hstack([spread * (1 - good), good])
-    onehot = (v[:, :, None] == np.arange(3)).astype(float)
-    prior, table_ = post.mean(0), np.full((len(faults), post.shape[1], 3), 1 / 3)
+    onehot = (v[:, :, None] == np.array([BAD, GOOD])).astype(float)
+    prior, table_ = post.mean(0), np.full((len(faults), post.shape[1], 2), 1 / 2)
     for _ in range(rounds):
         w = post.T * counts
         prior = (w.sum(1) + 1) / (w.sum() + len(w))
