@@ -225,6 +225,26 @@ def test_coefficients_in_tables_reach_the_same_optimum(spark, monkeypatch):
         assert np.allclose(a.intercept, b.intercept, atol=1e-4)
 
 
+@pytest.mark.parametrize("block", [50, 1_000_000])
+def test_one_value_per_row_reaches_the_same_optimum(spark, tickets, monkeypatch, block):
+    """The driver holds one value per row and class, and what reaches it in a step does not grow with the terms."""
+    from arbitra.operators import optimise
+
+    train, tasks, members = _fits(spark, tickets)
+    here = T.fit_tfidf(train, "text", tasks, members)
+    monkeypatch.setattr(optimise, "FEW_COEFFICIENTS", 0)
+    monkeypatch.setattr(optimise, "BLOCK_VALUES", block if block > 50 else 20_000)
+    monkeypatch.setattr(optimise, "PART", 1 << 16 if block > 50 else 700)
+    monkeypatch.setattr(optimise, "_fit_here", None)
+    monkeypatch.setattr(optimise, "_Tables", None)
+    rows = T.fit_tfidf(train, "text", tasks, members)
+    for a, b in zip(here, rows, strict=True):
+        x, y = _weights(a), _weights(b)
+        assert x.keys() == y.keys()
+        assert max(abs(p - q) for t in x for p, q in zip(x[t], y[t], strict=True)) < 1e-4
+        assert np.allclose(a.intercept, b.intercept, atol=1e-4)
+
+
 def test_texts_are_read_once_for_all_models(spark, tmp_path):
     rows = [(i, f"{c} {c}{i % 5} word{i}", c, q) for i in range(60) for c in [("one", "two")[i % 2]] for q in [f"q{i % 3}"]]
     spark.createDataFrame(rows, "id int, text string, label string, question string").write.parquet(str(tmp_path / "t"))
