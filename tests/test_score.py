@@ -44,6 +44,33 @@ def test_tfidf_logits_by_hand(spark, monkeypatch, limit):
         assert r["logits"] == pytest.approx(_logits(TEXTS[r["id"]], VOCAB, (0.3, -0.7)), abs=1e-12)
 
 
+@pytest.mark.parametrize("terms", [0, 1, 2, 3])
+def test_frequent_terms_inside_rows_and_the_others_by_hash(spark, monkeypatch, terms):
+    """Rows that repeat an id stay apart, and rows without an id stay."""
+    import arbitra.operators.score as module
+
+    monkeypatch.setattr(module, "HEAD_BYTES", terms * (24 + 8 * 2))
+    texts = [*TEXTS, None]
+    ids = [None if i == 4 else i // 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, texts, strict=True)), "id int, text string, what string")
+    want = sorted((str(i), str(t), *(round(v, 9) for v in _logits(t or "", VOCAB, (0.3, -0.7)))) for i, t in zip(ids, texts, strict=True))
+    model = _model(spark, intercept=(0.3, -0.7))
+    got = score(docs, model, "id", "text", ["what"]).collect()
+    assert sorted((str(r["id"]), str(r["what"]), *(round(v, 9) for v in r["logits"])) for r in got) == want
+    shared = [model, model.with_(model_id="same", intercept=(0.0, 1.0)), _model(spark, {"zzz": (2.0, [1.0, 5.0])}, name="other")]
+    each = score_each(docs, shared, "id", "text", ["what"]).where(f"model_id = '{model.model_id}'")
+    assert sorted((str(r["id"]), str(r["what"]), *(round(v, 9) for v in r["logits"])) for r in each.collect()) == want
+    assert score_each(docs, shared, "id", "text", ["what"]).count() == 3 * len(texts)
+
+
+def test_a_batch_is_looked_up_in_bounded_steps(spark, monkeypatch):
+    import arbitra.operators.score as module
+
+    whole = sorted(map(str, score(_docs(spark, TEXTS), _model(spark), "id", "text").collect()))
+    monkeypatch.setattr(module, "STEP_KEYS", 3)
+    assert sorted(map(str, score(_docs(spark, TEXTS).coalesce(1), _model(spark), "id", "text").collect())) == whole
+
+
 def test_shuffle_join_spreads_frequent_terms(spark, monkeypatch):
     from arbitra.operators.features import join_terms, term_rows
 
