@@ -12,8 +12,9 @@ from arbitra.streaming import ask_stream, log_stream, monitor
 
 
 def stream_of(spark, sf, name):
+    """A table, one file or a folder of files, as a file stream. A path that is a pattern may be either."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _ask_stream(spark, sf) -> str:

@@ -71,3 +71,25 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path, question):
     sink(df, 7)
     sink(df, 7)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_query_streams_a_table_of_one_file_or_of_a_folder(spark, tmp_path, folder):
+    import os
+    import shutil
+
+    from arbitra.plans.streams import stream_of
+
+    sf, made = tmp_path / "sf", tmp_path / "made"
+    sf.mkdir()
+    spark.range(10).repartition(2 if folder else 1).write.parquet(str(made))
+    spark.range(3).write.parquet(str(sf / "others.parquet"))
+    if folder:
+        shutil.copytree(made, sf / "rows.parquet")
+    else:
+        (part,) = (n for n in os.listdir(made) if n.startswith("part"))
+        shutil.copy(made / part, sf / "rows.parquet")
+    out = str(tmp_path / "out")
+    q = stream_of(spark, str(sf), "rows").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(10))
