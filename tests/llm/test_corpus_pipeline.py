@@ -141,3 +141,24 @@ def test_queries_are_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 14)} == {f"op{x[2:].split('_')[0]}_" for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names
+
+
+def test_usual_rates_are_those_of_all_texts(spark):
+    """The medians of a language are those of every one of its texts, also of more than a thousand."""
+    words = {"en": "the house of white stone stands near an old river".split(), "de": "das haus aus weissem stein steht nahe einem alten fluss".split()}
+    rng = random.Random(3)
+    both = [*words["en"], *words["de"]]
+    rows = []
+    for i in range(2400):
+        lang = "en" if i % 4 else "de"
+        own = [rng.choice(words[lang]) for _ in range(8)]
+        rows.append((i, " ".join(own if i % 8 < 5 else [*own, *(rng.choice(both) for _ in range(rng.randint(1, 12)))]), lang))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    filters = langid.fit(docs)
+    found = langid.norms(docs, filters)
+    assert found.keys() == {"en", "de"}
+    for lang, usual in found.items():
+        rates = [filters.rate(t)[1:] for _, t, g in rows if g == lang]
+        for i in range(2):
+            each = sorted(round(r[i] * langid.NORM_STEPS) for r in rates)
+            assert usual[i] * langid.NORM_STEPS == pytest.approx((each[(len(each) - 1) // 2] + each[len(each) // 2]) / 2, abs=1)
