@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.llm.common import Scratch, table
-from arbitra.llm.tokens import Cache, WordTokens
+from arbitra.llm.tokens import Cache, WordTokens, word_tokens
 
 # Most frequent pre-tokens whose piece counts are broadcast: digests of 16 bytes and a number, about 10 MB in Python.
 # All others are joined by a shuffle.
@@ -35,7 +35,7 @@ def pretokens(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``(word binary, n)``: every distinct pre-token of the corpus with its number of occurrences."""
 
     def run(batches):
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         for b in batches:
             total: Counter = Counter()
             chunks: Counter = Counter()
@@ -59,7 +59,7 @@ def piece_counts(vocab: DataFrame, tokenizer: str) -> DataFrame:
     """``(h binary, n, pieces)``: digest, occurrences and piece count of each distinct pre-token."""
 
     def run(batches):
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         for b in batches:
             text = [w.decode("utf-8", "surrogateescape") for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, *, tokenizer: str, limit: int = LIMIT, doc_id:
     known = spark.sparkContext.broadcast(head)
 
     def run(batches):
-        words, pieces = WordTokens(tokenizer), known.value
+        words, pieces = word_tokens(tokenizer), known.value
 
         def resolve(found):
             """Pieces of the known words, digests of the others."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -76,6 +77,12 @@ class Pieces:
         return self.sp.encode(text)
 
 
+@lru_cache(maxsize=1)
+def _sides(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
+    """Both tokenizers, read once per process and not once per task."""
+    return ByteLevel(a_path), Pieces(b_path)
+
+
 class Both:
     """Ids of both tokenizers for whole texts, kept by unit (white space and the word after it) where that gives the same.
 
@@ -87,7 +94,7 @@ class Both:
     odd = re.compile(r"[\t\n\x0b\x0c\r]|  ")
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.a, self.b = _sides(a_path, b_path)
         # units of this generation and of the one before; a full generation takes the other's place, so units in use stay
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
         self.old: dict[str, tuple[bytes, bytes, bool]] = {}

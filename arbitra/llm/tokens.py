@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
@@ -64,6 +65,12 @@ class WordTokens:
         return [t.id for t in self.tok.model.tokenize(raw)]
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer of a file, read once per process and not once per task."""
+    return WordTokens(path)
+
+
 class Cache(dict):
     """``cache[key]`` computes a missing value; bounded in entries and key length."""
 

@@ -702,3 +702,13 @@ def test_op8_column_block_sizes_never_rule_out_a_link(spark):
     got = {(r.a, r.b) for r in reachable(frame, signatures(docs, 4, 85), 85).collect()}
     assert linked and linked <= got
     assert (0, 6) not in got
+
+
+def test_tokenizers_are_read_once_per_process():
+    from arbitra.llm import crosstoken
+    from arbitra.llm.tokens import word_tokens
+
+    assert word_tokens(TOKENS) is word_tokens(TOKENS)
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    one, two = crosstoken.Both(a, b), crosstoken.Both(a, b)
+    assert one.a is two.a and one.b is two.b and one.known is not two.known
