@@ -15,7 +15,7 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 # Documents of a language that hold a kept term, scale of probabilities, added count, and last rank of terms.
 MIN_DOCS, SCALE, PRIOR, RANKS = 3, 1_000_000_000, 1, 200
 # Text of one step of the counting pipeline, and distinct terms that a task holds before it hands them on.
-STEP_BYTES, HELD = 16_000_000, 500_000
+STEP_BYTES, HELD = 4_000_000, 300_000
 # Term counts of one shard of a language.
 SHARD = 500_000
 
@@ -68,6 +68,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 if size > 2 * HELD:
                     held = [_merge(held)]
                     size = held[0].num_rows
+                    pa.default_memory_pool().release_unused()
                     if size > HELD:
                         yield from _sent(held[0])
                         held, size = [], 0
