@@ -92,6 +92,40 @@ def test_artifact_round_trip(spark, tmp_path):
     assert (back.ece_before, back.ece_after) == (0.2, 0.1)
 
 
+def test_artifacts_of_many_files_are_one_object(spark, tmp_path, monkeypatch):
+    """The whole vocab used to be one row: no task may hold more than an entry, however the terms are written."""
+    monkeypatch.setattr(M, "ENTRIES_PER_FILE", 3)
+    odd = ["ab", "\u00e9 \u4e2d", 'quo"te', "back\\slash", "line\nbreak", "]} ,", "}}", '"vocab":{', ""]
+    rows = [(t, 1.0 + i, [float(-i), 1e-7 * i if i else float("inf")]) for i, t in enumerate(odd)]
+    terms = spark.createDataFrame(rows, "term string, idf double, coef array<double>").repartition(4)
+    model = LinearModel("m", "tfidf", ("a", "b"), (0.1, 0.2), terms, len(rows), temperature=0.7)
+    path = tmp_path / "a"
+    M.export_artifact(model, str(path))
+    files = sorted(f for f in path.iterdir() if f.name.startswith("part-"))
+    assert len(files) >= 3 and max(len(f.read_text().splitlines()) for f in files) < len(rows)
+    whole = "".join(f.read_text() for f in files)
+    assert {t: [float(x) for x in w] for t, w in json.loads(whole)["vocab"].items()} == {t: [idf, *coef] for t, idf, coef in rows}
+    lines = M._artifact_lines(spark, str(path))
+    assert lines.count() == len(rows) + 2
+    back = M.import_artifact(spark, str(path))
+    assert sorted(map(tuple, back.terms.collect())) == sorted(rows) and back.classes == ("a", "b") and back.ece_before is None
+    one = tmp_path / "one.json"
+    one.write_text(whole)
+    assert sorted(map(tuple, M.import_artifact(spark, str(one)).terms.collect())) == sorted(rows)
+    one.write_text(json.dumps(json.loads(whole), indent=1))
+    assert sorted(map(tuple, M.import_artifact(spark, str(one)).terms.collect())) == sorted(rows)
+    one.write_text(whole[: whole.rindex("}}")])
+    with pytest.raises(ValueError, match="does not end"):
+        M.import_artifact(spark, str(one))
+    for bad in (None, "ab"):
+        twice = terms.unionAll(spark.createDataFrame([(bad, 1.0, [0.0, 0.0])], terms.schema))
+        with pytest.raises(ValueError):
+            M.export_artifact(model.with_(terms=twice), str(tmp_path / "bad"))
+    empty = model.with_(terms=terms.limit(0), n_terms=0)
+    M.export_artifact(empty, str(tmp_path / "empty"))
+    assert M.import_artifact(spark, str(tmp_path / "empty")).n_terms == 0
+
+
 GOOD = {"model_id": "m", "classes": ["a", "b"], "temperature": 1.0, "intercept": [0.0, 0.0], "vocab": {"ab": [2.0, 1.0, -1.0]}}
 
 
