@@ -236,31 +236,35 @@ def tfidf_weights(
     keep: Sequence[str] = (),
     n_min: int = 1,
     n_max: int = 2,
+    norm: str | None = None,
 ) -> DataFrame:
-    """(id, term, x) for in-vocabulary terms, before normalisation."""
+    """(id, term, x) for in-vocabulary terms, before normalisation. A column ``norm`` gets the Euclidean norm of the id's weights."""
     cols = [id_col, *keep]
 
     def lay_out(table: pa.Table, g: grams.Grams, found: dict[str, pa.Array]) -> pa.Table:
         row, gram, x = _cells(g, found)
         out = {c: table[c].take(pa.array(row)) for c in cols} | {"term": g.terms.take(pa.array(gram)), "x": x}
+        if norm:
+            own = grams.codes([table[id_col]], table.num_rows)[row]
+            out[norm] = np.sqrt(np.bincount(own, x * x))[own]
         return pa.table(out)
 
-    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("term", T.StringType()), T.StructField("x", T.DoubleType())])
-    by = [id_col, text_col]
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("x", norm) if c]
+    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("term", T.StringType()), *doubles])
+    by = [id_col] if norm else [id_col, text_col]
     return _with_terms(df, cols, by, text_col, vocab.select("term", "idf"), n_terms, n_min, n_max, lay_out, schema)
 
 
-def l2_normalize(weights: DataFrame, id_col: str, x: str = "x") -> DataFrame:
+def l2_normalize(weights: DataFrame, id_col: str, x: str = "x", norm: str | None = None) -> DataFrame:
     """Divide each row's weights by their Euclidean norm; a zero row stays zero.
 
-    A window partition holds one text's distinct terms, which came from one row.
+    ``norm`` names a column that holds the norm of the id's weights; it is dropped, and nothing is shuffled. Without it the norm is
+    summed up in a window, whose partition holds one text's distinct terms, which came from one row.
     """
-    norm = F.sqrt(F.sum(F.col(x) * F.col(x)).over(Window.partitionBy(id_col)))
-    return (
-        weights.withColumn("_norm", norm)
-        .withColumn(x, F.when(F.col("_norm") > 0, F.col(x) / F.col("_norm")).otherwise(F.lit(0.0)))
-        .drop("_norm")
-    )
+    if norm is None:
+        norm = "_norm"
+        weights = weights.withColumn(norm, F.sqrt(F.sum(F.col(x) * F.col(x)).over(Window.partitionBy(id_col))))
+    return weights.withColumn(x, F.when(F.col(norm) > 0, F.col(x) / F.col(norm)).otherwise(F.lit(0.0))).drop(norm)
 
 
 def index_vocab(vocab: DataFrame) -> DataFrame:

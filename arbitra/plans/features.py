@@ -64,10 +64,10 @@ def q_fit_vocab(spark, sf):
     return rounded(X.fit_vocab(documents(spark, sf), "text"), "idf")
 
 
-def _weights(spark, sf):
+def _weights(spark, sf, norm=None):
     d = documents(spark, sf)
     vocab = written(X.fit_vocab(d, "text"), "vocab")
-    return X.tfidf_weights(d, "doc_id", "text", vocab, vocab.count())
+    return X.tfidf_weights(d, "doc_id", "text", vocab, vocab.count(), norm=norm)
 
 
 _X = "x AS (SELECT doc_id, term, (1 + ln(n)) * idf AS x FROM tc JOIN v USING (term))"
@@ -83,7 +83,7 @@ def q_tfidf_weights(spark, sf):
     with_sql([*GRAM_COUNTS, _VOCAB, _X], "SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM x"),
 )
 def q_l2_normalize(spark, sf):
-    return rounded(X.l2_normalize(_weights(spark, sf), "doc_id"), "x")
+    return rounded(X.l2_normalize(_weights(spark, sf, "_norm"), "doc_id", norm="_norm"), "x")
 
 
 @query("tfidf_vector")

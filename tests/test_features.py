@@ -61,7 +61,16 @@ def test_terms_outside_the_vocabulary_have_no_weight(spark, small_steps):
     assert X.tfidf_weights(df, "id", "text", vocab.limit(0), 0).collect() == []
 
 
-@pytest.mark.parametrize("name", ["tfidf_weights"])
+def test_norms_made_with_the_weights_are_those_of_the_window(spark, small_steps):
+    df = _docs(spark)
+    vocab = X.fit_vocab(df, "text")
+    plain = X.l2_normalize(X.tfidf_weights(df, "id", "text", vocab, 9), "id").collect()
+    own = X.l2_normalize(X.tfidf_weights(df, "id", "text", vocab, 9, norm="_norm"), "id", norm="_norm")
+    assert own.columns == ["id", "term", "x"]
+    _same(own.collect(), [tuple(r) for r in plain])
+
+
+@pytest.mark.parametrize("name", ["tfidf_weights", "l2_normalize"])
 def test_queries_shuffle_no_row_per_term_of_a_text(spark, tmp_path, monkeypatch, name):
     """Beyond the broadcast bound, too, n-grams travel as lists, and none is sorted or gathered by document."""
     monkeypatch.setattr("arbitra.session.BROADCAST_BYTES", 0)
