@@ -13,18 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.functions import grams
-from arbitra.functions.arrays import array_sum, let
 from arbitra.functions.text import N_BUCKETS, bucket_counts, tokens_word, word_counts
-from arbitra.operators.ranks import hash_rank
 from arbitra.session import may_broadcast
 
 # Own choices for the shuffle join beyond the broadcast bound.
 HEAVY_PARTS = 1000
 SALTS = 4096
 
-# Own choices: bytes of text whose n-grams a task counts at once, and terms of a vocabulary it holds at once.
+# Own choices: bytes of text whose n-grams a task counts at once, and terms of a vocabulary it holds at once; buckets that number a vocabulary.
 STEP_BYTES = 8 * 1024 * 1024
 STEP_TERMS = 500_000
+INDEX_BUCKETS = 4096
 
 
 def hashed_tf(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -268,8 +267,15 @@ def l2_normalize(weights: DataFrame, id_col: str, x: str = "x", norm: str | None
 
 
 def index_vocab(vocab: DataFrame) -> DataFrame:
-    """Add ``idx``, a dense 0-based number per term, the same on every run."""
-    return hash_rank(vocab, ["term"], "vocab", rank="idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
+    """Add ``idx``, a dense 0-based number per term, the same on every run.
+
+    Terms are numbered in order within buckets by hash. Reads ``vocab`` twice; give it a table on disk.
+    """
+    d = vocab.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row per bucket
+    offsets = d.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = d.withColumn("idx", F.row_number().over(Window.partitionBy("_b").orderBy("term")))
+    return numbered.join(F.broadcast(offsets), "_b").withColumn("idx", (F.col("idx") + F.col("_off") - 1).cast("int")).drop("_b", "_off")
 
 
 def tfidf_vector(
@@ -283,18 +289,22 @@ def tfidf_vector(
     n_max: int = 2,
     out: str = "features",
 ) -> DataFrame:
-    """One L2-normalised sparse TF-IDF vector per row; ``vocab`` has ``idx``.
-
-    Each text is exploded inside its task, so the map side already collects a
-    row's terms and the shuffle carries one record per row.
-    """
-    rows = term_rows(df, text_col, [id_col, *keep], n_min, n_max)
-    joined = join_terms(rows, vocab.select("term", "idf", "idx"), n_terms, 112, ["term"], id_col, "left")
-    pair = F.struct(F.col("idx").alias("i"), tf_weight(F.col("n"), F.col("idf")).alias("x"))
-    bags = joined.groupBy(id_col, *keep).agg(F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), pair))).alias("_p"))
-
-    def unit(p: Column) -> Column:
-        norm = F.sqrt(array_sum(F.transform(p, lambda e: e["x"] * e["x"])))
-        return let(norm, lambda s: F.transform(p, lambda e: F.struct(e["i"].alias("i"), (e["x"] / s).alias("x"))))
+    """One L2-normalised sparse TF-IDF vector per row; ``vocab`` has ``idx``. Rows that share id and ``keep`` share a vector."""
+    cols = [id_col, *keep]
 
-    return _as_vectors(bags.withColumn("_p", let(F.col("_p"), unit)), n_terms, "_p", out)
+    def lay_out(table: pa.Table, g: grams.Grams, found: dict[str, pa.Array]) -> pa.Table:
+        row, gram, x = _cells(g, found)
+        own = grams.codes([table[c] for c in cols], table.num_rows)
+        names, first = np.unique(own, return_index=True)
+        own = np.searchsorted(names, own)[row]
+        norm = np.sqrt(np.bincount(own, x * x, minlength=len(names)))
+        idx = pc.fill_null(found["idx"], 0).to_numpy(zero_copy_only=False)[gram].astype(np.int32)
+        order = np.lexsort((x, idx, own))
+        pairs = pa.StructArray.from_arrays([pa.array(idx[order]), pa.array((x / norm[own])[order])], names=["i", "x"])
+        laid = {c: table[c].take(pa.array(first)) for c in cols}
+        return pa.table(laid | {"_p": grams.lists(pairs, np.bincount(own, minlength=len(names)))})
+
+    pair = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType())])
+    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("_p", T.ArrayType(pair))])
+    bags = _with_terms(df, cols, cols, text_col, vocab.select("term", "idf", "idx"), n_terms, n_min, n_max, lay_out, schema)
+    return _as_vectors(bags, n_terms, "_p", out)

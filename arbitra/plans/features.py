@@ -89,8 +89,8 @@ def q_l2_normalize(spark, sf):
 @query("tfidf_vector")
 def q_tfidf_vector(spark, sf):
     d = documents(spark, sf)
-    vocab = written(X.index_vocab(written(X.fit_vocab(d, "text"), "vocab")), "indexed-vocab")
+    vocab = written(X.fit_vocab(d, "text"), "vocab")
     v = F.unwrap_udt("features")
     norm = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x)
-    out = X.tfidf_vector(d, "doc_id", "text", vocab, vocab.count())
+    out = X.tfidf_vector(d, "doc_id", "text", X.index_vocab(vocab), vocab.count())
     return out.select("doc_id", F.size(v["indices"]).alias("n_set"), r6(norm).alias("squared_norm"))

@@ -70,7 +70,26 @@ def test_norms_made_with_the_weights_are_those_of_the_window(spark, small_steps)
     _same(own.collect(), [tuple(r) for r in plain])
 
 
-@pytest.mark.parametrize("name", ["tfidf_weights", "l2_normalize"])
+def test_vectors_over_many_chunks(spark, small_steps):
+    df = _docs(spark)
+    _, want = _expected(df)
+    vocab = X.index_vocab(X.fit_vocab(df, "text")).persist()
+    at = {r["term"]: r["idx"] for r in vocab.collect()}
+    assert sorted(at.values()) == list(range(len(at)))
+    v = F.unwrap_udt("features")
+    got = X.tfidf_vector(df, "id", "text", vocab, len(at), ["k"]).select("id", "k", v["indices"].alias("i"), v["values"].alias("x")).collect()
+    assert len(got) == df.select("id", "k").distinct().count()  # rows that share both share a vector
+    by = {}
+    for i, k, t, x in want:
+        by.setdefault((i, k), []).append((at[t], x))
+    for r in got:
+        pairs = sorted(by.get((r["id"], r["k"]), []))
+        norm = math.sqrt(sum(x * x for _, x in pairs))
+        assert r["i"] == [i for i, _ in pairs]
+        assert all(abs(a - x / norm) < 1e-9 for a, (_, x) in zip(r["x"], pairs, strict=True))
+
+
+@pytest.mark.parametrize("name", ["tfidf_weights", "l2_normalize", "tfidf_vector"])
 def test_queries_shuffle_no_row_per_term_of_a_text(spark, tmp_path, monkeypatch, name):
     """Beyond the broadcast bound, too, n-grams travel as lists, and none is sorted or gathered by document."""
     monkeypatch.setattr("arbitra.session.BROADCAST_BYTES", 0)
