@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,18 @@ class Grams(NamedTuple):
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
-    return np.fromiter((crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)) + np.uint64(1)
+    """A polynomial of each word's bytes, all words at once."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, MIX))
+    values = (data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(ends[:-1], sizes)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    return sums[ends[1:]] - sums[ends[:-1]]
 
 
 def _followed(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
