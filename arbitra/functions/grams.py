@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -122,6 +123,24 @@ def term_hashes(terms: pa.Array) -> np.ndarray:
     return out
 
 
+def identities(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that together tell terms apart, of 64 and 32 bits. Each distinct word is hashed once."""
+    flat, sizes = split(terms, " ")
+    encoded = flat.dictionary_encode()
+    words, at = encoded.dictionary.to_numpy(zero_copy_only=False), encoded.indices.to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes) - sizes
+    out = []
+    for key in ("arbitra.term.one", "arbitra.term.two"):
+        word = pd.util.hash_array(words.astype(object), hash_key=key, categorize=False)[at] if len(words) else np.zeros(0, np.uint64)
+        h = word[first] if len(sizes) else np.zeros(0, np.uint64)
+        for n in range(1, int(sizes.max(initial=0))):
+            longer = sizes > n
+            mixed = h[longer] * MIX
+            h[longer] = (mixed ^ (mixed >> np.uint64(29))) * MIX + word[first[longer] + n]
+        out.append(h)
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64)
+
+
 def codes(columns: Iterable[pa.Array | pa.ChunkedArray], size: int) -> np.ndarray:
     """A number per row, equal where all columns are; nulls are equal."""
     out = np.zeros(size, np.int64)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from arbitra.functions.arrays import let, run_lengths
@@ -24,6 +26,67 @@ def _text(c: Column | str) -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
 
 
+lowered = _text
+
+
+@lru_cache(maxsize=4)
+def characters(spark: SparkSession, kind: str) -> bytes:
+    """A bit per code point: those that Spark counts as part of a token of letters and digits (``alnum``) or of a word (``word``)."""
+    at_once = 1 << 16
+    texts = [("".join(chr(i) for i in range(at, at + at_once) if not 0xD800 <= i < 0xE000),) for at in range(0, 0x110000, at_once)]
+    one = F.lit((_WORD if kind == "word" else _ALNUM).partition("]")[0] + "]")
+    bits = np.zeros(0x110000, bool)
+    for row in spark.createDataFrame(texts, "text string").select(F.array_join(F.regexp_extract_all("text", one, 0), "")).collect():
+        bits[[ord(c) for c in row[0]]] = True
+    return np.packbits(bits).tobytes()
+
+
+def joined_words(texts: pa.Array, chars: bytes, least: int = 2) -> pa.Array:
+    """Runs of at least ``least`` of the ``characters`` of each lowercased text without nulls, joined by one space: all texts at once."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return pa.array([], pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    lead = (data & 0xC0) != 0x80
+    if len(data) and int(data.max()) >= 0x80:
+        raw = data.tobytes()
+        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(lead)])[ends]  # where each text begins, in code points
+    else:
+        points, at = data, ends
+    inside = np.unpackbits(np.frombuffer(chars, np.uint8)).astype(bool)[points]
+    # a run begins where its text does or after a character outside, and ends likewise
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = at[:-1][at[:-1] < at[1:]]
+    first[begins] = inside[begins]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long = stops - starts >= least
+    starts, stops = starts[long], stops[long]
+    text = np.searchsorted(at, starts, side="right") - 1
+    follows = np.diff(text, prepend=-1) == 0  # not the first word of its text
+    sizes = stops - starts + follows
+    total = int(sizes.sum())
+    from_ = np.repeat(starts - follows - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
+    out = points[np.maximum(from_, 0)]
+    out[(np.cumsum(sizes) - sizes)[follows]] = 32
+    if points is not data:
+        out = np.frombuffer(out.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        width = np.where(points[from_] < 0x80, 1, np.where(points[from_] < 0x800, 2, np.where(points[from_] < 0x10000, 3, 4)))
+        width[(np.cumsum(sizes) - sizes)[follows]] = 1
+        per = np.add.reduceat(width, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+    else:
+        per = sizes
+    length = np.bincount(text, per, len(texts)).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    made = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
+    return made.cast(pa.string())
+
+
 def tokens_alnum(c: Column | str) -> Column:
     """Lowercased maximal runs of letters and digits; ``_`` separates."""
     return F.regexp_extract_all(_text(c), F.lit(_ALNUM), 0)

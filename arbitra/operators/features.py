@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.functions import grams
-from arbitra.functions.text import N_BUCKETS, bucket_counts, tokens_word, word_counts
+from arbitra.functions.text import N_BUCKETS, bucket_counts, characters, fnv_buckets, joined_words, lowered, tokens_word, word_counts
 from arbitra.session import may_broadcast
 
 # Own choices for the shuffle join beyond the broadcast bound.
@@ -59,6 +59,30 @@ def _as_vectors(df: DataFrame, size: int, pairs: str, out: str) -> DataFrame:
     return laid_out.mapInArrow(pass_through, T.StructType([*others, T.StructField(out, VectorUDT())]))
 
 
+def bucketed(df: DataFrame, text_col: str, keep: Sequence[str | Column]) -> DataFrame:
+    """``keep``, ``idx array<int>`` and ``n array<int>``: the hashed bag of words of each row, by bucket. Counted a few megabytes of text at a time."""
+    chars = characters(df.sparkSession, "alnum")
+    fields = df.select(*keep).schema.fields
+    names, b_text = [*(f.name for f in fields), "idx", "n"], len(fields)
+
+    def run(batches):
+        for b in grams.steps(batches, b_text, STEP_BYTES):
+            words, sizes = grams.split(joined_words(b.column(b_text), chars, 1), " ")
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            real = pc.greater(pc.binary_length(words), 0)  # a text without tokens is one empty part
+            encoded, row = words.filter(real).dictionary_encode(), row[real.to_numpy(zero_copy_only=False)]
+            bucket = fnv_buckets(encoded.dictionary)[encoded.indices.to_numpy(zero_copy_only=False)]
+            cells, n = np.unique(row * N_BUCKETS + bucket, return_counts=True)
+            at, bucket = np.divmod(cells, N_BUCKETS)
+            per = np.bincount(at, minlength=b.num_rows)
+            lists = (grams.lists(pa.array(v.astype(np.int32)), per) for v in (bucket, n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:b_text], *lists], names=names)
+
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*fields, T.StructField("idx", numbers), T.StructField("n", numbers)])
+    return df.select(*keep, lowered(text_col).alias("_text")).mapInArrow(run, schema)
+
+
 def hashed_vector(df: DataFrame, text_col: str, keep: Sequence[str], out: str = "features") -> DataFrame:
     """One ``N_BUCKETS``-wide sparse vector of term counts per row."""
     pairs = F.transform(bucket_counts(text_col), lambda t: F.struct(t["key"].alias("i"), t["n"].alias("x")))

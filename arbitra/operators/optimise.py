@@ -32,6 +32,10 @@ TABLE_MEMORY = 5
 LONG_VECTOR, BLOCK_VALUES = 500_000, 1_000_000
 # Products of non-zeros and hidden units that a task holds at once.
 HIDDEN_VALUES = 500_000
+# Share of the rows that have an input from which a product of matrices is cheaper than one by its non-zeros.
+DENSE_SHARE = 0.03
+# Bytes that steps may have shuffled before their files are cleared away.
+SHUFFLED = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -79,11 +83,15 @@ def _search(s: Setting, x: np.ndarray) -> Generator[np.ndarray, tuple[float, np.
     before = None
     steps: list[np.ndarray] = []
     changes: list[np.ndarray] = []
+    memory = MEMORY if len(x) <= LONG_VECTOR else TABLE_MEMORY
     for _ in range(s.max_iter):
         if _stopped(s, float(np.abs(g).max(initial=0.0)), before, f):
             break
-        basis = np.stack([*steps, *changes, g])
-        d = _direction(basis @ basis.T, len(steps)) @ basis
+        basis = [*steps, *changes, g]
+        gram = np.array([[u @ v for v in basis] for u in basis])
+        d = np.zeros_like(g)
+        for share, v in zip(_direction(gram, len(steps)), basis, strict=True):
+            d += share * v
         slope = float(g @ d)
         if slope >= 0:
             steps, changes, d = [], [], -g
@@ -99,7 +107,7 @@ def _search(s: Setting, x: np.ndarray) -> Generator[np.ndarray, tuple[float, np.
             break
         move, change = t * d, gradient - g
         if move @ change > 1e-12 * np.linalg.norm(move) * np.linalg.norm(change):
-            steps, changes = [move, *steps][:MEMORY], [change, *changes][:MEMORY]
+            steps, changes = [move, *steps][:memory], [change, *changes][:memory]
         before, x, f, g = f, x + move, there, gradient
     return x
 
@@ -261,19 +269,36 @@ def _fit_here(rows: DataFrame, settings: Sequence[Setting], column_model: np.nda
         blocks.unpersist()
 
 
-def _hidden_pass(theta: np.ndarray, layers: Sequence[int], target: np.ndarray, ends: np.ndarray, idx: np.ndarray, x: np.ndarray, grad: np.ndarray) -> float:
+def _cells_times(rows: np.ndarray, by: np.ndarray, idx: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """Add ``x[i] * rows[idx[i]]`` to ``out[by[i]]`` for cells in order of ``by``, a bounded number at a time."""
+    at_once = max(1, HIDDEN_VALUES // max(rows.shape[1], 1))
+    for i in range(0, len(idx), at_once):
+        part = slice(i, i + at_once)
+        to = by[part]
+        starts = np.flatnonzero(np.diff(to, prepend=-1))
+        out[to[starts]] += np.add.reduceat(rows[idx[part]] * x[part, None], starts, axis=0)
+
+
+def _hidden_pass(
+    theta: np.ndarray, layers: Sequence[int], target: np.ndarray, ends: np.ndarray, idx: np.ndarray, x: np.ndarray, grad: np.ndarray, dense: int = 0
+) -> float:
     """Summed cross-entropy of some rows under one sigmoid and one softmax layer; adds its derivatives to ``grad``.
 
-    Weights lie as in MLlib: each layer's by input, then its biases.
+    Weights lie as in MLlib: each layer's by input, then its biases. The first ``dense`` inputs are multiplied as a matrix, the others cell by cell.
     """
     n_in, h, k = layers
     at = np.cumsum([0, n_in * h, h, h * k, k])
     (w1, b1, w2, b2), (g1, gb1, g2, gb2) = ([v[at[i] : at[i + 1]] for i in range(4)] for v in (theta, grad))
     w1, w2, g1, g2 = w1.reshape(n_in, h), w2.reshape(h, k), g1.reshape(n_in, h), g2.reshape(h, k)
     z = np.tile(b1, (len(target), 1))
-    full = ends[1:] > ends[:-1]
-    if full.any():
-        z[full] += np.add.reduceat(w1[idx] * x[:, None], ends[:-1][full], axis=0)
+    row = np.repeat(np.arange(len(target)), np.diff(ends))
+    often = idx < dense
+    some = np.zeros((len(target), dense))
+    some[row[often], idx[often]] = x[often]
+    row, idx, x = row[~often], idx[~often], x[~often]
+    if dense:
+        z += some @ w1[:dense]
+    _cells_times(w1, row, idx, x, z)
     a = 1.0 / (1.0 + np.exp(-np.clip(z, -700.0, 700.0)))
     y = a @ w2 + b2
     y -= y.max(axis=1, keepdims=True)
@@ -287,24 +312,34 @@ def _hidden_pass(theta: np.ndarray, layers: Sequence[int], target: np.ndarray, e
     gb2 += r.sum(axis=0)
     d = (r @ w2.T) * a * (1.0 - a)
     gb1 += d.sum(axis=0)
-    if len(idx):
-        order = np.argsort(idx, kind="stable")
-        row = np.repeat(np.arange(len(target)), np.diff(ends))[order]
-        starts = np.flatnonzero(np.diff(idx[order], prepend=-1))
-        g1[idx[order][starts]] += np.add.reduceat(x[order, None] * d[row], starts, axis=0)
+    if dense:
+        g1[:dense] += some.T @ d
+    order = np.argsort(idx, kind="stable")
+    _cells_times(d, idx[order], row[order], x[order], g1)
     return loss
 
 
+def hidden_logits(theta: np.ndarray, layers: Sequence[int], ends: np.ndarray, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What the second layer makes of each row, before the softmax."""
+    n_in, h, k = layers
+    w1, b1, w2, b2 = np.split(theta, np.cumsum([n_in * h, h, h * k]))
+    z = np.tile(b1, (len(ends) - 1, 1))
+    _cells_times(w1.reshape(n_in, h), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), idx, x, z)
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -700.0, 700.0))) @ w2.reshape(h, k) + b2
+
+
 def fit_hidden(rows: DataFrame, layers: Sequence[int], start: np.ndarray, max_iter: int, rel_tol: float) -> np.ndarray:
     """Weights of a network with one hidden layer that L-BFGS reaches from ``start``: mean cross-entropy over the rows, no penalty.
 
     Rows stay sparse. A pass sends the weights out; each task adds up one gradient, and gradients are summed by part before they reach
-    the driver. Tasks are no more than twice the cores, so what a pass moves does not grow with the rows. Inputs that no row has keep
-    their first weights and are left out of the passes.
+    the driver. Tasks are no more than the cores, so what a pass moves does not grow with the rows. Inputs that no row has keep
+    their first weights and are left out of the passes. Inputs that a good share of the rows have come first and are multiplied as a matrix.
     """
     spark = rows.sparkSession
     seen = rows.agg(F.count("*").alias("n"), F.sum(F.size("idx")).alias("values")).first()
-    used = np.array(sorted(r[0] for r in rows.select(F.explode("idx")).distinct().collect()), np.int64)
+    held = {r[0]: r[1] for r in rows.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*")).collect()}
+    used = np.array(sorted(held, key=lambda i: (-held[i], i)), np.int64)
+    dense = sum(n > DENSE_SHARE * seen["n"] for n in held.values())
     n_in, h, k = layers
     layers = [len(used), h, k]
     place = np.zeros(n_in, np.int32)
@@ -312,9 +347,10 @@ def fit_hidden(rows: DataFrame, layers: Sequence[int], start: np.ndarray, max_it
     every = np.array(start, float)
     kept = np.concatenate([(used[:, None] * h + np.arange(h)).ravel(), np.arange(n_in * h, len(every))])
     stored = _blocks(rows, (seen["values"] or 0) * h // 16)
-    blocks = stored.select("n", "targets", "ends", "idx", "x").coalesce(2 * spark.sparkContext.defaultParallelism).persist()
-    many = blocks.rdd.getNumPartitions() * len(kept) > 64 * PART
-    step = max(1, HIDDEN_VALUES // h)
+    blocks = stored.select("n", "targets", "ends", "idx", "x").coalesce(spark.sparkContext.defaultParallelism)
+    tasks = blocks.rdd.getNumPartitions()
+    many = tasks * len(kept) > 64 * PART
+    step = max(1, 4 * HIDDEN_VALUES // max(dense, h))
 
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(theta)
@@ -329,9 +365,9 @@ def fit_hidden(rows: DataFrame, layers: Sequence[int], start: np.ndarray, max_it
                     x = np.frombuffer(block["x"], np.float32 if len(block["x"]) == len(block["idx"]) else float).astype(float)
                     at = 0
                     while at < block["n"]:
-                        to = max(at + 1, min(at + step, int(np.searchsorted(ends, ends[at] + step, side="right")) - 1))
+                        to = max(at + 1, min(at + step, int(np.searchsorted(ends, ends[at] + 2 * HIDDEN_VALUES, side="right")) - 1))
                         cells = slice(ends[at], ends[to])
-                        loss += _hidden_pass(theta, layers, target[at:to], ends[at : to + 1] - ends[at], idx[cells], x[cells], grad)
+                        loss += _hidden_pass(theta, layers, target[at:to], ends[at : to + 1] - ends[at], idx[cells], x[cells], grad, dense)
                         at = to
             parts = [(0, i, grad[i : i + PART]) for i in range(0, len(grad), PART)]
             for kind, at, data in [*(p for p in parts if p[2].any()), (2, 0, np.array([loss]))]:
@@ -348,17 +384,18 @@ def fit_hidden(rows: DataFrame, layers: Sequence[int], start: np.ndarray, max_it
         sent.destroy()
         return loss / seen["n"], grad / seen["n"]
 
-    try:
-        run = _search(Setting(layers[-1], seen["n"], 0.0, max_iter, rel_tol=rel_tol), every[kept])
-        point = next(run)
-        while True:
-            try:
-                point = run.send(evaluate(point))
-            except StopIteration as end:
-                every[kept] = end.value
-                return every
-    finally:
-        blocks.unpersist()
+    run, passed = _search(Setting(layers[-1], seen["n"], 0.0, max_iter, rel_tol=rel_tol), every[kept]), 0
+    point = next(run)
+    while True:
+        try:
+            point = run.send(evaluate(point))
+        except StopIteration as end:
+            every[kept] = end.value
+            return every
+        passed += tasks * len(kept) * 8
+        if many and passed > SHUFFLED:  # shuffle files of earlier passes go once the JVM has collected their owners
+            spark.sparkContext._jvm.System.gc()
+            passed = 0
 
 
 # --- one value per row in the driver, coefficients nowhere until the end ------
@@ -551,6 +588,98 @@ def _weight_rows(col: np.ndarray, w: np.ndarray, model: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays, names=["model", "col", "w"])
 
 
+def fit_columns(
+    blocks: DataFrame, settings: Sequence[Setting], view_of: Sequence[int], slot_of: Sequence[int], known: dict, n_rows_of_view: Sequence[int]
+) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """As ``_fit_by_rows`` for ``bags.column_blocks``, where models of one view share its rows and columns.
+
+    A row has one value per model and class of its view (a lane). ``known`` has the rows' ``view``, ``norm``, ``own`` and ``targets`` (one list
+    after the other, starting at ``first``). Returns the rows' values over their norms ``(lanes, rows)``, the first lane of each model, and intercepts.
+    """
+    spark = blocks.sparkSession
+    n, n_models, n_views = len(known["view"]), len(settings), len(n_rows_of_view)
+    lanes, start = [0] * n_views, []
+    for s, v in zip(settings, view_of, strict=True):
+        start.append(lanes[v])
+        lanes[v] += s.width
+    width = max(lanes)
+    places = [np.flatnonzero(known["view"] == v) for v in range(n_views)]
+    scale = np.where(known["norm"] > 0, known["norm"], 1.0)
+    count = np.array(n_rows_of_view, float)
+    # as many tasks as cores: each sends one value per row and lane in every step
+    blocks = blocks.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    tasks = blocks.rdd.getNumPartitions()
+
+    def multiply(a: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``X X' a`` of the shared columns and the steepest slope of each view and lane."""
+        sent = spark.sparkContext.broadcast((a, live))
+
+        def run(batches):
+            a, live = sent.value
+            z, steep = np.zeros((width, n)), np.zeros((width, n_views))
+            for view, idf, starts, sizes, at, tf in bag_columns(batches, count):
+                for k in range(width):
+                    if not live[k, view].any():
+                        continue
+                    g = idf * np.add.reduceat(tf * a[k, at], starts)
+                    np.maximum.at(steep[k], view, np.abs(g))
+                    z[k] += np.bincount(at, tf * np.repeat(idf * g, sizes), n)
+            flat = z.ravel()
+            out = [(0, i, flat[i : i + PART]) for i in range(0, len(flat), PART)]
+            for kind, at, data in [*out, (1, 0, steep.ravel())]:
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int64()), pa.array([data.tobytes()], pa.binary())], names=["kind", "at", "data"])
+
+        parts = blocks.mapInArrow(run, "kind int, at bigint, data binary")
+        z, steep = np.zeros(width * n), np.zeros(width * n_views)
+        for p in (_merged(parts) if tasks * width * n > PART else parts).collect():
+            data = np.frombuffer(p["data"])
+            if p["kind"] == 1:
+                steep = np.maximum(steep, data)
+            else:
+                z[p["at"] : p["at"] + len(data)] += data
+        sent.destroy()
+        return z.reshape(width, n), steep.reshape(width, n_views)
+
+    memory = MEMORY if n * width <= LONG_VECTOR else TABLE_MEMORY
+    runs = [_search_rows(s, known["targets"][known["first"][places[v]] + j], known["own"][places[v]], memory) for s, v, j in zip(settings, view_of, slot_of, strict=True)]
+    asked = {m: next(r) for m, r in enumerate(runs)}
+    found, b = np.zeros((width, n)), np.zeros((n_models, max(s.width for s in settings)))
+    passed = 0
+    while asked:
+        a, live = np.zeros((width, n)), np.zeros((width, n_views), bool)
+        for m, point in asked.items():
+            mine, p = slice(start[m], start[m] + settings[m].width), places[view_of[m]]
+            a[mine, p] = (point / scale[p][:, None]).T
+            live[mine, view_of[m]] = True
+        z, steep = multiply(a, live)
+        passed += tasks * width * n * 8
+        if passed > SHUFFLED:  # shuffle files of earlier steps go once the JVM has collected their owners
+            spark.sparkContext._jvm.System.gc()
+            passed = 0
+        for m, point in list(asked.items()):
+            mine, p = slice(start[m], start[m] + settings[m].width), places[view_of[m]]
+            try:
+                asked[m] = runs[m].send((z[mine, p].T / scale[p][:, None] + (known["own"][p] ** 2)[:, None] * point, float(steep[mine, view_of[m]].max())))
+            except StopIteration as end:
+                found[mine, p], b[m, : settings[m].width] = (end.value[0] / scale[p][:, None]).T, end.value[1]
+                del asked[m]
+    return found, start, b
+
+
+def bag_columns(batches, count: np.ndarray, with_terms: bool = False):
+    """Of each of ``bags.column_blocks``: its columns' views, idf, starts and sizes, the rows and the sublinear counts; and, if asked, the terms."""
+    from arbitra.operators.bags import unpack
+
+    for batch in batches:
+        for blob in batch.column(0):
+            words, view, df, starts, at, n = unpack(blob.as_py())
+            view = view.astype(np.int64)
+            idf = np.log((1.0 + count[view]) / (1.0 + df)) + 1.0
+            tf = (1.0 + np.log(np.arange(1, int(n.max(initial=1)) + 1)))[n.astype(np.int64) - 1]
+            found = view, idf, starts, np.diff(starts, append=len(at)), at, tf
+            yield (*found, words) if with_terms else found
+
+
 # --- coefficients in tables -------------------------------------------------
 
 
@@ -704,6 +833,11 @@ class _Tables:
             self.b, f, gb = self.b + t[:, None] * db, there, gn
 
 
+def fits_by_rows(n_columns: int, n_rows: int, width: int, has_own: bool) -> bool:
+    """Whether the driver keeps one value per row and class, and no coefficients."""
+    return (n_columns + (n_rows if has_own else 0)) * width > min(FEW_COEFFICIENTS, DRIVER_COEFFICIENTS) and n_rows * width <= DRIVER_COEFFICIENTS
+
+
 def fit_rows(rows: DataFrame, settings: Sequence[Setting], columns: DataFrame, n_columns: int) -> tuple[DataFrame, np.ndarray]:
     """``(model, col, w array<double>)`` and the intercepts ``(models, width)`` of all models, fitted together.
 
@@ -716,9 +850,9 @@ def fit_rows(rows: DataFrame, settings: Sequence[Setting], columns: DataFrame, n
     width = max(s.width for s in settings)
     size = rows.agg(F.count_if(F.col("own") != 0).alias("own"), F.sum(F.size("idx")).alias("values")).first()
     n_rows = sum(s.n_rows for s in settings)
+    if fits_by_rows(n_columns, n_rows, width, bool(size["own"])):
+        return _fit_by_rows(rows, settings, size["values"] or 0)
     if (n_columns + (n_rows if size["own"] else 0)) * width > min(FEW_COEFFICIENTS, DRIVER_COEFFICIENTS):
-        if n_rows * width <= DRIVER_COEFFICIENTS:
-            return _fit_by_rows(rows, settings, size["values"] or 0)
         tables = _Tables(rows, settings)
         tables.fit()
         return tables.state.select("model", "col", "w"), tables.b

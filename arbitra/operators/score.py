@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from weakref import WeakKeyDictionary
 
@@ -14,44 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra import session
-from arbitra.functions.text import N_BUCKETS, fnv_buckets, tokens_alnum, word_counts
-from arbitra.operators.features import hashed_vector, tf_weight
+from arbitra.functions import grams
+from arbitra.functions.text import N_BUCKETS, characters, fnv_buckets, joined_words, lowered, tokens_alnum
+from arbitra.operators.bags import pack, small, unpack
+from arbitra.operators.features import STEP_BYTES, STEP_TERMS, hashed_vector
 from arbitra.operators.model import HiddenLayerModel, LinearModel, LogitsTable, Model
 from arbitra.session import BROADCAST_BYTES
 
 # Own choices: bytes of TF-IDF terms that are looked up inside the rows, over all models of a call; and tokens or n-grams a task looks up at once.
 HEAD_BYTES = 64 * 1024 * 1024
 STEP_KEYS = 1 << 20
+# Bits of the largest map of asked hashes, and of a part of it that one task merges.
+MAP_BITS, SEGMENT_BITS = 29, 20
 
 
 def _per_class(models: Sequence[LinearModel]) -> int:
     return max(len(m.classes) for m in models)
 
 
-def _with_intercept(df: DataFrame, models: Sequence[LinearModel]) -> DataFrame:
-    """``df`` with ``_intercept`` of each row's model: a constant for one model, else a lookup in a table of models."""
-    if len(models) == 1:
-        return df.withColumn("_intercept", _doubles(models[0].intercept))
-    rows = [(m.model_id, [float(v) for v in m.intercept]) for m in models]
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, "model_id string, _intercept array<double>")), "model_id")
-
-
-def _doubles(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _finish(sums: DataFrame, out_cols: Sequence[str], models: Sequence[LinearModel], scale: Column | None) -> DataFrame:
-    k = _per_class(models)
-    sums = _with_intercept(sums, models)
-    parts = F.array(*[F.col(f"_s{c}") for c in range(k)])
-    if scale is not None:
-        parts = F.transform(parts, lambda s: s * scale)
-    # The intercept has one entry per class, so a model with fewer classes than
-    # the widest one gets exactly its own.
-    logits = F.transform("_intercept", lambda b, i: b + F.get(parts, i))
-    return sums.select(*out_cols, "model_id", logits.alias("logits"))
-
-
 # Sent tables of models with the terms they leave out, as long as their terms are in use.
 _sent: WeakKeyDictionary = WeakKeyDictionary()
 
@@ -71,6 +51,12 @@ def _head(model: LinearModel, room: int) -> tuple[DataFrame, DataFrame | None]:
     return model.terms.where(step <= cut), model.terms.where(step > cut)
 
 
+def _hashed(batches):
+    for b in batches:
+        h, check = grams.identities(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), b.column(1), b.column(2)], names=["h", "check", "idf", "coef"])
+
+
 def _table(model: LinearModel, room: int):
     """A broadcast of the model for use inside rows, and the terms that it leaves out: coefficients by bucket, or by sorted 64-bit
     hash of the term with a second hash as check."""
@@ -88,7 +74,7 @@ def _table(model: LinearModel, room: int):
         table = (coef,)
     else:
         head, tail = _head(model, room)
-        t = head.select(F.xxhash64("term").alias("h"), F.xxhash64("term", F.lit(1)).alias("check"), "idf", "coef").toArrow()
+        t = head.select("term", "idf", "coef").mapInArrow(_hashed, "h bigint, check bigint, idf double, coef array<double>").toArrow()
         order = np.argsort(t["h"].to_numpy(), kind="stable")
         coef = t["coef"].combine_chunks().flatten().to_numpy().reshape(-1, k) if t.num_rows else np.zeros((0, k))
         table = (*(t[c].to_numpy()[order] for c in ("h", "check", "idf")), coef[order])
@@ -106,12 +92,10 @@ def _sum_rows(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _found(table: tuple, keys: tuple, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the sum of squares and the products with each class over the terms in the table; and which keys it holds."""
-    h, check, idf, coef = table
-    found, seen, n = keys
+def _places(h: np.ndarray, check: np.ndarray, found: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a table sorted by hash, and which of them it holds."""
     if not len(h):
-        return np.zeros((len(ends) - 1, 1 + coef.shape[1])), np.zeros(len(found), bool)
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
     at = np.minimum(np.searchsorted(h, found), len(h) - 1)
     # two terms of one hash stand next to each other
     while (again := (h[at] == found) & (check[at] != seen) & (at + 1 < len(h))).any():
@@ -119,18 +103,30 @@ def _found(table: tuple, keys: tuple, ends: np.ndarray) -> tuple[np.ndarray, np.
         if not again.any():
             break
         at = at + again
-    known = (h[at] == found) & (check[at] == seen)
+    return at, (h[at] == found) & (check[at] == seen)
+
+
+def _found(table: tuple, keys: tuple, ends: np.ndarray) -> np.ndarray:
+    """Per row the sum of squares and the products with each class over the terms in the table."""
+    h, check, idf, coef = table
+    found, seen, n = keys
+    if not len(h):
+        return np.zeros((len(ends) - 1, 1 + coef.shape[1]))
+    at, known = _places(h, check, found, seen)
     x = np.where(known, (1.0 + np.log(n)) * idf[at], 0.0)
-    return _sum_rows(np.column_stack([x * x, x[:, None] * coef[at]]), ends), known
+    return _sum_rows(np.column_stack([x * x, x[:, None] * coef[at]]), ends)
+
+
+def _normed(intercept: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(sums[:, :1])
+    return intercept + np.divide(sums[:, 1:], norm, out=np.zeros_like(sums[:, 1:]), where=norm > 0)
 
 
 def _logits(model_kind: str, intercept: np.ndarray, table: tuple, keys: tuple, ends: np.ndarray) -> np.ndarray:
     """Logits of rows whose keys lie between ``ends``."""
     if model_kind == "hashed":
         return intercept + _sum_rows(table[0][keys[0]], ends)
-    sums, _ = _found(table, keys, ends)
-    norm = np.sqrt(sums[:, :1])
-    return intercept + np.divide(sums[:, 1:], norm, out=np.zeros_like(sums[:, 1:]), where=norm > 0)
+    return _normed(intercept, _found(table, keys, ends))
 
 
 def _doubles_list(values: np.ndarray) -> pa.ListArray:
@@ -138,36 +134,10 @@ def _doubles_list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values).ravel()))
 
 
-def _score_rows(df: DataFrame, models: Sequence[LinearModel], cols: Sequence[str], text_col: str, every: bool) -> DataFrame:
-    """Logits under the model that a row names, or under every model.
-
-    Spark cuts a text into tokens or counted n-grams; their coefficients are looked up in the broadcast models by Arrow batch. While the
-    broadcasts hold whole models, nothing is shuffled. Of larger TF-IDF models they hold the most frequent terms; what is not
-    found there meets the other terms in a join by hash, and only those partial sums pass a shuffle.
-    """
-    kind = models[0].kind
-    if kind == "hashed":
-        keys = tokens_alnum(text_col)
-    else:
-        grams = word_counts(text_col, 1, max(m.n_max for m in models))
-        keys = F.transform(grams, lambda t: F.struct(F.xxhash64(t["key"]).alias("h"), F.xxhash64(t["key"], F.lit(1)).alias("c"), t["n"].alias("n")))
-    names = [*cols] if every else [*cols, "model_id"]
-    room = min(HEAD_BYTES, session.BROADCAST_BYTES) // (24 + 8 * _per_class(models))
-    tables = {id(m.terms): m.n_terms for m in models}
-    if kind == "tfidf" and sum(tables.values()) > room:
-        room //= len(tables)
-    made = [(m, *_table(m, room)) for m in models]
-    sent = [(m.model_id, np.array(m.intercept, float), table, tail is not None) for m, table, tail in made]
-    tails = [(m, tail) for m, _, tail in made if tail is not None]
-    split = bool(tails)
-    width = 1 + _per_class(models)
-
-    def parts(found: pa.ListArray) -> tuple[tuple, np.ndarray, pa.Array]:
-        flat = found.flatten()
-        ends = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        if kind == "hashed":
-            return (fnv_buckets(flat),), ends, flat
-        return tuple(flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)), ends, flat
+def _score_hashed(df: DataFrame, models: Sequence[LinearModel], cols: Sequence[str], text_col: str) -> DataFrame:
+    """Logits under the hashed model that a row names: Spark cuts a text into tokens, their coefficients are looked up by Arrow batch."""
+    names = [*cols, "model_id"]
+    sent = [(m.model_id, np.array(m.intercept, float), _table(m, 0)[0]) for m in models]
 
     def steps(batches):
         """The batches in slices of bounded size."""
@@ -181,59 +151,225 @@ def _score_rows(df: DataFrame, models: Sequence[LinearModel], cols: Sequence[str
 
     def run(batches):
         for b in steps(batches):
-            kept, found = b.columns[: len(names)], b.column(len(names))
+            asked = np.array(b.column(len(cols)).to_pylist(), object)
+            for model_id, intercept, table in sent:
+                rows = np.nonzero(asked == model_id)[0]
+                if not len(rows):
+                    continue
+                mine = b if len(rows) == b.num_rows else b.take(pa.array(rows))
+                found = mine.column(len(names))
+                ends = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                z = _logits("hashed", intercept, table.value, (fnv_buckets(found.flatten()),), ends)
+                yield pa.RecordBatch.from_arrays([*mine.columns[: len(names)], _doubles_list(z)], names=[*names, "logits"])
+
+    fields = [*df.select(*cols).schema.fields, T.StructField("model_id", T.StringType()), T.StructField("logits", T.ArrayType(T.DoubleType()))]
+    return df.select(*names, tokens_alnum(text_col).alias("_keys")).mapInArrow(run, T.StructType(fields))
+
+
+def _sums(row: np.ndarray, n_rows: int, x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.bincount(row, x * x, n_rows), *(np.bincount(row, x * coef[:, k], n_rows) for k in range(coef.shape[1]))]).astype(float)
+
+
+def _score_texts(df: DataFrame, models: Sequence[LinearModel], cols: Sequence[str], text_col: str, every: bool) -> DataFrame:
+    """Logits under the TF-IDF model that a row names, or under every model.
+
+    N-grams are counted a few megabytes of text at a time, equal texts once, and each is looked up once in the broadcast models. While
+    the broadcasts hold whole models, nothing is shuffled. Of larger models they hold the most frequent terms; for the n-grams that are not
+    found there, such a chunk of texts asks the other terms, which come in lists by hash.
+    """
+    names = [*cols] if every else [*cols, "model_id"]
+    room = min(HEAD_BYTES, session.BROADCAST_BYTES) // (24 + 8 * _per_class(models))
+    tables = {id(m.terms): m.n_terms for m in models}
+    if sum(tables.values()) > room:
+        room //= len(tables)
+    made = [(m, *_table(m, room)) for m in models]
+    sent = [(m.model_id, np.array(m.intercept, float), table, tail is not None) for m, table, tail in made]
+    tails = [(i, tail) for i, (_, _, tail) in enumerate(made) if tail is not None]
+    longest, word_chars = max(m.n_max for m in models), characters(df.sparkSession, "word")
+
+    def steps(batches):
+        """For each step its counted n-grams, the rows' texts, the n-grams' hashes, and by model its number, rows, sums by text and n-grams it lacks."""
+        for b in grams.steps(batches, len(names), STEP_BYTES):
+            encoded = joined_words(b.column(len(names)), word_chars).dictionary_encode()
+            g = grams.gram_counts(encoded.dictionary, 1, longest)
+            text, n_texts = encoded.indices.to_numpy(zero_copy_only=False), len(encoded.dictionary)
+            h, check = grams.identities(g.terms)
             asked = None if every else np.array(b.column(len(cols)).to_pylist(), object)
-            for model_id, intercept, table, has_tail in sent:
+            out = []
+            for i, (model_id, _, table, has_tail) in enumerate(sent):
                 rows = np.arange(b.num_rows) if every else np.nonzero(asked == model_id)[0]
                 if not len(rows):
                     continue
-                mine = found if len(rows) == b.num_rows else found.take(pa.array(rows))
-                own = [c if len(rows) == b.num_rows else c.take(pa.array(rows)) for c in kept[: len(cols)]]
-                own.append(pa.array([model_id] * len(rows), pa.string()))
-                keys, ends, flat = parts(mine)
-                if not split:
-                    z = _logits(kind, intercept, table.value, keys, ends)
-                    yield pa.RecordBatch.from_arrays([*own, _doubles_list(z)], names=[*cols, "model_id", "logits"])
-                    continue
-                sums, known = _found(table.value, keys, ends)
-                sums = np.pad(sums, ((0, 0), (0, width - sums.shape[1])))
-                missing = ~known if has_tail else np.zeros(len(known), bool)
-                ends = np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(missing)))
-                yield pa.RecordBatch.from_arrays([*own, _doubles_list(sums), rest], names=[*cols, "model_id", "_part", "_rest"])
-
-    source = df.select(*names, keys.alias("_keys"))
-    fields = [*df.select(*cols).schema.fields, T.StructField("model_id", T.StringType())]
-    doubles = T.ArrayType(T.DoubleType())
-    if not split:
-        return source.mapInArrow(run, T.StructType([*fields, T.StructField("logits", doubles)]))
-    scored = source.mapInArrow(run, T.StructType([*fields, T.StructField("_part", doubles), T.StructField("_rest", source.schema["_keys"].dataType)]))
-    return _with_tails(scored, models, tails, cols)
-
-
-def _with_tails(scored: DataFrame, models: Sequence[LinearModel], tails: Sequence[tuple[LinearModel, DataFrame]], cols: Sequence[str]) -> DataFrame:
-    """Logits from ``_part``, a row's sums over the terms found inside it, and ``_rest``, its other n-grams by hash.
-
-    The sums of a row travel as one more n-gram under a hash of their own that matches nothing.
+                keys, checks, idf, coef = table.value
+                at, known = _places(keys, checks, h, check)
+                cells = known[g.gram]
+                place = at[g.gram[cells]]
+                sums = _sums(g.row[cells], n_texts, (1.0 + np.log(g.n[cells])) * idf[place], coef[place])
+                out.append((i, rows, sums, np.flatnonzero(~known) if has_tail else np.zeros(0, np.int64)))
+            yield b, g, text, h, check, out
+
+    def kept(b: pa.RecordBatch, rows: np.ndarray) -> list:
+        return [c if len(rows) == b.num_rows else c.take(pa.array(rows)) for c in b.columns[: len(cols)]]
+
+    source = df.select(*names, lowered(text_col).alias("_text"))
+    out_names = [*cols, "model_id", "logits"]
+    schema = T.StructType([*df.select(*cols).schema.fields, T.StructField("model_id", T.StringType()), T.StructField("logits", T.ArrayType(T.DoubleType()))])
+    if not tails:
+
+        def run(batches):
+            for b, _, text, _, _, each in steps(batches):
+                for i, rows, sums, _ in each:
+                    z = _normed(sent[i][1], sums)[text[rows]]
+                    yield pa.RecordBatch.from_arrays([*kept(b, rows), pa.array([sent[i][0]] * len(rows), pa.string()), _doubles_list(z)], names=out_names)
+
+        return source.mapInArrow(run, schema)
+
+    def chunk(batches):
+        for b, g, text, h, check, each in steps(batches):
+            lacked = np.unique(np.concatenate([lack for *_, lack in each] or [np.zeros(0, np.int64)]))
+            cells = np.isin(g.gram, lacked)
+            order = np.argsort(h[lacked], kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            missing = [(i, rows, sums, place[np.searchsorted(lacked, lack)]) for i, rows, sums, lack in each]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.select(range(len(cols))).schema) as w:
+                w.write_batch(b.select(range(len(cols))))
+            left = place[np.searchsorted(lacked, g.gram[cells])]
+            blob = pack(sink.getvalue().to_pybytes(), text, int(text.max(initial=-1)) + 1, missing, small(g.row[cells]), small(left), small(g.n[cells]))
+            ask = pack(h[lacked][order], check[lacked][order].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([len(lacked)], pa.int64()), pa.array([ask], pa.binary()), pa.array([blob], pa.binary())], names=["n", "asked", "data"])
+
+    chunks = session.written(source.mapInArrow(chunk, "n bigint, asked binary, data binary").withColumn("chunk", F.monotonically_increasing_id()), "scored")
+    answers = _answers(chunks, tails)
+
+    def finish(t: pa.Table, a: pa.Table) -> pa.Table:
+        raw, text, n_texts, each, row, left, n = unpack(t["data"][0].as_py())
+        batch = pa.ipc.open_stream(raw).read_next_batch()
+        row, left, tf, found, out = row.astype(np.int64), left.astype(np.int64), 1.0 + np.log(n.astype(float)), {}, []
+        for model, blob in zip(a["model"].to_pylist(), a["data"].to_pylist(), strict=True):
+            found.setdefault(model, []).append(unpack(blob))
+        for i, rows, sums, lack in each:
+            if i in found:
+                at, idf, coef = (np.concatenate(v) for v in zip(*found[i], strict=True))
+                size = int(left.max(initial=-1)) + 1
+                mine = np.zeros(size, bool)
+                mine[lack] = True
+                where = np.full(size, -1)
+                where[at] = np.arange(len(at))
+                where[~mine] = -1
+                cells = where[left] >= 0
+                place = where[left[cells]]
+                sums = sums + _sums(row[cells], n_texts, tf[cells] * idf[place], coef[place])
+            z = _normed(sent[i][1], sums)[text[rows]]
+            out.append(pa.table([*kept(batch, rows), pa.array([sent[i][0]] * len(rows), pa.string()), _doubles_list(z)], names=out_names))
+        return pa.concat_tables(out) if out else pa.table([*kept(batch, np.zeros(0, np.int64)), pa.array([], pa.string()), _doubles_list(np.zeros((0, 1)))], names=out_names)
+
+    return chunks.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+
+
+def _answers(chunks: DataFrame, tails: Sequence[tuple[int, DataFrame]]) -> DataFrame:
+    """``(chunk, model, data)``: places, idf and coefficients of those n-grams asked for by a chunk that a model holds.
+
+    Terms whose hash no chunk asks for are left out by a bit map of the hashes, before anything is shuffled.
     """
-    one = len(models) == 1
-    which = [] if one else ["model_id"]
-    none = F.lit(None).cast("array<double>").alias("_part")
-    rest = F.transform("_rest", lambda t: F.struct(t["h"].alias("_h"), t["c"].alias("_c"), t["n"].alias("_n"), none))
-    own = F.struct(F.xxhash64("_row").alias("_h"), F.lit(None).cast("bigint").alias("_c"), F.lit(1).cast(scored.schema["_rest"].dataType.elementType["n"].dataType).alias("_n"), F.col("_part"))
-    rows = scored.withColumn("_row", F.monotonically_increasing_id())
-    cells = rows.select("_row", *cols, *which, F.explode(F.concat(F.array(own), rest)).alias("_e")).select("_row", *cols, *which, "_e.*")
-    hashed = [F.xxhash64("term").alias("_h"), F.xxhash64("term", F.lit(1)).alias("_c"), F.col("idf").alias("_idf"), F.col("coef").alias("_coef")]
-    terms = reduce(DataFrame.unionAll, [t.select(*([] if one else [F.lit(m.model_id).alias("model_id")]), *hashed) for m, t in tails])
-    joined = cells.join(terms, [*which, "_h", "_c"], "left").where("_idf IS NOT NULL OR _part IS NOT NULL")
-    x = tf_weight(F.col("_n"), F.col("_idf"))
-    each = [x * x, *[x * F.get("_coef", F.lit(c)) for c in range(_per_class(models))]]
-    sums = [F.sum(F.coalesce(v, F.lit(0.0)) + F.coalesce(F.get("_part", F.lit(i)), F.lit(0.0))) for i, v in enumerate(each)]
-    summed = joined.groupBy("_row", *cols, *which).agg(*[c.alias("_sq" if i == 0 else f"_s{i - 1}") for i, c in enumerate(sums)])
-    if one:
-        summed = summed.withColumn("model_id", F.lit(models[0].model_id))
-    scale = F.when(F.col("_sq") > 0, 1.0 / F.sqrt("_sq")).otherwise(F.lit(0.0))
-    return _finish(summed, cols, models, scale)
+    spark = chunks.sparkSession
+    size = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    shift = np.uint64(64 - min(MAP_BITS, max(SEGMENT_BITS, int(8 * size["n"]).bit_length())))
+
+    def place(h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> shift).astype(np.int64)
+
+    def mark(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                at = np.unique(place(unpack(blob.as_py())[0]))
+                starts = np.flatnonzero(np.diff(at >> SEGMENT_BITS, prepend=-1))
+                for i, j in zip(starts, [*starts[1:], len(at)], strict=True):
+                    segment = int(at[i] >> SEGMENT_BITS)
+                    data = pack(small(np.diff(at[i:j], prepend=segment << SEGMENT_BITS)))
+                    yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([data], pa.binary())], names=["segment", "data"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << SEGMENT_BITS, bool)
+        for blob in t["data"].to_pylist():
+            bits[np.cumsum(unpack(blob)[0], dtype=np.int64)] = True
+        return pa.table({"segment": t["segment"].slice(0, 1), "data": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    bits = np.zeros(1 << (64 - int(shift) - 3), np.uint8)
+    per = 1 << (SEGMENT_BITS - 3)
+    for r in chunks.select("asked").mapInArrow(mark, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary").collect():
+        bits[r["segment"] * per : (r["segment"] + 1) * per] = np.frombuffer(r["data"], np.uint8)
+    asked_for = spark.sparkContext.broadcast(bits)
+    parts = max(size["chunks"], 1)
+
+    def dealt(h: np.ndarray):
+        bucket = ((h.view(np.uint64) * grams.MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        buckets, starts = np.unique(bucket[order], return_index=True)
+        return order, zip(buckets.tolist(), starts, [*starts[1:], len(h)], strict=True)
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, check = unpack(row["asked"])
+                order, each = dealt(h)
+                for b, i, j in each:
+                    o = order[i:j]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([b], pa.int32()), pa.array([pack(small(np.diff(o, prepend=0)), h[o], check[o])], pa.binary())], names=["chunk", "bucket", "data"])
+
+    def listed(model: int):
+        def run(batches):
+            held, n = [], 0
+
+            def out():
+                h, check, idf, coef = (np.concatenate(c) for c in zip(*held, strict=True))
+                order, each = dealt(h)
+                for b, i, j in each:
+                    o = order[i:j]
+                    yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([b], pa.int32()), pa.array([pack(h[o], check[o], idf[o], coef[o])], pa.binary())], names=["model", "bucket", "data"])
+
+            for b in _hashed(batches):
+                h = b.column(0).to_numpy()
+                at = place(h)
+                wanted = (asked_for.value[at >> 3] & (np.uint8(128) >> (at & 7).astype(np.uint8))) > 0
+                keep = np.flatnonzero(wanted & b.column(2).is_valid().to_numpy(zero_copy_only=False))
+                if len(keep):
+                    coef = b.column(3)
+                    values = coef.flatten().to_numpy(zero_copy_only=False).reshape(len(coef), -1)
+                    held.append((h[keep], b.column(1).to_numpy()[keep].astype(np.uint32), b.column(2).to_numpy(zero_copy_only=False)[keep], values[keep]))
+                    n += len(keep)
+                if n >= STEP_TERMS:
+                    yield from out()
+                    held, n = [], 0
+            if n:
+                yield from out()
+
+        return run
+
+    def look_up(asks: pa.Table, terms: pa.Table) -> pa.Table:
+        known: dict[int, list] = {}
+        for model, blob in zip(terms["model"].to_pylist(), terms["data"].to_pylist(), strict=True):
+            known.setdefault(model, []).append(unpack(blob))
+        tables = {}
+        for model, each in known.items():
+            t = [np.concatenate(c) for c in zip(*each, strict=True)]
+            order = np.argsort(t[0], kind="stable")
+            tables[model] = [c[order] for c in t]
+        out = []
+        for chunk, blob in zip(asks["chunk"].to_pylist(), asks["data"].to_pylist(), strict=True):
+            steps, h, check = unpack(blob)
+            places = np.cumsum(steps, dtype=np.int64)
+            for model, (keys, checks, idf, coef) in tables.items():
+                at, held = _places(keys, checks, h, check)
+                if held.any():
+                    out.append((chunk, model, pack(places[held], idf[at[held]], coef[at[held]])))
+        chunk, model, data = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "model": pa.array(model, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    asks = chunks.select("chunk", "asked").mapInArrow(ask, "chunk bigint, bucket int, data binary")
+    terms = reduce(DataFrame.unionAll, [t.select("term", "idf", "coef").mapInArrow(listed(i), "model int, bucket int, data binary") for i, t in tails])
+    return asks.groupBy("bucket").cogroup(terms.groupBy("bucket")).applyInArrow(look_up, "chunk bigint, model int, data binary")
 
 
 def _score_network(df: DataFrame, model: HiddenLayerModel, cols: Sequence[str], text_col: str) -> DataFrame:
@@ -282,13 +418,13 @@ def score_models(
     tfidf = [m for m in linear if m.kind == "tfidf"]
     if tfidf:
         own = df if len(tfidf) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in tfidf]))
-        done.append(_score_rows(own, tfidf, cols, text_col, every=False))
+        done.append(_score_texts(own, tfidf, cols, text_col, every=False))
     hashed = [m for m in linear if m.kind == "hashed"]
     at_once = max(1, BROADCAST_BYTES // (N_BUCKETS * (24 + 8 * _per_class(hashed)))) if hashed else 1
     for start in range(0, len(hashed), at_once):  # as many models as one broadcast may hold
         group = hashed[start : start + at_once]
         own = df if len(group) == len(models) else df.filter(F.col("model_id").isin([m.model_id for m in group]))
-        done.append(_score_rows(own, group, cols, text_col, every=False))
+        done.append(_score_hashed(own, group, cols, text_col))
     if not done:
         return spark.createDataFrame([], T.StructType([*df.select(*cols, "model_id").schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))]))
     return reduce(DataFrame.unionByName, done)
@@ -314,10 +450,10 @@ def score_each(
     tables = list(distinct.values())
     cols = [id_col, *keep]
     if len(tables) == len(models) or sum(m.n_terms for m in tables) * (24 + 8 * _per_class(tables)) <= min(HEAD_BYTES, session.BROADCAST_BYTES):
-        return _score_rows(df, models, cols, text_col, every=True)
+        return _score_texts(df, models, cols, text_col, every=True)
     # one lookup per table, then the intercepts of the models that share it
     bare = {key: m.with_(model_id=str(i), intercept=(0.0,) * len(m.classes)) for i, (key, m) in enumerate(distinct.items())}
-    scored = _score_rows(df, list(bare.values()), cols, text_col, every=True).withColumnRenamed("model_id", "_table")
+    scored = _score_texts(df, list(bare.values()), cols, text_col, every=True).withColumnRenamed("model_id", "_table")
     rows = [(bare[id(m.terms)].model_id, m.model_id, [float(v) for v in m.intercept]) for m in models]
     named = df.sparkSession.createDataFrame(rows, "_table string, model_id string, _intercept array<double>")
     return scored.join(F.broadcast(named), "_table").select(*cols, "model_id", F.zip_with("logits", "_intercept", lambda z, b: z + b).alias("logits"))

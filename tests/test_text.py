@@ -83,3 +83,17 @@ def test_buckets_of_arrow_tokens_equal_the_column_function():
     assert fnv_buckets(pa.array(tokens)).tolist() == [_fnv(t) for t in tokens]
     assert fnv_buckets(pa.array(tokens).slice(2, 4)).tolist() == [_fnv(t) for t in tokens[2:6]]
     assert fnv_buckets(pa.array([], pa.string())).tolist() == []
+
+
+def test_words_of_a_batch_equal_those_of_each_text(spark):
+    import pyarrow as pa
+
+    from arbitra.functions.text import characters, joined_words
+
+    texts = ["", "a", "Ab cd_e  f Gh", "İstanbul ΣΑΣ straße x", "naïve café à 12 ½ ٣٤ x1", "漢字 and 😀😀 𝒜𝒜 b", "ab", "c ", " dd-ee", "ा का", "\u0000x y", "zz"]
+    rows = _rows(spark, texts).select(F.lower("text").alias("low"), tokens_word("text").alias("w"), tokens_alnum("text").alias("a")).collect()
+    low = pa.array([r["low"] for r in rows])
+    assert joined_words(low, characters(spark, "word")).to_pylist() == [" ".join(r["w"]) for r in rows]
+    assert joined_words(low, characters(spark, "alnum"), 1).to_pylist() == [" ".join(r["a"]) for r in rows]
+    assert joined_words(low.slice(2, 1), characters(spark, "word")).to_pylist() == ["ab cd_e gh"]
+    assert joined_words(low.slice(5, 3), characters(spark, "word")).to_pylist() == [" ".join(r["w"]) for r in rows[5:8]]

@@ -349,3 +349,33 @@ def test_cold_start_query_keeps_terms_of_one_document(spark, tmp_path, monkeypat
     spark.createDataFrame([(1, "alpha", "en")], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     QUERIES["cold_start"](spark, str(tmp_path))
     assert asked.get("min_df", 1) == 1
+
+
+def test_frequent_inputs_as_a_matrix_change_nothing():
+    layers, rng = [9, 3, 2], np.random.default_rng(1)
+    theta = rng.normal(size=9 * 3 + 3 + 3 * 2 + 2)
+    dense = rng.integers(0, 3, (7, 9)) * (rng.random((7, 9)) < 0.6).astype(float)
+    row, idx = np.nonzero(dense)
+    target, ends = rng.integers(0, 2, 7), np.searchsorted(row, np.arange(8))
+    grads = [np.zeros_like(theta) for _ in range(3)]
+    losses = [_hidden_pass(theta, layers, target, ends, idx, dense[row, idx], g, often) for g, often in zip(grads, (0, 4, 9), strict=True)]
+    assert np.allclose(losses, losses[0]) and all(np.allclose(g, grads[0]) for g in grads)
+
+
+def test_no_table_of_a_fit_has_a_row_per_ngram(spark, tickets, monkeypatch):
+    """Texts, vocabulary, columns and weights used to be stored one row per text or n-gram."""
+    from arbitra import session
+    from arbitra.operators import optimise, score as module
+
+    monkeypatch.setattr(optimise, "FEW_COEFFICIENTS", 0)
+    monkeypatch.setattr(module, "HEAD_BYTES", 0)
+    sizes, own = [], session.written
+    for m in (T, T.bags, optimise, session):
+        monkeypatch.setattr(m, "written", lambda df, name: (lambda d: (sizes.append(d.count()), d)[1])(own(df, name)))
+    train, val, _ = tickets
+    model = T.train_tfidf(train.coalesce(2), "id", "text", "label")
+    assert model.n_terms == model.terms.count() > 5000
+    scored = score(val.coalesce(2), model, "id", "text", ["label"])
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert predict(scored.withColumnRenamed("label", "truth"), model.classes).filter("label = truth").count() > 280
+    assert len(sizes) >= 4 and max(sizes) < 50
