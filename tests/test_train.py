@@ -394,3 +394,23 @@ def test_blocks_of_counts_are_compact(spark):
     assert max(b["n"] for b in blocks) <= 512 and sum(b["n"] for b in blocks) == 2000
     assert sum(len(b["data"]) for b in blocks) < 2000 * 100 * 4
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_hidden_layer_query_fits_the_operator_s_own_size(spark, tmp_path, monkeypatch):
+    """The query used to fit 64 hidden units in 50 steps."""
+    import inspect
+
+    from arbitra.plans import QUERIES
+
+    asked, own = [], T.train_mlp
+
+    def watch(*args, **options):
+        asked.append(inspect.signature(own).bind(*args, **options))
+        asked[-1].apply_defaults()
+        return own(*args, **options | {"hidden": 4, "max_iter": 2})
+
+    monkeypatch.setattr(T, "train_mlp", watch)
+    rows = [(i, f"alpha {lang}{i % 3} beta", lang) for i in range(20) for lang in ("en", "fr")]
+    spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["train_mlp"](spark, str(tmp_path)).count() == 1
+    assert [(a.arguments["hidden"], a.arguments["max_iter"]) for a in asked] == [(256, 100)]
