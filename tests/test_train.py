@@ -414,3 +414,23 @@ def test_hidden_layer_query_fits_the_operator_s_own_size(spark, tmp_path, monkey
     spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert QUERIES["train_mlp"](spark, str(tmp_path)).count() == 1
     assert [(a.arguments["hidden"], a.arguments["max_iter"]) for a in asked] == [(256, 100)]
+
+
+def test_models_of_the_same_rows_share_their_ngrams(spark, tickets, monkeypatch):
+    """The points of a sweep and the signals of a table used to be laid out once per model."""
+    train, val, _ = tickets
+    seen, own = [], T.bags.columns_of
+    monkeypatch.setattr(T.bags, "columns_of", lambda texts, longest, *a: (seen.append(list(longest)), own(texts, longest, *a))[1])
+    grid = {(r["n_max"], r["c"]): r for r in T.sweep(train, val, "id", "text", "label", ngrams=(1, 2), cs=(0.5, 8.0)).collect()}
+    assert seen.pop() == [1, 2]
+    for (n, c), r in grid.items():
+        m = T.train_tfidf(train, "id", "text", "label", c=c, n_max=n)
+        assert r["n_terms"] == m.n_terms and r["accuracy"] == T.model_accuracy(m, val, "id", "text", "label")
+    seen.clear()
+    flags = {"a": F.col("label") == "billing", "b": F.col("id") % 3 == 0, "c": F.col("label").isin("billing", "account")}
+    models, _ = T.train_signals(train, val, flags, "id", "text")
+    assert seen == [[2]]
+    for name, flag in flags.items():
+        alone = T.train_tfidf(train.withColumn("flag", flag.cast("string")), "id", "text", "flag")
+        x, y = _weights(models[name]), _weights(alone)
+        assert x.keys() == y.keys() and max(abs(p - q) for t in x for p, q in zip(x[t], y[t], strict=True)) < 1e-4
